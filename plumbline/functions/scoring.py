@@ -22,8 +22,8 @@ def score_check(passed: Column, failed: Column, severity: Column, weight: Column
     for name, value in SEVERITY_FACTORS.items():
         factor = F.when(severity == name, F.lit(value)).otherwise(factor)
     attempts = passed + failed
-    rate = passed.cast("decimal(20,0)") * 100 / F.nullif(attempts, F.lit(0)).cast("decimal(20,0)")
-    scaled = F.round(rate.cast("decimal(22,10)") * _dec(factor, "decimal(3,2)") * _dec(weight, "decimal(9,2)"), 2)
+    points = passed.cast("decimal(18,0)") * _dec(factor, "decimal(3,2)") * _dec(weight, "decimal(9,2)") * 100
+    scaled = F.round(points / F.nullif(attempts, F.lit(0)).cast("decimal(18,0)"), 2)
     return F.when(attempts == 0, F.lit("100").cast("decimal(18,2)")).otherwise(
         scaled.cast("decimal(18,2)")
     )

@@ -46,20 +46,26 @@ def schema_snapshot(columns: DataFrame, snapshots: DataFrame | None, taken_at: d
     start = F.lit(0)
     if snapshots is not None:
         start = snapshots.agg(F.coalesce(F.max("snapshot_id"), F.lit(0)).alias("m")).scalar()
-    numbered = F.row_number().over(Window.partitionBy("table_name").orderBy("ordinal_position"))
+    numbered = F.row_number().over(Window.partitionBy("table_name").orderBy("ordinal_position", "column_name"))
     return columns.select(
         (start + numbered).cast("bigint").alias("snapshot_id"), *COLUMN_METADATA.fieldNames(),
         as_of_column(taken_at).alias("snapshot_at"),
     )
 
 
-def changed_columns(columns: DataFrame, snapshots: DataFrame, table: str) -> DataFrame:
-    """Columns absent from *every* snapshot of the table, and snapshot columns absent now."""
-    known = snapshots.where(F.col("table_name") == table).select("column_name")
-    present = columns.where(F.col("table_name") == table).select("column_name")
-    added = present.join(known, "column_name", "left_anti").withColumn("failed_value", F.lit("ADDED"))
-    removed = known.join(present, "column_name", "left_anti").withColumn("failed_value", F.lit("REMOVED"))
-    return added.unionByName(removed).withColumnRenamed("column_name", "record_id")
+def changed_columns(listing: DataFrame, snapshots: DataFrame, table: str | None = None) -> DataFrame:
+    """Columns absent from *every* snapshot of their table, and snapshot columns absent now.
+
+    A removed column shows once per snapshot that still has it. Without a table name all tables
+    are compared.
+    """
+    keys = ["table_name", "column_name"]
+    known, present = snapshots.select(*keys), listing.select(*keys)
+    if table is not None:
+        known, present = (df.where(F.col("table_name") == table) for df in (known, present))
+    added = present.join(known, keys, "left_anti").withColumn("failed_value", F.lit("ADDED"))
+    removed = known.join(present, keys, "left_anti").withColumn("failed_value", F.lit("REMOVED"))
+    return added.unionByName(removed).select("table_name", F.col("column_name").alias("record_id"), "failed_value")
 
 
 def latest_baseline(snapshots: DataFrame) -> DataFrame:

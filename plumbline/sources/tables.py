@@ -16,13 +16,13 @@ class Tables:
     ):
         self.spark = spark
         self._frames = {name.lower(): df for name, df in (frames or {}).items()}
-        self._folder = folder
+        self.folder = folder
 
     def __getitem__(self, name: str) -> DataFrame:
         key = name.lower()
         if key not in self._frames:
-            if self._folder:
-                self._frames[key] = self.spark.read.parquet(os.path.join(self._folder, f"{key}.parquet"))
+            if self.folder:
+                self._frames[key] = self.spark.read.parquet(os.path.join(self.folder, f"{key}.parquet"))
             else:
                 self._frames[key] = self.spark.table(name)
         return self._frames[key]
