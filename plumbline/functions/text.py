@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,20 +67,30 @@ def classify_safety_like(reply: Column) -> Column:
     )
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _block_from_lines(reply: Column, start: str) -> Column:
     """Lines from the first that matches ``start`` to the next empty or fence line, joined by blanks."""
+    def from_first(lines: Column) -> Column:
+        first = F.array_position(F.transform(lines, lambda x: F.upper(x).rlike(start)), F.lit(True))
+        return bind(first.cast("int"), lambda at: F.when(at > 0, F.slice(lines, at, F.size(lines))))
+
+    def to_stop(rest: Column) -> Column:
+        stop = F.array_position(F.transform(rest, lambda x: (x == "") | (x == "```")), F.lit(True))
+        block = bind(stop.cast("int"), lambda at: F.when(at > 0, F.slice(rest, F.lit(1), at - 1)).otherwise(rest))
+        return F.array_join(block, " ")
+
     lines = F.transform(F.split(reply, "\n"), strip)
-    first = F.array_position(F.transform(lines, lambda x: F.upper(x).rlike(start)), F.lit(True))
-    rest = F.slice(lines, first.cast("int"), F.size(lines))
-    stop = F.array_position(F.transform(rest, lambda x: (x == "") | (x == "```")), F.lit(True)).cast("int")
-    block = F.slice(rest, F.lit(1), F.when(stop > 0, stop - 1).otherwise(F.size(rest)))
-    return F.when(first > 0, F.array_join(block, " "))
+    return bind(bind(lines, from_first), to_stop)
 
 
 def _extract(reply: Column, start: str) -> Column:
     fenced = strip(F.regexp_extract(reply, FENCED_SQL, 1))
-    sql = F.when(F.length(fenced) > 0, fenced).otherwise(_block_from_lines(reply, start))
-    return F.when(F.length(sql) >= SHORTEST_SQL, sql)
+    found = bind(fenced, lambda f: F.when(F.length(f) > 0, f).otherwise(_block_from_lines(reply, start)))
+    return bind(found, lambda sql: F.when(F.length(sql) >= SHORTEST_SQL, sql))
 
 
 def extract_statement(reply: Column) -> Column:
@@ -104,16 +116,19 @@ def _starts(upper: Column, starts: list[str]) -> Column:
     return test
 
 
-def guard_statement(sql: Column) -> Column:
+def guard_statement(statement: Column) -> Column:
     """``status`` and ``message`` for a write statement; only controlled changes pass."""
-    upper = F.upper(strip(sql))
-    blocked = _first_blocked(upper, WRITE_BLOCKED)
-    return (
-        F.when(sql.isNull(), _verdict("ERROR", F.lit("no statement found")))
-        .when(blocked.isNotNull(), _verdict("BLOCKED", F.concat(F.lit("blocked keyword: "), blocked)))
-        .when(~_starts(upper, WRITE_STARTS), _verdict("BLOCKED", F.lit("not UPDATE, INSERT or MERGE")))
-        .otherwise(_verdict("ACCEPTED", F.lit(None).cast("string")))
-    )
+    def judged(sql: Column, upper: Column, blocked: Column) -> Column:
+        return (
+            F.when(sql.isNull(), _verdict("ERROR", F.lit("no statement found")))
+            .when(blocked.isNotNull(), _verdict("BLOCKED", F.concat(F.lit("blocked keyword: "), blocked)))
+            .when(~_starts(upper, WRITE_STARTS), _verdict("BLOCKED", F.lit("not UPDATE, INSERT or MERGE")))
+            .otherwise(_verdict("ACCEPTED", F.lit(None).cast("string")))
+        )
+
+    return bind(statement, lambda sql: bind(
+        F.upper(strip(sql)), lambda upper: bind(
+            _first_blocked(upper, WRITE_BLOCKED), lambda blocked: judged(sql, upper, blocked))))
 
 
 def _verdict(status: str, message: Column) -> Column:
@@ -139,16 +154,20 @@ def has_second_statement(sql: Column) -> Column:
     return F.contains(F.regexp_replace(sql, r"'[^']*('|\z)", ""), F.lit(";"))
 
 
-def guard_query(sql: Column, approved: list[str] | None = None) -> Column:
+def guard_query(query: Column, approved: list[str] | None = None) -> Column:
     """``status`` and ``message`` for a read query."""
-    upper = F.upper(strip(sql))
-    blocked = _first_blocked(upper, READ_BLOCKED)
-    foreign = F.get(unapproved_objects(sql, approved), F.lit(0))
-    return (
-        F.when(sql.isNull(), _verdict("ERROR", F.lit("no query found")))
-        .when(~_starts(upper, READ_STARTS), _verdict("BLOCKED", F.lit("not SELECT or WITH")))
-        .when(blocked.isNotNull(), _verdict("BLOCKED", F.concat(F.lit("blocked keyword: "), blocked)))
-        .when(has_second_statement(sql), _verdict("BLOCKED", F.lit("several statements")))
-        .when(foreign.isNotNull(), _verdict("BLOCKED", F.concat(F.lit("unapproved object: "), foreign)))
-        .otherwise(_verdict("ACCEPTED", F.lit(None).cast("string")))
-    )
+    def judged(sql: Column, upper: Column, blocked: Column, foreign: Column) -> Column:
+        return (
+            F.when(sql.isNull(), _verdict("ERROR", F.lit("no query found")))
+            .when(~_starts(upper, READ_STARTS), _verdict("BLOCKED", F.lit("not SELECT or WITH")))
+            .when(blocked.isNotNull(), _verdict("BLOCKED", F.concat(F.lit("blocked keyword: "), blocked)))
+            .when(has_second_statement(sql), _verdict("BLOCKED", F.lit("several statements")))
+            .when(foreign.isNotNull(), _verdict("BLOCKED", F.concat(F.lit("unapproved object: "), foreign)))
+            .otherwise(_verdict("ACCEPTED", F.lit(None).cast("string")))
+        )
+
+    return bind(query, lambda sql: bind(
+        F.upper(strip(sql)), lambda upper: bind(
+            _first_blocked(upper, READ_BLOCKED), lambda blocked: bind(
+                F.get(unapproved_objects(sql, approved), F.lit(0)),
+                lambda foreign: judged(sql, upper, blocked, foreign)))))

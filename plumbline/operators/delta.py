@@ -31,7 +31,7 @@ def change_feed(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     kinds = changes.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(
         (F.max(F.when(F.col("action") == "INSERT", 1).otherwise(0))
          + F.max(F.when(F.col("action") == "DELETE", 1).otherwise(0))).alias("kinds")
-    ).repartition(*[f"__{k}" for k in keys])
+    )
     same_key = None
     for k in keys:
         part = F.col(k).eqNullSafe(F.col(f"__{k}"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.frames import scalar
-from plumbline.operators.skew import key_counts
+from plumbline.operators.skew import key_counts, probe
 
 
 def repeated_keys(df: DataFrame, column: str) -> DataFrame:
@@ -18,8 +18,20 @@ def repeated_keys(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def duplicate_records(df: DataFrame, columns: list[str], row_filter: str | None = None) -> DataFrame:
+def duplicate_records(
+    df: DataFrame, columns: list[str], row_filter: str | None = None, wide: bool = False
+) -> DataFrame:
+    """Groups of rows that agree on all columns.
+
+    With ``wide`` columns (whole texts) a first pass shuffles one hash per row only; the second
+    pass reads the rows whose hash occurs twice and groups those by their full values, so that a
+    hash collision cannot change the result.
+    """
     rows = df.where(row_filter) if row_filter else df
+    if wide:
+        hashed = rows.select(*columns, F.xxhash64(*columns).alias("__hash"))
+        repeated = key_counts(hashed, ["__hash"]).where("n > 1")
+        rows = probe(hashed, ["__hash"], repeated, ["__hash"], "left_semi")
     return key_counts(rows, columns, "dup_count").where("dup_count > 1")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 GRID = 256
 SKETCH_ACCURACY = 10_000
-RANK_DIRECTLY = 100_000
+RANK_DIRECTLY = 500_000
 
 
 @dataclass

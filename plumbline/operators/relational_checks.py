@@ -104,28 +104,42 @@ def repeated_tuple_counts(
     )
 
 
-def differing_values(
-    left: DataFrame, right: DataFrame, key: str, value: str
-) -> DataFrame:
-    """Keys of two sources whose values disagree.
+def differing_values(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """Keys of two sources whose values disagree, one row per key where each source has one value.
 
-    Both sides are folded to distinct (key, value) pairs with multiplicity before they meet;
-    ``pairs`` is the number of row pairs each output row stands for.
+    Row pairs are never formed. Both sources are folded into one count per (key, value) and side;
+    ``pairs`` is the number of differing row pairs a row stands for. A key with several values in
+    the second source gives one row per value of either source, with the other side left open.
     """
-    def folded(df: DataFrame, name: str, count: str) -> DataFrame:
-        return (
-            df.where(F.col(key).isNotNull() & F.col(value).isNotNull())
-            .groupBy(key, F.col(value).alias(name))
-            .agg(F.count(F.lit(1)).alias(count))
-        )
+    def side(df: DataFrame, a: int, b: int) -> DataFrame:
+        return df.select(key, F.col(value).alias("value"), F.lit(a).alias("a"), F.lit(b).alias("b")).dropna()
 
-    a = folded(left, "source_a_val", "na")
-    b = folded(right, "source_b_val", "nb")
-    return (
-        a.join(b, key)
-        .where(F.col("source_a_val") != F.col("source_b_val"))
-        .select(key, "source_a_val", "source_b_val", (F.col("na") * F.col("nb")).alias("pairs"))
+    folded = (
+        side(left, 1, 0).unionByName(side(right, 0, 1)).groupBy(key, "value")
+        .agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    )
+    per_key = (
+        folded.groupBy(F.col(key).alias("__key"))
+        .agg(
+            F.sum("na").alias("rows_a"), F.sum("nb").alias("rows_b"),
+            F.count_if(F.col("nb") > 0).alias("values_b"),
+            F.max(F.when(F.col("nb") > 0, F.col("value"))).alias("only_b"),
+            F.count(F.lit(1)).alias("values"),
+        )
+        .where("rows_a > 0 AND rows_b > 0 AND values > 1")
+        .repartition("__key")
+    )
+    known = folded.join(per_key, F.col(key) == F.col("__key"))
+    single = F.col("values_b") == 1
+    pairs = F.col("na") * (F.col("rows_b") - F.col("nb"))
+    from_a = known.where(pairs > 0).select(
+        key, F.col("value").alias("source_a_val"), F.when(single, F.col("only_b")).alias("source_b_val"),
+        pairs.alias("pairs"),
+    )
+    from_b = known.where(~single & (F.col("nb") > 0)).select(
+        key, F.lit(None).alias("source_a_val"), F.col("value").alias("source_b_val"), F.lit(0).alias("pairs")
     )
+    return from_a.unionByName(from_b)
 
 
 def table_checksum(df: DataFrame, columns: list[str], amounts: list[str]) -> DataFrame:

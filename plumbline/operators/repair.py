@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from plumbline.operators.skew import probe
@@ -59,9 +59,13 @@ def replace_values(df: DataFrame, new_values: DataFrame, key: str, column: str)
 
 def replace_by_key(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Delete-then-insert: all existing rows of the affected keys give way to the new rows."""
-    affected = rows.select(*keys).distinct()
-    return existing.join(affected, keys, "left_anti").unionByName(rows)
+    return probe(existing, keys, rows, keys, "left_anti").unionByName(rows)
 
 
-def changed_row_count(before: DataFrame, predicate: Column) -> DataFrame:
-    return before.agg(F.count_if(predicate).alias("changed_rows"))
+def observed_update(
+    df: DataFrame, predicate: Column, changes: Mapping[str, Column], name: str = "repair"
+) -> tuple[DataFrame, Observation]:
+    """The update, and an observation that holds the number of changed rows once it was written."""
+    seen = Observation(name)
+    counted = df.observe(seen, F.count_if(predicate).alias("changed_rows"))
+    return update_where(counted, predicate, changes), seen

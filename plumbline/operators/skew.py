@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def key_counts(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
@@ -13,6 +14,20 @@ def key_counts(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
+# Longer text is grouped by a fingerprint one character longer than any text kept as it is.
+KEPT_TEXT = 64
+
+
+def compact_key(column: str, schema: T.StructType) -> Column:
+    """A grouping key equal exactly when the column is equal, of bounded width for text."""
+    value = F.col(column)
+    if not isinstance(schema[column].dataType, T.StringType):
+        return value
+    return F.when(
+        F.length(value) > KEPT_TEXT, F.concat(F.lit("#"), F.sha2(value, 256))
+    ).otherwise(value).alias(column)
+
+
 def lookup_side(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per key, shuffled on its own exchange.
 
@@ -37,3 +52,14 @@ def probe(
         part = F.col(key) == F.col(f"__k{i}")
         condition = part if condition is None else condition & part
     return rows.join(renamed, condition, how)
+
+
+def keep_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A left join that stays balanced when the *right* side has hot keys.
+
+    Adaptive execution can only split the preserved side of an outer join. An inner join, of which
+    it can split both sides, plus the rows without a partner gives the same rows.
+    """
+    matched = left.join(right, list(keys))
+    alone = probe(left, keys, right, keys, "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)

@@ -19,6 +19,7 @@ from plumbline.frames import scalar
 from plumbline.functions import predicates as p
 from plumbline.operators import relational_checks as rel
 from plumbline.operators import schema_checks
+from plumbline.operators.skew import compact_key
 from plumbline.operators.stat_checks import zscore
 from plumbline.sources.tables import Tables
 
@@ -264,11 +265,15 @@ def bind(spec: CheckSpec, ctx: TableContext) -> RowCheck | KeyedCheck | FrameChe
     return bound
 
 
-def grouped(df: DataFrame, checks: list[KeyedCheck]) -> DataFrame:
-    """One aggregation serving all given checks, which share keys and row filter."""
+def grouped(df: DataFrame, checks: list[KeyedCheck], compact: bool = False) -> DataFrame:
+    """One aggregation serving all given checks, which share keys and row filter.
+
+    ``compact`` groups long text by fingerprint: enough for counting, not for showing the keys.
+    """
     first = checks[0]
     rows = df.where(first.where) if first.where else df
+    keys = [compact_key(k, df.schema) if compact else F.col(k) for k in first.keys]
     measures = {name: m for check in checks for name, m in check.measures.items()}
-    return rows.groupBy(*first.keys).agg(
+    return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), *[m.alias(name) for name, m in measures.items()]
     )

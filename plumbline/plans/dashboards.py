@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scoring import traffic_light
 from plumbline.functions.text import guard_query
+from plumbline.operators.skew import keep_left
 from plumbline.plans.remediation import EXPLANATION, PROFILE, badge
 
 RECENT_RUNS = 50
@@ -99,7 +100,7 @@ def explained_failures(cache: DataFrame, results: DataFrame, table: str | None =
     if table:
         rows = rows.where(F.col("target_table") == table)
     known = results.select("run_id", "check_id", "check_name", "check_status", "severity")
-    return rows.join(known, ["run_id", "check_id"], "left").select(
+    return keep_left(rows, known, ["run_id", "check_id"]).select(
         "analysis_id", "check_id", "target_table", "model_used", "created_at", "ai_response",
         "check_name", "check_status", "severity",
     ).orderBy(F.desc("created_at"))

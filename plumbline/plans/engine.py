@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import logging
 import time
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
@@ -45,14 +47,27 @@ class TablePlan:
 def plan_table(ctx: TableContext, specs: Iterable[CheckSpec], run_id: str | None = None) -> TablePlan:
     """Bind every check by itself: one that cannot be analysed becomes an ERROR row, the rest run."""
     plan = TablePlan(ctx, run_id or run_identifier(ctx.table, ctx.as_of), [])
-    for spec in specs:
-        try:
-            plan.bound.append(bind(spec, ctx))
-        except (PySparkException, KeyError, ValueError) as error:
-            plan.errors.append((spec, str(error)[:ERROR_LENGTH]))
+    with _expected_errors():
+        for spec in specs:
+            try:
+                plan.bound.append(bind(spec, ctx))
+            except (PySparkException, KeyError, ValueError) as error:
+                plan.errors.append((spec, str(error)[:ERROR_LENGTH]))
     return plan
 
 
+@contextmanager
+def _expected_errors():
+    """Keep the stack traces of checks that cannot be analysed out of the log; they become rows."""
+    log = logging.getLogger("DataFrameQueryContextLogger")
+    level = log.level
+    log.setLevel(logging.CRITICAL)
+    try:
+        yield
+    finally:
+        log.setLevel(level)
+
+
 def _described(spec: CheckSpec, count: Column, total: Column, error: str | None = None) -> Column:
     return F.struct(
         F.lit(spec.label).alias("label"),
@@ -90,9 +105,13 @@ def _counts(plan: TablePlan) -> DataFrame:
         described += [_described(s, F.lit(0), F.col("total"), message) for s, message in plan.errors]
         parts.append(fused.select(F.inline(F.array(*described))))
     for checks in _keyed_sets(plan.bound):
-        tested = grouped(df, checks).agg(*[F.count_if(c.test).alias(f"c{i}") for i, c in enumerate(checks)])
+        tested = grouped(df, checks, compact=True).agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("grouped_rows"),
+            *[F.count_if(c.test).alias(f"c{i}") for i, c in enumerate(checks)],
+        )
+        rows_seen = total if checks[0].where else F.col("grouped_rows")
         parts.append(tested.select(F.inline(F.array(*[
-            _described(c.spec, F.col(f"c{i}"), total) for i, c in enumerate(checks)
+            _described(c.spec, F.col(f"c{i}"), rows_seen) for i, c in enumerate(checks)
         ]))))
     for check in plan.bound:
         if isinstance(check, FrameCheck):
@@ -106,12 +125,17 @@ def _counts(plan: TablePlan) -> DataFrame:
 
 def check_results(plan: TablePlan) -> DataFrame:
     """One row per check of the table; nothing runs before an action."""
+    return _labelled_results(plan).drop("label")
+
+
+def _labelled_results(plan: TablePlan) -> DataFrame:
     counted = _counts(plan)
     failed = F.col("error_message").isNotNull()
     status = F.when(failed, "ERROR").otherwise(
         check_status(F.col("failure_count"), F.col("threshold_warning"), F.col("threshold_fail"))
     )
     return counted.select(
+        "label",
         F.sha2(F.concat_ws("|", F.lit(plan.run_id), "label"), 256).substr(1, 36).alias("result_id"),
         F.lit(plan.run_id).alias("run_id"),
         "check_id", "check_name",
@@ -139,6 +163,11 @@ def _sample_columns(spec: CheckSpec, record: Column, value: Column) -> list[Colu
     ]
 
 
+def without_passed(plan: TablePlan, failing: set[str]) -> TablePlan:
+    """The plan reduced to the checks with these labels: passed ones have nothing to sample."""
+    return TablePlan(plan.ctx, plan.run_id, [c for c in plan.bound if c.spec.label in failing])
+
+
 def failed_records(plan: TablePlan, limit: int = SAMPLES_PER_CHECK) -> DataFrame:
     """Up to ``limit`` failing records per check, the smallest identifiers first.
 
@@ -214,19 +243,19 @@ def execute_table(plan: TablePlan) -> TableRun:
     failing ones become ERROR rows. One row per check comes back to the driver."""
     started = time.monotonic()
     try:
-        rows = check_results(plan).collect()
+        rows = _labelled_results(plan).collect()
     except Exception:
         rows = []
         for check in plan.bound:
             alone = TablePlan(plan.ctx, plan.run_id, [check])
             try:
-                rows += check_results(alone).collect()
+                rows += _labelled_results(alone).collect()
             except Exception as error:
                 plan.errors.append((check.spec, str(error)[:ERROR_LENGTH]))
         failed = {spec.label for spec, _ in plan.errors}
         plan.bound = [c for c in plan.bound if c.spec.label not in failed]
         if plan.errors:
-            rows += check_results(TablePlan(plan.ctx, plan.run_id, [], plan.errors)).collect()
+            rows += _labelled_results(TablePlan(plan.ctx, plan.run_id, [], plan.errors)).collect()
     elapsed = int((time.monotonic() - started) * 1000)
     rows.sort(key=lambda r: (r.check_id, r.target_column or ""))
     return TableRun(plan, [{**r.asDict(), "execution_time_ms": elapsed} for r in rows], elapsed)
@@ -261,7 +290,8 @@ def run_all(
     results = spark.createDataFrame(rows, schemas.CHECK_RESULTS)
     samples = spark.createDataFrame([], schemas.FAILED_RECORDS)
     for run in done:
-        samples = samples.unionByName(failed_records(run.plan))
+        failing = {r["label"] for r in run.rows if r["check_status"] in ("FAIL", "WARNING")}
+        samples = samples.unionByName(failed_records(without_passed(run.plan, failing)))
     started = F.max("created_at")
     log = results.groupBy("run_id", "target_table").agg(
         started.alias("run_start_time"),

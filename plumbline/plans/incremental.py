@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.predicates import as_of_column
+from plumbline.operators.skew import probe
 from plumbline.plans.remediation import EXPLANATION
 
 WINDOW_HOURS = 2
@@ -25,12 +26,10 @@ def _recent(run_log: DataFrame, as_of: dt.datetime, hours: int) -> DataFrame:
 
 
 def unscored_runs(run_log: DataFrame, scores: DataFrame, as_of: dt.datetime, hours: int = WINDOW_HOURS) -> DataFrame:
-    return _recent(run_log, as_of, hours).select("run_id").join(scores.select("run_id"), "run_id", "left_anti")
+    return probe(_recent(run_log, as_of, hours).select("run_id"), ["run_id"], scores, ["run_id"], "left_anti")
 
 
 def unexplained_runs(run_log: DataFrame, cache: DataFrame, as_of: dt.datetime, hours: int = WINDOW_HOURS) -> DataFrame:
     explained = cache.where(F.col("analysis_type") == EXPLANATION).select("run_id")
-    return (
-        _recent(run_log, as_of, hours).where("failed_checks > 0").select("run_id")
-        .join(explained, "run_id", "left_anti")
-    )
+    failed = _recent(run_log, as_of, hours).where("failed_checks > 0").select("run_id")
+    return probe(failed, ["run_id"], explained, ["run_id"], "left_anti")

@@ -21,6 +21,8 @@ from plumbline.operators.quantiles import exact_quantiles
 TOP_VALUES = 5
 LOW_CARDINALITY = 20
 NULL_BUCKET = "<NULL>"
+KEPT_TEXT = 128
+SHOWN_TEXT = 64
 
 
 def is_numeric(kind: T.DataType) -> bool:
@@ -31,6 +33,10 @@ def is_supported(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.ArrayType, T.StructType, T.BinaryType, T.VariantType))
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def as_text(name: str, kind: T.DataType) -> Column:
     value = F.col(name)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
@@ -38,23 +44,79 @@ def as_text(name: str, kind: T.DataType) -> Column:
     return value.cast("string")
 
 
+def _shortened(value: Column) -> Column:
+    """Long text as its beginning and a fingerprint, longer than any text that is kept."""
+    return F.when(
+        F.length(value) > KEPT_TEXT, F.concat(F.substring(value, 1, SHOWN_TEXT), F.lit("#"), F.sha2(value, 256))
+    ).otherwise(value)
+
+
+def _families(df: DataFrame, names: list[str]) -> list[tuple[T.DataType, list[str]]]:
+    """Columns by the type in which they are grouped: whole numbers together, others by their type."""
+    families: dict[str, tuple[T.DataType, list[str]]] = {}
+    for f in df.schema.fields:
+        if f.name in names:
+            kind = T.LongType() if isinstance(f.dataType, T.IntegralType) else f.dataType
+            families.setdefault(kind.simpleString(), (kind, []))[1].append(f.name)
+    return list(families.values())
+
+
+def _unpivoted(df: DataFrame, names: list[str], kind: T.DataType) -> DataFrame:
+    """(position, raw) of all non-NULL values of columns of one kind; positions count ``names``."""
+    tagged = df.select(*[F.col(c).cast(kind).alias(str(i)) for i, c in enumerate(names)])
+    return tagged.unpivot([], tagged.columns, "position", "raw").where("raw IS NOT NULL")
+
+
+def _named(names: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in names]), F.col("position").cast("int") + 1)
+
+
 def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
-    """The frequency frame: (column_name, value, n) for all non-NULL values of the columns."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    return (
-        df.select(*[as_text(c, kinds[c]).alias(c) for c in names])
-        .unpivot([], names, "column_name", "value")
-        .where("value IS NOT NULL")
-        .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    """The frequency frame: (column_name, value, n) for all non-NULL values of the columns.
+
+    One shuffle per type family, however many columns: values travel in their own type and become
+    text once they are counted. Long text takes part as a fingerprint, so that no shuffle ever
+    carries whole documents.
+    """
+    frame = None
+    for kind, members in _families(df, names):
+        raw = F.col("raw")
+        key = _shortened(raw) if isinstance(kind, T.StringType) else raw
+        counted = (
+            _unpivoted(df, members, kind).select("position", key.alias("raw"))
+            .groupBy("position", "raw").agg(F.count(F.lit(1)).alias("n"))
+            .select(_named(members).alias("column_name"), as_text("raw", kind).alias("value"), "n")
+        )
+        frame = counted if frame is None else frame.unionByName(counted)
+    return frame
+
+
+def _restored(df: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Replace fingerprints in a *small* frame (``column_name``, ``value``, ...) by the full text.
+
+    The frame holds a fixed number of rows per column of the table, which bounds the broadcast.
+    Without any fingerprint the table is not read again.
+    """
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return chosen
+    long = chosen.where(F.length("value") > KEPT_TEXT).select("column_name", "value")
+    sources = (
+        _unpivoted(df, texts, T.StringType()).where(F.length("raw") > KEPT_TEXT)
+        .select(_named(texts).alias("column_name"), F.col("raw").alias("text"), _shortened(F.col("raw")).alias("value"))
+        .join(F.broadcast(long), ["column_name", "value"])
+        .groupBy("column_name", "value").agg(F.any_value("text").alias("text"))
     )
+    return chosen.join(sources, ["column_name", "value"], "left").withColumn(
+        "value", F.coalesce("text", "value")).drop("text")
 
 
-def top_values(counts: DataFrame, limit: int = TOP_VALUES) -> DataFrame:
+def top_values(df: DataFrame, counts: DataFrame, limit: int = TOP_VALUES) -> DataFrame:
     """The most frequent values per column; each task keeps ``limit`` before the shuffle."""
     order = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
     ranked = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
     listed = F.array_sort(F.collect_list(F.struct("place", "value", F.col("n").alias("count"))))
-    return ranked.groupBy("column_name").agg(
+    return _restored(df, ranked).groupBy("column_name").agg(
         F.transform(listed, lambda e: F.struct(e["value"].alias("value"), e["count"].alias("count")))
         .alias("top_values")
     )
@@ -97,7 +159,7 @@ def column_profiles(df: DataFrame, medians: bool = True) -> DataFrame:
         profiles = (
             _base_statistics(df, fields)
             .join(distinct, "column_name", "left")
-            .join(top_values(counts), "column_name", "left")
+            .join(top_values(df, counts), "column_name", "left")
         )
         numeric = [f.name for f in fields if is_numeric(f.dataType)] if medians else []
         middle = exact_quantiles(df, {c: [0.5] for c in numeric})
@@ -136,17 +198,45 @@ def distributions(df: DataFrame, limit: int = LOW_CARDINALITY) -> DataFrame:
     totals = _base_statistics(df, fields).select("column_name", "row_count", "null_count")
     sizes = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("values"))
     few = totals.join(sizes, "column_name", "left").where(F.coalesce("values", F.lit(0)) <= limit)
-    filled = counts.join(few.select("column_name"), "column_name", "left_semi").select(
-        "column_name", F.col("value").alias("value_or_bucket"), F.col("n").alias("record_count"))
+    filled = counts.join(few.select("column_name", "row_count"), "column_name")
     absent = few.where("null_count > 0").select(
-        "column_name", F.lit(NULL_BUCKET).alias("value_or_bucket"), F.col("null_count").alias("record_count"))
-    share = F.round(F.col("record_count") * F.lit(100.0) / F.col("row_count"), 4)
-    return (
-        filled.unionByName(absent).join(few.select("column_name", "row_count"), "column_name")
-        .select("column_name", "value_or_bucket", "record_count", share.alias("percentage"))
+        "column_name", F.lit(NULL_BUCKET).alias("value"), F.col("null_count").alias("n"), "row_count")
+    share = F.round(F.col("n") * F.lit(100.0) / F.col("row_count"), 4)
+    return _restored(df, filled).unionByName(absent).select(
+        "column_name", F.col("value").alias("value_or_bucket"), F.col("n").alias("record_count"),
+        share.alias("percentage"),
     )
 
 
+def approximate_profiles(df: DataFrame) -> DataFrame:
+    """Column profiles from a single scan without any shuffle of values.
+
+    Distinct counts, medians and most frequent values are sketches with the engine's default
+    error bounds; everything else is exact.
+    """
+    fields = [f for f in df.schema.fields if is_supported(f.dataType)]
+    sketches: list[Column] = []
+    for i, f in enumerate(fields):
+        sketches += [
+            F.approx_count_distinct(f.name).alias(f"distinct{i}"),
+            F.expr(f"approx_top_k({_quoted(f.name)}, {TOP_VALUES})").alias(f"top{i}"),
+        ]
+        if is_numeric(f.dataType):
+            sketches.append(F.percentile_approx(F.col(f.name).cast("double"), 0.5).alias(f"median{i}"))
+    rows = [
+        F.struct(
+            F.lit(f.name).alias("column_name"), F.col(f"distinct{i}").alias("distinct_count"),
+            (F.round(F.col(f"median{i}"), 4) if is_numeric(f.dataType) else F.lit(None).cast("double")).alias("median"),
+            F.transform(f"top{i}", lambda e: F.struct(
+                e["item"].cast("string").alias("value"), e["count"].alias("count"))).alias("top_values"),
+        )
+        for i, f in enumerate(fields)
+    ]
+    sketched = df.agg(*sketches).select(F.inline(F.array(*rows)))
+    return _base_statistics(df, fields).join(sketched, "column_name").withColumn(
+        "pattern_summary", F.lit(None).cast("string"))
+
+
 def table_profile(
     df: DataFrame, table: str, profiled_at: dt.datetime, catalog: str = "main", namespace: str = "public"
 ) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text
 from plumbline.functions.predicates import as_of_column
 from plumbline.functions.text import REVIEW, SAFE
+from plumbline.operators.skew import keep_left
 
 RECOMMENDATION = "REMEDIATION_RECOMMENDATION"
 EXPLANATION = "FAILURE_EXPLANATION"
@@ -30,7 +31,7 @@ def _joined(cache: DataFrame, approvals: DataFrame, audit: DataFrame) -> DataFra
         "analysis_id", F.col("status").alias("audit_status"), "action_sql", "error_message", "executed_at",
         "executed_by",
     )
-    return replies.join(asked, "analysis_id", "left").join(done, "analysis_id", "left")
+    return keep_left(keep_left(replies, asked, ["analysis_id"]), done, ["analysis_id"])
 
 
 def pending_remediations(cache: DataFrame, approvals: DataFrame, audit: DataFrame) -> DataFrame:

@@ -29,8 +29,9 @@ def _joined_lines(entries: Column) -> Column:
 def profile_reports(table_profiles: DataFrame, column_profiles: DataFrame, distributions: DataFrame) -> DataFrame:
     """The newest profile of each table as text.
 
-    Columns are listed in profile order, statistics that are absent are left out, and the first
-    distribution rows by column and count follow under a header per column.
+    Columns are listed by name with their newest statistics, absent ones left out, so that the text
+    does not grow with the profile history. The first distribution rows by column and count follow
+    under a header per column.
     """
     newest = Window.partitionBy(*TABLE_KEYS).orderBy(F.desc("profiled_at"), "profile_id")
     latest = (
@@ -48,17 +49,17 @@ def profile_reports(table_profiles: DataFrame, column_profiles: DataFrame, distr
     )
     head = F.concat(F.lit("- "), F.col("column_name"), F.lit(" ("), F.col("data_type"), F.lit(")"))
     line = F.when(details != "", F.concat(head, F.lit(": "), details)).otherwise(head)
-    columns = column_profiles.groupBy(*TABLE_KEYS).agg(_joined_lines(
-        F.collect_list(F.struct(
-            (-F.unix_micros(F.col("profiled_at").cast("timestamp"))).alias("age"), "column_name", line.alias("line")
-        ))
-    ).alias("columns_text"))
+    per_column = Window.partitionBy(*TABLE_KEYS, "column_name").orderBy(F.desc("profiled_at"))
+    current = column_profiles.withColumn("place", F.row_number().over(per_column)).where("place = 1")
+    columns = current.groupBy(*TABLE_KEYS).agg(
+        _joined_lines(F.collect_list(F.struct("column_name", line.alias("line")))).alias("columns_text")
+    )
 
     order = Window.partitionBy(*TABLE_KEYS).orderBy("column_name", F.desc("record_count"), "value_or_bucket")
-    per_column = Window.partitionBy(*TABLE_KEYS, "column_name").orderBy("place")
+    in_column = Window.partitionBy(*TABLE_KEYS, "column_name").orderBy("place")
     shown = (
         distributions.withColumn("place", F.row_number().over(order)).where(F.col("place") <= DISTRIBUTION_LINES)
-        .withColumn("first", F.row_number().over(per_column) == 1)
+        .withColumn("first", F.row_number().over(in_column) == 1)
     )
     entry = F.concat(
         F.lit("  "), F.col("value_or_bucket"), F.lit(": "), _text("record_count"), F.lit(" rows ("),

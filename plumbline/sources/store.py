@@ -21,6 +21,8 @@ TABLES = {
 class ResultStore:
     """Parquet result tables, partitioned by day and, where rows carry one, by run.
 
+    Writes are rebalanced by partition: few files per run, and a run with very many rows is split.
+
     The day keeps directory listings short when runs accumulate and lets the "last hours" queries
     prune; the run makes replacement of one run's rows a partition overwrite.
     """
@@ -35,7 +37,8 @@ class ResultStore:
     def _partitioned(self, table: str, df: DataFrame) -> tuple[DataFrame, list[str]]:
         _, moment = TABLES[table]
         keys = ["run_day"] + (["run_id"] if "run_id" in df.columns else [])
-        return df.withColumn("run_day", F.to_date(moment)), keys
+        dated = df.withColumn("run_day", F.to_date(moment))
+        return dated.hint("rebalance", *keys), keys
 
     def append(self, table: str, df: DataFrame) -> None:
         rows, keys = self._partitioned(table, df)

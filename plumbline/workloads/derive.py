@@ -337,24 +337,33 @@ def thresholds(t: Tables) -> DataFrame:
 THRESHOLDS = _cte("thresholds", THRESHOLD_COLUMNS, "part")
 
 
-# Schemas at scale: suppliers are tables, parts their columns; open lines are now, shipped lines the past.
+# Schemas at scale: orders are tables, their line numbers are column positions. Open lines are the
+# schema now, shipped lines the past; a line keeps its position and may change name or type.
+COLUMN_PARTS = {
+    "table_schema": "'DW'",
+    "table_name": "concat('T', l_orderkey)",
+    "column_name": "concat('C', l_linenumber, flag)",
+    "data_type": "CASE WHEN quantity > 40 THEN 'decimal' ELSE 'long' END",
+    "ordinal_position": "CAST(l_linenumber AS BIGINT)",
+}
+
+
 def current_columns(t: Tables) -> DataFrame:
     return columns_of(t["lineitem"])
 
 
 def columns_of(lines: DataFrame) -> DataFrame:
     return (
-        lines.where("l_linestatus = 'O'").groupBy("l_suppkey", "l_partkey")
-        .agg(F.max("l_returnflag").alias("data_type"), F.max("l_linenumber").alias("ordinal_position"))
-        .selectExpr("'DW' AS table_schema", "concat('T', l_suppkey) AS table_name",
-                    "concat('C', l_partkey) AS column_name", "data_type",
-                    "CAST(ordinal_position AS BIGINT) AS ordinal_position")
+        lines.where("l_linestatus = 'O'").groupBy("l_orderkey", "l_linenumber")
+        .agg(F.max("l_returnflag").alias("flag"), F.max("l_quantity").alias("quantity"))
+        .selectExpr(*_select(COLUMN_PARTS))
     )
 
 
-COLUMNS_NOW = """columns_now AS (SELECT 'DW' AS table_schema, 'T' || l_suppkey AS table_name,
-  'C' || l_partkey AS column_name, MAX(l_returnflag) AS data_type, CAST(MAX(l_linenumber) AS BIGINT) AS ordinal_position
-  FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_suppkey, l_partkey)"""
+_LINES = "SELECT l_orderkey, l_linenumber, MAX(l_returnflag) AS flag, MAX(l_quantity) AS quantity"
+COLUMNS_NOW = _cte(
+    "columns_now", COLUMN_PARTS,
+    f"({_LINES} FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_orderkey, l_linenumber)")
 
 
 def schema_snapshots(t: Tables) -> DataFrame:
@@ -364,19 +373,16 @@ def schema_snapshots(t: Tables) -> DataFrame:
 def snapshots_of(lines: DataFrame) -> DataFrame:
     year = F.date_trunc("year", "l_shipdate").cast("timestamp_ntz")
     return (
-        lines.where("l_linestatus = 'F'").groupBy("l_suppkey", "l_partkey", year.alias("snapshot_at"))
-        .agg(F.max("l_returnflag").alias("data_type"), F.max("l_linenumber").alias("ordinal_position"))
-        .selectExpr("'DW' AS table_schema", "concat('T', l_suppkey) AS table_name",
-                    "concat('C', l_partkey) AS column_name", "data_type",
-                    "CAST(ordinal_position AS BIGINT) AS ordinal_position", "snapshot_at")
+        lines.where("l_linestatus = 'F'").groupBy("l_orderkey", "l_linenumber", year.alias("snapshot_at"))
+        .agg(F.max("l_returnflag").alias("flag"), F.max("l_quantity").alias("quantity"))
+        .selectExpr(*_select(COLUMN_PARTS), "snapshot_at")
     )
 
 
-SNAPSHOTS = """snapshots AS (SELECT 'DW' AS table_schema, 'T' || l_suppkey AS table_name,
-  'C' || l_partkey AS column_name, MAX(l_returnflag) AS data_type,
-  CAST(MAX(l_linenumber) AS BIGINT) AS ordinal_position,
-  CAST(date_trunc('year', l_shipdate) AS TIMESTAMP) AS snapshot_at
-  FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_suppkey, l_partkey, date_trunc('year', l_shipdate))"""
+SNAPSHOTS = _cte(
+    "snapshots", {**COLUMN_PARTS, "snapshot_at": "CAST(moment AS TIMESTAMP)"},
+    f"({_LINES}, date_trunc('year', l_shipdate) AS moment FROM lineitem WHERE l_linestatus = 'F' "
+    "GROUP BY l_orderkey, l_linenumber, moment)")
 
 
 # Daily event counts as a history of table profiles.

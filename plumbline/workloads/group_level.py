@@ -32,7 +32,7 @@ def chk03_dup(t):
 
 @workload("chk03_text_dup", """SELECT text, COUNT(*) AS dup_count FROM documents GROUP BY text HAVING COUNT(*) > 1""")
 def chk03_text_dup(t):
-    return grouped_checks.duplicate_records(t["documents"], ["text"])
+    return grouped_checks.duplicate_records(t["documents"], ["text"], wide=True)
 
 
 @workload("chk04_fk", f"""WITH child AS (SELECT {d.CUSTKEY} AS custkey FROM orders)
@@ -125,7 +125,7 @@ def drift_report(t):
     return schema_checks.drift(d.current_columns(t), d.schema_snapshots(t)).drop("drift_order")
 
 
-@workload("drift_summary", f"""WITH {DRIFT}, counts AS (
+DRIFT_SUMMARY = f"""WITH {DRIFT}, counts AS (
   SELECT table_schema, table_name, COUNT(*) AS drift_count,
     string_agg(drift || ':' || column_name, ', ' ORDER BY
       CASE drift WHEN 'ADDED' THEN 1 WHEN 'REMOVED' THEN 2 ELSE 3 END, position, column_name) AS drift_list
@@ -134,7 +134,10 @@ SELECT c.table_schema, c.table_name, n.snapshot_at AS baseline_at,
   CASE WHEN n.snapshot_at IS NULL THEN 'NO_BASELINE' WHEN drift_count > 0 THEN 'DRIFT_DETECTED' ELSE 'NO_DRIFT' END AS status,
   COALESCE(drift_count, 0) AS drift_count, COALESCE(drift_list, '') AS drift_list
 FROM (SELECT DISTINCT table_schema, table_name FROM columns_now) c
-LEFT JOIN newest n USING (table_schema, table_name) LEFT JOIN counts USING (table_schema, table_name)""")
+LEFT JOIN newest n USING (table_schema, table_name) LEFT JOIN counts USING (table_schema, table_name)"""
+
+
+@workload("drift_summary", DRIFT_SUMMARY)
 def drift_summary(t):
     return schema_checks.drift_summary(d.current_columns(t), d.schema_snapshots(t))
 

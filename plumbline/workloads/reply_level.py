@@ -14,7 +14,9 @@ from plumbline.session import scratch_path
 from plumbline.streaming import checks as stream_checks
 from plumbline.streaming import feeds
 from plumbline.workloads import derive as d
+from plumbline.workloads.group_level import DRIFT_SUMMARY
 from plumbline.workloads.registry import workload
+from plumbline.workloads.result_level import stored
 
 
 SAFETY_LIKE = """CASE WHEN UPPER(ai_response) LIKE '%SAFE_TO_AUTOMATE%' THEN 'SAFE_TO_AUTOMATE'
@@ -324,7 +326,8 @@ def profile_report(t):
     table = profiling.table_profile(df, "customer", moment).unionByName(older)
     columns = profiling.located(profiling.column_profiles(df), "customer", moment)
     values = profiling.located(profiling.distributions(df), "customer", moment, "snapshot_at")
-    return reports.profile_reports(table, columns, values)
+    return reports.profile_reports(
+        stored(table, "tables"), stored(columns, "columns"), stored(values, "values"))
 
 
 # Repairs
@@ -394,11 +397,8 @@ def change_summary(t):
 
 
 def stream_of(t, name):
-    """The table's file as a stream."""
-    return (
-        t.spark.readStream.schema(t[name].schema).option("pathGlobFilter", f"{name}.parquet")
-        .parquet(t.folder)
-    )
+    """The table as a stream, be it one file or a folder of files."""
+    return t.spark.readStream.schema(t[name].schema).parquet(f"{t.folder}/{name}[.]parquet")
 
 
 def finished(t, stream, transform, label, output_mode="append"):
@@ -438,7 +438,7 @@ def change_feed(t):
     return fed.groupBy("check_status", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@workload("drift_feed", None)
+@workload("drift_feed", f"""{DRIFT_SUMMARY} WHERE n.snapshot_at IS NOT NULL""")
 def drift_feed(t):
     """Drift against the batch of new snapshots; one input file makes one batch."""
     lines = stream_of(t, "lineitem")

@@ -279,10 +279,18 @@ def _top_sql(table, column):
 @workload("profile_top5", " UNION ALL ".join(_top_sql("orders", c[0]) for c in ORDER_COLUMNS))
 def profile_top5(t):
     listed = F.transform("top_values", lambda e: F.concat_ws("=", e["value"], e["count"]))
-    return profiling.top_values(profiling.value_counts(t["orders"], t["orders"].columns)).select(
+    counts = profiling.value_counts(t["orders"], t["orders"].columns)
+    return profiling.top_values(t["orders"], counts).select(
         "column_name", F.array_join(listed, ",").alias("top"))
 
 
+@workload("profile_documents", " UNION ALL ".join(
+    _column_sql("documents", *c) for c in [("doc_id", "long", True), ("text", "string", False), ("lang", "string", False),
+                                           ("source", "string", False), ("n_chars", "long", True)]))
+def profile_documents(t):
+    return profiling.column_profiles(t["documents"]).select(*STATISTICS)
+
+
 @workload("profile_dist", f"""WITH {d.FLAGGED} SELECT 'flag' AS column_name, COALESCE(flag, '<NULL>') AS value_or_bucket,
   COUNT(*) AS record_count, ROUND(COUNT(*) * 100.0 / (SELECT COUNT(*) FROM lineitem), 4) AS percentage
 FROM flagged GROUP BY flag
@@ -379,9 +387,16 @@ def q04(t):
     return dashboards.latest_profile(d.profile_history(t), "DW.web.click")
 
 
+def stored(df, label):
+    """Written to and read back from shared storage, as profiles are before they are shown."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def stored_profile(t):
     profile = profiling.column_profiles(t["customer"])
-    return profiling.located(profile, "customer", AS_OF)
+    return stored(profiling.located(profile, "customer", AS_OF), "profile")
 
 
 @workload("q05_columns", "SELECT * EXCLUDE (row_count) FROM (" + " UNION ALL ".join(
@@ -394,8 +409,8 @@ def q05(t):
   COUNT(*) AS record_count, ROUND(COUNT(*) * 100.0 / (SELECT COUNT(*) FROM orders), 4) AS percentage
 FROM orders GROUP BY o_orderstatus""")
 def q06(t):
-    stored = profiling.located(profiling.distributions(t["orders"]), "orders", AS_OF, "snapshot_at")
-    return dashboards.table_distributions(stored, "main.public.orders", "o_orderstatus")
+    values = profiling.located(profiling.distributions(t["orders"]), "orders", AS_OF, "snapshot_at")
+    return dashboards.table_distributions(stored(values, "values"), "main.public.orders", "o_orderstatus")
 
 
 @workload("q07_catalog", f"""WITH {d.LIBRARY} SELECT check_id, check_name, category, description, severity, weight,
