@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.skew import key_counts, probe
+from plumbline.operators.skew import group_apart, key_counts, probe
 
 
 def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
@@ -33,11 +33,9 @@ def reconcile(
     The source is reduced to one row per date first. Equal target rows are folded into one with
     a multiplicity, so copies of one target row cost one join row; ``matches`` keeps the total.
     """
-    per_day = (
-        source.where(F.col(source_date).isNotNull())
-        .groupBy(F.col(source_date).alias("record_id"))
-        .agg(F.count(F.lit(1)).alias("src_count"), F.sum(source_amount).alias("src_amount"))
-    )
+    dated = source.where(F.col(source_date).isNotNull()).withColumnRenamed(source_date, "record_id")
+    per_day = group_apart(
+        dated, ["record_id"], F.count(F.lit(1)).alias("src_count"), F.sum(source_amount).alias("src_amount"))
     rows = target.where(target_filter) if target_filter else target
     stated = (
         rows.where(F.col(target_date).isNotNull())
@@ -47,10 +45,9 @@ def reconcile(
             F.col(target_amount).alias("tgt_amount"),
         )
         .agg(F.count(F.lit(1)).alias("matches"))
-        .repartition("record_id")
     )
     return (
-        stated.join(per_day.repartition("record_id"), "record_id")
+        stated.join(per_day, "record_id")
         .where((F.col("src_count") != F.col("tgt_count")) | (F.col("src_amount") != F.col("tgt_amount")))
         .select("record_id", "src_count", "src_amount", "tgt_count", "tgt_amount", "matches")
     )
@@ -118,17 +115,13 @@ def differing_values(left: DataFrame, right: DataFrame, key: str, value: str) ->
         side(left, 1, 0).unionByName(side(right, 0, 1)).groupBy(key, "value")
         .agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     )
-    per_key = (
-        folded.groupBy(F.col(key).alias("__key"))
-        .agg(
-            F.sum("na").alias("rows_a"), F.sum("nb").alias("rows_b"),
-            F.count_if(F.col("nb") > 0).alias("values_b"),
-            F.max(F.when(F.col("nb") > 0, F.col("value"))).alias("only_b"),
-            F.count(F.lit(1)).alias("values"),
-        )
-        .where("rows_a > 0 AND rows_b > 0 AND values > 1")
-        .repartition("__key")
-    )
+    per_key = group_apart(
+        folded.withColumnRenamed(key, "__key"), ["__key"],
+        F.sum("na").alias("rows_a"), F.sum("nb").alias("rows_b"),
+        F.count_if(F.col("nb") > 0).alias("values_b"),
+        F.max(F.when(F.col("nb") > 0, F.col("value"))).alias("only_b"),
+        F.count(F.lit(1)).alias("values"),
+    ).where("rows_a > 0 AND rows_b > 0 AND values > 1")
     known = folded.join(per_key, F.col(key) == F.col("__key"))
     single = F.col("values_b") == 1
     pairs = F.col("na") * (F.col("rows_b") - F.col("nb"))

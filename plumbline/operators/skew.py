@@ -28,13 +28,23 @@ def compact_key(column: str, schema: T.StructType) -> Column:
     ).otherwise(value).alias(column)
 
 
-def lookup_side(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per key, shuffled on its own exchange.
+def group_apart(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
+    """Group by ``keys`` for a join on the same keys whose *other* side may have hot keys.
 
-    The extra exchange (of distinct keys only) lets adaptive execution split a hot partition of
-    the *other* join side; with the aggregate right below the join it could not.
+    Adaptive execution splits a hot partition of a join only where both inputs come straight from
+    a shuffle. A plain aggregate sits between its shuffle and the join. With a hash as an extra
+    grouping key (it changes no group) the aggregate is partitioned differently from the join, which
+    then shuffles the groups, one row per key, by itself.
     """
-    return df.select(*keys).dropna().distinct().repartition(*keys)
+    grouped = df.groupBy(*keys, F.xxhash64(*keys).alias("__apart"))
+    if not aggregates:
+        aggregates = (F.count(F.lit(1)).alias("__rows"),)
+    return grouped.agg(*aggregates).drop("__apart", "__rows")
+
+
+def lookup_side(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The distinct keys of the side that is only looked up."""
+    return group_apart(df.select(*keys).dropna(), keys)
 
 
 def probe(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scoring import health_band
+from plumbline.operators.skew import group_apart
 
 
 def health_scores(results: DataFrame, scored_at: Column | None = None) -> DataFrame:
@@ -108,11 +109,9 @@ def score_changes(scores: DataFrame, run_log: DataFrame, cutoff: Column) -> Data
     """
     runs = run_log.join(scores.select("run_id", "health_score"), "run_id", "left")
     before = runs.where((F.col("run_start_time") <= cutoff) & F.col("health_score").isNotNull())
-    after = (
-        runs.where(F.col("run_start_time") > cutoff)
-        .groupBy("target_table")
-        .agg(F.max(F.struct("run_start_time", "run_id", "health_score", "failed_checks")).alias("rerun"))
-        .repartition("target_table")
+    after = group_apart(
+        runs.where(F.col("run_start_time") > cutoff), ["target_table"],
+        F.max(F.struct("run_start_time", "run_id", "health_score", "failed_checks")).alias("rerun"),
     )
     change = F.coalesce(
         F.col("rerun.health_score").cast("decimal(6,2)") - F.col("health_score"), F.lit(0).cast("decimal(6,2)")
