@@ -2,34 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.operators.metrics import unreachable
 from plumbline.operators.skew import probe
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, scratch_path
 
 
 def walk(df: DataFrame, node: str, parent: str, max_depth: int | None, starts: DataFrame | None = None) -> DataFrame:
     """Every node reached from the roots, with its depth (roots have depth 1).
 
     A node counts once, at its smallest depth, so repeated ids and cycles end the walk. Each level
-    is written out before the next one starts: the plan stays one join deep, and a lost executor
-    repeats one level only.
+    is written to one folder of a table partitioned by depth: the plan stays one level deep, a lost
+    executor repeats one level only, and the next join knows the true size of the level, which a
+    broadcast then spares the shuffle of all edges.
     """
-    edges = cut_lineage(df.select(node, parent).dropna().distinct())
+    spark = df.sparkSession
+    edges = cut_lineage(df.select(node, parent).dropna().distinct(), "edges")
     if starts is None:
         starts = df.where(F.col(parent).isNull()).select(node).dropna()
-    frontier = cut_lineage(starts.select(node).distinct().withColumn("depth", F.lit(1)))
-    reached = frontier
+    table = scratch_path(spark, "levels")
+    columns = T.StructType([df.schema[node], T.StructField("depth", T.IntegerType())])
+
+    def write_level(nodes: DataFrame, depth: int) -> int:
+        seen = Observation()
+        counted = nodes.observe(seen, F.count(F.lit(1)).alias("nodes"))
+        counted.write.parquet(f"{table}/depth={depth}")
+        return seen.get.get("nodes", 0)
+
     depth = 1
-    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
-        depth += 1
+    found = write_level(starts.select(node).distinct(), depth)
+    while found and (max_depth is None or depth < max_depth):
+        frontier = spark.read.schema(T.StructType([df.schema[node]])).parquet(f"{table}/depth={depth}")
+        reached = spark.read.schema(columns).parquet(table)
         children = probe(edges, [parent], frontier, [node], "left_semi").select(node).distinct()
-        fresh = children.join(reached.select(node), node, "left_anti")
-        frontier = cut_lineage(fresh.withColumn("depth", F.lit(depth)))
-        reached = reached.unionByName(frontier)
-    return reached
+        depth += 1
+        found = write_level(children.join(reached.select(node), node, "left_anti"), depth)
+    return spark.read.schema(columns).parquet(table)
 
 
 def unreachable_nodes(df: DataFrame, node: str, parent: str, max_depth: int) -> DataFrame:
