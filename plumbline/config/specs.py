@@ -65,6 +65,11 @@ def assignment_frame(spark: SparkSession, specs: Iterable[CheckSpec]) -> DataFra
     return spark.createDataFrame(rows, ASSIGNMENTS)
 
 
+def read_assignments(spark: SparkSession, path: str) -> DataFrame:
+    """Assignments from JSON lines; ``params`` is an object of texts."""
+    return spark.read.schema(ASSIGNMENTS).option("mode", "FAILFAST").json(path)
+
+
 def parse_params(assignments: DataFrame, json_column: str = "params_json") -> DataFrame:
     """Replace a JSON text column by a typed ``params`` map."""
     return assignments.withColumn("params", F.from_json(json_column, "map<string,string>")).drop(json_column)

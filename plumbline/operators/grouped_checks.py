@@ -78,17 +78,25 @@ def conflicting_amounts(
     )
 
 
-def near_duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Records that agree once case, punctuation and spacing are set aside."""
+def near_duplicates(df: DataFrame, columns: list[str], wide: bool = False) -> DataFrame:
+    """Records that agree once case, punctuation and spacing are set aside.
+
+    ``wide`` columns are treated as in :func:`duplicate_records`: only rows whose normal form may
+    occur twice are shuffled with their text.
+    """
     normal = [
         F.trim(F.regexp_replace(F.lower(F.col(c).cast("string")), r"[^\p{L}\p{N}]+", " ")).alias(c)
         for c in columns
     ]
-    spelling = F.struct(*[F.col(c) for c in columns])
+    rows = df.select(*columns)
+    if wide:
+        hashed = rows.withColumn("__hash", F.xxhash64(*normal))
+        repeated = key_counts(hashed, ["__hash"]).where("n > 1")
+        rows = probe(hashed, ["__hash"], repeated, ["__hash"], "left_semi")
     return (
-        df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-        .select(*normal, F.col("n"), F.xxhash64(spelling).alias("spelling"))
+        key_counts(rows, columns)
+        .select(*normal, "n")
         .groupBy(*columns)
-        .agg(F.sum("n").alias("dup_count"), F.count("spelling").alias("spellings"))
+        .agg(F.sum("n").alias("dup_count"), F.count(F.lit(1)).alias("spellings"))
         .where("dup_count > 1")
     )

@@ -16,6 +16,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
+from pyspark.logger import PySparkLogger
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def plan_table(ctx: TableContext, specs: Iterable[CheckSpec], run_id: str | None
 @contextmanager
 def _expected_errors():
     """Keep the stack traces of checks that cannot be analysed out of the log; they become rows."""
-    log = logging.getLogger("DataFrameQueryContextLogger")
+    log = PySparkLogger.getLogger("DataFrameQueryContextLogger")
     level = log.level
     log.setLevel(logging.CRITICAL)
     try:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,8 +65,17 @@ class ResultStore:
         return T.StructType([*schema.fields, T.StructField("run_day", T.DateType())])
 
     def read(self, table: str) -> DataFrame:
-        """Columns added by later versions are NULL in older files."""
-        return self.spark.read.schema(self._stored_schema(table)).parquet(self.path(table))
+        """The stored rows; none before the first write.
+
+        Columns added by later versions are NULL in older files.
+        """
+        schema = self._stored_schema(table)
+        try:
+            return self.spark.read.schema(schema).parquet(self.path(table))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
     def stream(self, table: str, files_per_trigger: int | None = None) -> DataFrame:
         reader = self.spark.readStream.schema(self._stored_schema(table))

