@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.skew import present
 from plumbline.session import cut_lineage
 
 
@@ -40,7 +41,7 @@ def order_violations(
     """Changes whose sequence does not grow in time order, and inserts that follow a delete at the
     same sequence number."""
     looked = with_previous(
-        df.dropna(subset=keys), keys, [moment, sequence, record_id], [sequence, operation])
+        present(df, keys), keys, [moment, sequence, record_id], [sequence, operation])
     previous = F.col(f"prev_{sequence}")
     finding = F.when(
         (F.col(sequence) == previous) & (F.col(f"prev_{operation}") == "D") & (F.col(operation) == "I"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.frames import scalar
-from plumbline.operators.skew import key_counts, probe
+from plumbline.operators.skew import group_apart, key_counts, probe
 
 
 def repeated_keys(df: DataFrame, column: str) -> DataFrame:
@@ -81,8 +81,9 @@ def conflicting_amounts(
 def near_duplicates(df: DataFrame, columns: list[str], wide: bool = False) -> DataFrame:
     """Records that agree once case, punctuation and spacing are set aside.
 
-    ``wide`` columns are treated as in :func:`duplicate_records`: only rows whose normal form may
-    occur twice are shuffled with their text.
+    ``wide`` columns are treated as in :func:`duplicate_records`: the first pass normalises every
+    row once but shuffles hashes only; the second pass shuffles the rows whose normal form may occur
+    twice with their text.
     """
     normal = [
         F.trim(F.regexp_replace(F.lower(F.col(c).cast("string")), r"[^\p{L}\p{N}]+", " ")).alias(c)
@@ -90,9 +91,12 @@ def near_duplicates(df: DataFrame, columns: list[str], wide: bool = False) -> Da
     ]
     rows = df.select(*columns)
     if wide:
-        hashed = rows.withColumn("__hash", F.xxhash64(*normal))
-        repeated = key_counts(hashed, ["__hash"]).where("n > 1")
-        rows = probe(hashed, ["__hash"], repeated, ["__hash"], "left_semi")
+        hashes = key_counts(
+            rows.select(F.xxhash64(*columns).alias("__hash"), F.xxhash64(*normal).alias("__normal")),
+            ["__hash", "__normal"]).where("n > 0")
+        repeated = group_apart(hashes, ["__normal"], F.sum("n").alias("rows")).where("rows > 1")
+        candidates = hashes.join(repeated, "__normal")
+        rows = probe(rows.withColumn("__hash", F.xxhash64(*columns)), ["__hash"], candidates, ["__hash"], "left_semi")
     return (
         key_counts(rows, columns)
         .select(*normal, "n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.metrics import unreachable
-from plumbline.operators.skew import probe
+from plumbline.operators.skew import present, probe
 from plumbline.session import cut_lineage, scratch_path
 
 
@@ -20,9 +20,9 @@ def walk(df: DataFrame, node: str, parent: str, max_depth: int | None, starts: D
     broadcast then spares the shuffle of all edges.
     """
     spark = df.sparkSession
-    edges = cut_lineage(df.select(node, parent).dropna().distinct(), "edges")
+    edges = cut_lineage(present(df.select(node, parent), [node, parent]).distinct(), "edges")
     if starts is None:
-        starts = df.where(F.col(parent).isNull()).select(node).dropna()
+        starts = present(df.where(F.col(parent).isNull()).select(node), [node])
     table = scratch_path(spark, "levels")
     columns = T.StructType([df.schema[node], T.StructField("depth", T.IntegerType())])
 
@@ -64,7 +64,7 @@ def depth_and_cycles(df: DataFrame, node: str, parent: str, max_depth: int) -> D
     )
     met = from_roots.select(node).unionByName(from_strays.select(node))
     looping = (
-        df.select(node).dropna().distinct().join(met.distinct(), node, "left_anti")
+        present(df.select(node), [node]).distinct().join(met.distinct(), node, "left_anti")
         .select(node, F.lit("CYCLE").alias("finding"), F.lit(None).cast("bigint").alias("depth"))
     )
     return deep.unionByName(stray).unionByName(looping)

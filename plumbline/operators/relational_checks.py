@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.skew import group_apart, key_counts, probe
+from plumbline.operators.skew import group_apart, key_counts, present, probe
 
 
 def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
@@ -19,7 +19,7 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
 def orphan_counts(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
     """The same finding, counted per key before any join: child rows are never shuffled whole."""
     keys = key_counts(child.where(F.col(fk).isNotNull()), [fk])
-    known = parent.select(F.col(pk).alias(fk)).dropna().distinct()
+    known = present(parent.select(F.col(pk).alias(fk)), [fk]).distinct()
     return keys.join(known, fk, "left_anti")
 
 
@@ -82,7 +82,7 @@ def repeated_tuples(
 ) -> DataFrame:
     """Rows whose key tuple occurs several times among the rows that pass ``group_filter``."""
     grouped = df.where(group_filter) if group_filter else df
-    repeated = key_counts(grouped.dropna(subset=keys), keys).where("n > 1")
+    repeated = key_counts(present(grouped, keys), keys).where("n > 1")
     rows = df.where(row_filter) if row_filter else df
     return probe(rows, keys, repeated, keys, "left_semi").select(
         F.col(record_id).alias("record_id"), F.col(value).alias("failed_value")
@@ -96,7 +96,7 @@ def repeated_tuple_counts(
     inner = F.count_if(F.expr(group_filter)) if group_filter else F.count(F.lit(1))
     outer = F.count_if(F.expr(row_filter)) if row_filter else F.count(F.lit(1))
     return (
-        df.dropna(subset=keys).groupBy(*keys).agg(inner.alias("in_group"), outer.alias("n"))
+        present(df, keys).groupBy(*keys).agg(inner.alias("in_group"), outer.alias("n"))
         .where("in_group > 1 AND n > 0")
     )
 
@@ -109,7 +109,8 @@ def differing_values(left: DataFrame, right: DataFrame, key: str, value: str) ->
     the second source gives one row per value of either source, with the other side left open.
     """
     def side(df: DataFrame, a: int, b: int) -> DataFrame:
-        return df.select(key, F.col(value).alias("value"), F.lit(a).alias("a"), F.lit(b).alias("b")).dropna()
+        filled = present(df, [key, value])
+        return filled.select(key, F.col(value).alias("value"), F.lit(a).alias("a"), F.lit(b).alias("b"))
 
     folded = (
         side(left, 1, 0).unionByName(side(right, 0, 1)).groupBy(key, "value")

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from plumbline.operators.skew import probe
+from plumbline.operators.skew import present, probe
 
 
 def update_where(df: DataFrame, predicate: Column, changes: Mapping[str, Column]) -> DataFrame:
@@ -30,7 +30,7 @@ def merge_rows(df: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     Several new rows for one key have no defined outcome: the job stops with an error naming it.
     """
     rest = [c for c in rows.columns if c not in keys]
-    keyed = rows.dropna(subset=keys)
+    keyed = present(rows, keys)
     unkeyed = rows.where(" OR ".join(f"`{k}` IS NULL" for k in keys))
     message = F.concat(F.lit("merge input repeats key "), F.to_json(F.struct(*keys)))
     fresh = (

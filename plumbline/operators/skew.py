@@ -42,9 +42,16 @@ def group_apart(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> Data
     return grouped.agg(*aggregates).drop("__apart", "__rows")
 
 
+def present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows with a value in every given column, as a filter that reaches the scan."""
+    for column in columns:
+        df = df.where(F.col(column).isNotNull())
+    return df
+
+
 def lookup_side(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The distinct keys of the side that is only looked up."""
-    return group_apart(df.select(*keys).dropna(), keys)
+    return group_apart(present(df.select(*keys), keys), keys)
 
 
 def probe(

@@ -342,7 +342,7 @@ THRESHOLDS = _cte("thresholds", THRESHOLD_COLUMNS, "part")
 COLUMN_PARTS = {
     "table_schema": "'DW'",
     "table_name": "concat('T', l_orderkey)",
-    "column_name": "concat('C', l_linenumber, flag)",
+    "column_name": "concat('C', l_linenumber, chr(flag))",
     "data_type": "CASE WHEN quantity > 40 THEN 'decimal' ELSE 'long' END",
     "ordinal_position": "CAST(l_linenumber AS BIGINT)",
 }
@@ -355,12 +355,12 @@ def current_columns(t: Tables) -> DataFrame:
 def columns_of(lines: DataFrame) -> DataFrame:
     return (
         lines.where("l_linestatus = 'O'").groupBy("l_orderkey", "l_linenumber")
-        .agg(F.max("l_returnflag").alias("flag"), F.max("l_quantity").alias("quantity"))
+        .agg(F.max(F.ascii("l_returnflag")).alias("flag"), F.max("l_quantity").alias("quantity"))
         .selectExpr(*_select(COLUMN_PARTS))
     )
 
 
-_LINES = "SELECT l_orderkey, l_linenumber, MAX(l_returnflag) AS flag, MAX(l_quantity) AS quantity"
+_LINES = "SELECT l_orderkey, l_linenumber, MAX(ascii(l_returnflag)) AS flag, MAX(l_quantity) AS quantity"
 COLUMNS_NOW = _cte(
     "columns_now", COLUMN_PARTS,
     f"({_LINES} FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_orderkey, l_linenumber)")
@@ -374,7 +374,7 @@ def snapshots_of(lines: DataFrame) -> DataFrame:
     year = F.date_trunc("year", "l_shipdate").cast("timestamp_ntz")
     return (
         lines.where("l_linestatus = 'F'").groupBy("l_orderkey", "l_linenumber", year.alias("snapshot_at"))
-        .agg(F.max("l_returnflag").alias("flag"), F.max("l_quantity").alias("quantity"))
+        .agg(F.max(F.ascii("l_returnflag")).alias("flag"), F.max("l_quantity").alias("quantity"))
         .selectExpr(*_select(COLUMN_PARTS), "snapshot_at")
     )
 
