@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from plumbline.operators.skew import present, probe
+from plumbline.operators.skew import group_apart, present, probe
 
 
 def update_where(df: DataFrame, predicate: Column, changes: Mapping[str, Column]) -> DataFrame:
@@ -24,21 +24,25 @@ def insert_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
     return df.unionByName(rows, allowMissingColumns=True).select(*df.columns)
 
 
+def _one_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows themselves if no key repeats; otherwise the job stops with an error naming the key."""
+    rest = [c for c in rows.columns if c not in keys]
+    message = F.concat(F.lit("input repeats key "), F.to_json(F.struct(*keys)))
+    return (
+        group_apart(rows, keys, F.count(F.lit(1)).alias("__n"), F.any_value(F.struct(*rest)).alias("__row"))
+        .where(F.when(F.col("__n") > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+        .select(*[F.col(k) if k in keys else F.col("__row")[k].alias(k) for k in rows.columns])
+    )
+
+
 def merge_rows(df: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Replace rows with the same key and add the others; an absent key matches nothing.
 
     Several new rows for one key have no defined outcome: the job stops with an error naming it.
     """
-    rest = [c for c in rows.columns if c not in keys]
     keyed = present(rows, keys)
     unkeyed = rows.where(" OR ".join(f"`{k}` IS NULL" for k in keys))
-    message = F.concat(F.lit("merge input repeats key "), F.to_json(F.struct(*keys)))
-    fresh = (
-        keyed.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"), F.any_value(F.struct(*rest)).alias("__row"))
-        .where(F.when(F.col("__n") > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
-        .select(*[F.col(k) if k in keys else F.col("__row")[k].alias(k) for k in rows.columns])
-    )
+    fresh = _one_per_key(keyed, keys)
     kept = probe(df, keys, keyed, keys, "left_anti")
     return (
         kept.unionByName(fresh, allowMissingColumns=True)
@@ -52,8 +56,8 @@ def add_column(df: DataFrame, name: str, data_type: str) -> DataFrame:
 
 
 def replace_values(df: DataFrame, new_values: DataFrame, key: str, column: str) -> DataFrame:
-    """Take ``column`` from ``new_values`` where a row there has the same key."""
-    side = new_values.select(F.col(key), F.col(column).alias("__new"))
+    """Take ``column`` from ``new_values`` where a row there has the same key, which must not repeat."""
+    side = _one_per_key(present(new_values.select(F.col(key), F.col(column).alias("__new")), [key]), [key])
     return df.join(side, key, "left").withColumn(column, F.coalesce("__new", column)).drop("__new").select(*df.columns)
 
 

@@ -12,6 +12,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot partition even where the next step then has to shuffle once more.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Plans here are built from hundreds of expressions; do not record a call site for each.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

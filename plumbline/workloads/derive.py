@@ -176,13 +176,18 @@ def results(t: Tables) -> DataFrame:
 RESULTS = _cte("results", RESULT_COLUMNS, "lineitem")
 
 
+def run_rows(t: Tables) -> DataFrame:
+    """Runs without the counts of their checks."""
+    return t["orders"].selectExpr(*_select(RUN_COLUMNS))
+
+
 def run_log(t: Tables) -> DataFrame:
     counts = results(t).groupBy("run_id").agg(
         F.count(F.lit(1)).alias("total_checks"),
         F.count_if(F.col("check_status") == "PASS").alias("passed_checks"),
         F.count_if(F.col("check_status").isin("FAIL", "WARNING")).alias("failed_checks"),
     )
-    return t["orders"].selectExpr(*_select(RUN_COLUMNS)).join(counts, "run_id", "left").na.fill(
+    return run_rows(t).join(counts, "run_id", "left").na.fill(
         0, ["total_checks", "passed_checks", "failed_checks"])
 
 
@@ -220,10 +225,11 @@ scores AS (
 
 
 def scores(t: Tables) -> DataFrame:
+    """Scored by run first; the table of a run is looked up for the scores, not for every result."""
     from plumbline.plans.health import health_scores
 
-    runs = t["orders"].selectExpr(*_select({k: RUN_COLUMNS[k] for k in ("run_id", "target_table")}))
-    return health_scores(results(t).drop("target_table").join(runs, "run_id"))
+    runs = run_rows(t).select("run_id", "target_table")
+    return health_scores(results(t)).drop("target_table").join(runs, "run_id")
 
 
 # Model replies: conversation turns inside a reply of one of eight kinds.

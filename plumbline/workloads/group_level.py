@@ -235,7 +235,8 @@ def m19_dup_file(t):
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey, o_totalprice
 HAVING ABS(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) - CAST(o_totalprice AS DECIMAL(18,2))) > 1000""")
 def m21_total(t):
-    lines = t["lineitem"].select("l_orderkey", F.col("l_extendedprice").cast("decimal(18,2)").alias("part"))
+    lines = t["lineitem"].groupBy("l_orderkey").agg(
+        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("part"))
     orders = t["orders"].select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("stated"))
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     found = metrics.group_totals(joined, "l_orderkey", "part", "stated", 1000)

@@ -278,7 +278,7 @@ FROM (SELECT *, 'T' || total_rows AS target_table FROM results) c JOIN library l
 LEFT JOIN run_log r ON c.run_id = r.run_id LEFT JOIN sample_texts s ON c.run_id = s.run_id AND c.check_id = s.check_id
 WHERE c.check_status IN ('FAIL', 'WARNING')""")
 def failure_report(t):
-    return reports.failure_reports(report_results(t), d.library(t), d.run_log(t), supplier_records(t))
+    return reports.failure_reports(report_results(t), d.library(t), d.run_rows(t), supplier_records(t))
 
 
 def report_assignments(t):
@@ -303,7 +303,7 @@ LEFT JOIN params p ON p.check_id = c.check_id AND p.target_table = c.target_tabl
 WHERE c.check_status <> 'PASS'""")
 def remediation_report(t):
     return reports.remediation_reports(
-        report_results(t), d.library(t), d.run_log(t), supplier_records(t), report_assignments(t))
+        report_results(t), d.library(t), d.run_rows(t), supplier_records(t), report_assignments(t))
 
 
 @workload("profile_report", f"""WITH stats AS (

@@ -323,7 +323,7 @@ SELECT r.run_id, r.target_table, c.check_id, c.check_name, c.target_column, c.ch
   c.failure_count, c.failure_pct, CAST(c.weight AS DOUBLE) AS weight, c.execution_time_ms, c.error_message, r.run_start_time
 FROM results c JOIN run_log r USING (run_id)""")
 def v_check_summary(t):
-    return plain(health.check_summary(d.results(t), d.run_log(t)), "weight")
+    return plain(health.check_summary(d.results(t), d.run_rows(t)), "weight")
 
 
 TABLE_HEALTH = d.SCORES + ", " + d.FAILED_RECORDS + """,
@@ -335,7 +335,7 @@ table_health AS (SELECT s.target_table, s.run_id, s.health_score, s.total_checks
 
 
 def table_health(t):
-    return health.table_health(d.scores(t), d.run_log(t), d.failed_records(t))
+    return health.table_health(d.scores(t), d.run_rows(t), d.failed_records(t))
 
 
 @workload("v_table_health", f"WITH {TABLE_HEALTH} SELECT * FROM table_health")
@@ -353,7 +353,7 @@ OVERALL = """SELECT ROUND(AVG(health_score), 2) AS overall_health_score, COUNT(D
 
 
 def overall(t):
-    return plain(health.overall_health(d.scores(t), d.run_log(t), d.failed_records(t)), "overall_health_score")
+    return plain(health.overall_health(d.scores(t), d.run_rows(t), d.failed_records(t)), "overall_health_score")
 
 
 @workload("v_overall", f"WITH {TABLE_HEALTH} {OVERALL}")
@@ -429,7 +429,7 @@ def q08(t):
 @workload("q09_run_results", f"""WITH {d.RUNS} SELECT r.target_table, check_id, check_name, check_status, severity,
   failure_count FROM results c JOIN run_log r USING (run_id) WHERE run_id = 'R77'""")
 def q09(t):
-    return dashboards.run_results(health.check_summary(d.results(t), d.run_log(t)), "R77")
+    return dashboards.run_results(health.check_summary(d.results(t), d.run_rows(t)), "R77")
 
 
 # Runs at the grain of a line number, so that one run holds a share of all records.

@@ -80,7 +80,7 @@ def test_merge(spark):
 def test_merge_refuses_repeated_keys(spark):
     df = spark.createDataFrame([(1, "a", 1.0)], DDL)
     rows = spark.createDataFrame([(4, "x", 1.0), (4, "y", 1.0)], DDL)
-    with pytest.raises(Exception, match="merge input repeats key"):
+    with pytest.raises(Exception, match="input repeats key"):
         repair.merge_rows(df, rows, ["k"]).collect()
 
 
@@ -124,3 +124,6 @@ def test_add_column_and_replace_values(spark):
     assert repair.add_column(df, "code", "string").dtypes[-1] == ("code", "string")
     fixed = repair.replace_values(df, spark.createDataFrame([(2, "z")], "k bigint, v string"), "k", "v")
     assert {tuple(r) for r in fixed.collect()} == {(1, "a", 1.0), (2, "z", 2.0)}
+    twice = spark.createDataFrame([(2, "z"), (2, "y")], "k bigint, v string")
+    with pytest.raises(Exception, match="input repeats key"):
+        repair.replace_values(df, twice, "k", "v").collect()
