@@ -141,6 +141,19 @@ def distribution_shift(current: DataFrame, baseline: DataFrame, column: str) ->
     )
 
 
+def snapshot_shift(current: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Total-variation distance per column between two stored distributions, 0 to 1.
+
+    Both are distribution rows (``column_name``, ``value_or_bucket``, ``percentage``) of one table.
+    """
+    keys = ["column_name", "value_or_bucket"]
+    now = current.select(*keys, F.col("percentage").alias("now_pct"))
+    base = baseline.select(*keys, F.col("percentage").alias("base_pct"))
+    gap = F.abs(F.coalesce("now_pct", F.lit(0.0)) - F.coalesce("base_pct", F.lit(0.0)))
+    return now.join(base, keys, "full_outer").groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("buckets"), F.round(F.sum(gap) / 200, 6).alias("variation"))
+
+
 def unreachable(df: DataFrame, node: str, reached: DataFrame) -> DataFrame:
     """Rows whose node the walk from the roots never met; an absent node was never met either."""
     return probe(df, [node], reached.select(node), [node], "left_anti").select(node)

@@ -1,4 +1,4 @@
-"""From a run to stored results, scores and views."""
+"""From runs and profiles to stored results, scores and views."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.config.specs import CheckSpec
 from plumbline.functions.predicates import as_of_column
-from plumbline.plans import health, incremental
+from plumbline.operators.schema_checks import schema_frame, schema_snapshot
+from plumbline.plans import health, incremental, profiling, remediation
 from plumbline.plans.binding import TableContext
 from plumbline.plans.engine import FullRun, run_all
 from plumbline.session import cut_lineage
@@ -53,15 +54,36 @@ def rerun_and_compare(
     return health.score_changes(store.read("health_scores"), store.read("run_log"), as_of_column(before))
 
 
-def register_views(store: ResultStore) -> list[str]:
-    """The read views over a store as temporary views; returns their names."""
+def profile_and_store(store: ResultStore, ctx: TableContext) -> DataFrame:
+    """Profile one table, store its profiles, distributions and schema; returns the receipt."""
+    moment, names = ctx.as_of, {"catalog": ctx.catalog, "namespace": ctx.namespace}
+    columns = schema_frame(store.spark, ctx.df.schema, ctx.table, ctx.catalog, ctx.namespace)
+    profile = profiling.table_profile(ctx.df, ctx.table, moment, **names)
+    store.append("column_profiles", profiling.located(
+        profiling.column_profiles(ctx.df), ctx.table, moment, "profiled_at", **names))
+    store.append("distribution_snapshots", profiling.located(
+        profiling.distributions(ctx.df), ctx.table, moment, "snapshot_at", **names))
+    snapshot = cut_lineage(schema_snapshot(columns, store.read("schema_snapshots"), moment), "snapshot")
+    store.append("schema_snapshots", snapshot)
+    store.append("table_profiles", profile)
+    return profiling.profile_receipt(profile)
+
+
+def register_views(store: ResultStore, library: DataFrame) -> list[str]:
+    """The readable objects over a store as temporary views; returns their names."""
     log, results = store.read("run_log"), store.read("check_results")
     scores, failed = store.read("health_scores"), store.read("failed_records")
+    replies = store.read("analysis_cache"), store.read("approval_queue"), store.read("remediation_audit")
     views = {
         "dq_run_log": log,
+        "dq_check_library": library,
         "v_check_summary": health.check_summary(results, log),
         "v_table_health_dashboard": health.table_health(scores, log, failed),
         "v_overall_health": health.overall_health(scores, log, failed),
+        "ai_analysis_cache": replies[0],
+        "v_pending_remediations": remediation.pending_remediations(*replies),
+        "v_remediation_history": remediation.remediation_history(*replies),
+        **{t: store.read(t) for t in ("table_profiles", "column_profiles", "distribution_snapshots")},
     }
     for name, df in views.items():
         df.createOrReplaceTempView(name)

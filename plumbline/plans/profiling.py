@@ -129,6 +129,7 @@ def _base_statistics(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
         value = as_text(f.name, f.dataType)
         aggregates += [
             F.count(f.name).alias(f"filled{i}"), F.min(value).alias(f"min{i}"), F.max(value).alias(f"max{i}"),
+            F.min(f.name).alias(f"low{i}"), F.max(f.name).alias(f"high{i}"),
         ]
         if is_numeric(f.dataType):
             aggregates.append(F.avg(f.name).alias(f"mean{i}"))
@@ -141,13 +142,18 @@ def _base_statistics(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
             F.col("rows").alias("row_count"), nulls.alias("null_count"),
             F.round(nulls * F.lit(100.0) / F.nullif(F.col("rows"), F.lit(0)), 4).alias("null_pct"),
             F.col(f"min{i}").alias("min_value"), F.col(f"max{i}").alias("max_value"),
+            as_text(f"low{i}", f.dataType).alias("typed_min"), as_text(f"high{i}", f.dataType).alias("typed_max"),
             mean.cast("double").alias("mean"),
         ))
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
 def column_profiles(df: DataFrame, medians: bool = True) -> DataFrame:
-    """One row per column. Columns of unsupported types only carry an error note."""
+    """One row per column. Columns of unsupported types only carry an error note.
+
+    ``min_value`` and ``max_value`` compare values as text; ``typed_min`` and ``typed_max`` compare them
+    in their own type.
+    """
     fields = [f for f in df.schema.fields if is_supported(f.dataType)]
     refused = [f for f in df.schema.fields if not is_supported(f.dataType)]
     spark = df.sparkSession
@@ -169,7 +175,8 @@ def column_profiles(df: DataFrame, medians: bool = True) -> DataFrame:
                 median = F.when(F.col("column_name") == c, F.round(F.lit(middle[c][0]), 4)).otherwise(median)
         profiles = profiles.select(
             "column_name", "data_type", "row_count", "null_count", "null_pct",
-            F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"), "min_value", "max_value", "mean",
+            F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"), "min_value", "max_value", "typed_min",
+            "typed_max", "mean",
             median.alias("median"), "top_values", F.lit(None).cast("string").alias("pattern_summary"),
         )
     if refused:
@@ -182,11 +189,6 @@ def column_profiles(df: DataFrame, medians: bool = True) -> DataFrame:
     return profiles
 
 
-def typed_extremes(df: DataFrame, column: str) -> DataFrame:
-    """Smallest and largest value in the order of the column's own type."""
-    return df.agg(F.min(column).alias("typed_min"), F.max(column).alias("typed_max"))
-
-
 def distributions(df: DataFrame, limit: int = LOW_CARDINALITY) -> DataFrame:
     """Counts and shares of every value of text and boolean columns with few values, NULL included."""
     fields = [f for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BooleanType))]

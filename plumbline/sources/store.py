@@ -14,7 +14,13 @@ TABLES = {
     "check_results": (schemas.CHECK_RESULTS, "created_at"),
     "failed_records": (schemas.FAILED_RECORDS, "created_at"),
     "health_scores": (schemas.HEALTH_SCORES, "score_calculated_at"),
+    "table_profiles": (schemas.TABLE_PROFILES, "profiled_at"),
+    "column_profiles": (schemas.COLUMN_PROFILES, "profiled_at"),
+    "distribution_snapshots": (schemas.DISTRIBUTION_SNAPSHOTS, "snapshot_at"),
     "schema_snapshots": (schemas.SCHEMA_SNAPSHOTS, "snapshot_at"),
+    "analysis_cache": (schemas.ANALYSIS_CACHE, "created_at"),
+    "recommendations": (schemas.RECOMMENDATIONS, "created_at"),
+    "approval_queue": (schemas.APPROVAL_QUEUE, "requested_at"),
     "remediation_audit": (schemas.REMEDIATION_AUDIT, "executed_at"),
 }
 

@@ -18,15 +18,11 @@ def write_batches(
 ) -> StreamingQuery:
     """Apply a batch transform to each micro-batch.
 
-    Every batch owns one partition of the output and overwrites it, so a batch that is repeated
-    after a failure leaves no duplicates.
+    Every batch owns one folder of the output and overwrites it, so a batch that is repeated after
+    a failure leaves no duplicates.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        (
-            transform(batch).withColumn("batch_id", F.lit(batch_id))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id").parquet(path)
-        )
+        transform(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
         stream.writeStream.outputMode(output_mode).foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.config.library import CHECKS, THRESHOLD_VALUES
 from plumbline.config.specs import resolve_checks, spec
+from plumbline.operators import metrics
 from plumbline.plans import dashboards, engine, health, incremental, profiling
 from plumbline.plans.binding import TableContext
 from plumbline.session import scratch_path
@@ -311,6 +312,24 @@ def profile_table(t):
     return profiles.select("table_name", "row_count", "column_count", "profile_status")
 
 
+def _share_sql(column, condition):
+    return (f"SELECT {column} AS v, ROUND(COUNT(*) * 100.0 / (SELECT COUNT(*) FROM orders WHERE {condition}), 4) AS p "
+            f"FROM orders WHERE {condition} GROUP BY {column}")
+
+
+EARLY, LATE = "o_orderdate < TIMESTAMP '1998-01-01'", "o_orderdate >= TIMESTAMP '1998-01-01'"
+
+
+@workload("ext2_snapshot_shift", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, COUNT(*) AS buckets, ROUND(SUM(ABS(COALESCE(n.p, 0) - COALESCE(b.p, 0))) / 200, 6) AS variation "
+    f"FROM ({_share_sql(c, LATE)}) n FULL JOIN ({_share_sql(c, EARLY)}) b USING (v)" for c in ("o_orderstatus", "o_orderpriority")))
+def ext2_snapshot_shift(t):
+    cut = F.lit("1998-01-01").cast("timestamp_ntz")
+    early = profiling.distributions(t["orders"].where(F.col("o_orderdate") < cut))
+    late = profiling.distributions(t["orders"].where(F.col("o_orderdate") >= cut))
+    return metrics.snapshot_shift(late, early)
+
+
 # Health and views
 
 @workload("health_score", f"WITH {d.SCORES} SELECT * FROM scores")

@@ -6,7 +6,9 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from plumbline.config import specs as config
+from plumbline.config.library import library_frame
 from plumbline.config.specs import spec
+from plumbline.functions.text import READABLE_OBJECTS
 from plumbline.operators import repair
 from plumbline.plans import lifecycle
 from plumbline.plans.binding import TableContext
@@ -44,9 +46,17 @@ def test_whole_cycle(spark):
     assert changes["u"].improvement_status == "UNCHANGED"
     assert store.read("run_log").where("overall_status = 'COMPLETED_WITH_ERRORS'").count() == 2
 
-    names = lifecycle.register_views(store)
+    for name in frames:
+        receipt = lifecycle.profile_and_store(store, TableContext(Tables(spark, frames), name, AS_OF)).first().receipt
+        assert f'"table":"{name}"' in receipt
+    assert store.read("column_profiles").count() == 4
+    assert sorted(r.snapshot_id for r in store.read("schema_snapshots").collect()) == [1, 2, 3, 4]
+
+    names = lifecycle.register_views(store, library_frame(spark))
+    assert sorted(n.upper() for n in names) == sorted(READABLE_OBJECTS)
+    assert spark.table("v_pending_remediations").count() == 0
     sql = "SELECT target_table, health_score FROM v_table_health_dashboard ORDER BY health_score, target_table"
-    status, _, found = run_query(spark, sql, [n.upper() for n in names])
+    status, _, found = run_query(spark, sql, READABLE_OBJECTS)
     assert status == "SUCCESS" and [r.target_table for r in found.collect()] == ["t", "t", "u", "u"]
 
 
