@@ -7,6 +7,9 @@ Where suffixes are kept. Each window of ``length`` bytes picks the smallest hash
 Equal windows pick equal hashes, so a hash that one document holds alone rules out all windows that picked it. The
 rest, spans of windows with one hash, are dealt over buckets by that hash: any two equal windows meet in one bucket.
 
+Only 32 bits of a hash travel: a bucket holds about as many whatever the input, and a chance agreement costs work, not
+results. Texts are shuffled once, compressed, and read twice.
+
 In a bucket, spans come in order of document. Batches of their windows, each the first ``length`` bytes of a suffix,
 get a suffix array; it is merge-scanned against the levels that exist, and what no level holds becomes the lowest
 level. Levels of one size class are merged, so there are logarithmically many, and each suffix is
@@ -20,7 +23,6 @@ on each other. An empty table gives an empty result; columns not asked for are i
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.spark import bucket_count, by_bucket
-from plumbline.llm.texts import BYTE_CODES, PACKED, STEP, Packer, Texts, buckets, texts_of, unpack
+from plumbline.llm.texts import (
+    BYTE_CODES, PACKED, STEP, Parcels, Texts, buckets, open_parcels, parcel_rows, squeeze, texts_of,
+)
 
 LENGTH = 50
 GRAM = 28
@@ -98,11 +102,6 @@ def ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
 
 
-HELD = [np.uint64, np.int64]
-FIXED = [np.uint64, np.int64, np.uint64, np.uint32, np.uint32, np.uint8]
-COVER = [np.int64, np.uint64, np.uint32, np.uint32]
-
-
 def text_key(text: bytes) -> int:
     """Tells texts of one id apart."""
     return xxhash.xxh64_intdigest(text)
@@ -146,20 +145,20 @@ def covered_ranges(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc, key, start, end) of bytes to remove, from all spans of one bucket.
 
-    ``fixed`` holds hash, doc, key, position, size and whether the span is settled; ``spans`` the bytes of the others.
+    ``fixed`` holds doc, key, position, size and whether the span is settled; ``spans`` the bytes of the others.
     """
-    picked, doc, key, at, size, settled = fixed
+    doc, key, at, size, settled = fixed
     done = settled.astype(bool)
     out = [(doc[done], key[done], at[done], at[done] + size[done])]
     if not done.all():
-        picked, doc, key, at, size = (x[~done] for x in (picked, doc, key, at, size))
+        doc, key, at, size = (x[~done] for x in (doc, key, at, size))
         size = size.astype(np.int64)
         first = np.cumsum(size) - size
         content = content_hashes(spans, first, size)
-        order = np.lexsort((doc, size, content, picked))
-        p, c, s = picked[order], content[order], size[order]
+        order = np.lexsort((doc, size, content))
+        c, s = content[order], size[order]
         new = np.ones(len(order), bool)
-        new[1:] = (p[1:] != p[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1])
+        new[1:] = (c[1:] != c[:-1]) | (s[1:] != s[:-1])
         group = np.cumsum(new) - 1
         lead = doc[order][new][group]
         later = doc[order] > lead
@@ -226,39 +225,42 @@ def merged(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray)
     return doc[at], key[at], start[at], np.maximum.reduceat(end, at) if len(at) else end
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, ranges) for ids whose texts lose bytes, from frame columns ``__id`` and ``__text`` and any others.
+def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(id, ranges) for ids whose texts lose bytes.
 
-    ranges packs (text key, start, end) of each text of the id.
+    ``docs`` has columns ``__id`` and ``__text``, ``packed`` ``__id`` and ``__packed``, the compressed texts. ranges
+    packs (text key, start, end) of each text of the id.
     """
     count = bucket_count(docs, "__text", PER_BUCKET)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(HELD)
+        parcels = Parcels()
         for batch in batches:
             ids, valid = ids_of(batch.column(0))
             for texts in texts_of(batch.column(1), SLICE):
                 text, _, _, picked = window_runs(texts, length, gram)
                 keep = valid[texts.first + text]
                 text, picked = text[keep], picked[keep]
-                yield from packer.add(picked % np.uint64(count), picked, ids[texts.first + text])
-        yield from packer.flush()
+                yield from parcels.add(picked % np.uint64(count), short(picked), ids[texts.first + text])
+        yield from parcels.flush()
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(HELD)
+        parcels = Parcels()
         for _, rows in buckets(batches):
-            picked, ids = unpack(rows, HELD)
+            picked, ids = open_parcels(rows)
             order = np.argsort(picked)
             picked, ids = picked[order], ids[order]
             at = np.flatnonzero(np.r_[True, picked[1:] != picked[:-1]])
             several = np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at)
             keep = np.repeat(several, np.diff(np.r_[at, len(ids)]))
-            yield from packer.add(id_bucket(ids[keep], count), picked[keep], ids[keep])
-        yield from packer.flush()
+            picked, ids = picked[keep], ids[keep]
+            order = np.argsort(ids, kind="stable")
+            yield from parcels.add(id_bucket(ids[order], count), picked[order], ids[order])
+        yield from parcels.flush()
 
     def of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in buckets(batches):
-            picked, ids = unpack(rows, HELD)
+            picked, ids = open_parcels(rows)
             order = np.argsort(ids, kind="stable")
             picked, ids = picked[order], ids[order]
             at = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
@@ -267,10 +269,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 yield pa.record_batch({
                     "__key": pa.array(ids[at[k:k + 4096]]), "__held": pa.array(blobs[k:k + 4096], pa.binary())})
 
-    texts = docs.select("__id", "__text").mapInArrow(pick, PACKED)
-    held = by_bucket(texts, count).mapInArrow(shared, PACKED)
+    held = by_bucket(docs.select("__id", "__text").mapInArrow(pick, PACKED), count).mapInArrow(shared, PACKED)
     held = by_bucket(held, count).mapInArrow(of_documents, "__key long, __held binary")
-    candidates = docs.join(held.hint("shuffle_hash"), docs["__id"] == held["__key"], "left")
+    candidates = packed.join(held.hint("shuffle_hash"), packed["__id"] == held["__key"], "left")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = SpanPacker(count)
@@ -278,13 +279,13 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             batch = batch.filter(batch.column("__held").is_valid())
             ids, _ = ids_of(batch.column("__id"))
             blobs = batch.column("__held").to_pylist()
-            for texts in texts_of(batch.column("__text"), SLICE):
+            for texts in texts_of(inflated(batch.column("__packed")), SLICE):
                 text, start, n, picked = window_runs(texts, length, gram)
                 edges = np.searchsorted(text, np.arange(len(texts) + 1))
                 keep = np.zeros(len(text), bool)
                 for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
                     if a < b:
-                        keep[a:b] = np.isin(picked[a:b], np.frombuffer(blobs[texts.first + i], np.uint64))
+                        keep[a:b] = np.isin(short(picked[a:b]), np.frombuffer(blobs[texts.first + i], np.uint32))
                 text, start, n, picked = text[keep], start[keep], n[keep], picked[keep]
                 if len(text):
                     own = np.array([text_key(texts.text(i)) for i in range(len(texts))], np.uint64)
@@ -294,16 +295,16 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         yield from packer.flush()
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(COVER)
+        parcels = Parcels()
         for _, rows in buckets(batches):
-            fixed, content = unpack_spans(rows)
-            doc, key, start, end = covered_ranges(fixed, content, length)
-            yield from packer.add(id_bucket(doc, count), doc, key, start, end)
-        yield from packer.flush()
+            doc, key, start, end = covered_ranges(*unpack_spans(rows), length)
+            order = np.lexsort((start, key, doc))
+            yield from parcels.add(id_bucket(doc[order], count), doc[order], key[order], start[order], end[order])
+        yield from parcels.flush()
 
     def by_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in buckets(batches):
-            doc, key, start, end = merged(*unpack(rows, COVER))
+            doc, key, start, end = merged(*open_parcels(rows))
             at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
             blobs = [
                 b"".join(x.tobytes() for x in (key[a:b], start[a:b], end[a:b]))
@@ -312,11 +313,30 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 yield pa.record_batch({
                     "__key": pa.array(doc[at[k:k + 4096]]), "__ranges": pa.array(blobs[k:k + 4096], pa.binary())})
 
-    found = candidates.select("__id", "__text", "__held").mapInArrow(spans, PACKED)
+    found = candidates.select("__id", "__packed", "__held").mapInArrow(spans, PACKED)
     found = by_bucket(found, count).mapInArrow(cover, PACKED)
     return by_bucket(found, count).mapInArrow(by_id, "__key long, __ranges binary")
 
 
+def short(picked: np.ndarray) -> np.ndarray:
+    """The part of a hash that tells the entries of one bucket apart."""
+    return (picked >> np.uint64(32)).astype(np.uint32)
+
+
+def deflated(column: pa.Array) -> pa.Array:
+    codec = pa.Codec("zstd", compression_level=3)
+    return pa.array([
+        len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True)
+        for t in column.fill_null("").cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def inflated(column: pa.Array) -> pa.Array:
+    codec = pa.Codec("zstd")
+    return pa.array([
+        codec.decompress(t[8:], decompressed_size=int.from_bytes(t[:8], "little"), asbytes=True)
+        for t in column.to_pylist()], pa.binary())
+
+
 def id_bucket(ids: np.ndarray, count: int) -> np.ndarray:
     return (ids.astype(np.uint64) * np.uint64(STEP) >> np.uint64(33)) % np.uint64(count)
 
@@ -341,37 +361,28 @@ class SpanPacker:
         self.held, self.size = [], 0
         first = np.cumsum(sizes) - sizes
         hashes = content_hashes(content, first, sizes)
-        bucket = (picked % np.uint64(self.count)).astype(np.int32)
-        order = np.lexsort((ids, sizes, hashes, picked, bucket))
-        p, h, s, d = picked[order], hashes[order], sizes[order], ids[order]
+        order = np.lexsort((ids, sizes, hashes))
+        h, s, d = hashes[order], sizes[order], ids[order]
         new = np.ones(len(order), bool)
-        new[1:] = (p[1:] != p[:-1]) | (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-        lead = d[new][np.cumsum(new) - 1]
-        settled = (d > lead).astype(np.uint8)
-        b = bucket[order]
-        edges = np.r_[0, np.flatnonzero(np.diff(b)) + 1, len(b)]
-        names, rows = [], []
+        new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+        settled = np.zeros(len(order), np.uint8)
+        settled[order] = d > d[new][np.cumsum(new) - 1]
+        bucket = (picked % np.uint64(self.count)).astype(np.int32)
+        order = np.lexsort((places, keys, ids, bucket))
+        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+        rows = []
         for lo, hi in zip(edges[:-1], edges[1:]):
             part = order[lo:hi]
-            open_ = part[settled[lo:hi] == 0]
-            fixed = (picked[part], ids[part], keys[part], places[part], sizes[part], settled[lo:hi])
-            body = b"".join(x.astype(t, copy=False).tobytes() for x, t in zip(fixed, FIXED))
-            names.append(b[lo])
-            rows.append(struct.pack("<q", hi - lo) + body + gather(content, first[open_], sizes[open_]).tobytes())
-        for at in range(0, len(rows), 64):
-            yield pa.record_batch({
-                "bucket": pa.array(names[at:at + 64], pa.int32()),
-                "entries": pa.array(rows[at:at + 64], pa.binary())})
+            open_ = part[settled[part] == 0]
+            rows.append(squeeze(
+                ids[part], keys[part], places[part].astype(np.uint32), sizes[part].astype(np.uint32), settled[part],
+                gather(content, first[open_], sizes[open_])))
+        yield parcel_rows(bucket[order[edges[:-1]]], rows)
 
 
 def unpack_spans(rows: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    width = sum(np.dtype(t).itemsize for t in FIXED)
-    heads, tails = [], []
-    for row in rows:
-        n = struct.unpack_from("<q", row)[0]
-        heads.append(row[8:8 + n * width])
-        tails.append(row[8 + n * width:])
-    return unpack(heads, FIXED), np.frombuffer(b"".join(tails), np.uint8)
+    *fixed, content = open_parcels(rows)
+    return fixed, content
 
 
 RESULT = T.StructType([
@@ -392,15 +403,23 @@ def remove_repeats(
     own = docs.select(
         F.col(id_column).cast("long").alias("__id"), F.col(text).cast("string").alias("__text"),
         *[F.col(c).alias(f"__c{k}") for k, c in enumerate(carry)])
-    ranges = repeated_ranges(own, length, gram)
-    joined = own.join(ranges.hint("shuffle_hash"), own["__id"] == ranges["__key"], "left").drop("__key")
-    schema = T.StructType([f for f in own.schema if f.name != "__text"] + RESULT.fields)
-    passed = [c for c in own.columns if c != "__text"]
+    kept = [f for f in own.schema if f.name != "__text"]
+    passed = [f.name for f in kept]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in passed] + [deflated(batch.column("__text"))], names=[*passed, "__packed"])
+
+    packed = own.mapInArrow(pack, T.StructType([*kept, T.StructField("__packed", T.BinaryType())]))
+    ranges = repeated_ranges(own, packed, length, gram)
+    joined = packed.join(ranges.hint("shuffle_hash"), packed["__id"] == ranges["__key"], "left").drop("__key")
+    schema = T.StructType(kept + RESULT.fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = batch.column("__ranges").to_pylist()
-            for texts in texts_of(batch.column("__text"), 8 << 20):
+            for texts in texts_of(inflated(batch.column("__packed")), 8 << 20):
                 rows = []
                 for i in range(len(texts)):
                     rows.append(cut_text(texts.text(i), blobs[texts.first + i]))

@@ -43,7 +43,7 @@ def texts_of(column: pa.Array, limit: int = 1 << 20) -> Iterator[Texts]:
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_binary())
+    column = column.cast(pa.large_binary()).fill_null(b"")
     n = len(column)
     if not n:
         return
@@ -161,3 +161,61 @@ def buckets(batches: Iterator[pa.RecordBatch], key: str = "bucket", value: str =
             rows.append(row)
     if rows:
         yield current, rows
+
+
+def squeeze(*columns: np.ndarray) -> bytes:
+    """Columns of any kind and length as compressed bytes; whole numbers of 8 bytes are kept as differences."""
+    kinds, parts = [], []
+    for c in columns:
+        kinds.append(c.dtype.str.ljust(4))
+        parts.append((np.diff(c, prepend=c.dtype.type(0)) if c.dtype == np.int64 else c).tobytes())
+    head = np.array([len(columns), *[len(c) for c in columns]], np.int64).tobytes()
+    body = head + "".join(kinds).encode() + b"".join(parts)
+    return np.int64(len(body)).tobytes() + pa.Codec("zstd", compression_level=1).compress(body, asbytes=True)
+
+
+def expand(blob: bytes) -> list[np.ndarray]:
+    size = int(np.frombuffer(blob, np.int64, 1)[0])
+    body = pa.Codec("zstd").decompress(blob[8:], decompressed_size=size, asbytes=True)
+    n = int(np.frombuffer(body, np.int64, 1)[0])
+    sizes = np.frombuffer(body, np.int64, n, 8)
+    at, out = 8 + 12 * n, []
+    for k, size in enumerate(sizes.tolist()):
+        kind = np.dtype(body[8 + 8 * n + 4 * k:8 + 8 * n + 4 * k + 4].decode().strip())
+        column = np.frombuffer(body, kind, size, at)
+        out.append(np.cumsum(column) if kind == np.int64 else column)
+        at += size * kind.itemsize
+    return out
+
+
+class Parcels:
+    """Like :class:`Packer`, with compressed rows: entries keep their order, so sorted ids take little room."""
+
+    def __init__(self, limit: int = 4_000_000):
+        self.limit, self.held, self.count = limit, [], 0
+
+    def add(self, bucket: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(bucket):
+            self.held.append((bucket.astype(np.int32), *columns))
+            self.count += len(bucket)
+        if self.count >= self.limit:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.count:
+            return
+        bucket, *columns = (np.concatenate(x) for x in zip(*self.held))
+        self.held, self.count = [], 0
+        order = np.argsort(bucket, kind="stable")
+        bucket, columns = bucket[order], [c[order] for c in columns]
+        edges = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
+        yield parcel_rows(
+            bucket[edges[:-1]], [squeeze(*[c[a:b] for c in columns]) for a, b in zip(edges[:-1], edges[1:])])
+
+
+def parcel_rows(names, blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch({"bucket": pa.array(names, pa.int32()), "entries": pa.array(blobs, pa.binary())})
+
+
+def open_parcels(rows: list[bytes]) -> list[np.ndarray]:
+    return [np.concatenate(c) for c in zip(*[expand(row) for row in rows])]
