@@ -6,6 +6,9 @@ document's component. Two tries are never compared whole. The 64 bits are cut in
 agreeing blocks and dealt over tasks by their bits. Below that, node pairs are followed together from the first
 bit, differing bits are added up, and a pair is left as soon as they exceed the budget.
 
+``near_copies`` is for texts that are alike rather than the same: one fingerprint of many bits estimates similarity, and
+its parts, joined in the same way, find the pairs to estimate.
+
 Nulls and texts without a word have fingerprint 0 and are linked to each other as any others. Repeated texts
 and fingerprints are reduced to one before they are joined, so a group of copies costs one entry. A bucket larger
 than ``SHARE`` is cut into shares and each pair of shares is one group. Columns of other names are ignored. An
@@ -14,6 +17,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.texts import texts_of
+from plumbline.llm.texts import STEP, mixed, texts_of
 from plumbline.session import cut_lineage
 
 SEED = 42
@@ -54,6 +58,25 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def wide_fingerprint(text: bytes, size: int, parts: int) -> bytes:
+    """``parts`` independent fingerprints of the word shingles, end to end."""
+    words = text.lower().split()
+    if not words:
+        return bytes(8 * parts)
+    shingles = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*[words[i:] for i in range(size)]))
+    digest = xxhash.xxh64_intdigest
+    # A shingle counts once however often it occurs, as in the similarity of sets.
+    hashes = np.array(list({digest(s, SEED) for s in shingles}), np.uint64)
+    out = []
+    for k in range(parts):
+        spread = _SPREAD[mixed(hashes + np.uint64((k + 1) * STEP % 2**64)).view(np.uint8).reshape(-1, 8)]
+        counts = np.zeros(BITS, np.int64)
+        for at in range(0, len(spread), 255):
+            counts += spread[at:at + 255].sum(axis=0).view(np.uint8)
+        out.append(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes())
+    return b"".join(out)
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
@@ -76,8 +99,8 @@ def blocks_for(count: int, budget: int) -> int:
     return budget + 4
 
 
-def trie_pairs(values: np.ndarray, groups: np.ndarray, budget: int, budget_pairs: int = 2_000_000):
-    """Pairs (i, j) of positions within ``budget`` bits of each other.
+def trie_pairs(values: np.ndarray, groups: np.ndarray, budget: int, bits: int = BITS, at_once: int = 2_000_000):
+    """Pairs (i, j) of positions within ``budget`` of ``bits`` bits of each other.
 
     ``values`` are sorted within each group. ``groups`` has rows (a_lo, a_hi, b_lo, b_hi): the two tries to be
     joined, as ranges of ``values``; equal ranges are a trie joined with itself. All groups are
@@ -89,10 +112,14 @@ def trie_pairs(values: np.ndarray, groups: np.ndarray, budget: int, budget_pairs
         if not len(front):
             continue
         a, b = front[:, 1] - front[:, 0], front[:, 3] - front[:, 2]
-        small = (a * b <= 16) | (level == BITS)
+        small = (a * b <= 16) | (level == bits)
         if small.any():
             few = front[small]
             sizes = (few[:, 1] - few[:, 0]) * (few[:, 3] - few[:, 2])
+            if len(few) > 1 and sizes.sum() > 4 * at_once:
+                half = len(front) // 2
+                work += [(level, front[half:], differ[half:]), (level, front[:half], differ[:half])]
+                continue
             which = np.repeat(np.arange(len(few)), sizes)
             step = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             width = (few[:, 3] - few[:, 2])[which]
@@ -103,11 +130,11 @@ def trie_pairs(values: np.ndarray, groups: np.ndarray, budget: int, budget_pairs
             front, differ = front[~small], differ[~small]
         if not len(front):
             continue
-        if len(front) > budget_pairs:
+        if len(front) > at_once:
             half = len(front) // 2
             work += [(level, front[:half], differ[:half]), (level, front[half:], differ[half:])]
             continue
-        ones = np.r_[0, np.cumsum((values >> np.uint64(BITS - 1 - level)) & np.uint64(1), dtype=np.int64)]
+        ones = np.r_[0, np.cumsum((values >> np.uint64(bits - 1 - level)) & np.uint64(1), dtype=np.int64)]
         mid_a = front[:, 1] - (ones[front[:, 1]] - ones[front[:, 0]])
         mid_b = front[:, 3] - (ones[front[:, 3]] - ones[front[:, 2]])
         same = front[:, 0] == front[:, 2]
@@ -129,36 +156,43 @@ def trie_pairs(values: np.ndarray, groups: np.ndarray, budget: int, budget_pairs
 
 
 class Forest:
-    """Union by smaller position, to hand on one link per joined entry instead of every pair."""
+    """Sets of positions, each known by its smallest member; hands on one link per joined entry, not every pair."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.root = np.arange(n)
 
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self.root[i] != self.root[j]
 
     def join(self, i: np.ndarray, j: np.ndarray) -> None:
-        for x, y in zip(i.tolist(), j.tolist()):
-            x, y = self.find(x), self.find(y)
-            if x != y:
-                self.up[max(x, y)] = min(x, y)
+        while len(i):
+            a, b = self.root[i], self.root[j]
+            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+            left = self.apart(i, j)
+            i, j = i[left], j[left]
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
-        roots = np.array([self.find(x) for x in range(len(self.up))], np.int64)
-        inner = np.flatnonzero(roots != np.arange(len(roots)))
-        return roots[inner], inner
+        inner = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return self.root[inner], inner
+
 
+def join_groups(table: pa.Table, budget: int, bits: int, limit: int | None) -> pa.RecordBatch:
+    """Links among the nodes of whole groups (columns key, i, j, side, node, value, whole).
 
-def join_groups(table: pa.Table, budget: int) -> pa.RecordBatch:
-    """Links among the fingerprints of whole groups (columns key, i, j, side, fp)."""
+    Pairs of values within ``budget`` bits are linked; with ``limit`` only if the whole fingerprints differ in at most
+    that many bits.
+    """
     key, i, j, side = (table.column(c).to_numpy() for c in ("key", "i", "j", "side"))
-    values = table.column("fp").to_numpy().view(np.uint64)
+    values = table.column("value").to_numpy().view(np.uint64)
     order = np.lexsort((values, side, j, i, key))
     key, i, j, side, values = key[order], i[order], j[order], side[order], values[order]
+    nodes = table.column("node").to_numpy()[order]
+    whole = None
+    if limit is not None:
+        joined = b"".join(table.column("whole").to_pylist())
+        whole = np.frombuffer(joined, np.uint64).reshape(len(order), -1)[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
     lo = np.flatnonzero(new)
@@ -169,34 +203,46 @@ def join_groups(table: pa.Table, budget: int) -> pa.RecordBatch:
     groups = np.stack([lo, np.where(own, hi, mid), np.where(own, lo, mid), hi], axis=1)
     groups = groups[np.where(own, hi - lo > 1, (mid > lo) & (hi > mid))]
     forest = Forest(len(values))
-    for a, b in trie_pairs(values, groups, budget):
-        forest.join(a, b)
+    for a, b in trie_pairs(values, groups, budget, bits):
+        for at in range(0, len(a), 1 << 18):
+            x, y = a[at:at + (1 << 18)], b[at:at + (1 << 18)]
+            open_ = forest.apart(x, y)
+            x, y = x[open_], y[open_]
+            if whole is not None:
+                near = np.bitwise_count(whole[x] ^ whole[y]).sum(axis=1) <= limit
+                x, y = x[near], y[near]
+            forest.join(x, y)
     a, b = forest.links()
-    return pa.record_batch({"a": pa.array(values[a].view(np.int64)), "b": pa.array(values[b].view(np.int64))})
+    return pa.record_batch({"a": pa.array(nodes[a]), "b": pa.array(nodes[b])})
 
 
 def fingerprint_links(distinct: DataFrame, budget: int = 3, share: int = SHARE) -> DataFrame:
     """Links (a, b) that connect whatever distinct fingerprints ``fp`` are connected by pairs within ``budget``."""
-    count = distinct.count()
-    n = blocks_for(count, budget)
+    n = blocks_for(distinct.count(), budget)
     edges = [round(k * BITS / n) for k in range(n + 1)]
     blocks = [
         F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)) for k in range(n)]
     keys = [F.xxhash64(F.lit(t), *[blocks[k] for k in chosen])
             for t, chosen in enumerate(combinations(range(n), n - budget))]
-    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
+    rows = distinct.select(F.col("fp").alias("node"), F.col("fp").alias("value"), F.explode(F.array(*keys)).alias("key"))
+    return bucket_links(rows.withColumn("whole", F.lit(None).cast("binary")), budget, BITS, None, share)
+
+
+def bucket_links(rows: DataFrame, budget: int, bits: int, limit: int | None, share: int = SHARE) -> DataFrame:
+    """Links (a, b) from rows (key, node, value, whole): the tries of each key, joined with themselves."""
+    rows = rows.select("key", "node", "value", "whole")
     large = rows.groupBy("key").count().where(F.col("count") > share)
     large = cut_lineage(large.select("key", F.ceil(F.col("count") / share).cast("int").alias("shares")), "shares")
     if large.isEmpty():
-        rows = rows.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "fp")
+        rows = rows.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "value", "whole")
     else:
         # Share s of a large bucket meets share t in group (s, t), and itself in (s, s).
         rows = rows.join(large, "key", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
-        own = F.pmod(F.xxhash64("fp"), F.col("shares")).cast("int")
+        own = F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")
         rows = rows.withColumn("s", own).select(
-            "key", "fp", "s", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("t"))
+            "key", "node", "value", "whole", "s", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("t"))
         rows = rows.select("key", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"),
-                           (F.col("s") > F.col("t")).cast("int").alias("side"), "fp")
+                           (F.col("s") > F.col("t")).cast("int").alias("side"), "node", "value", "whole")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -204,7 +250,7 @@ def fingerprint_links(distinct: DataFrame, budget: int = 3, share: int = SHARE)
         for batch in batches:
             held.append(pa.Table.from_batches([batch]))
             size += batch.num_rows
-            if size < 16 * share:
+            if size < 8 * share:
                 continue
             table = pa.concat_tables(held).combine_chunks()
             last = [table.column(c)[size - 1].as_py() for c in ("key", "i", "j")]
@@ -214,15 +260,74 @@ def fingerprint_links(distinct: DataFrame, budget: int = 3, share: int = SHARE)
             # Rows arrive sorted by group; the last group may go on in the next batch.
             cut = int(np.argmin(same[::-1])) if not same.all() else size
             if cut < size:
-                yield join_groups(table.slice(0, size - cut), budget)
+                yield join_groups(table.slice(0, size - cut).combine_chunks(), budget, bits, limit)
                 held, size = [table.slice(size - cut)], cut
         if size:
-            yield join_groups(pa.concat_tables(held).combine_chunks(), budget)
+            yield join_groups(pa.concat_tables(held).combine_chunks(), budget, bits, limit)
 
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(run, "a long, b long")
 
 
+# Fingerprints that near_copies takes of a text, and the bits in which two halves of them may differ to be compared.
+PARTS, HALF_BITS, HALF_BUDGET = 6, 32, 3
+
+
+def bits_for(similarity: float, bits: int) -> int:
+    """Differing bits expected of sets so similar, and one standard error more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def near_copies(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """(doc_id, component_id): documents whose sets of word shingles are similar are in one component.
+
+    The similarity, shared shingles over all shingles of two texts, is estimated from 64 * PARTS fingerprint bits. Pairs are
+    estimated if one of the 2 * PARTS halves agrees but for HALF_BUDGET bits: at a similarity of 0.8 that finds
+    some 97 in 100, and more above. Texts of fewer words are one shingle; those without any are alike. A
+    null id takes part and is given back as null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(t.text(i), size, PARTS) for t in texts_of(batch.column(1)) for i in range(len(t))]
+            yield pa.record_batch({"doc_id": batch.column(0), "whole": pa.array(found, pa.binary())})
+
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    marked = cut_lineage(rows.mapInArrow(run, "doc_id long, whole binary"), "fingerprints")
+    node = F.xxhash64("whole").alias("node")
+    distinct = cut_lineage(
+        marked.groupBy("whole").agg(F.min("doc_id").alias("first")).select(node, "whole", "first"), "distinct")
+    n = HALF_BUDGET + 1
+    width = HALF_BITS // n
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                whole = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u4").reshape(part.num_rows, -1)
+                for h in range(whole.shape[1]):
+                    value = whole[:, h].astype(np.uint64)
+                    for b in range(n):
+                        block = value >> np.uint64(b * width) & np.uint64((1 << width) - 1)
+                        key = mixed(block + np.uint64((h * n + b + 1) << HALF_BITS))
+                        yield pa.record_batch({
+                            "key": pa.array(key.view(np.int64)), "node": part.column(0),
+                            "value": pa.array(value.view(np.int64)), "whole": part.column(1)})
+
+    pairs = distinct.select("node", "whole").mapInArrow(halves, "key long, node long, value long, whole binary")
+    links = bucket_links(pairs, HALF_BUDGET, HALF_BITS, bits_for(similarity, 64 * PARTS))
+    roots = components(links)
+    placed = cut_lineage(
+        distinct.select("node", "first").join(roots, "node", "left")
+        .withColumn("root", F.coalesce("root", "node")), "placed")
+    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = cut_lineage(placed.join(named, "root").select("node", "component_id"), "classes")
+    return marked.select("doc_id", node).join(classes, "node").select("doc_id", "component_id")
+
+
 def similar(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", budget: int = 3, size: int = 3
 ) -> DataFrame:

@@ -393,7 +393,7 @@ RESULT = T.StructType([
 
 def remove_repeats(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", carry: Sequence[str] = (),
-    length: int = LENGTH, gram: int = GRAM,
+    length: int = LENGTH, gram: int = GRAM, whole_characters: bool = False,
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, the carried columns, n_bytes, n_removed, n_spans, removed, kept.
 
@@ -422,7 +422,10 @@ def remove_repeats(
             for texts in texts_of(inflated(batch.column("__packed")), 8 << 20):
                 rows = []
                 for i in range(len(texts)):
-                    rows.append(cut_text(texts.text(i), blobs[texts.first + i]))
+                    *found, kept_bytes = cut_text(texts.text(i), blobs[texts.first + i])
+                    if whole_characters:
+                        kept_bytes = kept_bytes.decode("utf-8", "ignore").encode()
+                    rows.append((*found, kept_bytes))
                 parts = [batch.column(c).slice(texts.first, len(texts)) for c in passed]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 made = [pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)]
