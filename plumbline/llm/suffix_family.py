@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from plumbline.llm.spark import bucket_count, by_bucket
 from plumbline.llm.texts import (
-    BYTE_CODES, PACKED, STEP, Parcels, Texts, buckets, open_parcels, parcel_rows, squeeze, texts_of,
+    BYTE_CODES, PACKED, STEP, Parcels, Texts, buckets, deflated, inflated, open_parcels, parcel_rows, squeeze, texts_of,
 )
 
 LENGTH = 50
@@ -323,20 +323,6 @@ def short(picked: np.ndarray) -> np.ndarray:
     return (picked >> np.uint64(32)).astype(np.uint32)
 
 
-def deflated(column: pa.Array) -> pa.Array:
-    codec = pa.Codec("zstd", compression_level=3)
-    return pa.array([
-        len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True)
-        for t in column.fill_null("").cast(pa.binary()).to_pylist()], pa.binary())
-
-
-def inflated(column: pa.Array) -> pa.Array:
-    codec = pa.Codec("zstd")
-    return pa.array([
-        codec.decompress(t[8:], decompressed_size=int.from_bytes(t[:8], "little"), asbytes=True)
-        for t in column.to_pylist()], pa.binary())
-
-
 def id_bucket(ids: np.ndarray, count: int) -> np.ndarray:
     return (ids.astype(np.uint64) * np.uint64(STEP) >> np.uint64(33)) % np.uint64(count)
 

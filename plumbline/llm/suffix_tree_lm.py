@@ -22,12 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.spark import bucket_count, by_bucket
-from plumbline.llm.texts import Packer, Texts, buckets, mixed, texts_of, unpack, word_bounds, word_hashes
+from plumbline.llm.texts import (
+    Packer, Texts, buckets, deflated, expand, inflated, mixed, squeeze, texts_of, unpack, word_bounds, word_hashes,
+)
 from plumbline.session import cut_lineage
 
 P_MIN = 2e-5
@@ -62,6 +63,7 @@ class Tree:
     smoothing: np.ndarray
     tokens: int
     types: int
+    longest: np.ndarray | None = None
 
     @property
     def width(self) -> int:
@@ -119,26 +121,6 @@ def sequences(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return out, at, first[text], text
 
 
-def packed(*columns: np.ndarray) -> bytes:
-    head = np.array([len(columns), *[len(c) for c in columns]], np.int64).tobytes()
-    kinds = "".join(c.dtype.str.ljust(4) for c in columns).encode()
-    body = head + kinds + b"".join(c.tobytes() for c in columns)
-    return np.int64(len(body)).tobytes() + pa.Codec("zstd", compression_level=1).compress(body, asbytes=True)
-
-
-def unpacked(blob: bytes) -> list[np.ndarray]:
-    size = int(np.frombuffer(blob, np.int64, 1)[0])
-    body = pa.Codec("zstd").decompress(blob[8:], decompressed_size=size, asbytes=True)
-    n = int(np.frombuffer(body, np.int64, 1)[0])
-    sizes = np.frombuffer(body, np.int64, n, 8)
-    at, out = 8 + 8 * n + 4 * n, []
-    for k, size in enumerate(sizes):
-        kind = np.dtype(body[8 + 8 * n + 4 * k:8 + 8 * n + 4 * k + 4].decode().strip())
-        out.append(np.frombuffer(body, kind, size, at))
-        at += int(size) * kind.itemsize
-    return out
-
-
 def rows_of(names: list[int], blobs: list[bytes]) -> pa.RecordBatch:
     return pa.record_batch({"bucket": pa.array(names, pa.int32()), "entries": pa.array(blobs, pa.binary())})
 
@@ -296,7 +278,7 @@ def gains(texts: DataFrame, count: int, tree: Tree) -> np.ndarray:
             for a, b in zip(edges[:-1], edges[1:]):
                 run, sizes = word_runs(words[a:b])
                 names.append(int(bucket[a]))
-                blobs.append(packed(words[a:b][run], sizes.astype(np.uint32), state[a:b], n[a:b]))
+                blobs.append(squeeze(words[a:b][run], sizes.astype(np.uint32), state[a:b], n[a:b]))
             return rows_of(names, blobs)
 
         for batch in batches:
@@ -313,7 +295,7 @@ def gains(texts: DataFrame, count: int, tree: Tree) -> np.ndarray:
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer([np.int64] + [np.float64] * len(SMOOTHING))
         for _, rows in buckets(batches):
-            parts = [unpacked(row) for row in rows]
+            parts = [expand(row) for row in rows]
             words = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
             state = np.concatenate([p[2] for p in parts]).astype(np.int64)
             n = np.concatenate([p[3] for p in parts]).astype(np.float64)
@@ -369,10 +351,8 @@ def retained(tree: Tree, gain: np.ndarray) -> Tree:
     to = np.arange(len(keep))
     for _ in range(int(tree.depth.max(initial=0))):
         to = np.where(keep[to], to, tree.parent[to])
-    pruned = Tree(tree.symbols, tree.known, tree.keys, tree.states, tree.count, tree.parent, depth,
-                  np.array(SMOOTHING)[best], tree.tokens, tree.types)
-    pruned.longest = to
-    return pruned
+    return Tree(tree.symbols, tree.known, tree.keys, tree.states, tree.count, tree.parent, depth,
+                np.array(SMOOTHING)[best], tree.tokens, tree.types, to)
 
 
 def learned(texts: DataFrame, count: int, depth: int = DEPTH) -> Tree:
@@ -383,7 +363,30 @@ def learned(texts: DataFrame, count: int, depth: int = DEPTH) -> Tree:
     return retained(tree, gains(texts, count, tree))
 
 
-SUMS = [np.int64, np.uint64, np.uint8, np.float64, np.float64, np.int64, np.int64, np.int64]
+def asked(tree: Tree, words: np.ndarray, state: np.ndarray, first: np.ndarray, count: int):
+    """Distinct (bucket, word, state) of tokens, in order, and which of them each token is."""
+    bucket = word_bucket(tree, words, state, first, count)
+    order = np.lexsort((state, words, bucket))
+    words, state, bucket = words[order], state[order], bucket[order]
+    other = np.ones(len(words), bool)
+    other[1:] = (words[1:] != words[:-1]) | (bucket[1:] != bucket[:-1])
+    new = other.copy()
+    new[1:] |= state[1:] != state[:-1]
+    which = np.empty(len(words), np.int64)
+    which[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    return bucket[at], words[at], state[at], np.flatnonzero(other[at]), which
+
+
+def tokens_of(tree: Tree, table: pa.Table):
+    """(word hash, longest state, row) of every token of the packed texts of a group."""
+    out, row = [], 0
+    for batch in table.to_batches():
+        for t in texts_of(inflated(batch.column("packed"))):
+            sequence, at, begin, text = sequences(t)
+            out.append((sequence[at], tree.longest[tree.contexts(sequence, at, begin)], text + row + t.first))
+        row += batch.num_rows
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def scored(
@@ -393,6 +396,10 @@ def scored(
 
     ``training`` tells which rows the model learns from; base_score is the log10 probability by word counts
     alone, score that of the suffix tree.
+
+    Texts are dealt over groups of bounded size. A group asks each bucket of words for the counts of its distinct words and
+    word-state pairs, handing in its own training counts with the question; a bucket adds these up, and answers in
+    the order it was asked. So what travels is a question per distinct pair of a group, not per token.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"),
                        F.coalesce(training, F.lit(False)).alias("training"))
@@ -401,90 +408,96 @@ def scored(
     ancestors = tree.ancestors() or [np.zeros(len(tree.count), np.int64)]
     size = len(tree.count)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size_held, docs_held = [], 0, 0
-
-        def flush():
-            words, state, doc, ids, keys, flags = (
-                np.concatenate(x) for x in zip(*held))
-            bucket = word_bucket(tree, words, state, ancestors[0], count)
-            order = np.lexsort((words, bucket))
-            words, state, doc, bucket = words[order], state[order].astype(np.uint32), doc[order], bucket[order]
-            edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-            names, blobs = [], []
-            for a, b in zip(edges[:-1], edges[1:]):
-                run, sizes = word_runs(words[a:b])
-                used, local = np.unique(doc[a:b], return_inverse=True)
-                names.append(int(bucket[a]))
-                blobs.append(packed(words[a:b][run], sizes.astype(np.uint32), state[a:b], local.astype(np.uint32),
-                                    ids[used], keys[used], flags[used]))
-            return rows_of(names, blobs)
-
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).fill_null(0).to_numpy()
-            flags = (batch.column(0).is_valid().to_numpy(zero_copy_only=False) * 2
-                     + batch.column(2).to_numpy(zero_copy_only=False)).astype(np.uint8)
-            for t in texts_of(batch.column(1)):
-                sequence, at, begin, doc = sequences(t)
-                state = tree.longest[tree.contexts(sequence, at, begin)]
-                keys = np.array([xxhash.xxh64_intdigest(t.text(i)) for i in range(len(t))], np.uint64)
-                here = slice(t.first, t.first + len(t))
-                held.append((sequence[at], state, doc + docs_held, ids[here], keys, flags[here]))
-                size_held += len(at)
-                docs_held += len(t)
-                if size_held >= HELD:
-                    yield flush()
-                    held, size_held, docs_held = [], 0, 0
-        if held:
-            yield flush()
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(SUMS)
-        for _, blobs in buckets(batches):
-            parts = [unpacked(b) for b in blobs]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], deflated(batch.column(3))], names=["grp", "id", "training", "packed"])
+
+    group = F.pmod(F.xxhash64("id", "text", F.monotonically_increasing_id()), F.lit(-(-count // 2))).cast("int")
+    texts = rows.select(group.alias("grp"), "id", "training", "text").mapInArrow(
+        pack, "grp int, id long, training boolean, packed binary")
+
+    def ask(table: pa.Table) -> pa.Table:
+        words, state, row = tokens_of(tree, table)
+        learns = table.column("training").to_numpy()
+        bucket, words, state, other, which = asked(tree, words, state, ancestors[0], count)
+        n = np.bincount(which, weights=learns[row], minlength=len(words)).astype(np.uint32)
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+        blobs = []
+        for a, b in zip(edges[:-1], edges[1:]):
+            run = other[np.searchsorted(other, a):np.searchsorted(other, b)]
+            blobs.append(squeeze(words[run], np.diff(np.r_[run, b]).astype(np.uint32), state[a:b].astype(np.uint32),
+                                 n[a:b]))
+        return pa.table({
+            "bucket": pa.array(bucket[edges[:-1]], pa.int32()), "entries": pa.array(blobs, pa.binary()),
+            "grp": pa.array(np.full(len(blobs), table.column("grp")[0].as_py()), pa.int32())})
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        current = None
+
+        def replies():
+            parts = [expand(blob) for blob, _ in held]
             words = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
             state = np.concatenate([p[2] for p in parts]).astype(np.int64)
-            shift = np.cumsum([0] + [len(p[4]) for p in parts])
-            doc = np.concatenate([p[3].astype(np.int64) + a for p, a in zip(parts, shift)])
-            ids, keys, flags = (np.concatenate([p[k] for p in parts]) for k in (4, 5, 6))
-            n = (flags[doc] & 1).astype(np.float64)
+            n = np.concatenate([p[3] for p in parts]).astype(np.float64)
             distinct, which = np.unique(words, return_inverse=True)
-            c = word_counts(tree, distinct, which, n)
-            base = tree.base(c)[which]
-            p = base.copy()
+            c = word_counts(tree, distinct, which, n).astype(np.uint64)
+            at_depth = []
             for above in ancestors:
                 s = above[state]
                 keep = s > 0
-                if not keep.any():
-                    break
-                _, pair, at = keyed(which[keep] * size + s[keep], n[keep])
-                strength = tree.smoothing[s[keep]]
-                p[keep] = (pair[at] + strength * p[keep]) / (tree.count[s[keep]] + strength)
-            add = lambda w: np.bincount(doc, weights=w, minlength=len(ids))
-            whole = [add(w).astype(np.int64) for w in (np.ones(len(doc)), c[which] > 0, words == END)]
-            yield from packer.add(
-                mixed(keys) % np.uint64(count), ids, keys, flags, add(np.log10(base)), add(np.log10(p)), *whole)
-        yield from packer.flush()
+                found = np.zeros(len(s), np.uint64)
+                if keep.any():
+                    _, pair, at = keyed(which[keep] * size + s[keep], n[keep])
+                    found[keep] = pair[at]
+                at_depth.append(found)
+            a = 0
+            blobs = []
+            for p in parts:
+                b = a + len(p[2])
+                first = a + np.cumsum(p[1].astype(np.int64)) - p[1]
+                blobs.append(squeeze(c[which[first]], *[x[a:b] for x in at_depth]))
+                a = b
+            return pa.record_batch({
+                "grp": pa.array([g for _, g in held], pa.int32()),
+                "bucket": pa.array([current] * len(held), pa.int32()), "reply": pa.array(blobs, pa.binary())})
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in buckets(batches):
-            ids, keys, flags, *sums = unpack(blobs, SUMS)
-            order = np.lexsort((flags, keys, ids))
-            ids, keys, flags = ids[order], keys[order], flags[order]
-            at = np.flatnonzero(np.r_[
-                True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (flags[1:] != flags[:-1])])
-            base, own, tokens, known, rows = (np.add.reduceat(x[order], at) for x in sums)
-            # Rows that agree in id and text were added up; their ends tell how many they are.
-            again = np.repeat(np.arange(len(at)), rows)
-            for k in range(0, len(again), 10_000):
-                g = again[k:k + 10_000]
-                yield pa.record_batch({
-                    "doc_id": pa.array(ids[at[g]], mask=flags[at[g]] < 2), "held_out": pa.array(flags[at[g]] % 2 == 0),
-                    "n_tokens": pa.array(tokens[g] // rows[g]), "n_known": pa.array(known[g] // rows[g]),
-                    "base_score": pa.array(base[g] / rows[g]), "score": pa.array(own[g] / rows[g])})
-
-    events = by_bucket(rows.mapInArrow(split, BLOBS), count)
-    sums = by_bucket(events.mapInArrow(score, BLOBS), count)
-    out = sums.mapInArrow(
+        for batch in batches:
+            for b, blob, g in zip(*[c.to_pylist() for c in batch.columns]):
+                if b != current and held:
+                    yield replies()
+                    held = []
+                current = b
+                held.append((blob, g))
+        if held:
+            yield replies()
+
+    def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
+        words, state, row = tokens_of(tree, table)
+        _, _, state, other, which = asked(tree, words, state, ancestors[0], count)
+        order = np.argsort(replies.column("bucket").to_numpy())
+        blobs = replies.column("reply").to_pylist()
+        counts, *at_depth = (np.concatenate(x) for x in zip(*[expand(blobs[k]) for k in order]))
+        known = np.repeat(counts, np.diff(np.r_[other, len(state)])).astype(np.float64)
+        base = tree.base(known)
+        p = base.copy()
+        for above, n in zip(ancestors, at_depth):
+            s = above[state]
+            keep = s > 0
+            strength = tree.smoothing[s[keep]]
+            p[keep] = (n[keep] + strength * p[keep]) / (tree.count[s[keep]] + strength)
+        rows_here = table.num_rows
+        add = lambda w: np.bincount(row, weights=w[which], minlength=rows_here)
+        return pa.table({
+            "doc_id": table.column("id").combine_chunks(),
+            "held_out": pa.array(~table.column("training").to_numpy()),
+            "n_tokens": pa.array(np.bincount(row, minlength=rows_here)),
+            "n_known": pa.array(add(known > 0).astype(np.int64)),
+            "base_score": pa.array(add(np.log10(base))), "score": pa.array(add(np.log10(p)))})
+
+    questions = texts.groupBy("grp").applyInArrow(ask, "bucket int, entries binary, grp int")
+    answers = by_bucket(questions, count).mapInArrow(answer, "grp int, bucket int, reply binary")
+    out = texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(tree.tokens).cast("long"))

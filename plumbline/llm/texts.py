@@ -219,3 +219,18 @@ def parcel_rows(names, blobs: list[bytes]) -> pa.RecordBatch:
 
 def open_parcels(rows: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*[expand(row) for row in rows])]
+
+
+def deflated(column: pa.Array) -> pa.Array:
+    """Each text compressed by itself; a null as an empty text."""
+    codec = pa.Codec("zstd", compression_level=3)
+    return pa.array([
+        len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True)
+        for t in column.fill_null("").cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def inflated(column: pa.Array) -> pa.Array:
+    codec = pa.Codec("zstd")
+    return pa.array([
+        codec.decompress(t[8:], decompressed_size=int.from_bytes(t[:8], "little"), asbytes=True)
+        for t in column.to_pylist()], pa.binary())
