@@ -1,7 +1,7 @@
 """Toxicity categories predicted one after another by a chain of linear classifiers.
 
-The chain follows ``CATEGORIES``. Each model sees which telling words, and beginnings of longer words, a text holds,
-and the log odds that the models before it gave. While it is trained, those odds come from models that did not see the
+The chain follows the order of the categories given. Each model sees which telling words, and beginnings of longer words,
+a text holds, how it is shaped (length, symbols, repeats, each in steps), and the log odds that the models before it gave. While it is trained, those odds come from models that did not see the
 document: every model is fitted once per fold on the other folds, and once on all for use.
 
 Models are fitted on at most ``SAMPLE`` labelled documents, the ones with the smallest hash of their id. All documents
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.host_quality import measures
 from plumbline.llm.texts import Texts, mixed, texts_of, word_bounds, word_hashes
 
 SAMPLE = 12_000
@@ -32,7 +33,7 @@ RIDGE, ROUNDS = 1e-3, 300
 
 
 def features(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of every word and every word beginning, with repeats.
+    """(text, feature) of every word, every word beginning and each text's shape, with repeats.
 
     Words are letter runs as far as ASCII punctuation goes: it ends a word like white space does.
     """
@@ -43,8 +44,19 @@ def features(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     owner = plain.owner(starts)
     long = ends - starts > PREFIX
     begin = word_hashes(plain, starts[long], starts[long] + PREFIX) + np.uint64(1)
-    h = np.concatenate([word_hashes(plain, starts, ends), mixed(begin)])
-    return np.concatenate([owner, owner[long]]), (h >> np.uint64(64 - SPACE_BITS)).astype(np.int64)
+    form = shapes(texts)
+    h = np.concatenate([word_hashes(plain, starts, ends), mixed(begin), mixed(form.ravel())])
+    owner = np.concatenate([owner, owner[long], np.repeat(np.arange(len(texts)), form.shape[1])])
+    return owner, (h >> np.uint64(64 - SPACE_BITS)).astype(np.int64)
+
+
+def shapes(texts: Texts) -> np.ndarray:
+    """A number for each text and kind of shape, distinct over kinds and steps."""
+    n_words, chars, symbols, lines, dup_lines, repeats = measures(texts)
+    n = np.maximum(n_words, 1)
+    steps = [np.log2(n_words + 1), 10 * symbols / n, chars / n, 10 * dup_lines / np.maximum(lines, 1), 10 * repeats / n]
+    steps = [np.minimum(s, 30).astype(np.uint64) + np.uint64(32 * k + 1) for k, s in enumerate(steps)]
+    return np.stack(steps, axis=1)
 
 
 PUNCTUATION = np.zeros(256, bool)
