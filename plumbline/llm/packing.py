@@ -17,9 +17,11 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
-from collections import defaultdict
+from array import array
+from collections import ChainMap, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +34,20 @@ from plumbline.session import cut_lineage, scratch_path
 
 CAPACITY = 2048
 SEPARATOR = 0
-# Distinct words whose ids a worker remembers.
-REMEMBERED = 400_000
+# Distinct words whose ids a worker remembers, none longer than so many bytes.
+REMEMBERED, LONG_WORD = 700_000, 64
+# Punctuation that is looked for behind words, and words on which a tokenizer shows that it parts it from them.
+TRAILING = b".,;:!?%&*#$|()"
+SHOWN = 4_000
 
 
 class Encoder:
     """Ids of whole texts, by words: white space bounds tokens in the tokenizers this is used with.
 
-    A word's ids are computed once and remembered; the memory is bounded and starts anew when it is full.
+    A word's ids are computed once and remembered; the memory is bounded and starts anew when it is full. Where the
+    tokenizer parts punctuation from letters and folds case, as it is asked to show on the first words it sees,
+    a word's ids are those of its lower-case body and of the punctuation behind it, and bodies are remembered
+    as well: there are far fewer of them.
     """
 
     def __init__(self, path: str):
@@ -48,22 +56,54 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.bodies: dict[bytes, bytes] = {}
+        self.parts: bool | None = None
+
+    def _ids(self, words: list[bytes]) -> Iterator[bytes]:
+        for at in range(0, len(words), 20_000):
+            part = [w.decode() for w in words[at:at + 20_000]]
+            for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
+                yield array("I", e.ids).tobytes()
+
+    def _by_parts(self, words: list[bytes]) -> list[bytes]:
+        cut = [parted(w) for w in words]
+        seen = set(chain.from_iterable(cut)) - {b""}
+        new = list(seen - self.bodies.keys())
+        if len(self.bodies) + len(new) > REMEMBERED:
+            self.bodies, new = {}, list(seen)
+        self.bodies[b""] = b""
+        self.bodies.update(zip(new, self._ids(new)))
+        return [self.bodies[body] + self.bodies[tail] for body, tail in cut]
+
+    def _of(self, words: list[bytes]) -> list[bytes]:
+        if self.parts is None and words:
+            shown = words[:SHOWN] + [w + t for w in words[:SHOWN // 8] for t in (b".", b",!", b"%")]
+            self.parts = self._by_parts(shown) == list(self._ids(shown))
+        return self._by_parts(words) if self.parts else list(self._ids(words))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers."""
         words = [t.split() for t in texts]
-        new = {w for ws in words for w in ws if w not in self.known}
+        seen = set(chain.from_iterable(words))
+        new = seen - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = {w for ws in words for w in ws}
-        fresh = list(new)
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at:at + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, found):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        known = self.known
-        return [b"".join([known[w] for w in ws]) for ws in words]
+            self.known, new = {}, seen
+        short = [w for w in new if len(w) <= LONG_WORD]
+        long = [w for w in new if len(w) > LONG_WORD]
+        self.known.update(zip(short, self._of(short)))
+        # Long words are not kept, so the memory is bounded by words of ordinary length.
+        known = ChainMap(dict(zip(long, self._ids(long))), self.known) if long else self.known
+        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+
+
+def parted(word: bytes) -> tuple[bytes, bytes]:
+    """A word's body, A-Z in lower case, and the punctuation behind it, if a letter or digit stands before that."""
+    body = word.rstrip(TRAILING)
+    tail = word[len(body):]
+    if not body or not tail:
+        return word.lower(), b""
+    last = body[-1:] if body[-1] < 128 else body.decode()[-1]
+    return (body.lower(), tail) if last.isalnum() else (word.lower(), b"")
 
 
 _ENCODERS: dict[str, Encoder] = {}
