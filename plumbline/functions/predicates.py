@@ -14,14 +14,40 @@ TYPE_ALIASES = {
     "INTEGER": "decimal(38,0)",
     "INT": "decimal(38,0)",
     "FLOAT": "double",
+    "DECIMAL": "decimal(38,0)",
+    "NUMERIC": "decimal(38,0)",
+    "BIGINT": "decimal(38,0)",
+    "SMALLINT": "decimal(38,0)",
+    "TINYINT": "decimal(38,0)",
+    "BYTEINT": "decimal(38,0)",
+    "DOUBLE": "double",
+    "DOUBLE PRECISION": "double",
+    "REAL": "double",
+    "FLOAT4": "double",
+    "FLOAT8": "double",
     "VARCHAR": "string",
+    "CHAR": "string",
+    "CHARACTER": "string",
+    "STRING": "string",
     "TEXT": "string",
+    "DATETIME": "timestamp_ntz",
+    "TIMESTAMP": "timestamp_ntz",
     "TIMESTAMP_NTZ": "timestamp_ntz",
+    "TIMESTAMP_LTZ": "timestamp",
+    "TIMESTAMP_TZ": "timestamp",
 }
+EXACT_NUMBERS = ("NUMBER", "DECIMAL", "NUMERIC")
 
 
 def spark_type(name: str) -> str:
-    return TYPE_ALIASES.get(name.strip().upper(), name)
+    """The Spark type for a type name, with or without precision or length; unknown names are taken as Spark's."""
+    parts = re.fullmatch(r"\s*([A-Za-z_0-9 ]+?)\s*(?:\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\))?\s*", name)
+    if not parts:
+        return name
+    base = parts[1].upper()
+    if parts[2] and base in EXACT_NUMBERS:
+        return f"decimal({parts[2]},{parts[3] or 0})"
+    return TYPE_ALIASES.get(base, name)
 
 
 def full_match(pattern: str) -> str:
@@ -79,11 +105,13 @@ def audit_columns_broken(created: Column, updated: Column) -> Column:
 
 
 def bind_clock(rule: str, as_of: dt.datetime) -> str:
-    """Replace clock functions in a rule by the run's ``as_of`` so that a rerun gives the same answer."""
-    rule = re.sub(r"(?i)\bcurrent_date\b(\s*\(\s*\))?", f"DATE'{as_of:%Y-%m-%d}'", rule)
-    return re.sub(
-        r"(?i)\bcurrent_timestamp\b(\s*\(\s*\))?", f"TIMESTAMP_NTZ'{as_of:%Y-%m-%d %H:%M:%S}'", rule
-    )
+    """Replace clock functions in a rule by the run's ``as_of`` so that a rerun gives the same answer.
+
+    Text literals, in single or double quotes, and back-quoted names stay as they are.
+    """
+    clocks = {"current_date": f"DATE'{as_of:%Y-%m-%d}'", "current_timestamp": f"TIMESTAMP_NTZ'{as_of:%Y-%m-%d %H:%M:%S.%f}'"}
+    parts = r"""'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|`[^`]*`|\b(current_date|current_timestamp)\b(?:\s*\(\s*\))?"""
+    return re.sub(parts, lambda m: clocks[m[1].lower()] if m[1] else m[0], rule, flags=re.IGNORECASE)
 
 
 def as_of_column(as_of: dt.datetime) -> Column:

@@ -31,12 +31,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"\A\s+|\s+\z", "")
 
 
-def classify_safety(reply: Column, whole_words: bool = False) -> Column:
+def classify_safety(reply: Column, whole_words: bool = True) -> Column:
     """Safety class of a reply.
 
-    By default the first word found as a substring decides, in the order safe, review, unsafe, so
-    that a negated safe word still counts as safe. With ``whole_words`` the safe word must stand
-    alone, and a negated one asks for review.
+    The safe word must stand alone, and a negated one asks for review. Without ``whole_words`` the first word found as a
+    substring decides, in the order safe, review, unsafe, so that a negated safe word counts as safe.
     """
     upper = F.upper(reply)
     if not whole_words:

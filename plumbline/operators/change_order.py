@@ -2,35 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.operators.skew import present
-from plumbline.session import cut_lineage
+
+
+# How much of the order makes one slice: an hour of time, so many units of a number, so many characters of a text.
+SLICE_UNITS, SLICE_CHARACTERS = 100_000, 8
+
+
+def slice_of(df: DataFrame, column: str) -> Column:
+    """A value that never decreases along ``column`` and cuts it into slices."""
+    kind, value = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_trunc("hour", value)
+    if isinstance(kind, T.NumericType):
+        return F.floor(value / SLICE_UNITS)
+    return F.substring(value.cast("string"), 1, SLICE_CHARACTERS) if isinstance(kind, T.StringType) else value
 
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """Add ``prev_<column>`` of the preceding row of the same key.
 
-    A window over the keys alone would sort a hot key in one task. The log is range-partitioned by
-    key and order instead, which splits hot keys; each partition looks back inside its own slice,
-    and the first row of a slice takes the last row of the key's preceding slice, found on one
-    summary row per key and slice.
+    A window over the keys alone would sort a hot key in one task. A slice of the first order column is part of the
+    partitioning instead, which splits hot keys; each slice looks back inside itself, and its first row takes the
+    last row of the key's preceding slice, found on one summary row per key and slice. Nothing is written in between.
     """
-    slots = df.repartitionByRange(*keys, *order).withColumn("__slot", F.spark_partition_id())
-    slots = cut_lineage(slots)
+    slots = df.withColumn("__slot", F.struct(slice_of(df, order[0]).alias("s")))
     inside = Window.partitionBy(*keys, "__slot").orderBy(*order)
     row = F.struct(*columns)
-    looked = slots.withColumn("__prev", F.lag(row).over(inside)).withColumn(
-        "__first", F.row_number().over(inside) == 1)
-    position = F.struct(*order)
-    ends = slots.groupBy(*keys, "__slot").agg(F.max_by(row, position).alias("__last"))
+    looked = slots.withColumns({"__prev": F.lag(row).over(inside), "__first": F.row_number().over(inside) == 1})
+    ends = slots.groupBy(*keys, "__slot").agg(F.max_by(row, F.struct(*order)).alias("__last"))
     across = Window.partitionBy(*keys).orderBy("__slot")
-    carried = ends.withColumn("__carried", F.lag("__last").over(across)).select(*keys, "__slot", "__carried")
-    starts = looked.where("__first").join(carried, [*keys, "__slot"], "left").withColumn(
-        "__prev", F.col("__carried")).drop("__carried")
-    rest = looked.where("NOT __first")
-    return rest.unionByName(starts).select(
+    carried = ends.select(*keys, "__slot", F.lag("__last").over(across).alias("__carried"))
+    joined = looked.join(carried, [*keys, "__slot"], "left")
+    previous = F.when(F.col("__first"), F.col("__carried")).otherwise(F.col("__prev"))
+    return joined.withColumn("__prev", previous).select(
         *df.columns, *[F.col("__prev")[c].alias(f"prev_{c}") for c in columns]
     )
 

@@ -1,46 +1,84 @@
-"""Walks over parent-child tables, one join per level."""
+"""Walks over parent-child tables by pointer doubling: the number of joins grows with the logarithm of the depth."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.operators.metrics import unreachable
 from plumbline.operators.skew import present, probe
-from plumbline.session import cut_lineage, scratch_path
+from plumbline.session import cut_lineage
+
+
+def _to_ends(links: DataFrame, max_hops: int | None) -> DataFrame:
+    """(node, end, hops): where the only parent links (node, up) lead, each node's chain followed to its end.
+
+    Pointers are joined with themselves, so each round doubles their reach. A pointer that still moves when its reach
+    exceeds the number of nodes goes round a cycle and is dropped, as is one beyond ``max_hops``.
+    """
+    nodes = links.count()
+    reach = 1
+    moving = links.select("node", F.col("up").alias("end"), F.lit(1).cast("bigint").alias("hops"))
+    done = None
+    while True:
+        further = moving.select(F.col("node").alias("end"), F.col("end").alias("next"), F.col("hops").alias("more"))
+        looked = cut_lineage(moving.join(further, "end", "left"), "pointers")
+        settled = looked.where("next IS NULL").select("node", "end", "hops")
+        done = settled if done is None else cut_lineage(done.unionByName(settled), "ends")
+        moving = looked.where("next IS NOT NULL").select(
+            "node", F.col("next").alias("end"), (F.col("hops") + F.col("more")).alias("hops"))
+        # A settled pointer may be where a moving one arrives; it has to stay visible.
+        lookup = done.select(F.col("node").alias("__at"), F.col("end").alias("__end"), F.col("hops").alias("__hops"))
+        arrived = cut_lineage(moving.join(lookup, moving["end"] == lookup["__at"], "left"), "arrived")
+        done = cut_lineage(done.unionByName(arrived.where("__at IS NOT NULL").select(
+            "node", F.col("__end").alias("end"), (F.col("hops") + F.col("__hops")).alias("hops"))), "ends")
+        moving = arrived.where("__at IS NULL").select("node", "end", "hops")
+        reach *= 2
+        if max_hops is not None:
+            moving = moving.where(F.col("hops") <= max_hops)
+        if reach > 2 * nodes or moving.isEmpty():
+            return done
 
 
 def walk(df: DataFrame, node: str, parent: str, max_depth: int | None, starts: DataFrame | None = None) -> DataFrame:
     """Every node reached from the roots, with its depth (roots have depth 1).
 
-    A node counts once, at its smallest depth, so repeated ids and cycles end the walk. Each level
-    is written to one folder of a table partitioned by depth: the plan stays one level deep, a lost
-    executor repeats one level only, and the next join knows the true size of the level, which a
-    broadcast then spares the shuffle of all edges.
+    A node counts once, at its smallest depth, so repeated ids and cycles end the walk. Chains of nodes with one parent
+    are followed by pointer doubling down to their ends: roots, unknown parents and nodes with several parents. Only
+    those last are walked step by step, from end to end.
     """
-    spark = df.sparkSession
-    edges = cut_lineage(present(df.select(node, parent), [node, parent]).distinct(), "edges")
+    edges = cut_lineage(
+        present(df.select(F.col(node).alias("node"), F.col(parent).alias("up")), ["node", "up"]).distinct(), "edges")
     if starts is None:
         starts = present(df.where(F.col(parent).isNull()).select(node), [node])
-    table = scratch_path(spark, "levels")
-    columns = T.StructType([df.schema[node], T.StructField("depth", T.IntegerType())])
-
-    def write_level(nodes: DataFrame, depth: int) -> int:
-        seen = Observation()
-        counted = nodes.observe(seen, F.count(F.lit(1)).alias("nodes"))
-        counted.write.parquet(f"{table}/depth={depth}")
-        return seen.get.get("nodes", 0)
-
-    depth = 1
-    found = write_level(starts.select(node).distinct(), depth)
-    while found and (max_depth is None or depth < max_depth):
-        frontier = spark.read.schema(T.StructType([df.schema[node]])).parquet(f"{table}/depth={depth}")
-        reached = spark.read.schema(columns).parquet(table)
-        children = probe(edges, [parent], frontier, [node], "left_semi").select(node).distinct()
-        depth += 1
-        found = write_level(children.join(reached.select(node), node, "left_anti"), depth)
-    return spark.read.schema(columns).parquet(table)
+    roots = cut_lineage(starts.select(F.col(node).alias("node")).distinct(), "roots")
+    inner = cut_lineage(probe(edges, ["node"], roots, ["node"], "left_anti"), "inner")
+    parents = inner.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("up").alias("up"))
+    several = probe(inner, ["node"], parents.where("n > 1"), ["node"], "left_semi")
+    chains = _to_ends(cut_lineage(parents.where("n = 1").select("node", "up"), "chains"), max_depth)
+    depths = roots.select("node", F.lit(1).cast("bigint").alias("depth"))
+    if not several.isEmpty():
+        steps = several.join(chains.select(F.col("node").alias("up"), "end", "hops"), "up", "left").select(
+            "node", F.coalesce("end", "up").alias("end"), (F.coalesce("hops", F.lit(0)) + 1).alias("hops"))
+        steps = cut_lineage(steps.groupBy("node", "end").agg(F.min("hops").alias("hops")), "steps")
+        depths = cut_lineage(depths, "depths")
+        changed = depths
+        while not changed.isEmpty():
+            reached = steps.join(changed.select(F.col("node").alias("end"), "depth"), "end").groupBy("node").agg(
+                F.min(F.col("depth") + F.col("hops")).alias("depth"))
+            if max_depth is not None:
+                reached = reached.where(F.col("depth") <= max_depth)
+            known = depths.select("node", F.col("depth").alias("known"))
+            changed = cut_lineage(reached.join(known, "node", "left").where(
+                "known IS NULL OR depth < known").select("node", "depth"), "changed")
+            depths = cut_lineage(
+                depths.unionByName(changed).groupBy("node").agg(F.min("depth").alias("depth")), "depths")
+    below = chains.join(depths.select(F.col("node").alias("end"), "depth"), "end").select(
+        "node", (F.col("depth") + F.col("hops")).alias("depth"))
+    out = depths.unionByName(below)
+    if max_depth is not None:
+        out = out.where(F.col("depth") <= max_depth)
+    return cut_lineage(out.select(F.col("node").alias(node), F.col("depth").cast("int").alias("depth")), "walk")
 
 
 def unreachable_nodes(df: DataFrame, node: str, parent: str, max_depth: int) -> DataFrame:

@@ -11,9 +11,11 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from decimal import Decimal, localcontext
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GRID = 256
 SKETCH_ACCURACY = 10_000
@@ -35,6 +37,12 @@ class _Target:
         return (self.column, self.low, self.high)
 
 
+def _ranked_as(kind: T.DataType) -> T.DataType:
+    if isinstance(kind, T.IntegralType):
+        return T.LongType()
+    return kind if isinstance(kind, T.DecimalType) else T.DoubleType()
+
+
 def _inside(value: Column, low: float | None, high: float | None) -> Column:
     test = value.isNotNull()
     if low is not None:
@@ -44,12 +52,28 @@ def _inside(value: Column, low: float | None, high: float | None) -> Column:
     return test
 
 
-def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of numeric columns; NULL-only columns give None."""
+Number = int | float | Decimal
+
+
+def _between(lower: Number, upper: Number, part: float) -> Number:
+    """Linear interpolation; whole numbers and decimals lose no digit."""
+    if part == 0 or lower == upper:
+        return lower
+    if isinstance(lower, float):
+        return lower + (upper - lower) * part
+    with localcontext(prec=80):
+        return Decimal(lower) + (Decimal(upper) - Decimal(lower)) * Decimal(part)
+
+
+def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str, list[Number | None]]:
+    """Linearly interpolated quantiles of numeric columns; NULL-only columns give None.
+
+    Whole numbers and decimals are ranked in their own type.
+    """
     columns = list(wanted)
     if not columns:
         return {}
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    values = df.select(*[F.col(c).cast(_ranked_as(df.schema[c].dataType)).alias(c) for c in columns])
     counts = values.agg(*[F.count(c).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     size = {c: counts[f"c{i}"] for i, c in enumerate(columns)}
 
@@ -66,7 +90,7 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dic
         open_targets = [t for t in open_targets if t.answer is None and t.inside > RANK_DIRECTLY]
     _rank_directly(values, [t for t in targets.values() if t.answer is None])
 
-    out: dict[str, list[float | None]] = {}
+    out: dict[str, list[Number | None]] = {}
     for column, probs in wanted.items():
         out[column] = []
         for prob in probs:
@@ -77,7 +101,7 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dic
             lower = targets[column, math.floor(position)].answer
             upper = targets[column, math.ceil(position)].answer
             part = position - math.floor(position)
-            out[column].append(lower if part == 0 else lower + (upper - lower) * part)
+            out[column].append(_between(lower, upper, part))
     return out
 
 
@@ -129,6 +153,12 @@ def _rank_directly(values: DataFrame, targets: list[_Target]) -> None:
     """Rank the few rows left in each bracket; distinct values are folded before the window."""
     if not targets:
         return
+    kinds = {t.column: values.schema[t.column].dataType for t in targets}
+    for kind in set(kinds.values()):
+        _rank_one_kind(values, [t for t in targets if kinds[t.column] == kind])
+
+
+def _rank_one_kind(values: DataFrame, targets: list[_Target]) -> None:
     brackets = list({t.bracket for t in targets})
     numbers = {b: i for i, b in enumerate(brackets)}
     tagged = values.select(F.inline(F.array_compact(F.array(*[

@@ -33,9 +33,10 @@ def reconcile(
     The source is reduced to one row per date first. Equal target rows are folded into one with
     a multiplicity, so copies of one target row cost one join row; ``matches`` keeps the total.
     """
-    dated = source.where(F.col(source_date).isNotNull()).withColumnRenamed(source_date, "record_id")
+    dated = source.where(F.col(source_date).isNotNull()).select(
+        F.col(source_date).alias("record_id"), F.col(source_amount).alias("__amount"))
     per_day = group_apart(
-        dated, ["record_id"], F.count(F.lit(1)).alias("src_count"), F.sum(source_amount).alias("src_amount"))
+        dated, ["record_id"], F.count(F.lit(1)).alias("src_count"), F.sum("__amount").alias("src_amount"))
     rows = target.where(target_filter) if target_filter else target
     stated = (
         rows.where(F.col(target_date).isNotNull())
@@ -102,11 +103,11 @@ def repeated_tuple_counts(
 
 
 def differing_values(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
-    """Keys of two sources whose values disagree, one row per key where each source has one value.
+    """Keys of two sources whose values disagree: one row per key, with the values that differ and how many pairs do.
 
-    Row pairs are never formed. Both sources are folded into one count per (key, value) and side;
-    ``pairs`` is the number of differing row pairs a row stands for. A key with several values in
-    the second source gives one row per value of either source, with the other side left open.
+    Row pairs are never formed. Both sources are counted per (key, value) in one shuffle and folded per key. ``source_a_val``
+    and ``source_b_val`` are the smallest value of either source, ``source_a_max`` and ``source_b_max`` the largest; for a
+    key with one value on each side they agree. ``pairs`` is the number of row pairs that differ.
     """
     def side(df: DataFrame, a: int, b: int) -> DataFrame:
         filled = present(df, [key, value])
@@ -116,24 +117,12 @@ def differing_values(left: DataFrame, right: DataFrame, key: str, value: str) ->
         side(left, 1, 0).unionByName(side(right, 0, 1)).groupBy(key, "value")
         .agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     )
-    per_key = group_apart(
-        folded.withColumnRenamed(key, "__key"), ["__key"],
-        F.sum("na").alias("rows_a"), F.sum("nb").alias("rows_b"),
-        F.count_if(F.col("nb") > 0).alias("values_b"),
-        F.max(F.when(F.col("nb") > 0, F.col("value"))).alias("only_b"),
-        F.count(F.lit(1)).alias("values"),
-    ).where("rows_a > 0 AND rows_b > 0 AND values > 1")
-    known = folded.join(per_key, F.col(key) == F.col("__key"))
-    single = F.col("values_b") == 1
-    pairs = F.col("na") * (F.col("rows_b") - F.col("nb"))
-    from_a = known.where(pairs > 0).select(
-        key, F.col("value").alias("source_a_val"), F.when(single, F.col("only_b")).alias("source_b_val"),
-        pairs.alias("pairs"),
-    )
-    from_b = known.where(~single & (F.col("nb") > 0)).select(
-        key, F.lit(None).alias("source_a_val"), F.col("value").alias("source_b_val"), F.lit(0).alias("pairs")
-    )
-    return from_a.unionByName(from_b)
+    in_a, in_b = F.when(F.col("na") > 0, F.col("value")), F.when(F.col("nb") > 0, F.col("value"))
+    return folded.groupBy(key).agg(
+        F.min(in_a).alias("source_a_val"), F.max(in_a).alias("source_a_max"),
+        F.min(in_b).alias("source_b_val"), F.max(in_b).alias("source_b_max"),
+        (F.sum("na") * F.sum("nb") - F.sum(F.col("na") * F.col("nb"))).alias("pairs"),
+    ).where("pairs > 0")
 
 
 def table_checksum(df: DataFrame, columns: list[str], amounts: list[str]) -> DataFrame:

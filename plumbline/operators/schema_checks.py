@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,14 +43,23 @@ def schema_listing(listing: DataFrame) -> DataFrame:
 
 
 def schema_snapshot(columns: DataFrame, snapshots: DataFrame | None, taken_at: dt.datetime) -> DataFrame:
-    """Rows to append to the snapshot table; ids continue after the largest one."""
+    """Rows to append to the snapshot table; ids continue after the largest one, table by table.
+
+    The number of columns of each table, one row per table, is added up on the driver.
+    """
+    keys = ["table_catalog", "table_schema", "table_name"]
     start = F.lit(0)
     if snapshots is not None:
         start = snapshots.agg(F.coalesce(F.max("snapshot_id"), F.lit(0)).alias("m")).scalar()
-    numbered = F.row_number().over(Window.partitionBy("table_name").orderBy("ordinal_position", "column_name"))
-    return columns.select(
-        (start + numbered).cast("bigint").alias("snapshot_id"), *COLUMN_METADATA.fieldNames(),
-        as_of_column(taken_at).alias("snapshot_at"),
+    sizes = columns.groupBy(*keys).count().orderBy("table_name", "table_schema", "table_catalog").collect()
+    before = [0, *accumulate(r["count"] for r in sizes)]
+    offsets = columns.sparkSession.createDataFrame(
+        [(*(r[k] for k in keys), n) for r, n in zip(sizes, before)],
+        T.StructType([COLUMN_METADATA[k] for k in keys]).add("__before", "long"))
+    numbered = F.row_number().over(Window.partitionBy(*keys).orderBy("ordinal_position", "column_name"))
+    return columns.withColumn("__place", numbered).join(offsets, keys).select(
+        (start + F.col("__before") + F.col("__place")).cast("bigint").alias("snapshot_id"),
+        *COLUMN_METADATA.fieldNames(), as_of_column(taken_at).alias("snapshot_at"),
     )
 
 
@@ -68,67 +78,67 @@ def changed_columns(listing: DataFrame, snapshots: DataFrame, table: str | None
     return added.unionByName(removed).select("table_name", F.col("column_name").alias("record_id"), "failed_value")
 
 
-def latest_baseline(snapshots: DataFrame) -> DataFrame:
-    """Columns of the newest snapshot of each table."""
-    newest = snapshots.groupBy("table_schema", "table_name").agg(F.max("snapshot_at").alias("snapshot_at"))
-    return snapshots.join(newest, ["table_schema", "table_name", "snapshot_at"])
+TABLE = ["table_schema", "table_name"]
 
 
-def drift(columns: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Added, removed and retyped columns against the latest snapshot, for all tables at once.
+def latest_baseline(snapshots: DataFrame) -> DataFrame:
+    """Columns of the newest snapshot of each table, each once however often that snapshot was stored."""
+    order = F.struct("snapshot_at", *[c for c in ("snapshot_id",) if c in snapshots.columns])
+    newest = snapshots.groupBy(*TABLE, "column_name").agg(
+        F.max_by("data_type", order).alias("data_type"), F.max_by("ordinal_position", order).alias("ordinal_position"),
+        F.max("snapshot_at").alias("snapshot_at"))
+    return newest.withColumn("__newest", F.max("snapshot_at").over(Window.partitionBy(*TABLE))).where(
+        "snapshot_at = __newest").drop("__newest")
 
-    Tables without any snapshot do not appear; see :func:`drift_summary`.
-    """
+
+def _compared(columns: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Current and baseline columns side by side; ``drift`` tells what changed, if anything did."""
     base = latest_baseline(snapshots).select(
-        "table_schema", "table_name", "column_name",
-        F.col("data_type").alias("old_type"), F.col("ordinal_position").alias("old_position"),
+        *TABLE, "column_name", F.col("data_type").alias("old_type"), F.col("ordinal_position").alias("old_position"),
+        F.col("snapshot_at").alias("baseline_at"), F.lit(True).alias("was"),
     )
-    tables = base.select("table_schema", "table_name").distinct()
     now = columns.select(
-        "table_schema", "table_name", "column_name",
-        F.col("data_type").alias("new_type"), F.col("ordinal_position").alias("new_position"),
-    ).join(tables, ["table_schema", "table_name"], "left_semi")
+        *TABLE, "column_name", F.col("data_type").alias("new_type"), F.col("ordinal_position").alias("new_position"),
+        F.lit(True).alias("is"),
+    )
+    drift = (
+        F.when(F.col("was").isNull(), "ADDED").when(F.col("is").isNull(), "REMOVED")
+        .when(F.col("old_type") != F.col("new_type"), "TYPE_CHANGED")
+    )
     return (
-        now.join(base, ["table_schema", "table_name", "column_name"], "full_outer")
-        .withColumn(
-            "drift",
-            F.when(F.col("old_type").isNull(), "ADDED")
-            .when(F.col("new_type").isNull(), "REMOVED")
-            .when(F.col("old_type") != F.col("new_type"), "TYPE_CHANGED"),
-        )
-        .where("drift IS NOT NULL")
+        now.join(base, [*TABLE, "column_name"], "full_outer").withColumn("drift", drift)
         .withColumn("drift_order", F.array_position(
             F.array(F.lit("ADDED"), F.lit("REMOVED"), F.lit("TYPE_CHANGED")), F.col("drift")))
-        .withColumn("position", F.when(F.col("drift") == "REMOVED", F.col("old_position"))
-                    .otherwise(F.col("new_position")))
-        .select("table_schema", "table_name", "drift", "drift_order", "column_name", "position",
-                "old_type", "new_type")
+        .withColumn("position", F.coalesce("new_position", "old_position"))
+    )
+
+
+def drift(columns: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Added, removed and retyped columns against the latest snapshot, for all tables at once.
+
+    Tables without any snapshot do not appear; see :func:`drift_summary`.
+    """
+    known = F.max("baseline_at").over(Window.partitionBy(*TABLE))
+    return (
+        _compared(columns, snapshots).withColumn("known", known).where("known IS NOT NULL AND drift IS NOT NULL")
+        .select(*TABLE, "drift", "drift_order", "column_name", "position", "old_type", "new_type")
     )
 
 
 def drift_summary(columns: DataFrame, snapshots: DataFrame) -> DataFrame:
     """One row per current table: status, number of changes and the changes in order."""
-    entry = F.struct("drift_order", "position", "column_name", "drift", "old_type", "new_type")
-    changes = drift(columns, snapshots).groupBy("table_schema", "table_name").agg(
-        F.count(F.lit(1)).alias("drift_count"),
-        F.transform(
-            F.array_sort(F.collect_list(entry)),
-            lambda e: F.concat_ws(":", e["drift"], e["column_name"]),
-        ).alias("drift_list"),
-    )
-    baselines = snapshots.groupBy("table_schema", "table_name").agg(F.max("snapshot_at").alias("baseline_at"))
-    tables = columns.select("table_schema", "table_name").distinct()
-    return (
-        tables.join(baselines, ["table_schema", "table_name"], "left")
-        .join(changes, ["table_schema", "table_name"], "left")
-        .select(
-            "table_schema", "table_name", "baseline_at",
-            F.when(F.col("baseline_at").isNull(), "NO_BASELINE")
-            .when(F.col("drift_count") > 0, "DRIFT_DETECTED")
-            .otherwise("NO_DRIFT").alias("status"),
-            F.coalesce("drift_count", F.lit(0)).alias("drift_count"),
-            F.array_join(F.coalesce("drift_list", F.array().cast("array<string>")), ", ").alias("drift_list"),
-        )
+    entry = F.struct("drift_order", "position", "column_name", "drift")
+    compared = _compared(columns, snapshots).groupBy(*TABLE).agg(
+        F.max("baseline_at").alias("baseline_at"), F.max("is").alias("present"),
+        F.array_sort(F.collect_list(F.when(F.col("drift").isNotNull(), entry))).alias("changes"),
+    ).where("present")
+    known = F.col("baseline_at").isNotNull()
+    count = F.when(known, F.size("changes")).otherwise(0).cast("bigint")
+    listed = F.array_join(F.transform("changes", lambda e: F.concat_ws(":", e["drift"], e["column_name"])), ", ")
+    return compared.select(
+        *TABLE, "baseline_at",
+        F.when(~known, "NO_BASELINE").when(count > 0, "DRIFT_DETECTED").otherwise("NO_DRIFT").alias("status"),
+        count.alias("drift_count"), F.when(known, listed).otherwise("").alias("drift_list"),
     )
 
 

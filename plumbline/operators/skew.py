@@ -71,12 +71,25 @@ def probe(
     return rows.join(renamed, condition, how)
 
 
-def keep_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+# Rows of one key on the right side of a left join that one task takes.
+KEY_SHARE = 1_000_000
+
+
+def keep_left(left: DataFrame, right: DataFrame, keys: Sequence[str], share: int = KEY_SHARE) -> DataFrame:
     """A left join that stays balanced when the *right* side has hot keys.
 
-    Adaptive execution can only split the preserved side of an outer join. An inner join, of which
-    it can split both sides, plus the rows without a partner gives the same rows.
+    Adaptive execution can only split the preserved side of an outer join. Keys with more than ``share`` rows on the
+    right are cut into shares, counted beforehand, and a left row is repeated for each; the repetitions
+    that find nothing are dropped, because the count tells that another one does. Keys must not be NULL on the
+    right; NULL keys on the left find nothing.
     """
-    matched = left.join(right, list(keys))
-    alone = probe(left, keys, right, keys, "left_anti")
-    return matched.unionByName(alone, allowMissingColumns=True)
+    counts = key_counts(present(right, keys), keys, "__rows").withColumn(
+        "__shares", F.ceil(F.col("__rows") / share).cast("int"))
+    ahead = left.join(counts.drop("__rows"), list(keys), "left").withColumn(
+        "__share", F.explode(F.sequence(F.lit(0), F.coalesce("__shares", F.lit(1)) - 1)))
+    large = counts.where("__shares > 1").drop("__rows").withColumnRenamed("__shares", "__cut")
+    own = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("__cut", F.lit(1))).cast("int")
+    behind = right.join(large, list(keys), "left").withColumn("__share", own).drop("__cut").withColumn(
+        "__found", F.lit(True))
+    joined = ahead.join(behind, [*keys, "__share"], "left")
+    return joined.where("__found OR __shares IS NULL").drop("__share", "__shares", "__found")

@@ -41,7 +41,7 @@ def interquartile_outliers(df: DataFrame, column: str, record_id: str, whisker:
         return df.where(F.lit(False)).select(
             F.col(record_id).alias("record_id"), F.col(column).alias("failed_value")
         )
-    low, high = quartiles
+    low, high = (float(q) for q in quartiles)
     reach = whisker * (high - low)
     return df.where((F.col(column) < low - reach) | (F.col(column) > high + reach)).select(
         F.col(record_id).alias("record_id"), F.col(column).alias("failed_value")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,12 +148,28 @@ def threshold_list(thresholds: DataFrame, library: DataFrame) -> DataFrame:
 def run_query(spark: SparkSession, sql: str, approved: list[str], limit: int = ROWS_SHOWN) -> tuple[str, str | None, DataFrame | None]:
     """Run one generated read query over registered views if its guard accepts it.
 
-    Returns status, message and at most ``limit`` rows; a failing query gives EXECUTION_ERROR.
+    Returns status, message and at most ``limit`` rows; a failing query gives EXECUTION_ERROR. The relations that the
+    query really reads, as its parsed form names them, are compared with the list as well: quoted
+    names and comma joins pass no text pattern. The rows are fetched here, so that an error of a row is a status too.
     """
     verdict = spark.range(1).select(guard_query(F.lit(sql), approved).alias("v")).first().v
     if verdict.status != "ACCEPTED":
         return verdict.status, verdict.message, None
     try:
-        return "SUCCESS", None, spark.sql(sql).limit(limit)
+        allowed = {name.upper() for name in approved}
+        for name in relations_read(spark, sql):
+            if name.split(".")[-1].upper() not in allowed:
+                return "BLOCKED", f"unapproved object: {name}", None
+        rows = spark.sql(sql).limit(limit)
+        return "SUCCESS", None, spark.createDataFrame(rows.collect(), rows.schema)
     except Exception as error:
         return "EXECUTION_ERROR", str(error), None
+
+
+def relations_read(spark: SparkSession, sql: str) -> list[str]:
+    """Names of the tables and views that a query refers to, its own common table expressions left out."""
+    plan = spark.sql(f"EXPLAIN EXTENDED {sql}").first()[0].split("== Analyzed Logical Plan ==")[0]
+    inner = {m.upper() for m in re.findall(r"CTE \[([^\]]*)\]", plan) for m in re.split(r",\s*", m)}
+    names = re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan)
+    found = [".".join(re.split(r",\s*", n)) for n in names]
+    return [n for n in dict.fromkeys(found) if n.upper() not in inner]

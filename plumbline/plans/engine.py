@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import json
 import logging
 import time
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -25,16 +26,45 @@ from plumbline.config.specs import CheckSpec
 from plumbline.functions.predicates import as_of_column
 from plumbline.functions.scoring import check_status, failure_fraction
 from plumbline.plans.binding import FrameCheck, KeyedCheck, RowCheck, TableContext, bind, grouped
+from plumbline.session import scratch_path
+from plumbline.sources.tables import Tables
 
 SAMPLES_PER_CHECK = 100
+# Parts in which the findings of one check are cut to the limit before they meet.
+SAMPLE_SHARES = 512
 ERROR_LENGTH = 1990
 
 Bound = RowCheck | KeyedCheck | FrameCheck
 
 
-def run_identifier(table: str, as_of: dt.datetime) -> str:
+def run_identifier(ctx: TableContext) -> str:
     """The same table and moment give the same id, so that a repeated run replaces its rows."""
-    return hashlib.sha256(f"{table}|{as_of.isoformat()}".encode()).hexdigest()[:36]
+    parts = [ctx.catalog, ctx.namespace, ctx.table, ctx.as_of.isoformat()]
+    return hashlib.sha256(json.dumps(parts).encode()).hexdigest()[:36]
+
+
+def specs_of(ctx: TableContext, specs: Iterable[CheckSpec]) -> list[CheckSpec]:
+    """The specifications for this table: database, schema and table must agree, whatever their case."""
+    name = tuple(n.lower() for n in (ctx.catalog, ctx.namespace, ctx.table))
+    return [s for s in specs if tuple(n.lower() for n in (s.target_database, s.target_schema, s.target_table)) == name]
+
+
+def contexts_of(
+    specs: Iterable[CheckSpec], tables: Callable[[str, str], Tables], as_of: dt.datetime,
+    snapshots: DataFrame | None = None,
+) -> list[TableContext]:
+    """One context for each table that the specifications name.
+
+    ``tables`` gives the tables of a database and schema. Names that differ in case only are one table.
+    """
+    named = {}
+    for s in specs:
+        name = (s.target_database, s.target_schema, s.target_table)
+        named.setdefault(tuple(n.lower() for n in name), name)
+    return [
+        TableContext(tables(database, schema), table, as_of, snapshots, database, schema)
+        for _, (database, schema, table) in sorted(named.items())
+    ]
 
 
 @dataclass
@@ -47,7 +77,7 @@ class TablePlan:
 
 def plan_table(ctx: TableContext, specs: Iterable[CheckSpec], run_id: str | None = None) -> TablePlan:
     """Bind every check by itself: one that cannot be analysed becomes an ERROR row, the rest run."""
-    plan = TablePlan(ctx, run_id or run_identifier(ctx.table, ctx.as_of), [])
+    plan = TablePlan(ctx, run_id or run_identifier(ctx), [])
     with _expected_errors():
         for spec in specs:
             try:
@@ -125,7 +155,9 @@ def _counts(plan: TablePlan) -> DataFrame:
 
 
 def check_results(plan: TablePlan) -> DataFrame:
-    """One row per check of the table; nothing runs before an action."""
+    """One row per check of the table, none without checks; nothing runs before an action."""
+    if not plan.bound and not plan.errors:
+        return plan.ctx.tables.spark.createDataFrame([], schemas.CHECK_RESULTS)
     return _labelled_results(plan).drop("label")
 
 
@@ -173,7 +205,8 @@ def failed_records(plan: TablePlan, limit: int = SAMPLES_PER_CHECK) -> DataFrame
     """Up to ``limit`` failing records per check, the smallest identifiers first.
 
     Row checks share one pass: every row carries the findings it caused, rows without any vanish
-    in the generator. The per-check limit is applied inside each task before the shuffle.
+    in the generator. The per-check limit is applied inside each task before the shuffle, then per
+    share of a check's findings and then per check, so that no task sees what all tasks hand over.
     """
     df = plan.ctx.df
     rows = [c for c in plan.bound if isinstance(c, RowCheck)]
@@ -198,6 +231,9 @@ def failed_records(plan: TablePlan, limit: int = SAMPLES_PER_CHECK) -> DataFrame
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
+    shared = Window.partitionBy("label", "share").orderBy("record_identifier", "failed_value")
+    found = found.withColumn("share", F.pmod(F.xxhash64("record_identifier", "failed_value"), F.lit(SAMPLE_SHARES)))
+    found = found.withColumn("place", F.row_number().over(shared)).where(F.col("place") <= limit).drop("place", "share")
     order = Window.partitionBy("label").orderBy("record_identifier", "failed_value")
     first = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
     repeated = first.select("*", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(limit)))).alias("copy"))
@@ -216,7 +252,7 @@ def failed_records(plan: TablePlan, limit: int = SAMPLES_PER_CHECK) -> DataFrame
 
 def run_summary(results: DataFrame, started: Column, ended: Column, catalog: str = "main",
                 namespace: str = "public", trigger: str = "MANUAL") -> DataFrame:
-    """One run row per run id; warnings count as failed, errors only change the overall status."""
+    """One run row per run id, from results of tables of one database and schema; warnings count as failed, errors only change the overall status."""
     status = F.col("check_status")
     return results.groupBy("run_id", "target_table").agg(
         F.count(F.lit(1)).alias("total_checks"),
@@ -243,6 +279,8 @@ def execute_table(plan: TablePlan) -> TableRun:
     """Run a table's checks now. If the shared job fails, each check runs alone and only the
     failing ones become ERROR rows. One row per check comes back to the driver."""
     started = time.monotonic()
+    if not plan.bound and not plan.errors:
+        return TableRun(plan, [], 0)
     try:
         rows = _labelled_results(plan).collect()
     except Exception:
@@ -273,40 +311,50 @@ class FullRun:
 def run_all(
     spark: SparkSession, contexts: Iterable[TableContext], specs: Iterable[CheckSpec], parallel: int = 4
 ) -> FullRun:
-    """All tables, several at a time; a table that cannot be read is reported, the others continue."""
+    """All tables, several at a time; a table that cannot be read is reported, the others continue.
+
+    Each table's samples are written as soon as its checks are done, so that no plan grows with the number of tables.
+    """
     specs = list(specs)
-    contexts = sorted(contexts, key=lambda c: c.table)
+    contexts = sorted(contexts, key=lambda c: (c.catalog, c.namespace, c.table))
+    folder = scratch_path(spark, "samples")
 
     def one(ctx: TableContext):
         try:
-            wanted = [s for s in specs if s.target_table.lower() == ctx.table.lower()]
-            return ctx, execute_table(plan_table(ctx, wanted)), None
+            run = execute_table(plan_table(ctx, specs_of(ctx, specs)))
+            failing = {r["label"] for r in run.rows if r["check_status"] in ("FAIL", "WARNING")}
+            if failing:
+                failed_records(without_passed(run.plan, failing)).write.parquet(f"{folder}/{run.plan.run_id}")
+            return ctx, run, None
         except Exception as error:
             return ctx, None, f"ERROR: {str(error)[:200]}"
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         outcomes = list(pool.map(one, contexts))
-    done = [run for _, run, _ in outcomes if run is not None]
-    rows = [tuple(r[c] for c in schemas.CHECK_RESULTS.fieldNames()) for run in done for r in run.rows]
+    done = [(ctx, run) for ctx, run, _ in outcomes if run is not None]
+    rows = [tuple(r[c] for c in schemas.CHECK_RESULTS.fieldNames()) for _, run in done for r in run.rows]
     results = spark.createDataFrame(rows, schemas.CHECK_RESULTS)
-    samples = spark.createDataFrame([], schemas.FAILED_RECORDS)
-    for run in done:
-        failing = {r["label"] for r in run.rows if r["check_status"] in ("FAIL", "WARNING")}
-        samples = samples.unionByName(failed_records(without_passed(run.plan, failing)))
-    started = F.max("created_at")
-    log = results.groupBy("run_id", "target_table").agg(
-        started.alias("run_start_time"),
-        (started + F.make_dt_interval(secs=F.max("execution_time_ms") / 1000)).alias("run_end_time"),
-    )
-    counts = run_summary(results, F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz"))
-    run_log = counts.drop("run_start_time", "run_end_time", "created_at").join(
-        log, ["run_id", "target_table"]
-    ).withColumn("created_at", F.col("run_start_time")).select(*schemas.RUN_LOG.fieldNames())
+    if any(r["check_status"] in ("FAIL", "WARNING") for _, run in done for r in run.rows):
+        samples = spark.read.schema(schemas.FAILED_RECORDS).option("recursiveFileLookup", "true").parquet(folder)
+    else:
+        samples = spark.createDataFrame([], schemas.FAILED_RECORDS)
+    log_rows = []
+    for ctx, run in done:
+        if not run.rows:
+            continue
+        status = [r["check_status"] for r in run.rows]
+        ended = ctx.as_of + dt.timedelta(milliseconds=run.elapsed_ms)
+        log_rows.append((
+            run.plan.run_id, ctx.as_of, ended, ctx.catalog, ctx.namespace, ctx.table, len(status),
+            status.count("PASS"), status.count("FAIL") + status.count("WARNING"),
+            "COMPLETED_WITH_ERRORS" if "ERROR" in status else "COMPLETED", "MANUAL", ctx.as_of))
+    run_log = spark.createDataFrame(log_rows, schemas.RUN_LOG)
     states = [
-        (ctx.table, run.plan.run_id if run else None, "COMPLETED" if run else error)
+        (ctx.catalog, ctx.namespace, ctx.table, run.plan.run_id if run else None, "COMPLETED" if run else error)
         for ctx, run, error in outcomes
     ]
-    summary = spark.createDataFrame(states, "target_table string, run_id string, status string")
+    summary = spark.createDataFrame(
+        states, "target_database string, target_schema string, target_table string, run_id string, status string")
     return FullRun(results, samples, run_log, summary)
 
 

@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.config.specs import CheckSpec
 from plumbline.functions.predicates import as_of_column
@@ -22,21 +23,24 @@ def run_and_store(
 ) -> FullRun:
     """Run every table and store the outcome.
 
-    Run ids follow from table and moment, and rows go to their run's partition, so that a run that
-    is repeated replaces what it wrote before. The run log is written last: a run that appears there
+    Run ids follow from database, schema, table and moment, so that a run that is repeated replaces what it wrote
+    before, also where it finds less now. The run log is written last: a run that appears there
     is complete.
     """
     run = run_all(spark, contexts, specs)
-    store.replace_runs("check_results", run.results)
-    store.replace_runs("failed_records", run.failed_records)
+    runs = run.run_log.select("run_id", F.col("run_start_time").alias("created_at"))
+    store.replace_runs("check_results", run.results, runs)
+    store.replace_runs("failed_records", run.failed_records, runs)
     store.replace_runs("run_log", run.run_log)
     return run
 
 
 def score_new_runs(store: ResultStore, as_of: dt.datetime, hours: int = incremental.WINDOW_HOURS) -> DataFrame:
     """Score the recent runs that have none yet; returns the new scores."""
-    runs = incremental.unscored_runs(store.read("run_log"), store.read("health_scores"), as_of, hours)
-    results = store.read("check_results").join(runs, "run_id", "left_semi")
+    since = as_of - dt.timedelta(hours=hours)
+    recent = store.read("run_log", since)
+    runs = incremental.unscored_runs(recent, store.read("health_scores", since), as_of, hours)
+    results = store.read("check_results", since).join(runs, "run_id", "left_semi")
     scores = cut_lineage(health.health_scores(results, as_of_column(as_of)), "scores")
     store.replace_runs("health_scores", scores)
     return scores
@@ -55,17 +59,21 @@ def rerun_and_compare(
 
 
 def profile_and_store(store: ResultStore, ctx: TableContext) -> DataFrame:
-    """Profile one table, store its profiles, distributions and schema; returns the receipt."""
+    """Profile one table, store its profiles, distributions and schema; returns the receipt.
+
+    A profile of the same table and moment takes the place of an earlier one.
+    """
     moment, names = ctx.as_of, {"catalog": ctx.catalog, "namespace": ctx.namespace}
     columns = schema_frame(store.spark, ctx.df.schema, ctx.table, ctx.catalog, ctx.namespace)
     profile = profiling.table_profile(ctx.df, ctx.table, moment, **names)
-    store.append("column_profiles", profiling.located(
-        profiling.column_profiles(ctx.df), ctx.table, moment, "profiled_at", **names))
-    store.append("distribution_snapshots", profiling.located(
-        profiling.distributions(ctx.df), ctx.table, moment, "snapshot_at", **names))
+    counts = profiling.value_counts_of(ctx.df)
+    store.replace("column_profiles", profiling.located(
+        profiling.column_profiles(ctx.df, counts=counts), ctx.table, moment, "profiled_at", **names))
+    store.replace("distribution_snapshots", profiling.located(
+        profiling.distributions(ctx.df, counts=counts), ctx.table, moment, "snapshot_at", **names))
     snapshot = cut_lineage(schema_snapshot(columns, store.read("schema_snapshots"), moment), "snapshot")
-    store.append("schema_snapshots", snapshot)
-    store.append("table_profiles", profile)
+    store.replace("schema_snapshots", snapshot)
+    store.replace("table_profiles", profile)
     return profiling.profile_receipt(profile)
 
 

@@ -1,8 +1,7 @@
-"""Table and column profiles from two scans and one shuffle.
+"""Table and column profiles: counts, extremes and means of all columns come from one aggregate.
 
-Counts, extremes and means of all columns come from one aggregate. Everything that depends on
-single values (distinct counts, most frequent values, distributions) comes from one frequency
-frame of (column, value, count), whose shuffle is shared.
+Everything that depends on single values (distinct counts, most frequent values, distributions) comes from one
+frequency frame of (column, value, count), whose shuffle is shared.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql import types as T
 from plumbline.frames import literal_frame
 from plumbline.functions.predicates import as_of_column
 from plumbline.operators.quantiles import exact_quantiles
+from plumbline.session import cut_lineage
 
 TOP_VALUES = 5
 LOW_CARDINALITY = 20
@@ -78,7 +78,8 @@ def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
     text once they are counted. Long text takes part as a fingerprint, so that no shuffle ever
     carries whole documents.
     """
-    frame = None
+    frame = None if names else literal_frame(df.sparkSession, [], T.StructType().add(
+        "column_name", "string").add("value", "string").add("n", "long"))
     for kind, members in _families(df, names):
         raw = F.col("raw")
         key = _shortened(raw) if isinstance(kind, T.StringType) else raw
@@ -91,11 +92,17 @@ def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
     return frame
 
 
+def value_counts_of(df: DataFrame) -> DataFrame | None:
+    """The frequency frame of all columns that can be profiled, written once to be read several times."""
+    names = [f.name for f in df.schema.fields if is_supported(f.dataType)]
+    return cut_lineage(value_counts(df, names), "values") if names else None
+
+
 def _restored(df: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Replace fingerprints in a *small* frame (``column_name``, ``value``, ...) by the full text.
+    """Replace fingerprints in a frame (``column_name``, ``value``, ...) by the full text.
 
-    The frame holds a fixed number of rows per column of the table, which bounds the broadcast.
-    Without any fingerprint the table is not read again.
+    Which side is broadcast, if any, is left to the measured sizes. Without any text column the table is not read
+    again.
     """
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not texts:
@@ -104,7 +111,7 @@ def _restored(df: DataFrame, chosen: DataFrame) -> DataFrame:
     sources = (
         _unpivoted(df, texts, T.StringType()).where(F.length("raw") > KEPT_TEXT)
         .select(_named(texts).alias("column_name"), F.col("raw").alias("text"), _shortened(F.col("raw")).alias("value"))
-        .join(F.broadcast(long), ["column_name", "value"])
+        .join(long, ["column_name", "value"])
         .groupBy("column_name", "value").agg(F.any_value("text").alias("text"))
     )
     return chosen.join(sources, ["column_name", "value"], "left").withColumn(
@@ -112,11 +119,18 @@ def _restored(df: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def top_values(df: DataFrame, counts: DataFrame, limit: int = TOP_VALUES) -> DataFrame:
-    """The most frequent values per column; each task keeps ``limit`` before the shuffle."""
+    """The most frequent values per column, the smaller text first among equals.
+
+    Each task keeps what can be among the first before the shuffle: by count and beginning, with all that are equal
+    in both to the last one kept. Those are ranked once more by their whole text.
+    """
+    beginning = F.substring("value", 1, SHOWN_TEXT)
+    rough = Window.partitionBy("column_name").orderBy(F.desc("n"), beginning)
+    possible = counts.withColumn("place", F.rank().over(rough)).where(F.col("place") <= limit).drop("place")
     order = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
-    ranked = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    ranked = _restored(df, possible).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
     listed = F.array_sort(F.collect_list(F.struct("place", "value", F.col("n").alias("count"))))
-    return _restored(df, ranked).groupBy("column_name").agg(
+    return ranked.groupBy("column_name").agg(
         F.transform(listed, lambda e: F.struct(e["value"].alias("value"), e["count"].alias("count")))
         .alias("top_values")
     )
@@ -148,9 +162,11 @@ def _base_statistics(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
-def column_profiles(df: DataFrame, medians: bool = True) -> DataFrame:
+def column_profiles(df: DataFrame, medians: bool = True, counts: DataFrame | None = None) -> DataFrame:
     """One row per column. Columns of unsupported types only carry an error note.
 
+    ``counts`` is the frequency frame, if it is at hand. The median is exact; ``typed_median`` shows it in full.
+
     ``min_value`` and ``max_value`` compare values as text; ``typed_min`` and ``typed_max`` compare them
     in their own type.
     """
@@ -160,7 +176,7 @@ def column_profiles(df: DataFrame, medians: bool = True) -> DataFrame:
     profiles = None
     if fields:
         names = [f.name for f in fields]
-        counts = value_counts(df, names)
+        counts = value_counts(df, names) if counts is None else counts
         distinct = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
         profiles = (
             _base_statistics(df, fields)
@@ -169,15 +185,17 @@ def column_profiles(df: DataFrame, medians: bool = True) -> DataFrame:
         )
         numeric = [f.name for f in fields if is_numeric(f.dataType)] if medians else []
         middle = exact_quantiles(df, {c: [0.5] for c in numeric})
-        median = F.lit(None).cast("double")
+        median, typed = F.lit(None).cast("double"), F.lit(None).cast("string")
         for c in numeric:
             if middle[c][0] is not None:
-                median = F.when(F.col("column_name") == c, F.round(F.lit(middle[c][0]), 4)).otherwise(median)
+                here = F.col("column_name") == c
+                median = F.when(here, F.round(F.lit(float(middle[c][0])), 4)).otherwise(median)
+                typed = F.when(here, F.lit(str(middle[c][0]))).otherwise(typed)
         profiles = profiles.select(
             "column_name", "data_type", "row_count", "null_count", "null_pct",
             F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"), "min_value", "max_value", "typed_min",
             "typed_max", "mean",
-            median.alias("median"), "top_values", F.lit(None).cast("string").alias("pattern_summary"),
+            median.alias("median"), typed.alias("typed_median"), "top_values", F.lit(None).cast("string").alias("pattern_summary"),
         )
     if refused:
         notes = literal_frame(
@@ -189,17 +207,29 @@ def column_profiles(df: DataFrame, medians: bool = True) -> DataFrame:
     return profiles
 
 
-def distributions(df: DataFrame, limit: int = LOW_CARDINALITY) -> DataFrame:
+def _few_valued(df: DataFrame, names: list[str], limit: int) -> list[str]:
+    """Columns that may have few values: a sketch leaves out those with more than four times as many.
+
+    The rest is counted exactly. The sketch errs by some hundredths, so none that matters is left out.
+    """
+    seen = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(names)]).first()
+    return [c for i, c in enumerate(names) if seen[f"d{i}"] <= 4 * limit + 100]
+
+
+def distributions(df: DataFrame, limit: int = LOW_CARDINALITY, counts: DataFrame | None = None) -> DataFrame:
     """Counts and shares of every value of text and boolean columns with few values, NULL included."""
     fields = [f for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BooleanType))]
     names = [f.name for f in fields]
     if not names:
         return literal_frame(df.sparkSession, [], T.StructType().add("column_name", "string")
                              .add("value_or_bucket", "string").add("record_count", "long").add("percentage", "double"))
-    counts = value_counts(df, names)
+    if counts is None:
+        counts = value_counts(df, _few_valued(df, names, limit))
     totals = _base_statistics(df, fields).select("column_name", "row_count", "null_count")
     sizes = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("values"))
-    few = totals.join(sizes, "column_name", "left").where(F.coalesce("values", F.lit(0)) <= limit)
+    few = totals.join(sizes, "column_name", "left").where(
+        (F.coalesce("values", F.lit(0)) <= limit)
+        & (F.col("values").isNotNull() | (F.col("row_count") == F.col("null_count"))))
     filled = counts.join(few.select("column_name", "row_count"), "column_name")
     absent = few.where("null_count > 0").select(
         "column_name", F.lit(NULL_BUCKET).alias("value"), F.col("null_count").alias("n"), "row_count")

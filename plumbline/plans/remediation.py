@@ -68,7 +68,7 @@ def remediation_history(cache: DataFrame, approvals: DataFrame, audit: DataFrame
     )
 
 
-def apply_decisions(cache: DataFrame, audit: DataFrame, whole_words: bool = False) -> DataFrame:
+def apply_decisions(cache: DataFrame, audit: DataFrame, whole_words: bool = True) -> DataFrame:
     """What would become of every cached reply if its fix were applied now.
 
     READY replies carry the statement; everything else names the guard that stopped it.

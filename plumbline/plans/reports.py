@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLES_IN_REPORT = 5
-SAMPLES_PER_RUN = 100
 DISTRIBUTION_LINES = 50
 
 TABLE_KEYS = ["database_name", "schema_name", "table_name"]
+SAMPLE_KEYS = ["run_id", "check_id", "column_name"]
 
 
 def _text(value) -> Column:
@@ -26,12 +26,13 @@ def _joined_lines(entries: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(entries), lambda e: e["line"]), "\n")
 
 
-def profile_reports(table_profiles: DataFrame, column_profiles: DataFrame, distributions: DataFrame) -> DataFrame:
+def profile_reports(table_profiles: DataFrame, column_profiles: DataFrame, distributions: DataFrame,
+                    lines: int = DISTRIBUTION_LINES) -> DataFrame:
     """The newest profile of each table as text.
 
     Columns are listed by name with their newest statistics, absent ones left out, so that the text
-    does not grow with the profile history. The first distribution rows by column and count follow
-    under a header per column.
+    does not grow with the profile history. The first ``lines`` distribution rows of the newest snapshot of each
+    column, by column and count, follow under a header per column.
     """
     newest = Window.partitionBy(*TABLE_KEYS).orderBy(F.desc("profiled_at"), "profile_id")
     latest = (
@@ -56,9 +57,12 @@ def profile_reports(table_profiles: DataFrame, column_profiles: DataFrame, distr
     )
 
     order = Window.partitionBy(*TABLE_KEYS).orderBy("column_name", F.desc("record_count"), "value_or_bucket")
-    in_column = Window.partitionBy(*TABLE_KEYS, "column_name").orderBy("place")
+    of_column = Window.partitionBy(*TABLE_KEYS, "column_name")
+    in_column = of_column.orderBy("place")
     shown = (
-        distributions.withColumn("place", F.row_number().over(order)).where(F.col("place") <= DISTRIBUTION_LINES)
+        distributions.withColumn("newest", F.max("snapshot_at").over(of_column)).where("snapshot_at = newest")
+        .dropDuplicates([*TABLE_KEYS, "column_name", "value_or_bucket"])
+        .withColumn("place", F.row_number().over(order)).where(F.col("place") <= lines)
         .withColumn("first", F.row_number().over(in_column) == 1)
     )
     entry = F.concat(
@@ -75,56 +79,56 @@ def profile_reports(table_profiles: DataFrame, column_profiles: DataFrame, distr
     return latest.join(columns, TABLE_KEYS, "left").join(values, TABLE_KEYS, "left").select(
         name.alias("table_fqn"),
         F.concat(
-            F.concat_ws("\n", _line("TABLE: ", name), _line("ROW COUNT: ", "rows"),
-                        _line("COLUMN COUNT: ", "column_count"), _line("PROFILED AT: ", "profiled_at")),
-            F.lit("\n\nCOLUMN DETAILS:\n"), F.coalesce("columns_text", F.lit("")), F.lit("\n"),
-            F.coalesce(F.concat(F.lit("\nVALUE DISTRIBUTIONS:\n"), F.col("values_text"), F.lit("\n")), F.lit("")),
+            F.concat_ws("\n", _line("Profile of ", name), _line("taken ", "profiled_at"),
+                        F.concat(_line("", "rows"), F.lit(" rows in "), _line("", "column_count"), F.lit(" columns"))),
+            F.lit("\n\nColumns\n"), F.coalesce("columns_text", F.lit("")), F.lit("\n"),
+            F.coalesce(F.concat(F.lit("\nValues\n"), F.col("values_text"), F.lit("\n")), F.lit("")),
         ).alias("report"),
     )
 
 
 def _sample_line() -> Column:
-    parts = [
-        ("- Record ", "record_identifier"), (", Column: ", "column_name"),
-        (", Value: ", "failed_value"), (", Reason: ", "failure_reason"),
-    ]
+    parts = [("* ", "record_identifier"), (": ", "column_name"), (" = ", "failed_value"), (", ", "failure_reason")]
     return F.concat(*[_line(label, column) for label, column in parts])
 
 
-def _samples(failed_records: DataFrame, keys: list[str], first_of_run: int | None) -> DataFrame:
+def _samples(failed_records: DataFrame, first_of_run: int | None) -> DataFrame:
+    """The first failing records of each run, check and column as text."""
     rows = failed_records
     if first_of_run:
         run_order = Window.partitionBy("run_id").orderBy(
             "check_id", "created_at", "record_identifier", "failed_value", "column_name")
         rows = rows.withColumn("in_run", F.row_number().over(run_order)).where(F.col("in_run") <= first_of_run)
-    order = Window.partitionBy(*keys).orderBy("created_at", "record_identifier", "failed_value", "column_name")
+    order = Window.partitionBy(*SAMPLE_KEYS).orderBy("created_at", "record_identifier", "failed_value", "failure_reason")
     kept = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLES_IN_REPORT)
-    return kept.groupBy(*keys).agg(
+    return kept.groupBy(*SAMPLE_KEYS).agg(
         _joined_lines(F.collect_list(F.struct("place", _sample_line().alias("line")))).alias("samples_text")
     )
 
 
 def _check_lines(table: Column) -> list[Column]:
+    """What was checked and what came out. Limits are numbers of failing rows."""
     return [
-        _line("TABLE: ", table), _line("CHECK ID: ", "check_id"), _line("CHECK NAME: ", "check_name"),
-        _line("CATEGORY: ", "category"), _line("DESCRIPTION: ", "description"),
-        _line("STATUS: ", "check_status"), _line("SEVERITY: ", "severity"), _line("TOTAL ROWS: ", "total_rows"),
-        _line("FAILURE COUNT: ", "failure_count"), _line("FAILURE %: ", "failure_pct"),
-        F.concat(_line("WARNING THRESHOLD: ", "threshold_warning"), F.lit("%")),
-        F.concat(_line("FAIL THRESHOLD: ", "threshold_fail"), F.lit("%")),
+        F.concat(_line("Check ", "check_id"), _line(" on ", table), _line(": ", "check_name")),
+        F.concat(_line("Category ", "category"), _line(", severity ", "severity")),
+        _line("Purpose: ", "description"),
+        F.concat(_line("Outcome: ", "check_status"), _line(" with ", "failure_count"), _line(" of ", "total_rows"),
+                 F.lit(" rows failing"), _line(", a share of ", "failure_pct")),
+        F.concat(_line("Limits: warn from ", "threshold_warning"), _line(" on, fail from ", "threshold_fail"),
+                 F.lit(" on")),
     ]
 
 
 def _samples_section() -> Column:
-    return F.coalesce(
-        F.concat(F.lit("\nSAMPLE FAILED RECORDS:\n"), F.col("samples_text"), F.lit("\n")), F.lit("")
-    )
+    return F.coalesce(F.concat(F.lit("\nExamples\n"), F.col("samples_text"), F.lit("\n")), F.lit(""))
 
 
 def _located_results(results: DataFrame, library: DataFrame, run_log: DataFrame) -> DataFrame:
     catalog = library.select("check_id", "category", "description")
     runs = run_log.select("run_id", "target_database", "target_schema")
-    return results.join(catalog, "check_id").join(runs, "run_id", "left").withColumn(
+    located = results.join(catalog, "check_id").join(runs, "run_id", "left")
+    # Samples of a check without a column carry this name.
+    return located.withColumn("column_name", F.coalesce("target_column", F.lit("N/A"))).withColumn(
         "table_fqn",
         F.concat_ws(".", F.coalesce("target_database", F.lit("")), F.coalesce("target_schema", F.lit("")),
                     "target_table"),
@@ -132,14 +136,18 @@ def _located_results(results: DataFrame, library: DataFrame, run_log: DataFrame)
 
 
 def failure_reports(
-    results: DataFrame, library: DataFrame, run_log: DataFrame, failed_records: DataFrame
+    results: DataFrame, library: DataFrame, run_log: DataFrame, failed_records: DataFrame,
+    first_of_run: int | None = None,
 ) -> DataFrame:
-    """One text per failed or warned check, with a few of the run's first failing records."""
+    """One text per failed or warned check, with a few of its first failing records.
+
+    ``first_of_run`` bounds the records of a whole run, by check, before examples are chosen.
+    """
     failing = results.where(F.col("check_status").isin("FAIL", "WARNING"))
     located = _located_results(failing, library, run_log)
-    samples = _samples(failed_records, ["run_id", "check_id"], SAMPLES_PER_RUN)
+    samples = _samples(failed_records, first_of_run)
     body = F.concat(F.concat_ws("\n", *_check_lines(F.col("table_fqn"))), F.lit("\n"), _samples_section())
-    return located.join(samples, ["run_id", "check_id"], "left").select(
+    return located.join(samples, SAMPLE_KEYS, "left").select(
         "run_id", "check_id", "target_column", "table_fqn", body.alias("report")
     )
 
@@ -153,14 +161,14 @@ def remediation_reports(
     assignments match.
     """
     located = _located_results(results.where("check_status <> 'PASS'"), library, run_log)
-    samples = _samples(failed_records, ["run_id", "check_id"], None)
+    samples = _samples(failed_records, None)
     params = (
         assignments.where("is_active")
         .groupBy("check_id", "target_table", F.coalesce("target_column", F.lit("")).alias("column_key"))
         .agg(F.min_by("params", "assignment_id").alias("params"))
     )
-    column_line = F.concat(F.lit("TARGET COLUMN: "), F.col("target_column"), F.lit("\n"))
-    params_line = F.concat(F.lit("CHECK PARAMETERS: "), F.to_json("params"), F.lit("\n"))
+    column_line = F.concat(F.lit("Column: "), F.col("target_column"), F.lit("\n"))
+    params_line = F.concat(F.lit("Parameters: "), F.to_json("params"), F.lit("\n"))
     body = F.concat(
         F.concat_ws("\n", *_check_lines(F.col("table_fqn"))), F.lit("\n"),
         F.coalesce(column_line, F.lit("")), F.coalesce(params_line, F.lit("")), _samples_section(),
@@ -168,6 +176,6 @@ def remediation_reports(
     return (
         located.withColumn("column_key", F.coalesce("target_column", F.lit("")))
         .join(params, ["check_id", "target_table", "column_key"], "left")
-        .join(samples, ["run_id", "check_id"], "left")
+        .join(samples, SAMPLE_KEYS, "left")
         .select("result_id", "run_id", "check_id", "table_fqn", body.alias("report"))
     )

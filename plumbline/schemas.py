@@ -70,7 +70,7 @@ COLUMN_PROFILES = columns(
     "database_name string, schema_name string, table_name string, column_name string, "
     "data_type string, row_count bigint, null_count bigint, null_pct double, "
     "distinct_count bigint, min_value string, max_value string, typed_min string, typed_max string, "
-    "mean double, median double, "
+    "mean double, median double, typed_median string, "
     "top_values array, pattern_summary string, "
     "profiled_at timestamp_ntz"
 )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +19,11 @@ RECOMMENDED_CONF = {
 }
 
 
-def local_session(cpus: int | str = 8, app: str = "plumbline") -> SparkSession:
-    """A single-machine session for tests and benchmarks; clusters bring their own."""
+def local_session(cpus: int | str = 8, app: str = "plumbline", scratch: str | None = None) -> SparkSession:
+    """A single-machine session for tests and benchmarks; clusters bring their own.
+
+    ``scratch`` is the folder for intermediate tables, unless the configuration names one.
+    """
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     for key, value in RECOMMENDED_CONF.items():
         builder = builder.config(key, value)
@@ -32,25 +34,20 @@ def local_session(cpus: int | str = 8, app: str = "plumbline") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if scratch and not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(scratch)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local-mode session without the setting falls back to a temporary folder.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or the context's checkpoint folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="plumbline-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -2,36 +2,43 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline import schemas
+from plumbline.session import cut_lineage
 
+PLACE = ("database_name", "schema_name", "table_name")
+# Schema, the moment by which rows are laid out, and what makes up one unit that is written and replaced whole.
 TABLES = {
-    "run_log": (schemas.RUN_LOG, "run_start_time"),
-    "check_results": (schemas.CHECK_RESULTS, "created_at"),
-    "failed_records": (schemas.FAILED_RECORDS, "created_at"),
-    "health_scores": (schemas.HEALTH_SCORES, "score_calculated_at"),
-    "table_profiles": (schemas.TABLE_PROFILES, "profiled_at"),
-    "column_profiles": (schemas.COLUMN_PROFILES, "profiled_at"),
-    "distribution_snapshots": (schemas.DISTRIBUTION_SNAPSHOTS, "snapshot_at"),
-    "schema_snapshots": (schemas.SCHEMA_SNAPSHOTS, "snapshot_at"),
-    "analysis_cache": (schemas.ANALYSIS_CACHE, "created_at"),
-    "recommendations": (schemas.RECOMMENDATIONS, "created_at"),
-    "approval_queue": (schemas.APPROVAL_QUEUE, "requested_at"),
-    "remediation_audit": (schemas.REMEDIATION_AUDIT, "executed_at"),
+    "run_log": (schemas.RUN_LOG, "run_start_time", ("run_id",)),
+    "check_results": (schemas.CHECK_RESULTS, "created_at", ("run_id",)),
+    "failed_records": (schemas.FAILED_RECORDS, "created_at", ("run_id",)),
+    "health_scores": (schemas.HEALTH_SCORES, "score_calculated_at", ("run_id",)),
+    "table_profiles": (schemas.TABLE_PROFILES, "profiled_at", (*PLACE, "profiled_at")),
+    "column_profiles": (schemas.COLUMN_PROFILES, "profiled_at", (*PLACE, "profiled_at")),
+    "distribution_snapshots": (schemas.DISTRIBUTION_SNAPSHOTS, "snapshot_at", (*PLACE, "snapshot_at")),
+    "schema_snapshots": (
+        schemas.SCHEMA_SNAPSHOTS, "snapshot_at", ("table_catalog", "table_schema", "table_name", "snapshot_at")),
+    "analysis_cache": (schemas.ANALYSIS_CACHE, "created_at", ("analysis_id",)),
+    "recommendations": (schemas.RECOMMENDATIONS, "created_at", ("recommendation_id",)),
+    "approval_queue": (schemas.APPROVAL_QUEUE, "requested_at", ("approval_id",)),
+    "remediation_audit": (schemas.REMEDIATION_AUDIT, "executed_at", ("audit_id",)),
 }
+BUCKETS = 16
+FOLDER = ["run_day", "bucket"]
 
 
 class ResultStore:
-    """Parquet result tables, partitioned by day and, where rows carry one, by run.
-
-    Writes are rebalanced by partition: few files per run, and a run with very many rows is split.
+    """Parquet result tables, laid out by day and a few hash buckets of what is replaced together.
 
-    The day keeps directory listings short when runs accumulate and lets the "last hours" queries
-    prune; the run makes replacement of one run's rows a partition overwrite.
+    The number of folders grows with the days, not with the runs. Readers that ask for the time since a moment list
+    and scan only the days from there on. Writes are rebalanced by folder: few files each, and a unit with very many
+    rows is split.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -41,23 +48,49 @@ class ResultStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def _partitioned(self, table: str, df: DataFrame) -> tuple[DataFrame, list[str]]:
-        _, moment = TABLES[table]
-        keys = ["run_day"] + (["run_id"] if "run_id" in df.columns else [])
-        dated = df.withColumn("run_day", F.to_date(moment))
-        return dated.hint("rebalance", *keys), keys
+    def _placed(self, table: str, df: DataFrame) -> DataFrame:
+        _, moment, unit = TABLES[table]
+        return df.withColumns({
+            "run_day": F.to_date(moment), "bucket": F.pmod(F.xxhash64(*unit), F.lit(BUCKETS)).cast("int")})
 
     def append(self, table: str, df: DataFrame) -> None:
-        rows, keys = self._partitioned(table, df)
-        rows.write.mode("append").partitionBy(*keys).parquet(self.path(table))
+        rows = self._placed(table, df).hint("rebalance", *FOLDER)
+        rows.write.mode("append").partitionBy(*FOLDER).parquet(self.path(table))
+
+    def replace(self, table: str, df: DataFrame, units: DataFrame | None = None) -> None:
+        """Write ``df`` in place of what its units held, on the days they lie on; others stay.
 
-    def replace_runs(self, table: str, df: DataFrame) -> None:
-        """Write the rows of the runs in ``df`` in place of what those runs had; others stay."""
-        rows, keys = self._partitioned(table, df)
+        ``units`` names units that are replaced even if no row of ``df`` belongs to them; it has the columns of
+        the unit and the moment.
+        """
+        _, moment, unit = TABLES[table]
+        new = cut_lineage(self._placed(table, df), "rows")
+        named = df if units is None else units
+        gone = cut_lineage(self._placed(table, named).select(*dict.fromkeys([*unit, *FOLDER])).distinct(), "units")
+        folders = gone.select(*FOLDER).distinct()
+        kept = self._all(table)
+        # As many days as are written, so that only their folders are listed.
+        days = [r.run_day for r in folders.select("run_day").distinct().collect()]
+        kept = kept.where(F.col("run_day").isin([d for d in days if d is not None])).join(folders, FOLDER, "left_semi")
+        kept = kept.join(gone.select(*unit).distinct(), list(unit), "left_anti")
+        rows = cut_lineage(kept.unionByName(new, allowMissingColumns=True), "folders")
+        emptied = folders.join(rows.select(*FOLDER).distinct(), FOLDER, "left_anti")
         (
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*keys).parquet(self.path(table))
+            rows.hint("rebalance", *FOLDER).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*FOLDER).parquet(self.path(table))
         )
+        # A folder that loses its last unit is not overwritten by rows; it is by a unit that nobody reads.
+        hollow = emptied.select(
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in self._stored_schema(table) if f.name not in FOLDER],
+            *FOLDER)
+        if not emptied.isEmpty():
+            (
+                hollow.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                .partitionBy(*FOLDER).parquet(self.path(table))
+            )
+
+    def replace_runs(self, table: str, df: DataFrame, runs: DataFrame | None = None) -> None:
+        self.replace(table, df, runs)
 
     def clear(self, table: str) -> None:
         schema = self._stored_schema(table)
@@ -67,24 +100,30 @@ class ResultStore:
         )
 
     def _stored_schema(self, table: str) -> T.StructType:
-        schema, _ = TABLES[table]
-        return T.StructType([*schema.fields, T.StructField("run_day", T.DateType())])
-
-    def read(self, table: str) -> DataFrame:
-        """The stored rows; none before the first write.
+        return T.StructType([
+            *TABLES[table][0].fields, T.StructField("run_day", T.DateType()), T.StructField("bucket", T.IntegerType())])
 
-        Columns added by later versions are NULL in older files.
-        """
+    def _all(self, table: str) -> DataFrame:
         schema = self._stored_schema(table)
         try:
-            return self.spark.read.schema(schema).parquet(self.path(table))
+            rows = self.spark.read.schema(schema).parquet(self.path(table))
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            rows = self.spark.createDataFrame([], schema)
+        first = TABLES[table][2][0]
+        return rows.where(F.col(first).isNotNull())
+
+    def read(self, table: str, since: dt.datetime | None = None) -> DataFrame:
+        """The stored rows, of the days from ``since`` on; none before the first write.
+
+        Columns added by later versions are NULL in older files.
+        """
+        rows = self._all(table).drop("bucket")
+        return rows.where(F.col("run_day") >= F.lit(since.date())) if since else rows
 
     def stream(self, table: str, files_per_trigger: int | None = None) -> DataFrame:
         reader = self.spark.readStream.schema(self._stored_schema(table))
         if files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-        return reader.parquet(self.path(table))
+        return reader.parquet(self.path(table)).drop("bucket")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,10 +14,12 @@ from plumbline.operators.schema_checks import drift_summary
 
 def write_batches(
     stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
-    output_mode: str = "append",
+    output_mode: str = "append", trigger: Mapping[str, object] | None = None,
 ) -> StreamingQuery:
     """Apply a batch transform to each micro-batch.
 
+    ``trigger`` takes what ``DataStreamWriter.trigger`` does; by default all that is there is read and the query ends.
+
     Every batch owns one folder of the output and overwrites it, so a batch that is repeated after
     a failure leaves no duplicates.
     """
@@ -26,7 +28,7 @@ def write_batches(
 
     return (
         stream.writeStream.outputMode(output_mode).foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
@@ -35,11 +37,16 @@ def result_feed(results: DataFrame) -> DataFrame:
     return results.where("check_status <> 'PASS'")
 
 
-def drift_feed(columns: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Drift of the current schemas against each batch of new snapshots."""
-    def report(snapshots: DataFrame) -> DataFrame:
-        tables = snapshots.select("table_schema", "table_name").distinct()
-        return drift_summary(columns.join(tables, ["table_schema", "table_name"], "left_semi"), snapshots)
+def drift_feed(columns: DataFrame, snapshots: Callable[[], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Drift of the current schemas of the tables that a batch of new snapshots concerns.
+
+    The batch only tells which tables; they are compared with the stored ``snapshots``, so that a snapshot which is
+    spread over several batches is seen whole.
+    """
+    def report(batch: DataFrame) -> DataFrame:
+        keys = ["table_schema", "table_name"]
+        tables = batch.select(*keys).distinct()
+        return drift_summary(columns.join(tables, keys, "left_semi"), snapshots().join(tables, keys, "left_semi"))
 
     return report
 

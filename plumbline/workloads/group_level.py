@@ -107,7 +107,7 @@ def m17_schema(t):
 
 
 @workload("schema_snapshot", f"""WITH {d.COLUMNS_NOW}, {d.SNAPSHOTS}
-SELECT (SELECT COUNT(*) FROM snapshots) + ROW_NUMBER() OVER (PARTITION BY table_name ORDER BY ordinal_position, column_name) AS snapshot_id,
+SELECT (SELECT COUNT(*) FROM snapshots) + ROW_NUMBER() OVER (ORDER BY table_name, table_schema, ordinal_position, column_name) AS snapshot_id,
   table_name, column_name, ordinal_position, data_type, TIMESTAMP '2024-01-31 00:00:00' AS snapshot_at FROM columns_now""")
 def schema_snapshot(t):
     """Snapshots to append to a table whose largest id is its row count."""
@@ -283,12 +283,22 @@ def chk23_multisource(t):
 
 
 @workload("m23_compare", f"""WITH perturbed AS ({d.PERTURBED})
-SELECT a.o_orderkey, a.o_totalprice AS source_a_val, b.o_totalprice AS source_b_val, CAST(1 AS BIGINT) AS pairs
+SELECT a.o_orderkey, a.o_totalprice AS source_a_val, a.o_totalprice AS source_a_max, b.o_totalprice AS source_b_val,
+  b.o_totalprice AS source_b_max, CAST(1 AS BIGINT) AS pairs
 FROM orders a JOIN perturbed b ON a.o_orderkey = b.o_orderkey WHERE a.o_totalprice <> b.o_totalprice""")
 def m23_compare(t):
     return rel.differing_values(t["orders"], d.perturbed_orders(t), "o_orderkey", "o_totalprice")
 
 
+# Customers have several orders on either side, so a key stands for many differing pairs.
+@workload("m23_repeated", f"""WITH perturbed AS ({d.PERTURBED})
+SELECT o_custkey, MIN(a.o_totalprice) AS source_a_val, MAX(a.o_totalprice) AS source_a_max, MIN(b.o_totalprice) AS source_b_val,
+  MAX(b.o_totalprice) AS source_b_max, COUNT(*) FILTER (a.o_totalprice <> b.o_totalprice) AS pairs
+FROM orders a JOIN perturbed b USING (o_custkey) GROUP BY o_custkey HAVING pairs > 0""")
+def m23_repeated(t):
+    return rel.differing_values(t["orders"], d.perturbed_orders(t), "o_custkey", "o_totalprice")
+
+
 REPEATED = """(user_id, seq) IN (SELECT (user_id, seq) FROM change_log WHERE op <> 'X' GROUP BY user_id, seq HAVING COUNT(*) > 1)"""
 
 

@@ -63,13 +63,15 @@ def _blocked(words, target):
 
 @workload("classify_safety", f"WITH {d.CACHE} SELECT analysis_id, {SAFETY} AS safety FROM cache")
 def classify_safety(t):
-    return d.analysis_cache(t).select("analysis_id", text.classify_safety(F.col("ai_response")).alias("safety"))
+    """The first word found decides."""
+    return d.analysis_cache(t).select(
+        "analysis_id", text.classify_safety(F.col("ai_response"), whole_words=False).alias("safety"))
 
 
 @workload("classify_whole_words", f"WITH {d.CACHE} SELECT analysis_id, {WHOLE_WORDS} AS safety FROM cache")
 def classify_whole_words(t):
     return d.analysis_cache(t).select(
-        "analysis_id", text.classify_safety(F.col("ai_response"), whole_words=True).alias("safety"))
+        "analysis_id", text.classify_safety(F.col("ai_response")).alias("safety"))
 
 
 @workload("extract_sql", f"WITH {STATEMENTS} SELECT analysis_id, sql_text FROM extracted")
@@ -130,9 +132,10 @@ def allow_list(t):
         "analysis_id", F.array_join(text.unapproved_objects(F.col("query")), ",").alias("foreign_objects"))
 
 
-@workload("apply_decisions", f"""WITH {GUARDED}, {d.AUDIT},
+def _decisions(safety):
+    return f"""WITH {GUARDED}, {d.AUDIT},
 applied AS (SELECT DISTINCT analysis_id FROM audit WHERE status = 'SUCCESS'),
-safe AS (SELECT *, {SAFETY} AS safety, analysis_id IN (SELECT analysis_id FROM applied) AS applied FROM verdicts),
+safe AS (SELECT *, {safety} AS safety, analysis_id IN (SELECT analysis_id FROM applied) AS applied FROM verdicts),
 decided AS (SELECT *, CASE WHEN analysis_type <> 'REMEDIATION_RECOMMENDATION' THEN 'ERROR'
     WHEN safety <> 'SAFE_TO_AUTOMATE' THEN 'SKIPPED' WHEN guard_status <> 'ACCEPTED' THEN guard_status
     WHEN applied THEN 'ALREADY_APPLIED' ELSE 'READY' END AS decision FROM safe)
@@ -140,11 +143,32 @@ SELECT analysis_id AS recommendation_id, target_table, safety AS safety_classifi
   CASE WHEN analysis_type <> 'REMEDIATION_RECOMMENDATION' THEN 'not a recommendation: ' || analysis_type
     WHEN safety <> 'SAFE_TO_AUTOMATE' THEN 'needs review: ' || safety
     WHEN guard_status <> 'ACCEPTED' THEN guard_message WHEN applied THEN 'already applied' END AS message,
-  CASE WHEN decision = 'READY' THEN sql_text END AS action_sql FROM decided""")
+  CASE WHEN decision = 'READY' THEN sql_text END AS action_sql FROM decided"""
+
+
+@workload("apply_decisions", _decisions(WHOLE_WORDS))
 def apply_decisions(t):
     return remediation.apply_decisions(d.analysis_cache(t), d.audit(t))
 
 
+@workload("apply_first_word", _decisions(SAFETY))
+def apply_first_word(t):
+    return remediation.apply_decisions(d.analysis_cache(t), d.audit(t), whole_words=False)
+
+
+@workload("audit_rows", f"""WITH decided AS ({_decisions(WHOLE_WORDS)})
+SELECT recommendation_id AS analysis_id, target_table, action_sql,
+  CASE WHEN CAST(split_part(split_part(recommendation_id, 'A', 2), '-', 1) AS BIGINT) % 2 = 0 THEN 'SUCCESS' ELSE 'FAILED' END AS status
+FROM decided WHERE status = 'READY'""")
+def audit_rows(t):
+    """Every second conversation's statement fails; one audit row per executed decision."""
+    decisions = remediation.apply_decisions(d.analysis_cache(t), d.audit(t))
+    number = F.split_part(F.split_part("recommendation_id", F.lit("A"), F.lit(2)), F.lit("-"), F.lit(1)).cast("bigint")
+    outcomes = decisions.select("recommendation_id", F.when(number % 2 != 0, "refused").alias("error_message"))
+    rows = remediation.audit_rows(decisions, outcomes, dt.datetime(2024, 1, 31), "robot")
+    return rows.select("analysis_id", "target_table", "action_sql", "status")
+
+
 JOINED = f"""{d.CACHE}, {d.APPROVALS}, {d.AUDIT},
 joined AS (SELECT c.*, {SAFETY_LIKE} AS safety, q.approval_status AS queue_status, q.requested_at, q.reviewer,
   q.review_comments, a.status AS audit_status, a.action_sql, a.error_message, a.executed_at, a.executed_by
@@ -233,34 +257,32 @@ def bounded_query(t):
 
 # Reports
 
-REPORT_LINES = """'TABLE: ' || COALESCE(r.target_database, '') || '.' || COALESCE(r.target_schema, '') || '.' || c.target_table
-  || chr(10) || 'CHECK ID: ' || c.check_id || chr(10) || 'CHECK NAME: ' || c.check_name || chr(10) || 'CATEGORY: ' || l.category
-  || chr(10) || 'DESCRIPTION: ' || l.description || chr(10) || 'STATUS: ' || c.check_status || chr(10) || 'SEVERITY: ' || c.severity
-  || chr(10) || 'TOTAL ROWS: ' || c.total_rows || chr(10) || 'FAILURE COUNT: ' || c.failure_count
-  || chr(10) || 'FAILURE %: ' || c.failure_pct || chr(10) || 'WARNING THRESHOLD: ' || c.threshold_warning || '%'
-  || chr(10) || 'FAIL THRESHOLD: ' || c.threshold_fail || '%' || chr(10)"""
-SAMPLE_LINE = """'- Record ' || record_identifier || ', Column: ' || column_name || ', Value: ' || failed_value || ', Reason: ' || failure_reason"""
-SAMPLE_ORDER = "created_at, record_identifier, failed_value, column_name"
+REPORT_LINES = """'Check ' || c.check_id || ' on ' || COALESCE(r.target_database, '') || '.' || COALESCE(r.target_schema, '') || '.'
+  || c.target_table || ': ' || c.check_name || chr(10) || 'Category ' || l.category || ', severity ' || c.severity
+  || chr(10) || 'Purpose: ' || l.description || chr(10) || 'Outcome: ' || c.check_status || ' with ' || c.failure_count || ' of '
+  || c.total_rows || ' rows failing, a share of ' || c.failure_pct || chr(10) || 'Limits: warn from ' || c.threshold_warning
+  || ' on, fail from ' || c.threshold_fail || ' on' || chr(10)"""
+SAMPLE_LINE = """'* ' || record_identifier || ': ' || column_name || ' = ' || failed_value || ', ' || failure_reason"""
 
 
 def _sample_texts(source):
-    return f"""sample_texts AS (SELECT run_id, check_id, string_agg(line, chr(10) ORDER BY place) AS samples FROM (
-  SELECT run_id, check_id, {SAMPLE_LINE} AS line,
-    ROW_NUMBER() OVER (PARTITION BY run_id, check_id ORDER BY {SAMPLE_ORDER}) AS place FROM {source}) WHERE place <= 5
-  GROUP BY run_id, check_id)"""
+    return f"""sample_texts AS (SELECT run_id, check_id, column_name, string_agg(line, chr(10) ORDER BY place) AS samples FROM (
+  SELECT run_id, check_id, column_name, {SAMPLE_LINE} AS line, ROW_NUMBER() OVER (PARTITION BY run_id, check_id, column_name
+    ORDER BY created_at, record_identifier, failed_value, failure_reason) AS place FROM {source}) WHERE place <= 5
+  GROUP BY run_id, check_id, column_name)"""
 
 
-# Runs of the size of a supplier, so that the first hundred records of a run are a real choice.
+# Runs of the size of a supplier; a check of a run has records of two columns.
 def supplier_records(t):
     return t["lineitem"].selectExpr(
         "concat('R', l_suppkey) AS run_id", "CAST(l_linenumber AS BIGINT) AS check_id",
-        "CAST(l_orderkey AS STRING) AS record_identifier", "concat(l_linestatus, l_returnflag) AS column_name",
+        "CAST(l_orderkey AS STRING) AS record_identifier", "l_linestatus AS column_name",
         "CAST(l_partkey AS STRING) AS failed_value", "concat('check ', l_linenumber) AS failure_reason",
         "l_shipdate AS created_at")
 
 
 SUPPLIER_RECORDS = """failed AS (SELECT 'R' || l_suppkey AS run_id, CAST(l_linenumber AS BIGINT) AS check_id,
-  CAST(l_orderkey AS VARCHAR) AS record_identifier, l_linestatus || l_returnflag AS column_name,
+  CAST(l_orderkey AS VARCHAR) AS record_identifier, l_linestatus AS column_name,
   CAST(l_partkey AS VARCHAR) AS failed_value, 'check ' || l_linenumber AS failure_reason, l_shipdate AS created_at FROM lineitem)"""
 
 
@@ -269,13 +291,11 @@ def report_results(t):
 
 
 @workload("failure_report", f"""WITH {d.RUNS}, {d.LIBRARY}, {SUPPLIER_RECORDS},
-first_of_run AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY check_id, {SAMPLE_ORDER}) AS in_run
-  FROM failed) WHERE in_run <= 100),
-{_sample_texts('first_of_run')}
+{_sample_texts('failed')}
 SELECT c.run_id, c.check_id, c.target_column, COALESCE(r.target_database, '') || '.' || COALESCE(r.target_schema, '') || '.' || c.target_table AS table_fqn,
-  {REPORT_LINES} || COALESCE(chr(10) || 'SAMPLE FAILED RECORDS:' || chr(10) || samples || chr(10), '') AS report
+  {REPORT_LINES} || COALESCE(chr(10) || 'Examples' || chr(10) || samples || chr(10), '') AS report
 FROM (SELECT *, 'T' || total_rows AS target_table FROM results) c JOIN library l ON c.check_id = l.check_id
-LEFT JOIN run_log r ON c.run_id = r.run_id LEFT JOIN sample_texts s ON c.run_id = s.run_id AND c.check_id = s.check_id
+LEFT JOIN run_log r ON c.run_id = r.run_id LEFT JOIN sample_texts s ON c.run_id = s.run_id AND c.check_id = s.check_id AND c.target_column = s.column_name
 WHERE c.check_status IN ('FAIL', 'WARNING')""")
 def failure_report(t):
     return reports.failure_reports(report_results(t), d.library(t), d.run_rows(t), supplier_records(t))
@@ -294,11 +314,11 @@ params AS (SELECT l_linenumber AS check_id, 'T' || (l_partkey + l_suppkey) AS ta
   '{{"record_id":"k' || arg_min(l_orderkey, l_orderkey * 10 + l_linenumber) || '"}}' AS params FROM lineitem
   WHERE l_returnflag <> 'N' GROUP BY ALL)
 SELECT c.result_id, c.run_id, c.check_id, COALESCE(r.target_database, '') || '.' || COALESCE(r.target_schema, '') || '.' || c.target_table AS table_fqn,
-  {REPORT_LINES} || 'TARGET COLUMN: ' || c.target_column || chr(10)
-  || COALESCE('CHECK PARAMETERS: ' || p.params || chr(10), '')
-  || COALESCE(chr(10) || 'SAMPLE FAILED RECORDS:' || chr(10) || samples || chr(10), '') AS report
+  {REPORT_LINES} || 'Column: ' || c.target_column || chr(10)
+  || COALESCE('Parameters: ' || p.params || chr(10), '')
+  || COALESCE(chr(10) || 'Examples' || chr(10) || samples || chr(10), '') AS report
 FROM (SELECT *, 'T' || total_rows AS target_table FROM results) c JOIN library l ON c.check_id = l.check_id
-LEFT JOIN run_log r ON c.run_id = r.run_id LEFT JOIN sample_texts s ON c.run_id = s.run_id AND c.check_id = s.check_id
+LEFT JOIN run_log r ON c.run_id = r.run_id LEFT JOIN sample_texts s ON c.run_id = s.run_id AND c.check_id = s.check_id AND c.target_column = s.column_name
 LEFT JOIN params p ON p.check_id = c.check_id AND p.target_table = c.target_table AND p.target_column = c.target_column
 WHERE c.check_status <> 'PASS'""")
 def remediation_report(t):
@@ -306,28 +326,35 @@ def remediation_report(t):
         report_results(t), d.library(t), d.run_rows(t), supplier_records(t), report_assignments(t))
 
 
-@workload("profile_report", f"""WITH stats AS (
-  SELECT 'c_mktsegment' AS column_name, '- c_mktsegment (string): nulls=0 (0.0%), distinct=' || COUNT(DISTINCT c_mktsegment)
-    || ', min=' || MIN(c_mktsegment) || ', max=' || MAX(c_mktsegment) AS line FROM customer
-  UNION ALL SELECT 'c_name', '- c_name (string): nulls=0 (0.0%), distinct=' || COUNT(DISTINCT c_name)
-    || ', min=' || MIN(c_name) || ', max=' || MAX(c_name) FROM customer),
+def _profile_line(column, numeric):
+    tail = f" || ', mean=' || CAST(ROUND(AVG({column}), 4) AS DOUBLE) || ', median=' || CAST(ROUND(MEDIAN({column}), 4) AS DOUBLE)" if numeric else ""
+    kind = {"c_custkey": "long", "c_nationkey": "integer", "c_acctbal": "double"}.get(column, "string")
+    return (f"SELECT '{column}' AS column_name, '- {column} ({kind}): nulls=0 (0.0%), distinct=' || COUNT(DISTINCT {column}) "
+            f"|| ', min=' || MIN(CAST({column} AS VARCHAR)) || ', max=' || MAX(CAST({column} AS VARCHAR)){tail} AS line FROM customer")
+
+
+# Two snapshots are stored; the report shows the newest.
+@workload("profile_report", f"""WITH stats AS ({' UNION ALL '.join(
+    _profile_line(c, n) for c, n in (("c_name", False), ("c_mktsegment", False), ("c_custkey", True), ("c_nationkey", True)))}),
 dist AS (SELECT c_mktsegment AS v, COUNT(*) AS n, ROUND(COUNT(*) * 100.0 / (SELECT COUNT(*) FROM customer), 4) AS p
   FROM customer GROUP BY c_mktsegment)
-SELECT 'main.public.customer' AS table_fqn, 'TABLE: main.public.customer' || chr(10) || 'ROW COUNT: ' || (SELECT COUNT(*) FROM customer)
-  || chr(10) || 'COLUMN COUNT: 2' || chr(10) || 'PROFILED AT: 2024-01-31 00:00:00' || chr(10) || chr(10) || 'COLUMN DETAILS:' || chr(10)
-  || (SELECT string_agg(line, chr(10) ORDER BY column_name) FROM stats) || chr(10) || chr(10) || 'VALUE DISTRIBUTIONS:' || chr(10)
+SELECT 'main.public.customer' AS table_fqn, 'Profile of main.public.customer' || chr(10) || 'taken 2024-01-31 00:00:00' || chr(10)
+  || (SELECT COUNT(*) FROM customer) || ' rows in 4 columns' || chr(10) || chr(10) || 'Columns' || chr(10)
+  || (SELECT string_agg(line, chr(10) ORDER BY column_name) FROM stats) || chr(10) || chr(10) || 'Values' || chr(10)
   || 'Column c_mktsegment:' || chr(10)
   || (SELECT string_agg('  ' || v || ': ' || n || ' rows (' || CAST(p AS DOUBLE) || '%)', chr(10) ORDER BY n DESC, v) FROM dist)
   || chr(10) AS report""")
 def profile_report(t):
-    moment = dt.datetime(2024, 1, 31)
-    df = t["customer"].select("c_name", "c_mktsegment")
-    older = profiling.table_profile(df, "customer", dt.datetime(2024, 1, 1))
-    table = profiling.table_profile(df, "customer", moment).unionByName(older)
-    columns = profiling.located(profiling.column_profiles(df), "customer", moment)
-    values = profiling.located(profiling.distributions(df), "customer", moment, "snapshot_at")
-    return reports.profile_reports(
-        stored(table, "tables"), stored(columns, "columns"), stored(values, "values"))
+    df = t["customer"].select("c_name", "c_mktsegment", "c_custkey", "c_nationkey")
+    older, newer = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 31)
+    few = df.where("c_mktsegment <> 'BUILDING'")
+    tables = profiling.table_profile(df, "customer", newer).unionByName(profiling.table_profile(few, "customer", older))
+    profiles, values = profiling.column_profiles, profiling.distributions
+    columns = profiling.located(profiles(df), "customer", newer).unionByName(
+        profiling.located(profiles(few), "customer", older))
+    shares = profiling.located(values(df), "customer", newer, "snapshot_at").unionByName(
+        profiling.located(values(few), "customer", older, "snapshot_at"))
+    return reports.profile_reports(stored(tables, "tables"), stored(columns, "columns"), stored(shares, "values"))
 
 
 # Repairs
@@ -364,13 +391,14 @@ def fix_replace_values(t):
     return repair.replace_values(t["customer"].select("c_custkey", "c_name", "c_acctbal"), values, "c_custkey", "c_acctbal")
 
 
-@workload("fix_replace_by_key", """SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders
-WHERE o_orderstatus NOT IN (SELECT o_orderstatus FROM orders WHERE o_totalprice > 499000)
-UNION ALL SELECT o_orderkey, o_orderstatus, -o_totalprice FROM orders WHERE o_totalprice > 499000""")
+# Few customers have an order so dear, so most keys keep their rows.
+@workload("fix_replace_by_key", """SELECT o_custkey, o_orderkey, o_totalprice FROM orders
+WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 490000)
+UNION ALL SELECT o_custkey, o_orderkey, -o_totalprice FROM orders WHERE o_totalprice > 490000""")
 def fix_replace_by_key(t):
-    orders = t["orders"].select("o_orderkey", "o_orderstatus", "o_totalprice")
-    rows = orders.where("o_totalprice > 499000").withColumn("o_totalprice", -F.col("o_totalprice"))
-    return repair.replace_by_key(orders, rows, ["o_orderstatus"])
+    orders = t["orders"].select("o_custkey", "o_orderkey", "o_totalprice")
+    rows = orders.where("o_totalprice > 490000").withColumn("o_totalprice", -F.col("o_totalprice"))
+    return repair.replace_by_key(orders, rows, ["o_custkey"])
 
 
 @workload("add_column", "SELECT s_suppkey, s_name, CAST(NULL AS VARCHAR) AS supplier_code FROM supplier")
@@ -440,10 +468,13 @@ def change_feed(t):
 
 @workload("drift_feed", f"""{DRIFT_SUMMARY} WHERE n.snapshot_at IS NOT NULL""")
 def drift_feed(t):
-    """Drift against the batch of new snapshots; one input file makes one batch."""
+    """Drift of the tables of each batch of new snapshots; the last report of a table stands."""
     lines = stream_of(t, "lineitem")
-    report = feeds.drift_feed(d.current_columns(t))
-    return finished(t, lines, lambda batch: report(d.snapshots_of(batch)), "drift").drop("batch_id")
+    report = feeds.drift_feed(d.current_columns(t), lambda: d.snapshots_of(t["lineitem"]))
+    reports = finished(t, lines, lambda batch: report(d.snapshots_of(batch)), "drift")
+    values = [c for c in reports.columns if c not in ("batch_id", "table_schema", "table_name")]
+    last = F.max_by(F.struct(*values), "batch_id").alias("last")
+    return reports.groupBy("table_schema", "table_name").agg(last).select("table_schema", "table_name", "last.*")
 
 
 @workload("recommendation_feed", f"""WITH {d.CACHE} SELECT analysis_type, {SAFETY} AS safety_classification, COUNT(*) AS n
@@ -460,10 +491,15 @@ def audit_feed(t):
     return finished(t, counts, lambda batch: batch, "audit", "complete").drop("batch_id")
 
 
-@workload("score_documents", f"""WITH {d.SCORES} SELECT run_id, health_score, total_checks FROM scores""")
+@workload("score_documents", f"""WITH {d.SCORES} SELECT run_id, run_id AS named, target_table, health_score, total_checks,
+  passed_checks AS passed, failed_checks AS failed, critical_failures AS critical, high_failures AS high,
+  medium_failures AS medium, low_failures AS low FROM scores""")
 def score_documents(t):
     documents = health.score_document(d.scores(t))
-    parsed = F.from_json("document", "health_score double, total_checks bigint")
-    return documents.select("run_id", parsed.alias("p")).select("run_id", "p.health_score", "p.total_checks")
+    counts = ["total_checks", "passed", "failed", "critical", "high", "medium", "low"]
+    parsed = F.from_json("document", "run_id string, target_table string, health_score double, " + ", ".join(
+        f"{c} bigint" for c in counts))
+    return documents.select("run_id", parsed.alias("p")).select(
+        "run_id", F.col("p.run_id").alias("named"), "p.target_table", "p.health_score", *[f"p.{c}" for c in counts])
 
 

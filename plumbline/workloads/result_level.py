@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from plumbline.config.library import CHECKS, THRESHOLD_VALUES
 from plumbline.config.specs import resolve_checks, spec
-from plumbline.operators import metrics
-from plumbline.plans import dashboards, engine, health, incremental, profiling
+from plumbline.operators import metrics, schema_checks
+from plumbline.plans import dashboards, engine, health, incremental, lifecycle, profiling
 from plumbline.plans.binding import TableContext
 from plumbline.session import scratch_path
 from plumbline.sources.store import ResultStore
@@ -48,7 +49,15 @@ RUN_CHECKS = {
          "(SELECT COUNT(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))"),
         (23, None, dict(date_column="o_orderdate", group_column="o_orderpriority", group_value="5-LOW", amount_column="o_totalprice"),
          "(SELECT COUNT(*) FROM (SELECT o_orderdate FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY 1 HAVING COUNT(DISTINCT o_totalprice) > 1))"),
+        (18, "o_totalprice", dict(source_table="lineitem", src_date_col="l_shipdate", src_amount_col="l_quantity",
+                                  tgt_date_col="o_orderdate", tgt_count_col="o_custkey", tgt_amount_col="o_totalprice"),
+         "(SELECT COUNT(*) FROM orders JOIN (SELECT l_shipdate AS d, COUNT(*) AS c, SUM(l_quantity) AS s FROM lineitem "
+         "WHERE l_shipdate IS NOT NULL GROUP BY 1) ON o_orderdate = d WHERE c <> o_custkey OR s <> o_totalprice)"),
+        (22, "o_custkey", dict(id_column="o_orderkey", parent_column="o_custkey"),
+         "(SELECT COUNT(*) FROM orders WHERE o_custkey NOT IN (SELECT o_orderkey FROM orders)) + "
+         "(SELECT COUNT(*) FROM orders a JOIN orders b ON a.o_orderkey = b.o_custkey AND a.o_custkey = b.o_orderkey)"),
     ],
+    "region": [(17, None, dict(), "(SELECT COUNT(*) FROM region) + 2")],
     "lineitem": [
         (13, None, dict(record_id="l_orderkey", null_check_expression="l_discount = 0 AND l_tax = 0"),
          "COUNT(*) FILTER (l_discount = 0 AND l_tax = 0)"),
@@ -77,6 +86,9 @@ RUN_CHECKS = {
         (25, "event_type", dict(record_id="event_id", cdc_op_column="event_type",
                                 rule_expression="event_type NOT IN ('view','click','signup')"),
          "COUNT(*) FILTER (event_type NOT IN ('view','click','signup'))"),
+        (25, "user_id", dict(record_id="event_id", cdc_op_column="event_type", duplicate_keys="user_id, event_type"),
+         "(SELECT COUNT(*) FROM events WHERE (user_id, event_type) IN (SELECT (user_id, event_type) FROM events "
+         "GROUP BY user_id, event_type HAVING COUNT(*) > 1))"),
     ],
     "documents": [
         (7, "text", dict(record_id="doc_id", min_length=40, max_length=5000),
@@ -125,9 +137,14 @@ checked AS (SELECT CAST(check_id AS BIGINT) AS check_id, check_name, target_tabl
 CHECKED = _run_sql()
 
 
+def region_snapshots(t):
+    """A stored schema of the regions whose columns bear the regions' names."""
+    return t["region"].select(F.lit("region").alias("table_name"), F.col("r_name").alias("column_name"))
+
+
 def run_plans(t):
     return [
-        engine.plan_table(TableContext(t, table, AS_OF), [s for s in run_specs() if s.target_table == table], table)
+        engine.plan_table(TableContext(t, table, AS_OF, region_snapshots(t)), [s for s in run_specs() if s.target_table == table], table)
         for table in RUN_CHECKS
     ]
 
@@ -181,12 +198,43 @@ def run_health(t):
         "target_table", "health_score", "total_checks", "critical_failures")
 
 
+def full_run(t):
+    """Every table in schema public, and the customers once more in another schema with fewer checks."""
+    specs = run_specs()
+    specs += [replace(s, target_schema="Archive") for s in specs if s.target_table == "customer" and s.check_id in (1, 20)]
+    contexts = engine.contexts_of(specs, lambda database, schema: t, AS_OF, region_snapshots(t))
+    return engine.run_all(t.spark, contexts, specs)
+
+
+ARCHIVED = "target_table = 'customer' AND check_id IN (1, 20)"
+
+
 @workload("run_all", f"""WITH {CHECKED}
-SELECT target_table, check_id, target_column, check_status, failure_count FROM checked""")
+SELECT check_id, check_name, target_table, target_column, check_status, total_rows, failure_count, failure_pct, severity, weight,
+  CAST(CASE WHEN twice THEN 2 ELSE 1 END AS INTEGER) AS runs FROM (SELECT *, {ARCHIVED} AS twice FROM checked)""")
 def run_all(t):
-    contexts = [TableContext(t, table, AS_OF) for table in RUN_CHECKS]
-    out = engine.run_all(t.spark, contexts, run_specs())
-    return out.results.select("target_table", "check_id", "target_column", "check_status", "failure_count")
+    """The two runs of one table differ in nothing but their run."""
+    names = ["check_id", "check_name", "target_table", "target_column", "check_status", "total_rows", "failure_count",
+             "failure_pct", "severity", "weight"]
+    return plain(full_run(t).results, "failure_pct", "weight").groupBy(*names).agg(
+        F.count_distinct("run_id").cast("int").alias("runs"))
+
+
+@workload("run_log", f"""WITH {CHECKED}, placed AS (SELECT *, 'public' AS target_schema FROM checked
+  UNION ALL SELECT *, 'Archive' FROM checked WHERE {ARCHIVED})
+SELECT 'main' AS target_database, target_schema, target_table, COUNT(*) AS total_checks,
+  COUNT(*) FILTER (check_status = 'PASS') AS passed_checks, COUNT(*) FILTER (check_status IN ('FAIL','WARNING')) AS failed_checks,
+  CASE WHEN COUNT(*) FILTER (check_status = 'ERROR') > 0 THEN 'COMPLETED_WITH_ERRORS' ELSE 'COMPLETED' END AS overall_status,
+  'MANUAL' AS triggered_by, CAST(1 AS BIGINT) AS runs FROM placed GROUP BY target_schema, target_table""")
+def run_log(t):
+    """As stored and read back; a repeated run replaces itself."""
+    store = ResultStore(t.spark, scratch_path(t.spark, "store"))
+    run = full_run(t)
+    for _ in range(2):
+        store.replace_runs("run_log", run.run_log)
+    keys = ["target_database", "target_schema", "target_table", "total_checks", "passed_checks", "failed_checks",
+            "overall_status", "triggered_by"]
+    return store.read("run_log").groupBy(*keys).agg(F.count_distinct("run_id").alias("runs"))
 
 
 def _first_hundred(check, table, record, value, column, condition):
@@ -199,7 +247,27 @@ def _first_hundred(check, table, record, value, column, condition):
     )
 
 
+FAR = "ABS((o_totalprice - (SELECT AVG(o_totalprice) FROM orders)) / (SELECT STDDEV_SAMP(o_totalprice) FROM orders)) > 1.7"
+
+
 @workload("engine_samples", " UNION ALL ".join([
+    _first_hundred(8, "customer", "c_custkey", "c_name", "c_name", "NOT regexp_full_match(c_name, 'Customer#0000[0-9]+')"),
+    _first_hundred(10, "orders", "o_orderkey", "NULL", "o_orderdate", "o_orderdate > TIMESTAMP '2001-07-15 00:00:00'"),
+    _first_hundred(11, "orders", "o_orderkey", "NULL", "o_orderstatus,o_orderpriority",
+                   "o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"),
+    _first_hundred(12, "orders", "o_orderkey", "o_orderdate", "o_orderdate",
+                   "date_diff('day', o_orderdate, TIMESTAMP '2024-01-31') > 10000"),
+    _first_hundred(16, "orders", "o_orderkey", "o_totalprice", "o_totalprice", FAR),
+    _first_hundred(13, "lineitem", "l_orderkey", "NULL", "N/A", "l_discount = 0 AND l_tax = 0"),
+    _first_hundred(14, "lineitem", "l_orderkey", "l_discount", "l_discount", "l_discount = 0 AND l_shipdate IS NOT NULL"),
+    _first_hundred(21, "lineitem", "l_orderkey", "l_extendedprice", "l_extendedprice",
+                   "ABS(l_extendedprice - l_quantity * l_linenumber) > 90000"),
+    _first_hundred(5, "events", "event_id", "props", "props",
+                   "event_type = 'view' AND TRY_CAST(props AS DECIMAL(38,0)) IS NULL"),
+    _first_hundred(25, "events", "event_id", "event_type", "event_type", "event_type NOT IN ('view','click','signup')"),
+    _first_hundred(25, "events", "event_id", "event_type", "user_id", "(user_id, event_type) IN (SELECT (user_id, event_type) "
+                   "FROM events GROUP BY user_id, event_type HAVING COUNT(*) > 1)"),
+    _first_hundred(7, "documents", "doc_id", "text", "text", "LENGTH(text) < 40 OR LENGTH(text) > 5000"),
     _first_hundred(6, "customer", "c_custkey", "c_acctbal", "c_acctbal", "c_acctbal < -500 OR c_acctbal > 9500"),
     _first_hundred(9, "customer", "c_custkey", "c_mktsegment", "c_mktsegment", "c_mktsegment = 'AUTOMOBILE'"),
     _first_hundred(20, "customer", "c_custkey", "c_acctbal", "c_acctbal", "c_acctbal < 0"),
@@ -213,7 +281,8 @@ def _first_hundred(check, table, record, value, column, condition):
     .replace("SELECT CAST(19 ", "SELECT DISTINCT CAST(19 "),
 ]))
 def engine_samples(t):
-    wanted = run_failures(t).where(F.col("target_table").isin("customer", "part") & (F.col("check_id") != 8))
+    """All checks whose failing records have an identifier, but for those that compare tables or rows."""
+    wanted = run_failures(t).where(~F.col("check_id").isin(4, 17, 18, 22, 23))
     return wanted.select(
         "check_id", "target_table", "record_identifier", "column_name", "failed_value", "failure_reason")
 
@@ -285,11 +354,41 @@ def profile_top5(t):
         "column_name", F.array_join(listed, ",").alias("top"))
 
 
-@workload("profile_documents", " UNION ALL ".join(
-    _column_sql("documents", *c) for c in [("doc_id", "long", True), ("text", "string", False), ("lang", "string", False),
-                                           ("source", "string", False), ("n_chars", "long", True)]))
+DOCUMENT_COLUMNS = [("doc_id", "long", True), ("text", "string", False), ("lang", "string", False),
+                    ("source", "string", False), ("n_chars", "long", True)]
+
+
+def _typed_sql(table, column):
+    return (f"SELECT '{column}' AS column_name, CAST(MIN({column}) AS VARCHAR) AS typed_min, "
+            f"CAST(MAX({column}) AS VARCHAR) AS typed_max FROM {table}")
+
+
+def listed_values():
+    return F.array_join(F.transform("top_values", lambda e: F.concat_ws("=", e["value"], e["count"])), ",")
+
+
+@workload("profile_documents", "SELECT * FROM (" + " UNION ALL ".join(_column_sql("documents", *c) for c in DOCUMENT_COLUMNS)
+          + ") JOIN (" + " UNION ALL ".join(_top_sql("documents", c[0]) for c in DOCUMENT_COLUMNS)
+          + ") USING (column_name) JOIN (" + " UNION ALL ".join(_typed_sql("documents", c[0]) for c in DOCUMENT_COLUMNS)
+          + ") USING (column_name)")
 def profile_documents(t):
-    return profiling.column_profiles(t["documents"]).select(*STATISTICS)
+    return profiling.column_profiles(t["documents"]).select(
+        *STATISTICS, listed_values().alias("top"), "typed_min", "typed_max")
+
+
+# Keys beyond 2**53, which no double tells apart.
+BIG = "1152921504606846976 + o_orderkey * 3"
+
+
+@workload("profile_big_keys", f"""WITH ranked AS (SELECT CAST({BIG} AS DECIMAL(38,0)) AS k,
+  ROW_NUMBER() OVER (ORDER BY o_orderkey) AS place, COUNT(*) OVER () AS n FROM orders)
+SELECT 'k' AS column_name, CAST(MIN(k) AS VARCHAR) AS typed_min, CAST(MAX(k) AS VARCHAR) AS typed_max,
+  (SELECT CAST((MIN(k) + MAX(k)) * 0.5 AS DOUBLE) FROM (SELECT k - 1152921504606846976 AS k FROM ranked
+    WHERE place IN ((n + 1) // 2, n // 2 + 1))) AS median FROM ranked""")
+def profile_big_keys(t):
+    keys = t["orders"].select((F.lit(1152921504606846976) + F.col("o_orderkey") * 3).alias("k"))
+    return profiling.column_profiles(keys).select(
+        "column_name", "typed_min", "typed_max", (F.col("typed_median").cast("decimal(38,1)") - F.lit(1152921504606846976)).cast("double").alias("median"))
 
 
 @workload("profile_dist", f"""WITH {d.FLAGGED} SELECT 'flag' AS column_name, COALESCE(flag, '<NULL>') AS value_or_bucket,
@@ -303,6 +402,56 @@ def profile_dist(t):
     return profiling.distributions(d.flagged_lines(t))
 
 
+@workload("profile_embeddings", """SELECT 'vec_id' AS column_name, 'long' AS data_type, COUNT(*) AS row_count,
+  CAST(NULL AS VARCHAR) AS pattern_summary FROM embeddings
+UNION ALL SELECT 'label', 'integer', COUNT(*), NULL FROM embeddings
+UNION ALL SELECT 'embedding', 'array', NULL, 'ERROR: cannot profile array' FROM (SELECT COUNT(*) FROM embeddings)""")
+def profile_embeddings(t):
+    return profiling.column_profiles(t["embeddings"]).select("column_name", "data_type", "row_count", "pattern_summary")
+
+
+@workload("profile_receipt", """SELECT 'orders' AS table_name, COUNT(*) AS row_count, CAST(6 AS BIGINT) AS column_count,
+  'COMPLETED' AS status, TRUE AS same_id FROM orders""")
+def profile_receipt(t):
+    receipt = profiling.profile_receipt(profiling.table_profile(t["orders"], "orders", AS_OF))
+    parsed = F.from_json("receipt", "profile_id string, `table` string, rows bigint, columns bigint, status string")
+    return receipt.select("profile_id", parsed.alias("r")).select(
+        F.col("r.table").alias("table_name"), F.col("r.rows").alias("row_count"),
+        F.col("r.columns").alias("column_count"), "r.status", (F.col("profile_id") == F.col("r.profile_id")).alias("same_id"))
+
+
+@workload("profile_twice", """SELECT 'column_profiles' AS stored, CAST(6 AS BIGINT) AS n, COUNT(*) AS row_count FROM orders
+UNION ALL SELECT 'table_profiles', 1, COUNT(*) FROM orders
+UNION ALL SELECT 'schema_snapshots', 6, (SELECT COUNT(*) FROM orders)
+UNION ALL SELECT 'distribution_snapshots', (SELECT COUNT(DISTINCT o_orderstatus) + COUNT(DISTINCT o_orderpriority) FROM orders),
+  (SELECT COUNT(*) FROM orders)""")
+def profile_twice(t):
+    """A profile that is repeated for the same moment takes the place of the first."""
+    store = ResultStore(t.spark, scratch_path(t.spark, "store"))
+    for _ in range(2):
+        lifecycle.profile_and_store(store, TableContext(t, "orders", AS_OF))
+    total = store.read("table_profiles").select("row_count")
+    parts = [store.read(name).agg(F.count(F.lit(1)).alias("n")).withColumn("stored", F.lit(name)) for name in (
+        "column_profiles", "table_profiles", "schema_snapshots", "distribution_snapshots")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.withColumn("row_count", total.scalar())
+
+
+@workload("schema_columns", """SELECT table_name, column_name, CAST(ordinal_position AS BIGINT) AS ordinal_position,
+  CASE data_type WHEN 'BIGINT' THEN 'long' WHEN 'INTEGER' THEN 'integer' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double'
+    WHEN 'FLOAT[]' THEN 'array' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE data_type END AS data_type
+FROM information_schema.columns WHERE table_name IN ('orders', 'lineitem', 'embeddings', 'events')""")
+def schema_columns(t):
+    """What the files of the given tables say about their columns."""
+    out = None
+    for name in ("orders", "lineitem", "embeddings", "events"):
+        rows = schema_checks.schema_frame(t.spark, t[name].schema, name)
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("table_name", "column_name", "ordinal_position", "data_type")
+
+
 @workload("profile_table", """SELECT 'orders' AS table_name, COUNT(*) AS row_count, CAST(6 AS BIGINT) AS column_count,
   'COMPLETED' AS profile_status FROM orders
 UNION ALL SELECT 'lineitem', COUNT(*), 11, 'COMPLETED' FROM lineitem""")
@@ -544,6 +693,19 @@ RUN_DAYS = """SELECT 'R' || l_linenumber AS run_id, CAST(l_linenumber AS BIGINT)
   l_partkey AS failure_count FROM lineitem"""
 
 
+@workload("store_clear", """SELECT 'R' || l_linenumber AS run_id, COUNT(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1""")
+def store_clear(t):
+    """Append all runs, clear the table, append a part."""
+    store = ResultStore(t.spark, scratch_path(t.spark, "store"))
+    rows = t["lineitem"].selectExpr(
+        "concat('R', l_linenumber) AS run_id", "CAST(l_linenumber AS BIGINT) AS check_id",
+        "l_returnflag AS check_status", "TIMESTAMP_NTZ'2024-01-31 00:00:00' AS created_at")
+    store.append("check_results", rows)
+    store.clear("check_results")
+    store.append("check_results", rows.where("check_status = 'R'"))
+    return store.read("check_results").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @workload("store_replace", f"""WITH stored AS ({RUN_DAYS})
 SELECT run_id, check_status, COUNT(*) AS n, CAST(SUM(failure_count) AS BIGINT) AS failures FROM (
   SELECT run_id, check_status, failure_count FROM stored WHERE run_id NOT IN ('R2', 'R5')

@@ -10,8 +10,8 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, "plumbline-tests")
+def spark(tmp_path_factory):
+    session = local_session(8, "plumbline-tests", str(tmp_path_factory.mktemp("scratch")))
     yield session
     session.stop()
 

@@ -5,10 +5,11 @@ import re
 import pytest
 
 import __spark_entry__ as entry_module
+from plumbline.workloads import WORKLOADS
 from tests import duck
 
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
+QUERIES = {name: entry_module.queries()[name] for name in WORKLOADS}
+ORACLES = {name: sql for name, sql in entry_module.oracle_sql().items() if name in WORKLOADS}
 
 
 @pytest.fixture(scope="module")

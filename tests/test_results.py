@@ -198,14 +198,26 @@ def test_reports(spark):
     checks = library.library_frame(spark)
     found = reports.failure_reports(results, checks, log, failed).collect()
     assert [(r.check_id, r.table_fqn) for r in found] == [(1, "d.s.t")]
-    assert found[0].report.count("- Record ") == 5 and "CATEGORY: Completeness\n" in found[0].report
-    assert "WARNING THRESHOLD: null%\n" in found[0].report
+    assert found[0].report.count("\n* ") == 5 and "\nCategory Completeness, severity HIGH\n" in found[0].report
+    assert "\nLimits: warn from null on, fail from null on\n" in found[0].report
     assigned = specs.assignment_frame(spark, [specs.spec(1, "t", "other", record_id="x"), specs.spec(1, "t", "c", record_id="id")])
     fixes = {r.check_id: r.report for r in reports.remediation_reports(results, checks, log, failed, assigned).collect()}
     assert set(fixes) == {1, 3}
-    assert 'TARGET COLUMN: c\nCHECK PARAMETERS: {"record_id":"id"}\n' in fixes[1] and "PARAMETERS" not in fixes[3]
+    assert 'Column: c\nParameters: {"record_id":"id"}\n' in fixes[1] and "Parameters" not in fixes[3]
 
 
+def test_reports_show_the_records_of_their_own_column(spark):
+    results = rows_of(spark, schemas.CHECK_RESULTS, *[result("a", 1, "FAIL", target_column=c) for c in "uv"])
+    failed = rows_of(spark, schemas.FAILED_RECORDS, *[
+        dict(run_id="a", check_id=k, record_identifier=f"{c}{i}", column_name=c, failed_value="x", failure_reason="bad",
+             created_at=DAY) for k, c in ((1, "u"), (1, "v"), (20, "v")) for i in range(120)])
+    many = results.unionByName(rows_of(spark, schemas.CHECK_RESULTS, result("a", 20, "FAIL", target_column="v")))
+    found = reports.failure_reports(many, library.library_frame(spark), runs(spark, ("a", DAY, "t", 1)), failed).collect()
+    for r in found:
+        shown = [line for line in r.report.split("\n") if line.startswith("* ")]
+        assert len(shown) == 5 and all(line.startswith(f"* {r.target_column}") for line in shown)
+    assert len(found) == 3
+
 @pytest.mark.parametrize("category,count", [(None, 25), ("Integrity", 4)])
 def test_catalog(spark, category, count):
     found = dashboards.check_catalog(library.library_frame(spark), category).collect()

@@ -109,7 +109,10 @@ def test_differing_values_count_all_pairs_without_forming_them(spark):
     for key in {k for k, _ in a} | {k for k, _ in b}:
         rows = [r for r in found if r.k == key]
         assert sum(r.pairs for r in rows) == sum(n for (k, _, _), n in pairs.items() if k == key)
-        assert {r.source_a_val for r in rows} - {None} == {x for k, x, _ in pairs if k == key}
+        for r in rows:
+            values = {x for k, x in a if k == key and x is not None}, {x for k, x in b if k == key and x is not None}
+            assert (r.source_a_val, r.source_a_max, r.source_b_val, r.source_b_max) == (
+                min(values[0]), max(values[0]), min(values[1]), max(values[1]))
     assert [(r.source_a_val, r.source_b_val, r.pairs) for r in found if r.k == 50] == [(1.0, 2.0, 1)]
 
 

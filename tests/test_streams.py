@@ -91,7 +91,8 @@ def test_feed_of_schema_snapshots(spark):
     store.append("schema_snapshots", schema_snapshot(schema_frame(spark, before, "t"), None, AS_OF))
     now = schema_frame(spark, spark.createDataFrame([], "a bigint, c string").schema, "t")
     out = scratch_path(spark, "out")
-    feeds.write_batches(store.stream("schema_snapshots"), feeds.drift_feed(now), f"{out}/rows", f"{out}/state").awaitTermination()
+    feeds.write_batches(store.stream("schema_snapshots"), feeds.drift_feed(
+        now, lambda: store.read("schema_snapshots")), f"{out}/rows", f"{out}/state").awaitTermination()
     row = spark.read.parquet(f"{out}/rows").first()
     assert (row.status, row.drift_list) == ("DRIFT_DETECTED", "ADDED:c, REMOVED:b, TYPE_CHANGED:a")
 

@@ -54,6 +54,14 @@ def test_depth_and_cycles(spark, name):
     assert len(found) == len(expected) and {tuple(r) for r in found} == expected
 
 
+def test_a_long_chain_takes_few_rounds(spark):
+    n = 10_000
+    df = spark.range(n).selectExpr("id", "CASE WHEN id > 0 THEN id - 1 END AS p")
+    found = {r.finding: r.n for r in hierarchy.depth_and_cycles(df, "id", "p", 4).groupBy("finding").count().withColumnRenamed(
+        "count", "n").collect()}
+    assert found == {"TOO_DEEP": n - 4}
+
+
 def change_rows():
     rng = random.Random(8)
     keys = ["hot"] * 200 + ["a", "b", None] * 40
