@@ -13,31 +13,26 @@ from plumbline.session import cut_lineage
 def _to_ends(links: DataFrame, max_hops: int | None) -> DataFrame:
     """(node, end, hops): where the only parent links (node, up) lead, each node's chain followed to its end.
 
-    Pointers are joined with themselves, so each round doubles their reach. A pointer that still moves when its reach
-    exceeds the number of nodes goes round a cycle and is dropped, as is one beyond ``max_hops``.
+    All pointers are joined with themselves, so each round doubles their reach. A pointer that still moves when its reach
+    exceeds the number of nodes goes round a cycle; it is dropped, as is one that still moves beyond ``max_hops``.
     """
-    nodes = links.count()
+    most = links.count()
+    if max_hops is not None:
+        most = min(most, max_hops)
     reach = 1
-    moving = links.select("node", F.col("up").alias("end"), F.lit(1).cast("bigint").alias("hops"))
-    done = None
+    pointers = links.select("node", F.col("up").alias("end"), F.lit(1).cast("bigint").alias("hops"))
     while True:
-        further = moving.select(F.col("node").alias("end"), F.col("end").alias("next"), F.col("hops").alias("more"))
-        looked = cut_lineage(moving.join(further, "end", "left"), "pointers")
-        settled = looked.where("next IS NULL").select("node", "end", "hops")
-        done = settled if done is None else cut_lineage(done.unionByName(settled), "ends")
-        moving = looked.where("next IS NOT NULL").select(
-            "node", F.col("next").alias("end"), (F.col("hops") + F.col("more")).alias("hops"))
-        # A settled pointer may be where a moving one arrives; it has to stay visible.
-        lookup = done.select(F.col("node").alias("__at"), F.col("end").alias("__end"), F.col("hops").alias("__hops"))
-        arrived = cut_lineage(moving.join(lookup, moving["end"] == lookup["__at"], "left"), "arrived")
-        done = cut_lineage(done.unionByName(arrived.where("__at IS NOT NULL").select(
-            "node", F.col("__end").alias("end"), (F.col("hops") + F.col("__hops")).alias("hops"))), "ends")
-        moving = arrived.where("__at IS NULL").select("node", "end", "hops")
+        further = pointers.select(F.col("node").alias("__at"), F.col("end").alias("__end"), F.col("hops").alias("__hops"))
+        moves = F.col("__at").isNotNull()
+        pointers = cut_lineage(pointers.join(further, pointers["end"] == further["__at"], "left").select(
+            "node", F.coalesce("__end", "end").alias("end"),
+            (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops"), moves.alias("moves")), "pointers")
         reach *= 2
-        if max_hops is not None:
-            moving = moving.where(F.col("hops") <= max_hops)
-        if reach > 2 * nodes or moving.isEmpty():
-            return done
+        if reach > most or pointers.where("moves").isEmpty():
+            break
+    ends = pointers.select(F.col("node").alias("end")).distinct()
+    # What ends at a node that has a pointer itself has not arrived.
+    return pointers.join(ends, "end", "left_anti").select("node", "end", "hops")
 
 
 def walk(df: DataFrame, node: str, parent: str, max_depth: int | None, starts: DataFrame | None = None) -> DataFrame:
