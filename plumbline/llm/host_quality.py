@@ -27,8 +27,8 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 HOST_LIMIT = 0.5
-# Bounds of the prior's weight in documents: one, and so many that hosts count as alike.
-LEAST_WEIGHT, MOST_WEIGHT = 1.0, 1e6
+# Bounds of the prior's weight in documents: so many that one document condemns no host, and that hosts count as alike.
+LEAST_WEIGHT, MOST_WEIGHT = 10.0, 1e6
 
 
 def rules() -> dict[str, Column]:
@@ -105,17 +105,23 @@ def host_rates(docs: DataFrame, text: str = "text", host: str = "source") -> Dat
     failing = rules()
     counts = cut_lineage(found.groupBy("host").agg(
         F.count(F.lit(1)).alias("documents"), *[F.count_if(failing[r]).alias(r) for r in failing]), "hosts")
+    n = F.col("documents")
     totals = counts.agg(
-        F.sum("documents").alias("n"), F.avg(1 / F.col("documents")).alias("noise"),
+        F.count(F.lit(1)).alias("hosts"), F.sum(n).alias("n"), F.sum(n * n).alias("squares"),
         *[F.sum(r).alias(f"{r}_sum") for r in failing],
-        *[F.var_pop(F.col(r) / F.col("documents")).alias(f"{r}_var") for r in failing]).first()
+        *[F.sum(F.col(r) * F.col(r) / n).alias(f"{r}_squares") for r in failing]).first()
     shrunk = []
     for r in failing:
-        mean = (totals[f"{r}_sum"] or 0) / (totals["n"] or 1)
-        spread = mean * (1 - mean)
-        between = (totals[f"{r}_var"] or 0.0) - spread * (totals["noise"] or 0.0)
-        weight = spread / between - 1 if between > 0 else MOST_WEIGHT
-        weight = min(max(weight, LEAST_WEIGHT), MOST_WEIGHT)
+        weight, mean = LEAST_WEIGHT, 0.0
+        if totals["n"]:
+            size, failed = float(totals["n"]), float(totals[f"{r}_sum"])
+            mean = failed / size
+            spread = mean * (1 - mean)
+            # Between hosts, less what chance within hosts of their sizes makes.
+            between = totals[f"{r}_squares"] - failed * mean - (totals["hosts"] - 1) * spread
+            room = size - totals["squares"] / size
+            weight = spread * room / between - 1 if between > 0 and room > 0 else MOST_WEIGHT
+            weight = min(max(weight, LEAST_WEIGHT), MOST_WEIGHT)
         shrunk.append(((F.col(r) + F.lit(weight * mean)) / (F.col("documents") + F.lit(weight))).alias(r))
     return counts.select("host", "documents", *shrunk)
 

@@ -71,10 +71,13 @@ c AS (
   FROM (SELECT source, unnest([1, 2, 3, 4, 5]) AS rule, unnest([f1, f2, f3, f4, f5]) AS failed
         FROM f WHERE source IS NOT NULL) GROUP BY source, rule),
 p AS (
-  SELECT rule, sum(k) / sum(n) AS mu, avg(1.0 / n) AS noise, var_pop(k / n) AS v FROM c GROUP BY rule),
+  SELECT rule, count(*) AS hosts, CAST(sum(n) AS DOUBLE) AS size, sum(k) / CAST(sum(n) AS DOUBLE) AS mu,
+         sum(k * k / CAST(n AS DOUBLE)) - sum(k) * (sum(k) / CAST(sum(n) AS DOUBLE)) AS q, sum(n * n) AS squares
+  FROM c GROUP BY rule),
+b AS (SELECT *, mu * (1 - mu) AS spread, q - (hosts - 1) * (mu * (1 - mu)) AS among, size - squares / size AS room FROM p),
 s AS (
-  SELECT rule, mu, CASE WHEN v - mu * (1 - mu) * noise > 0
-    THEN least(greatest(mu * (1 - mu) / (v - mu * (1 - mu) * noise) - 1, 1.0), 1e6) ELSE 1e6 END AS a FROM p),
+  SELECT rule, mu, CASE WHEN among > 0 AND room > 0
+    THEN least(greatest(spread * room / among - 1, 10.0), 1e6) ELSE 1e6 END AS a FROM b),
 bad AS (SELECT DISTINCT source FROM c JOIN s USING (rule) WHERE (k + a * mu) / (n + a) > 0.5)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed,
        NOT (f1 OR f2) AND NOT ((f3 OR f4 OR f5) AND bad.source IS NOT NULL) AS kept

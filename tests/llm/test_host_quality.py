@@ -12,7 +12,7 @@ def test_query_agrees_with_sql(spark, sf_dir):
 
 
 CLEAN = " ".join(f"word{k}" for k in range(80))
-MENU = "home | about | " * 30 + CLEAN
+MENU = "home | about | " * 15 + CLEAN
 
 
 def test_odd_rows(spark):

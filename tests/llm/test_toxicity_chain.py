@@ -21,7 +21,7 @@ def corpus(seed=1):
         toxic, junk = k % 9 == 0, k % 7 == 0
         text = made(rng, rng.randint(20, 200), 3 if toxic else 0)
         docs.append((k, text.replace(" ", " | ") if junk else text))
-        if k % 3:
+        if k % 4:
             labels.append((k, int(junk), int(toxic)))
     return docs, labels
 
