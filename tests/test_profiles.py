@@ -105,10 +105,10 @@ def test_report_uses_the_newest_profile(spark):
         profiling.located(profiling.column_profiles(df), "t", new))
     values = profiling.located(profiling.distributions(df), "t", new, "snapshot_at")
     assert reports.profile_reports(tables, columns, values).first().report == (
-        "TABLE: main.public.t\nROW COUNT: 4\nCOLUMN COUNT: 2\nPROFILED AT: 2024-01-31 00:00:00\n\nCOLUMN DETAILS:\n"
+        "Profile of main.public.t\ntaken 2024-01-31 00:00:00\n4 rows in 2 columns\n\nColumns\n"
         "- c (string): nulls=1 (25.0%), distinct=2, min=a, max=b\n"
         "- id (integer): nulls=1 (25.0%), distinct=2, min=1, max=2, mean=1.6667, median=2.0\n\n"
-        "VALUE DISTRIBUTIONS:\nColumn c:\n  a: 2 rows (50.0%)\n  <NULL>: 1 rows (25.0%)\n  b: 1 rows (25.0%)\n")
+        "Values\nColumn c:\n  a: 2 rows (50.0%)\n  <NULL>: 1 rows (25.0%)\n  b: 1 rows (25.0%)\n")
 
 
 def columns_of(spark, ddl, name="t"):

@@ -50,8 +50,6 @@ def hot_runs(spark):
 JOINS = {
     "anti": (lambda s: probe(hot(s), ["k"], hot(s).where("k <> 7"), ["k"], "left_anti"), 20_001),
     "semi": (lambda s: probe(hot(s), ["k"], s.range(1000).select((F.col("id") % 8).alias("k")), ["k"], "left_semi"), 20_005),
-    "left": (lambda s: keep_left(s.range(100).select(F.col("id").alias("k")), hot(s), ["k"]), 20_100),
-    "values": (lambda s: rel.differing_values(hot(s), hot(s).withColumn("v", F.lit("x")), "k", "v"), 60_000),
     "recon": (lambda s: rel.reconcile(hot(s), "k", "id", hot(s).withColumn("n", F.col("id")), "k", "n", "id"), 59_999),
     "tree": (lambda s: rel.hierarchy_findings(hot(s).select("id", F.col("k").alias("p")), "id", "p"), 40_000),
     "feed": (lambda s: delta.change_feed(hot(s), hot(s).withColumn("v", F.lit("y")), ["k"]), 120_000),
@@ -67,12 +65,23 @@ def test_hot_keys_are_split(spark, split_settings, name):
     assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
 
 
-def test_keep_left_is_a_left_join(spark):
+def test_a_hot_key_is_reduced_before_sources_are_compared(spark):
+    found = rel.differing_values(hot(spark), hot(spark).withColumn("v", F.lit("x")), "k", "v")
+    assert found.count() == 40_000 and found.where("k = 7").first().pairs == 20_001 * 20_001
+
+
+def test_keep_left_cuts_a_hot_key_on_the_right(spark):
+    joined = keep_left(spark.range(100).select(F.col("id").alias("k")), hot(spark), ["k"], 1_000)
+    assert joined.count() == 20_100 and joined.where("k = 7").count() == 20_001
+
+
+@pytest.mark.parametrize("share", [1, 3, 1_000_000])
+def test_keep_left_is_a_left_join(spark, share):
     rng = random.Random(5)
     left = spark.createDataFrame([(rng.choice([None, 1, 2, 3, 9]), i) for i in range(40)], "k bigint, a bigint")
     right = spark.createDataFrame([(rng.choice([None, 1, 1, 1, 2]), i) for i in range(40)], "k bigint, b bigint")
     expected = Counter(tuple(r) for r in left.join(right, "k", "left").collect())
-    assert Counter(tuple(r) for r in keep_left(left, right, ["k"]).collect()) == expected
+    assert Counter(tuple(r) for r in keep_left(left, right, ["k"], share).collect()) == expected
 
 
 def test_compact_keys_are_equal_exactly_when_the_text_is(spark):
