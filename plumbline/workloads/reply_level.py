@@ -477,7 +477,7 @@ def drift_feed(t):
     return reports.groupBy("table_schema", "table_name").agg(last).select("table_schema", "table_name", "last.*")
 
 
-@workload("recommendation_feed", f"""WITH {d.CACHE} SELECT analysis_type, {SAFETY} AS safety_classification, COUNT(*) AS n
+@workload("recommendation_feed", f"""WITH {d.CACHE} SELECT analysis_type, {WHOLE_WORDS} AS safety_classification, COUNT(*) AS n
 FROM cache GROUP BY ALL""")
 def recommendation_feed(t):
     cache = d.cache_of(stream_of(t, "conversations")).withColumn("recommendation_text", F.col("ai_response"))
