@@ -99,7 +99,7 @@ def blocks_for(count: int, budget: int) -> int:
     return budget + 4
 
 
-def trie_pairs(values: np.ndarray, groups: np.ndarray, budget: int, bits: int = BITS, at_once: int = 2_000_000):
+def trie_pairs(values: np.ndarray, groups: np.ndarray, budget: int, bits: int = BITS, at_once: int = 400_000):
     """Pairs (i, j) of positions within ``budget`` of ``bits`` bits of each other.
 
     ``values`` are sorted within each group. ``groups`` has rows (a_lo, a_hi, b_lo, b_hi): the two tries to be
