@@ -269,7 +269,7 @@ def packed(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str
     sizes = cut_lineage(sizes.select(
         "length", "share", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before")), "shares")
     own = Window.partitionBy("length", "share").orderBy("row")
-    ranked = rows.withColumn("own", F.row_number().over(own) - 1).join(sizes, ["length", "share"])
+    ranked = rows.withColumn("own", F.row_number().over(own) - 1).join(sizes.hint("merge"), ["length", "share"])
     ranked = ranked.select("row", "length", (F.col("before") + F.col("own")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
