@@ -29,7 +29,7 @@ SPACE_BITS = 20
 PREFIX = 5
 # A feature is used if its documents are at least so many and lean to one side by so many standard errors.
 LEAST_DOCUMENTS, LEAST_LEAN = 4, 5.0
-RIDGE, ROUNDS = 1e-3, 300
+RIDGE, ROUNDS = 5e-5, 400
 
 
 def features(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
