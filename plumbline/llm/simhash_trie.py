@@ -6,8 +6,8 @@ document's component. Two tries are never compared whole. The 64 bits are cut in
 agreeing blocks and dealt over tasks by their bits. Below that, node pairs are followed together from the first
 bit, differing bits are added up, and a pair is left as soon as they exceed the budget.
 
-``near_copies`` is for texts that are alike rather than the same: one fingerprint of many bits estimates similarity, and
-its parts, joined in the same way, find the pairs to estimate.
+``near_copies`` is for texts that are alike rather than the same: the parts of a fingerprint of many bits, joined in the
+same way, find the pairs to compare, and the shingle sets of each such pair decide.
 
 Nulls and texts without a word have fingerprint 0 and are linked to each other as any others. Repeated texts
 and fingerprints are reduced to one before they are joined, so a group of copies costs one entry. A bucket larger
@@ -58,15 +58,25 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def wide_fingerprint(text: bytes, size: int, parts: int) -> bytes:
-    """``parts`` independent fingerprints of the word shingles, end to end."""
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """The sorted hashes of the word shingles; a shingle counts once however often it occurs."""
     words = text.lower().split()
     if not words:
-        return bytes(8 * parts)
+        return np.zeros(0, np.uint64)
     shingles = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*[words[i:] for i in range(size)]))
     digest = xxhash.xxh64_intdigest
-    # A shingle counts once however often it occurs, as in the similarity of sets.
-    hashes = np.array(list({digest(s, SEED) for s in shingles}), np.uint64)
+    return np.unique(np.array([digest(s, SEED) for s in shingles], np.uint64))
+
+
+def set_name(hashes: np.ndarray) -> int:
+    """Equal sets have equal names, as signed longs."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
+
+
+def wide_fingerprint(hashes: np.ndarray, parts: int) -> bytes:
+    """``parts`` independent fingerprints of a set of shingles, end to end."""
+    if not len(hashes):
+        return bytes(8 * parts)
     out = []
     for k in range(parts):
         spread = _SPREAD[mixed(hashes + np.uint64((k + 1) * STEP % 2**64)).view(np.uint8).reshape(-1, 8)]
@@ -178,17 +188,12 @@ class Forest:
         return self.root[inner], inner
 
 
-def join_groups(table: pa.Table, budget: int, bits: int, limit: int | None) -> pa.RecordBatch:
-    """Links among the nodes of whole groups (columns key, i, j, side, node, value, whole).
-
-    Pairs of values within ``budget`` bits are linked; with ``limit`` only if the whole fingerprints differ in at most
-    that many bits.
-    """
+def grouped(table: pa.Table, limit: int | None):
+    """(order of the rows, sorted values, sorted whole fingerprints or None, groups for ``trie_pairs``)."""
     key, i, j, side = (table.column(c).to_numpy() for c in ("key", "i", "j", "side"))
     values = table.column("value").to_numpy().view(np.uint64)
     order = np.lexsort((values, side, j, i, key))
     key, i, j, side, values = key[order], i[order], j[order], side[order], values[order]
-    nodes = table.column("node").to_numpy()[order]
     whole = None
     if limit is not None:
         joined = b"".join(table.column("whole").to_pylist())
@@ -202,6 +207,17 @@ def join_groups(table: pa.Table, budget: int, bits: int, limit: int | None) -> p
     own = i[lo] == j[lo]
     groups = np.stack([lo, np.where(own, hi, mid), np.where(own, lo, mid), hi], axis=1)
     groups = groups[np.where(own, hi - lo > 1, (mid > lo) & (hi > mid))]
+    return order, values, whole, groups
+
+
+def join_groups(table: pa.Table, budget: int, bits: int, limit: int | None) -> pa.RecordBatch:
+    """Links among the nodes of whole groups (columns key, i, j, side, node, value, whole).
+
+    Pairs of values within ``budget`` bits are linked; with ``limit`` only if the whole fingerprints differ in at most
+    that many bits.
+    """
+    order, values, whole, groups = grouped(table, limit)
+    nodes = table.column("node").to_numpy()[order]
     forest = Forest(len(values))
     for a, b in trie_pairs(values, groups, budget, bits):
         for at in range(0, len(a), 1 << 18):
@@ -216,6 +232,21 @@ def join_groups(table: pa.Table, budget: int, bits: int, limit: int | None) -> p
     return pa.record_batch({"a": pa.array(nodes[a]), "b": pa.array(nodes[b])})
 
 
+def group_pairs(table: pa.Table, budget: int, bits: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Like ``join_groups``, but each pair of nodes of different ``comp``, the smaller node first."""
+    order, values, whole, groups = grouped(table, limit)
+    nodes, comp = (table.column(c).to_numpy()[order] for c in ("node", "comp"))
+    for a, b in trie_pairs(values, groups, budget, bits):
+        for at in range(0, len(a), 1 << 18):
+            x, y = a[at:at + (1 << 18)], b[at:at + (1 << 18)]
+            apart = comp[x] != comp[y]
+            x, y = x[apart], y[apart]
+            near = np.bitwise_count(whole[x] ^ whole[y]).sum(axis=1) <= limit
+            x, y = nodes[x[near]], nodes[y[near]]
+            if len(x):
+                yield pa.record_batch({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+
+
 def fingerprint_links(distinct: DataFrame, budget: int = 3, share: int = SHARE) -> DataFrame:
     """Links (a, b) that connect whatever distinct fingerprints ``fp`` are connected by pairs within ``budget``."""
     n = blocks_for(distinct.count(), budget)
@@ -228,21 +259,33 @@ def fingerprint_links(distinct: DataFrame, budget: int = 3, share: int = SHARE)
     return bucket_links(rows.withColumn("whole", F.lit(None).cast("binary")), budget, BITS, None, share)
 
 
-def bucket_links(rows: DataFrame, budget: int, bits: int, limit: int | None, share: int = SHARE) -> DataFrame:
-    """Links (a, b) from rows (key, node, value, whole): the tries of each key, joined with themselves."""
-    rows = rows.select("key", "node", "value", "whole")
+def bucket_links(
+    rows: DataFrame, budget: int, bits: int, limit: int | None, share: int = SHARE, every: bool = False
+) -> DataFrame:
+    """Links (a, b) from rows (key, node, value, whole): the tries of each key, joined with themselves.
+
+    With ``every``, all pairs of nodes of different ``comp`` (one more column) instead of links that connect them.
+    """
+    carried = ["node", "value", "whole"] + ["comp"] * every
+    rows = rows.select("key", *carried)
     large = rows.groupBy("key").count().where(F.col("count") > share)
     large = cut_lineage(large.select("key", F.ceil(F.col("count") / share).cast("int").alias("shares")), "shares")
     if large.isEmpty():
-        rows = rows.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "value", "whole")
+        rows = rows.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), *carried)
     else:
         # Share s of a large bucket meets share t in group (s, t), and itself in (s, s).
         rows = rows.join(large, "key", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
         own = F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")
         rows = rows.withColumn("s", own).select(
-            "key", "node", "value", "whole", "s", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("t"))
+            "key", *carried, "s", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("t"))
         rows = rows.select("key", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"),
-                           (F.col("s") > F.col("t")).cast("int").alias("side"), "node", "value", "whole")
+                           (F.col("s") > F.col("t")).cast("int").alias("side"), *carried)
+
+    def joined(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if every:
+            yield from group_pairs(table, budget, bits, limit)
+        else:
+            yield join_groups(table, budget, bits, limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -260,23 +303,53 @@ def bucket_links(rows: DataFrame, budget: int, bits: int, limit: int | None, sha
             # Rows arrive sorted by group; the last group may go on in the next batch.
             cut = int(np.argmin(same[::-1])) if not same.all() else size
             if cut < size:
-                yield join_groups(table.slice(0, size - cut).combine_chunks(), budget, bits, limit)
+                yield from joined(table.slice(0, size - cut).combine_chunks())
                 held, size = [table.slice(size - cut)], cut
         if size:
-            yield join_groups(pa.concat_tables(held).combine_chunks(), budget, bits, limit)
+            yield from joined(pa.concat_tables(held).combine_chunks())
 
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-# Fingerprints that near_copies takes of a text, and the bits in which two halves of them may differ to be compared.
-PARTS, HALF_BITS, HALF_BUDGET = 6, 32, 3
+# Fingerprints whose halves near_copies joins, the first of them that travel whole, and the bits in which two halves may
+# differ to be compared.
+PARTS, WHOLE_PARTS, HALF_BITS, HALF_BUDGET = 12, 6, 32, 3
 
 
-def bits_for(similarity: float, bits: int) -> int:
-    """Differing bits expected of sets so similar, and one standard error more."""
+def bits_for(similarity: float, bits: int, errors: float = 1.0) -> int:
+    """Differing bits expected of sets so similar, and some standard errors more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
+    return math.floor(bits * p + errors * math.sqrt(bits * p * (1 - p)))
+
+
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) for each row of a table of one column, the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in texts_of(batch.column(0)):
+                found = [shingle_set(t.text(i), size) for i in range(len(t))]
+                offsets = np.r_[0, np.cumsum([len(h) for h in found])].astype(np.int32)
+                yield pa.record_batch({
+                    "node": pa.array([set_name(h) for h in found], pa.int64()),
+                    "shingles": pa.ListArray.from_arrays(
+                        pa.array(offsets), pa.array(np.concatenate(found).view(np.int64)))})
+
+    return docs.mapInArrow(run, "node long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those pairs (a, b) of nodes whose shingle sets are so similar."""
+    pairs = cut_lineage(pairs.distinct(), "candidates")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = cut_lineage(shingle_sets(docs, size).join(needed, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    for side in ("a", "b"):
+        own = sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set"))
+        pairs = pairs.join(own, side)
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    near = shared / (F.size("a_set") + F.size("b_set") - shared) >= F.lit(similarity)
+    return cut_lineage(pairs.where(near).select("a", "b"), "verified")
 
 
 def near_copies(
@@ -284,22 +357,29 @@ def near_copies(
 ) -> DataFrame:
     """(doc_id, component_id): documents whose sets of word shingles are similar are in one component.
 
-    The similarity, shared shingles over all shingles of two texts, is estimated from 64 * PARTS fingerprint bits. Pairs are
-    estimated if one of the 2 * PARTS halves agrees but for HALF_BUDGET bits: at a similarity of 0.8 that finds
-    some 97 in 100, and more above. Texts of fewer words are one shingle; those without any are alike. A
-    null id takes part and is given back as null.
+    The similarity is shared shingles over all shingles of two texts, at least ``similarity`` for a link. Pairs are compared if
+    one of the 2 * PARTS halves agrees but for HALF_BUDGET bits and 64 * WHOLE_PARTS bits differ by no more than four
+    standard errors above what is expected; at a similarity of 0.8 both let some 999 in 1000 through, and more above. Only
+    the sets decide. Each member of a group of likely copies is first compared with one other; after that, all pairs
+    of what is still apart. Texts of fewer words are one shingle; those without any are alike. A null id
+    takes part and is given back as null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_fingerprint(t.text(i), size, PARTS) for t in texts_of(batch.column(1)) for i in range(len(t))]
-            yield pa.record_batch({"doc_id": batch.column(0), "whole": pa.array(found, pa.binary())})
+            names, found = [], []
+            for t in texts_of(batch.column(1)):
+                for i in range(len(t)):
+                    hashes = shingle_set(t.text(i), size)
+                    names.append(set_name(hashes))
+                    found.append(wide_fingerprint(hashes, PARTS))
+            yield pa.record_batch({
+                "doc_id": batch.column(0), "node": pa.array(names, pa.int64()), "parts": pa.array(found, pa.binary())})
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    marked = cut_lineage(rows.mapInArrow(run, "doc_id long, whole binary"), "fingerprints")
-    node = F.xxhash64("whole").alias("node")
+    marked = cut_lineage(rows.mapInArrow(run, "doc_id long, node long, parts binary"), "fingerprints")
     distinct = cut_lineage(
-        marked.groupBy("whole").agg(F.min("doc_id").alias("first")).select(node, "whole", "first"), "distinct")
+        marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("parts").alias("parts")), "distinct")
     n = HALF_BUDGET + 1
     width = HALF_BITS // n
 
@@ -307,25 +387,37 @@ def near_copies(
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                whole = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u4").reshape(part.num_rows, -1)
-                for h in range(whole.shape[1]):
-                    value = whole[:, h].astype(np.uint64)
+                parts = part.column(1).to_pylist()
+                whole = pa.array([p[:8 * WHOLE_PARTS] for p in parts], pa.binary())
+                each = np.frombuffer(b"".join(parts), "<u4").reshape(part.num_rows, -1)
+                for h in range(each.shape[1]):
+                    value = each[:, h].astype(np.uint64)
                     for b in range(n):
                         block = value >> np.uint64(b * width) & np.uint64((1 << width) - 1)
                         key = mixed(block + np.uint64((h * n + b + 1) << HALF_BITS))
                         yield pa.record_batch({
                             "key": pa.array(key.view(np.int64)), "node": part.column(0),
-                            "value": pa.array(value.view(np.int64)), "whole": part.column(1)})
-
-    pairs = distinct.select("node", "whole").mapInArrow(halves, "key long, node long, value long, whole binary")
-    links = bucket_links(pairs, HALF_BUDGET, HALF_BITS, bits_for(similarity, 64 * PARTS))
-    roots = components(links)
+                            "value": pa.array(value.view(np.int64)), "whole": whole, "comp": part.column(2)})
+
+    def candidates(named: DataFrame, errors: float, every: bool) -> DataFrame:
+        entries = named.select("node", "parts", "comp").mapInArrow(
+            halves, "key long, node long, value long, whole binary, comp long")
+        return bucket_links(
+            entries, HALF_BUDGET, HALF_BITS, bits_for(similarity, 64 * WHOLE_PARTS, errors), every=every)
+
+    texts = rows.select("text")
+    likely = components(candidates(distinct.withColumn("comp", F.col("node")), 0.0, False))
+    first = verified(likely.where("node <> root").select(
+        F.least("node", "root").alias("a"), F.greatest("node", "root").alias("b")), texts, size, similarity)
+    named = distinct.join(components(first), "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    second = verified(candidates(cut_lineage(named, "named"), 4.0, True), texts, size, similarity)
+    roots = components(first.unionByName(second))
     placed = cut_lineage(
         distinct.select("node", "first").join(roots, "node", "left")
         .withColumn("root", F.coalesce("root", "node")), "placed")
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = cut_lineage(placed.join(named, "root").select("node", "component_id"), "classes")
-    return marked.select("doc_id", node).join(classes, "node").select("doc_id", "component_id")
+    return marked.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")
 
 
 def similar(

@@ -132,6 +132,19 @@ def test_near_copies(spark):
     assert S.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("total, shared, alike", [
+    (178, 156, False), (180, 160, True), (182, 164, True), (185, 170, True)])
+def test_near_copies_are_decided_by_their_sets(spark, total, shared, alike):
+    """Pairs of a similarity of exactly 0.78, 0.80, 0.82 and 0.85."""
+    rows = []
+    for k in range(60):
+        common = [f"w{k}x{n}" for n in range(shared + 4)]
+        for side in "ab":
+            rows.append((len(rows), " ".join(common + [f"{side}{k}x{n}" for n in range(total - shared)])))
+    found = S.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i - i % 2 if alike else i for i, _ in rows}
+
+
 def test_groups_cut_by_batches(spark):
     """Groups that end within, or span, several Arrow batches are joined whole."""
     values = near_set(9, 300)
