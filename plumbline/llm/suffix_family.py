@@ -6,6 +6,8 @@ strings are judged on the input.
 Where suffixes are kept. Each window of ``length`` bytes picks the smallest hash of the ``GRAM``-byte strings in it.
 Equal windows pick equal hashes, so a hash that one document holds alone rules out all windows that picked it. The
 rest, spans of windows with one hash, are dealt over buckets by that hash: any two equal windows meet in one bucket.
+A hash that more than ``HOT`` spans picked would fill its bucket. Its spans are cut into single windows, which are dealt
+by their own hash: equal windows still meet, and the spans of one hash spread over all buckets.
 
 Only 32 bits of a hash travel: a bucket holds about as many whatever the input, and a chance agreement costs work, not
 results. Texts are shuffled once, compressed, and read twice.
@@ -43,6 +45,9 @@ GRAM = 28
 PER_BUCKET = 8 << 20
 BATCH = 1 << 17
 SLICE = 1 << 18
+# Spans of one hash that one bucket holds; those of others are dealt by window, so many windows at a time.
+HOT = 1 << 14
+CUT = 1 << 18
 
 
 def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -225,7 +230,9 @@ def merged(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray)
     return doc[at], key[at], start[at], np.maximum.reduceat(end, at) if len(at) else end
 
 
-def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_ranges(
+    docs: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT
+) -> DataFrame:
     """(id, ranges) for ids whose texts lose bytes.
 
     ``docs`` has columns ``__id`` and ``__text``, ``packed`` ``__id`` and ``__packed``, the compressed texts. ranges
@@ -246,52 +253,61 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = LENGTH, gr
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parcels = Parcels()
-        for _, rows in buckets(batches):
+        for bucket, rows in buckets(batches):
             picked, ids = open_parcels(rows)
             order = np.argsort(picked)
             picked, ids = picked[order], ids[order]
             at = np.flatnonzero(np.r_[True, picked[1:] != picked[:-1]])
             several = np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at)
-            keep = np.repeat(several, np.diff(np.r_[at, len(ids)]))
+            n = np.diff(np.r_[at, len(ids)])
+            keep = np.repeat(several, n)
+            # The bucket of a hot hash, plus one: with ``picked`` it tells the hash as it is told apart here.
+            home = np.repeat(np.where(n > hot, bucket + 1, 0), n)[keep].astype(np.uint32)
             picked, ids = picked[keep], ids[keep]
             order = np.argsort(ids, kind="stable")
-            yield from parcels.add(id_bucket(ids[order], count), picked[order], ids[order])
+            yield from parcels.add(id_bucket(ids[order], count), picked[order], home[order], ids[order])
         yield from parcels.flush()
 
     def of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in buckets(batches):
-            picked, ids = open_parcels(rows)
+            picked, home, ids = open_parcels(rows)
             order = np.argsort(ids, kind="stable")
-            picked, ids = picked[order], ids[order]
+            picked, home, ids = picked[order], home[order], ids[order]
             at = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            blobs = [picked[a:b].tobytes() for a, b in zip(at, np.r_[at[1:], len(ids)])]
+            ends = np.r_[at[1:], len(ids)]
+            blobs = [picked[a:b].tobytes() for a, b in zip(at, ends)]
+            many = [homed(picked[a:b], home[a:b])[home[a:b] > 0].tobytes() for a, b in zip(at, ends)]
             for k in range(0, len(at), 4096):
                 yield pa.record_batch({
-                    "__key": pa.array(ids[at[k:k + 4096]]), "__held": pa.array(blobs[k:k + 4096], pa.binary())})
+                    "__key": pa.array(ids[at[k:k + 4096]]), "__held": pa.array(blobs[k:k + 4096], pa.binary()),
+                    "__hot": pa.array(many[k:k + 4096], pa.binary())})
 
     held = by_bucket(docs.select("__id", "__text").mapInArrow(pick, PACKED), count).mapInArrow(shared, PACKED)
-    held = by_bucket(held, count).mapInArrow(of_documents, "__key long, __held binary")
+    held = by_bucket(held, count).mapInArrow(of_documents, "__key long, __held binary, __hot binary")
     candidates = packed.join(held.hint("shuffle_hash"), packed["__id"] == held["__key"], "left")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = SpanPacker(count)
+        packer = SpanPacker(count, length)
         for batch in batches:
             batch = batch.filter(batch.column("__held").is_valid())
             ids, _ = ids_of(batch.column("__id"))
-            blobs = batch.column("__held").to_pylist()
+            blobs, many = batch.column("__held").to_pylist(), batch.column("__hot").to_pylist()
             for texts in texts_of(inflated(batch.column("__packed")), SLICE):
                 text, start, n, picked = window_runs(texts, length, gram)
                 edges = np.searchsorted(text, np.arange(len(texts) + 1))
-                keep = np.zeros(len(text), bool)
+                keep, often = np.zeros(len(text), bool), np.zeros(len(text), bool)
                 for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
                     if a < b:
                         keep[a:b] = np.isin(short(picked[a:b]), np.frombuffer(blobs[texts.first + i], np.uint32))
-                text, start, n, picked = text[keep], start[keep], n[keep], picked[keep]
+                        if many[texts.first + i]:
+                            own = homed(short(picked[a:b]), picked[a:b] % np.uint64(count) + np.uint64(1))
+                            often[a:b] = np.isin(own, np.frombuffer(many[texts.first + i], np.uint64))
+                text, start, n, picked, often = text[keep], start[keep], n[keep], picked[keep], often[keep]
                 if len(text):
                     own = np.array([text_key(texts.text(i)) for i in range(len(texts))], np.uint64)
                     yield from packer.add(
                         texts.data, start, n + (length - 1), picked, ids[texts.first + text], own[text],
-                        start - texts.offsets[text])
+                        start - texts.offsets[text], often)
         yield from packer.flush()
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +329,7 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = LENGTH, gr
                 yield pa.record_batch({
                     "__key": pa.array(doc[at[k:k + 4096]]), "__ranges": pa.array(blobs[k:k + 4096], pa.binary())})
 
-    found = candidates.select("__id", "__packed", "__held").mapInArrow(spans, PACKED)
+    found = candidates.select("__id", "__packed", "__held", "__hot").mapInArrow(spans, PACKED)
     found = by_bucket(found, count).mapInArrow(cover, PACKED)
     return by_bucket(found, count).mapInArrow(by_id, "__key long, __ranges binary")
 
@@ -323,19 +339,27 @@ def short(picked: np.ndarray) -> np.ndarray:
     return (picked >> np.uint64(32)).astype(np.uint32)
 
 
+def homed(picked: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """A short hash and its bucket plus one in one number."""
+    return home.astype(np.uint64) << np.uint64(32) | picked.astype(np.uint64)
+
+
 def id_bucket(ids: np.ndarray, count: int) -> np.ndarray:
     return (ids.astype(np.uint64) * np.uint64(STEP) >> np.uint64(33)) % np.uint64(count)
 
 
 class SpanPacker:
-    """Like :class:`Packer` for spans of bytes; spans that repeat whole within it are settled by the smallest id."""
+    """Like :class:`Packer` for spans of bytes; spans that repeat whole within it are settled by the smallest id.
+
+    Spans of hot hashes that are not settled so are cut into their windows, dealt by window; what is settled goes by id.
+    """
 
-    def __init__(self, count: int, limit: int = 16 << 20):
-        self.count, self.limit, self.held, self.size = count, limit, [], 0
+    def __init__(self, count: int, length: int = LENGTH, limit: int = 16 << 20):
+        self.count, self.length, self.limit, self.held, self.size = count, length, limit, [], 0
 
-    def add(self, data, starts, sizes, picked, ids, keys, places) -> Iterator[pa.RecordBatch]:
+    def add(self, data, starts, sizes, picked, ids, keys, places, hot) -> Iterator[pa.RecordBatch]:
         content = gather(data, starts, sizes)
-        self.held.append((content, sizes, picked, ids, keys, places))
+        self.held.append((content, sizes, picked, ids, keys, places, hot))
         self.size += len(content)
         if self.size >= self.limit:
             yield from self.flush()
@@ -343,17 +367,36 @@ class SpanPacker:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
             return
-        content, sizes, picked, ids, keys, places = (np.concatenate(x) for x in zip(*self.held))
+        content, sizes, picked, ids, keys, places, hot = (np.concatenate(x) for x in zip(*self.held))
         self.held, self.size = [], 0
         first = np.cumsum(sizes) - sizes
-        hashes = content_hashes(content, first, sizes)
-        order = np.lexsort((ids, sizes, hashes))
-        h, s, d = hashes[order], sizes[order], ids[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-        settled = np.zeros(len(order), np.uint8)
-        settled[order] = d > d[new][np.cumsum(new) - 1]
+        settled = repeats(content_hashes(content, first, sizes), sizes, ids)
         bucket = (picked % np.uint64(self.count)).astype(np.int32)
+        done = hot & (settled > 0)
+        bucket[done] = id_bucket(ids[done], self.count).astype(np.int32)
+        whole = np.flatnonzero(~hot | done)
+        if len(whole):
+            yield self.rows(
+                content, first[whole], sizes[whole], bucket[whole], ids[whole], keys[whole], places[whole], settled[whole])
+        # Spans of one hash one after another, so that their equal windows are cut together.
+        cut = np.flatnonzero(hot & ~done)
+        cut = cut[np.argsort(picked[cut], kind="stable")]
+        n = sizes[cut] - (self.length - 1)
+        ends = np.cumsum(n)
+        begin = 0
+        while begin < len(cut):
+            stop = max(begin + 1, int(np.searchsorted(ends, ends[begin] - n[begin] + CUT, side="right")))
+            span = np.repeat(cut[begin:stop], n[begin:stop])
+            step = np.arange(len(span)) - np.repeat(ends[begin:stop] - n[begin:stop] - (ends[begin] - n[begin]), n[begin:stop])
+            starts, size = first[span] + step, np.full(len(span), self.length, sizes.dtype)
+            hashes = content_hashes(content, starts, size)
+            settled = repeats(hashes, size, ids[span])
+            bucket = np.where(settled > 0, id_bucket(ids[span], self.count), hashes % np.uint64(self.count))
+            yield self.rows(
+                content, starts, size, bucket.astype(np.int32), ids[span], keys[span], places[span] + step, settled)
+            begin = stop
+
+    def rows(self, content, first, sizes, bucket, ids, keys, places, settled) -> pa.RecordBatch:
         order = np.lexsort((places, keys, ids, bucket))
         edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
         rows = []
@@ -363,7 +406,18 @@ class SpanPacker:
             rows.append(squeeze(
                 ids[part], keys[part], places[part].astype(np.uint32), sizes[part].astype(np.uint32), settled[part],
                 gather(content, first[open_], sizes[open_])))
-        yield parcel_rows(bucket[order[edges[:-1]]], rows)
+        return parcel_rows(bucket[order[edges[:-1]]], rows)
+
+
+def repeats(hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """1 for each span that a smaller id holds as well."""
+    order = np.lexsort((ids, sizes, hashes))
+    h, s, d = hashes[order], sizes[order], ids[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+    settled = np.zeros(len(order), np.uint8)
+    settled[order] = d > d[new][np.cumsum(new) - 1]
+    return settled
 
 
 def unpack_spans(rows: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -379,12 +433,12 @@ RESULT = T.StructType([
 
 def remove_repeats(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", carry: Sequence[str] = (),
-    length: int = LENGTH, gram: int = GRAM, whole_characters: bool = False,
+    length: int = LENGTH, gram: int = GRAM, whole_characters: bool = False, hot: int = HOT,
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, the carried columns, n_bytes, n_removed, n_spans, removed, kept.
 
     kept holds the remaining bytes; removed the removed runs as pairs of little-endian unsigned 32-bit numbers, start
-    and end, all starts first. ``gram`` must be well below ``length``; it changes the work, not the result.
+    and end, all starts first. ``gram`` must be well below ``length``; it and ``hot`` change the work, not the result.
     """
     own = docs.select(
         F.col(id_column).cast("long").alias("__id"), F.col(text).cast("string").alias("__text"),
@@ -398,7 +452,7 @@ def remove_repeats(
                 [batch.column(c) for c in passed] + [deflated(batch.column("__text"))], names=[*passed, "__packed"])
 
     packed = own.mapInArrow(pack, T.StructType([*kept, T.StructField("__packed", T.BinaryType())]))
-    ranges = repeated_ranges(own, packed, length, gram)
+    ranges = repeated_ranges(own, packed, length, gram, hot)
     joined = packed.join(ranges.hint("shuffle_hash"), packed["__id"] == ranges["__key"], "left").drop("__key")
     schema = T.StructType(kept + RESULT.fields)
 

@@ -51,6 +51,45 @@ def test_like_brute_force(spark, seed):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("hot", [0, 5, 10**6])
+def test_hot_grams(spark, hot):
+    """A passage between neighbours that differ, repeat in part and stand in texts of one id."""
+    rng = random.Random(4)
+    passage = "this passage stands in very many of the documents"
+    rows = []
+    for k in range(120):
+        left, right = ("".join(rng.choices("abc ", k=rng.randint(0, 40))) for _ in range(2))
+        rows.append((k - k % 7 // 6, left + passage * rng.randint(1, 2) + right))
+        if k % 5 == 0:
+            rows.append((k + 300, rng.choice(rows)[1][rng.randint(0, 9):] + rng.choice("xy") * 60))
+    rows += [(None, passage * 3), (-1, "z" * 30 + passage), (999, "é" * 300 + rows[8][1])]
+    check(spark, rows, hot=hot)
+
+
+def test_spans_of_a_hot_gram_spread_over_buckets():
+    rng = random.Random(2)
+    texts = [("".join(rng.choices("abcd", k=40)) + "one passage of at least fifty bytes, in all of the texts" + "".join(
+        rng.choices("abcd", k=40))).encode() for _ in range(400)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    size = np.array([len(t) for t in texts])
+    starts = np.cumsum(size) - size
+    n = len(texts)
+    packer = S.SpanPacker(16)
+    same, ids = np.full(n, 12345, np.uint64), np.arange(n)
+    batches = list(packer.add(data, starts, size, same, ids, ids.astype(np.uint64), np.zeros(n, np.int64), np.ones(n, bool)))
+    batches += list(packer.flush())
+    held, covered = np.zeros(16, np.int64), {}
+    for b in range(16):
+        rows = [r for batch in batches for name, r in zip(*[c.to_pylist() for c in batch.columns]) if name == b]
+        fixed, spans = S.unpack_spans(rows)
+        held[b] = len(spans)
+        for d, _, lo, hi in zip(*S.covered_ranges(fixed, spans, 50)):
+            covered.setdefault(int(d), set()).update(range(lo, hi))
+    assert held.max() < 2 * held.sum() / 16
+    expected = brute([(i, t.decode()) for i, t in enumerate(texts)])
+    assert [len(covered.get(i, ())) for i in range(n)] == [r[2] for r in expected]
+
+
 def test_odd_rows(spark):
     line = "a line of some fifty and more bytes that many documents share, word by word.\n"
     rows = [
