@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    byte_gru, host_quality, packing, reply_trees, simhash_trie, spaced_seeds, suffix_family, suffix_tree_lm,
-    toxicity_chain, warc_derivatives,
+    byte_gru, host_quality, line_dedup, packing, reply_trees, simhash_trie, spaced_seeds, suffix_family,
+    suffix_tree_lm, toxicity_chain, warc_derivatives,
 )
 from plumbline.llm.spark import documents
 
@@ -141,3 +141,28 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = warc_derivatives.responses(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return warc_derivatives.derivatives(pages).withColumnRenamed("key", "page_id")
+
+
+LINE_SQL = r"""
+WITH split AS (
+  SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+each AS (SELECT doc_id, text, unnest(l) AS line, unnest(range(len(l))) AS i FROM split),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM each),
+common AS (
+  SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40
+  GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+marked AS (
+  SELECT keyed.*, common.k IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone
+  FROM keyed LEFT JOIN common ON keyed.k = common.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id, text
+"""
+
+
+@query("op12_line_dedup", LINE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.without_common_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
