@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    byte_gru, host_quality, line_dedup, packing, reply_trees, simhash_trie, spaced_seeds, suffix_family,
-    suffix_tree_lm, toxicity_chain, warc_derivatives,
+    byte_gru, host_quality, line_dedup, packing, prefix_trie, reply_trees, simhash_trie, spaced_seeds,
+    spelling_variants, suffix_family, suffix_tree_lm, toxicity_chain, warc_derivatives,
 )
 from plumbline.llm.spark import documents
+from plumbline.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -166,3 +167,93 @@ FROM marked GROUP BY doc_id, text
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.without_common_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# The checksum of an id is worked out byte by byte from its table. Totals are sums over every node below, found through
+# the prefixes of its smallest member.
+TRIE_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(
+    range(8), lambda c, x: xor(c >> 1, 3988292384 * (c & 1)), CAST(i AS BIGINT))) AS t),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY i) AS own,
+         xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                     lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 4 AS h
+  FROM turns, crc GROUP BY conv_id, t),
+built AS (
+  SELECT c.conv_id, list_concat(coalesce(b.own[1:c.h], []), c.own[c.h + 1:]) AS l
+  FROM convs c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 20),
+pre AS (
+  SELECT conv_id, d, sha256(CAST(l[1:d] AS VARCHAR) || array_to_string(list_transform(l[1:d], lambda x:
+           length(x.role) || '_' || x.role || length(x.text) || '_' || x.text), ',')) AS p, l[d].text AS t, len(l) = d AS ends
+  FROM (SELECT conv_id, l, unnest(range(len(l) + 1)) AS d FROM built)),
+node AS (
+  SELECT d, p, min(conv_id) AS conv_id, count(*) AS n,
+         len(regexp_extract_all(coalesce(any_value(t), ''), '[^\x20\x09-\x0D]+')) AS words,
+         sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends
+  FROM pre GROUP BY d, p),
+parent AS (
+  SELECT node.*, up.p AS pp, up.conv_id AS parent FROM node
+  LEFT JOIN pre ON pre.conv_id = node.conv_id AND pre.d = node.d - 1
+  LEFT JOIN node up ON up.d = pre.d AND up.p = pre.p),
+children AS (SELECT d - 1 AS d, pp AS p, count(*) AS k FROM parent WHERE d > 0 GROUP BY ALL),
+own AS (SELECT node.*, coalesce(k, 0) AS k FROM node LEFT JOIN children USING (d, p)),
+total AS (
+  SELECT pre.d, pre.p, count(*) FILTER (own.k = 0) AS leaves, sum((own.n - 1) * own.words) AS saved
+  FROM own JOIN pre ON pre.conv_id = own.conv_id AND pre.d <= own.d GROUP BY pre.d, pre.p)
+SELECT own.conv_id, own.d AS depth, parent.parent AS parent_conv_id, own.n AS n_convs, own.k AS n_children,
+       total.leaves AS n_leaves, CAST(total.saved AS BIGINT) AS saved_tokens, own.ends AS ends_sha256
+FROM own JOIN total USING (d, p) JOIN parent USING (d, p)
+"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+# Near words are found by what is left when one character is taken away: an insertion leaves the other word, a
+# replacement the same rest at the same place.
+SPELLING_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(
+    range(8), lambda c, x: xor(c >> 1, 3988292384 * (c & 1)), CAST(i AS BIGINT))) AS t),
+runs AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS r FROM documents) GROUP BY ALL),
+bytes AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r)) AS x FROM runs WHERE length(r) >= 5),
+hashed AS (
+  SELECT r, n, xor(list_reduce(
+    list_transform(range(length(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM bytes, crc),
+counted AS (
+  SELECT CASE WHEN h % 97 = 0 THEN r[1:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word,
+         CAST(sum(n) AS BIGINT) AS n FROM hashed GROUP BY 1),
+words AS (SELECT word, n FROM counted WHERE length(word) >= 5 AND n >= 3),
+rests AS (SELECT word, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b FROM rests a JOIN rests b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT word, rest FROM rests WHERE rest IN (SELECT word FROM words)
+  UNION SELECT rest, word FROM rests WHERE rest IN (SELECT word FROM words)),
+best AS (
+  SELECT a AS word, count(*) AS n_near, first(b ORDER BY n DESC, b) AS form, max(n) AS form_n
+  FROM pairs JOIN words ON words.word = pairs.b GROUP BY a),
+forms AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form,
+         CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS reached FROM forms
+  UNION SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.reached WHERE forms.form IS NOT NULL)
+SELECT forms.word, forms.n, forms.n_near, forms.form, forms.form_n, walk.reached AS root
+FROM forms JOIN walk ON walk.word = forms.word JOIN forms f ON f.word = walk.reached AND f.form IS NULL
+"""
+
+
+@query("op11_spelling_variants", SPELLING_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = cut_lineage(spelling_variants.word_counts(documents(spark, sf_dir)), "words")
+    return spelling_variants.variants(words)
