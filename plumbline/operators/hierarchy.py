@@ -35,12 +35,34 @@ def _to_ends(links: DataFrame, max_hops: int | None) -> DataFrame:
     return pointers.join(ends, "end", "left_anti").select("node", "end", "hops")
 
 
+def _with_shortcuts(steps: DataFrame, max_hops: int | None) -> DataFrame:
+    """The steps (node, end, hops) and, for each node, those of 2, 4, 8, ... steps along nearest ends.
+
+    Every shortcut has the length of the path it stands for, so smallest depths stay what they are.
+    """
+    far = cut_lineage(steps.groupBy("node").agg(F.min(F.struct("hops", "end")).alias("s")).select(
+        "node", "s.end", "s.hops"), "nearest")
+    most, reach, found = far.count(), 1, steps
+    if max_hops is not None:
+        most = min(most, max_hops)
+    while reach <= most:
+        ahead = far.select(F.col("node").alias("end"), F.col("end").alias("__end"), F.col("hops").alias("__hops"))
+        far = cut_lineage(far.join(ahead, "end").select(
+            "node", F.col("__end").alias("end"), (F.col("hops") + F.col("__hops")).alias("hops")), "nearest")
+        if far.isEmpty():
+            break
+        found = found.unionByName(far)
+        reach *= 2
+    return cut_lineage(found.groupBy("node", "end").agg(F.min("hops").alias("hops")), "steps")
+
+
 def walk(df: DataFrame, node: str, parent: str, max_depth: int | None, starts: DataFrame | None = None) -> DataFrame:
     """Every node reached from the roots, with its depth (roots have depth 1).
 
     A node counts once, at its smallest depth, so repeated ids and cycles end the walk. Chains of nodes with one parent
-    are followed by pointer doubling down to their ends: roots, unknown parents and nodes with several parents. Only
-    those last are walked step by step, from end to end.
+    are followed by pointer doubling down to their ends: roots, unknown parents and nodes with several parents. Those
+    last are walked from end to end, with the chains of their nearest parents as shortcuts, so that the steps follow the
+    changes from one such chain to another and not the depth.
     """
     edges = cut_lineage(
         present(df.select(F.col(node).alias("node"), F.col(parent).alias("up")), ["node", "up"]).distinct(), "edges")
@@ -56,6 +78,7 @@ def walk(df: DataFrame, node: str, parent: str, max_depth: int | None, starts: D
         steps = several.join(chains.select(F.col("node").alias("up"), "end", "hops"), "up", "left").select(
             "node", F.coalesce("end", "up").alias("end"), (F.coalesce("hops", F.lit(0)) + 1).alias("hops"))
         steps = cut_lineage(steps.groupBy("node", "end").agg(F.min("hops").alias("hops")), "steps")
+        steps = _with_shortcuts(steps, max_depth)
         depths = cut_lineage(depths, "depths")
         changed = depths
         while not changed.isEmpty():

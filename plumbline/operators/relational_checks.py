@@ -102,21 +102,27 @@ def repeated_tuple_counts(
     )
 
 
-def differing_values(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
-    """Keys of two sources whose values disagree: one row per key, with the values that differ and how many pairs do.
-
-    Row pairs are never formed. Both sources are counted per (key, value) in one shuffle and folded per key. ``source_a_val``
-    and ``source_b_val`` are the smallest value of either source, ``source_a_max`` and ``source_b_max`` the largest; for a
-    key with one value on each side they agree. ``pairs`` is the number of row pairs that differ.
-    """
+def _sides(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, na, nb): how often each value of a key occurs on either side, counted in one shuffle."""
     def side(df: DataFrame, a: int, b: int) -> DataFrame:
         filled = present(df, [key, value])
         return filled.select(key, F.col(value).alias("value"), F.lit(a).alias("a"), F.lit(b).alias("b"))
 
-    folded = (
+    return (
         side(left, 1, 0).unionByName(side(right, 0, 1)).groupBy(key, "value")
         .agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     )
+
+
+def differing_values(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """Keys of two sources whose values disagree: one row per key, with the values that differ and how many pairs do.
+
+    Row pairs are never formed. Both sources are counted per (key, value) in one shuffle and folded per key. ``source_a_val``
+    and ``source_b_val`` are the smallest value of either source, ``source_a_max`` and ``source_b_max`` the largest; for a
+    key with one value on each side they agree. ``pairs`` is the number of row pairs that differ. All values of such keys
+    are listed by :func:`differing_value_rows`.
+    """
+    folded = _sides(left, right, key, value)
     in_a, in_b = F.when(F.col("na") > 0, F.col("value")), F.when(F.col("nb") > 0, F.col("value"))
     return folded.groupBy(key).agg(
         F.min(in_a).alias("source_a_val"), F.max(in_a).alias("source_a_max"),
@@ -125,6 +131,20 @@ def differing_values(left: DataFrame, right: DataFrame, key: str, value: str) ->
     ).where("pairs > 0")
 
 
+def differing_value_rows(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, side, value, occurrences, pairs): every value of the keys on which two sources disagree, by side.
+
+    ``pairs`` is the number of rows of the other source that differ from it, so no value and no difference is lost and
+    still no pair is formed. Totals per key are joined back to its values, so a key with very many values stays spread.
+    """
+    counted = _sides(left, right, key, value)
+    totals = group_apart(counted, [key], F.sum("na").alias("ta"), F.sum("nb").alias("tb")).where("ta > 0 AND tb > 0")
+    each = counted.join(totals, key).select(key, "value", F.inline(F.array(
+        F.struct(F.lit("A").alias("side"), F.col("na").alias("occurrences"), (F.col("tb") - F.col("nb")).alias("pairs")),
+        F.struct(F.lit("B").alias("side"), F.col("nb").alias("occurrences"), (F.col("ta") - F.col("na")).alias("pairs")))))
+    return each.where("occurrences > 0 AND pairs > 0").select(key, "side", "value", "occurrences", "pairs")
+
+
 def table_checksum(df: DataFrame, columns: list[str], amounts: list[str]) -> DataFrame:
     """Row count, sums and an order-free checksum in one pass."""
     return df.agg(

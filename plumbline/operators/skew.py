@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.session import cut_lineage
+
 
 def key_counts(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
     """Rows per key. Map-side partial aggregation reduces a hot key to one row per task."""
@@ -78,18 +80,22 @@ KEY_SHARE = 1_000_000
 def keep_left(left: DataFrame, right: DataFrame, keys: Sequence[str], share: int = KEY_SHARE) -> DataFrame:
     """A left join that stays balanced when the *right* side has hot keys.
 
-    Adaptive execution can only split the preserved side of an outer join. Keys with more than ``share`` rows on the
-    right are cut into shares, counted beforehand, and a left row is repeated for each; the repetitions
-    that find nothing are dropped, because the count tells that another one does. Keys must not be NULL on the
-    right; NULL keys on the left find nothing.
+    Adaptive execution can only split the preserved side of an outer join. Keys are counted first; only if some have
+    more than ``share`` rows on the right are these cut into shares by a hash of the whole row, and a left row is repeated
+    for each; the repetitions that find nothing are dropped, because the count tells that another one does.
+    Keys must not be NULL on the right; NULL keys on the left find nothing.
     """
-    counts = key_counts(present(right, keys), keys, "__rows").withColumn(
-        "__shares", F.ceil(F.col("__rows") / share).cast("int"))
-    ahead = left.join(counts.drop("__rows"), list(keys), "left").withColumn(
+    counts = key_counts(present(right, keys), keys, "__rows").where(F.col("__rows") > share)
+    large = cut_lineage(
+        counts.select(*keys, F.ceil(F.col("__rows") / share).cast("int").alias("__shares")), "hot_keys")
+    if large.isEmpty():
+        return left.join(right, list(keys), "left")
+    ahead = left.join(large, list(keys), "left").withColumn(
         "__share", F.explode(F.sequence(F.lit(0), F.coalesce("__shares", F.lit(1)) - 1)))
-    large = counts.where("__shares > 1").drop("__rows").withColumnRenamed("__shares", "__cut")
-    own = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("__cut", F.lit(1))).cast("int")
-    behind = right.join(large, list(keys), "left").withColumn("__share", own).drop("__cut").withColumn(
-        "__found", F.lit(True))
+    hashed = [f.name for f in right.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    own = F.pmod(F.xxhash64(*hashed), F.coalesce("__cut", F.lit(1))).cast("int")
+    behind = right.join(large.withColumnRenamed("__shares", "__cut"), list(keys), "left").withColumn("__share", own).drop(
+        "__cut").withColumn("__found", F.lit(True))
     joined = ahead.join(behind, [*keys, "__share"], "left")
+    # A left row whose key was cut finds its partners in some shares; one whose key was not cut has a single share.
     return joined.where("__found OR __shares IS NULL").drop("__share", "__shares", "__found")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,20 +154,75 @@ def run_query(spark: SparkSession, sql: str, approved: list[str], limit: int = R
     if verdict.status != "ACCEPTED":
         return verdict.status, verdict.message, None
     try:
-        allowed = {name.upper() for name in approved}
         for name in relations_read(spark, sql):
-            if name.split(".")[-1].upper() not in allowed:
-                return "BLOCKED", f"unapproved object: {name}", None
+            if not is_approved(spark, name, approved):
+                return "BLOCKED", f"unapproved object: {'.'.join(name)}", None
         rows = spark.sql(sql).limit(limit)
         return "SUCCESS", None, spark.createDataFrame(rows.collect(), rows.schema)
     except Exception as error:
         return "EXECUTION_ERROR", str(error), None
 
 
-def relations_read(spark: SparkSession, sql: str) -> list[str]:
-    """Names of the tables and views that a query refers to, its own common table expressions left out."""
-    plan = spark.sql(f"EXPLAIN EXTENDED {sql}").first()[0].split("== Analyzed Logical Plan ==")[0]
-    inner = {m.upper() for m in re.findall(r"CTE \[([^\]]*)\]", plan) for m in re.split(r",\s*", m)}
-    names = re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan)
-    found = [".".join(re.split(r",\s*", n)) for n in names]
-    return [n for n in dict.fromkeys(found) if n.upper() not in inner]
+def is_approved(spark: SparkSession, name: tuple[str, ...], approved: list[str]) -> bool:
+    """Whether the last part of a name is on the list and what stands before it is a database, not a file format."""
+    if name[-1].upper() not in {a.upper() for a in approved}:
+        return False
+    return len(name) == 1 or spark.catalog.databaseExists(".".join(f"`{part.replace('`', '``')}`" for part in name[:-1]))
+
+
+# Table functions that read no stored data, expressions that hold a query, and relations whose name is computed.
+ROW_FUNCTIONS = {"RANGE", "EXPLODE", "EXPLODE_OUTER", "POSEXPLODE", "POSEXPLODE_OUTER", "INLINE", "INLINE_OUTER", "STACK", "JSON_TUPLE"}
+SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"}
+COMPUTED = {"PlanWithUnresolvedIdentifier", "ExpressionWithUnresolvedIdentifier"}
+
+
+def relations_read(spark: SparkSession, sql: str) -> list[tuple[str, ...]]:
+    """The parts of the names of all tables and views that a query refers to, each name once.
+
+    The session's own parser reads the query; what it found is walked with the common table expressions that are in
+    scope. Such a name hides a relation of one part inside its own query block and those within, in the expressions that
+    follow it, and in itself if it is recursive; nowhere else. Case counts as it does in the session. A name that is
+    computed when the query runs counts as ``IDENTIFIER``, a table function as its name and a pair of brackets unless it only makes rows of its arguments.
+    """
+    found: dict[tuple[str, ...], None] = {}
+    folded = str if spark.conf.get("spark.sql.caseSensitive") == "true" else str.upper
+
+    def listed(seq) -> list:
+        return [seq.apply(i) for i in range(seq.size())]
+
+    def expression(e, scope: frozenset[str]) -> None:
+        kind = e.getClass().getSimpleName()
+        if kind in SUBQUERIES:
+            plan(e.plan(), scope)
+        if kind in COMPUTED:
+            found["IDENTIFIER",] = None
+        for child in listed(e.children()):
+            expression(child, scope)
+
+    def plan(node, scope: frozenset[str]) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedWith":
+            for entry in listed(node.cteRelations()):
+                name = frozenset([folded(entry._1())])
+                plan(entry._2(), scope | name if node.allowRecursion() else scope)
+                scope = scope | name
+        elif kind == "UnresolvedRelation":
+            name = tuple(listed(node.multipartIdentifier()))
+            if len(name) > 1 or folded(name[0]) not in scope:
+                found[name] = None
+        elif kind == "UnresolvedTableValuedFunction":
+            name = listed(node.name())
+            if len(name) > 1 or name[0].upper() not in ROW_FUNCTIONS:
+                found[(*name[:-1], f"{name[-1]}()")] = None
+        elif kind == "WithWindowDefinition":
+            for window in listed(node.windowDefinitions().values().toSeq()):
+                expression(window, scope)
+        elif kind in COMPUTED:
+            found["IDENTIFIER",] = None
+        for e in listed(node.expressions()):
+            expression(e, scope)
+        for child in listed(node.children()):
+            plan(child, scope)
+
+    plan(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), frozenset())
+    return list(found)

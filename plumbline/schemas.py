@@ -74,6 +74,11 @@ COLUMN_PROFILES = columns(
     "top_values array, pattern_summary string, "
     "profiled_at timestamp_ntz"
 )
+PROFILE_STATES = columns(
+    "database_name string, schema_name string, table_name string, part string, column_name string, data_type string, "
+    "row_count bigint, null_count bigint, min_value string, max_value string, typed_min string, typed_max string, "
+    "total double, distinct_sketch binary, rank_sketch binary, profiled_at timestamp_ntz"
+)
 DISTRIBUTION_SNAPSHOTS = columns(
     "database_name string, schema_name string, table_name string, column_name string, "
     "value_or_bucket string, record_count bigint, percentage double, snapshot_at timestamp_ntz"

@@ -1,4 +1,4 @@
-"""Change feeds: append streams over result tables, with exactly-once batch outputs."""
+"""Change feeds: streams over the change logs of result tables, with exactly-once batch outputs."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.functions.text import classify_safety
+from plumbline.operators.delta import AFTER, INSERT
 from plumbline.operators.schema_checks import drift_summary
 
 
@@ -32,9 +33,16 @@ def write_batches(
     )
 
 
+def new_state(changes: DataFrame) -> DataFrame:
+    """Of a change log, the rows that were added or changed, as they are now; other frames as they are."""
+    if "change_type" not in changes.columns:
+        return changes
+    return changes.where(F.col("change_type").isin(INSERT, AFTER))
+
+
 def result_feed(results: DataFrame) -> DataFrame:
-    """New results that did not pass."""
-    return results.where("check_status <> 'PASS'")
+    """New results, and results that changed, that did not pass."""
+    return new_state(results).where("check_status <> 'PASS'")
 
 
 def drift_feed(columns: DataFrame, snapshots: Callable[[], DataFrame]) -> Callable[[DataFrame], DataFrame]:
@@ -52,11 +60,17 @@ def drift_feed(columns: DataFrame, snapshots: Callable[[], DataFrame]) -> Callab
 
 
 def recommendation_feed(recommendations: DataFrame) -> DataFrame:
-    return recommendations.withColumn(
+    return new_state(recommendations).withColumn(
         "safety_classification", classify_safety(F.col("recommendation_text"))
     )
 
 
 def audit_status_counts(audit: DataFrame) -> DataFrame:
-    """Running count per status; the state holds one row per status."""
-    return audit.groupBy("status").agg(F.count(F.lit(1)).alias("executions"))
+    """Running count per status; the state holds one row per status.
+
+    Of a change log, rows that were taken away or had another status before are subtracted.
+    """
+    if "change_type" not in audit.columns:
+        return audit.groupBy("status").agg(F.count(F.lit(1)).alias("executions"))
+    sign = F.when(F.col("change_type").isin(INSERT, AFTER), F.col("change_count")).otherwise(-F.col("change_count"))
+    return audit.groupBy("status").agg(F.sum(sign).alias("executions"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import grouped_checks, hierarchy, metrics, row_checks
+from plumbline.operators import (
+    content, cycles, differences, grouped_checks, hierarchy, metrics, near_records, row_checks,
+)
 from plumbline.operators import relational_checks as rel
 from plumbline.operators import schema_checks, stat_checks
 from plumbline.operators.change_order import order_violations
@@ -273,6 +275,44 @@ def ext5_depth(t):
     return hierarchy.depth_and_cycles(d.part_tree(t), "p_partkey", "parent", 6)
 
 
+# Customers in rows of ten: each leads to the one before, the first of a row back to one of the row. Some lead to the
+# same place of another row as well, so that cycles join and branches hang off.
+RINGS = """rings AS (
+  SELECT c_custkey AS node, CASE WHEN c_custkey % 10 = 0 THEN c_custkey + c_nationkey % 8 ELSE c_custkey - 1 END AS up FROM customer
+  UNION ALL SELECT c_custkey, c_custkey - 30 FROM customer WHERE c_acctbal < 0
+  UNION ALL SELECT c_custkey, c_custkey + 20 FROM customer WHERE c_acctbal > 9500
+  UNION ALL SELECT c_custkey, NULL FROM customer WHERE c_custkey % 70 = 9)"""
+
+
+def rings(t):
+    first = t["customer"].selectExpr(
+        "c_custkey AS node", "CASE WHEN c_custkey % 10 = 0 THEN c_custkey + c_nationkey % 8 ELSE c_custkey - 1 END AS up")
+    back = t["customer"].where("c_acctbal < 0").selectExpr("c_custkey AS node", "c_custkey - 30 AS up")
+    on = t["customer"].where("c_acctbal > 9500").selectExpr("c_custkey AS node", "c_custkey + 20 AS up")
+    roots = t["customer"].where("c_custkey % 70 = 9").selectExpr("c_custkey AS node", "CAST(NULL AS BIGINT) AS up")
+    return first.unionByName(back).unionByName(on).unionByName(roots)
+
+
+REACHED = f"""{RINGS}, links AS (SELECT DISTINCT node, up FROM rings WHERE up IS NOT NULL),
+reach AS (SELECT node, up FROM links UNION SELECT reach.node, links.up FROM reach JOIN links ON reach.up = links.node),
+members AS (SELECT a.node, MIN(a.up) AS cycle_id, COUNT(*) AS members FROM reach a
+  JOIN reach b ON a.up = b.node AND a.node = b.up GROUP BY a.node)"""
+
+
+@workload("ext5_cycles", f"WITH RECURSIVE {REACHED} SELECT cycle_id, node, members FROM members")
+def ext5_cycles(t):
+    return cycles.cycle_members(rings(t), "node", "up")
+
+
+@workload("ext5_branches", f"""WITH RECURSIVE {REACHED},
+safe AS (SELECT node FROM rings WHERE up IS NULL OR up NOT IN (SELECT node FROM rings)
+  UNION SELECT reach.node FROM reach WHERE up NOT IN (SELECT node FROM rings) OR up IN (SELECT node FROM rings WHERE up IS NULL))
+SELECT node, 'CYCLE' AS finding, cycle_id FROM members
+UNION ALL SELECT DISTINCT node, 'BRANCH', NULL FROM rings WHERE node NOT IN (SELECT node FROM members) AND node NOT IN (SELECT node FROM safe)""")
+def ext5_branches(t):
+    return cycles.cycles_and_branches(rings(t), "node", "up")
+
+
 @workload("chk23_multisource", """SELECT CAST(o_orderdate AS DATE) AS record_id, o_orderpriority AS failed_value,
   COUNT(*) AS entry_count, MIN(o_totalprice) AS min_val, MAX(o_totalprice) AS max_val FROM orders
 WHERE o_orderpriority = '1-URGENT' AND o_orderdate IS NOT NULL
@@ -291,6 +331,17 @@ def m23_compare(t):
 
 
 # Customers have several orders on either side, so a key stands for many differing pairs.
+@workload("m23_values", f"""WITH perturbed AS ({d.PERTURBED}),
+a AS (SELECT o_custkey AS k, o_totalprice AS v, COUNT(*) AS n FROM orders GROUP BY ALL),
+b AS (SELECT o_custkey AS k, o_totalprice AS v, COUNT(*) AS n FROM perturbed GROUP BY ALL),
+ta AS (SELECT k, SUM(n) AS t FROM a GROUP BY k), tb AS (SELECT k, SUM(n) AS t FROM b GROUP BY k),
+each AS (SELECT a.k, 'A' AS side, a.v, a.n, tb.t - COALESCE(b.n, 0) AS pairs FROM a JOIN tb ON tb.k = a.k LEFT JOIN b ON b.k = a.k AND b.v = a.v
+  UNION ALL SELECT b.k, 'B', b.v, b.n, ta.t - COALESCE(a.n, 0) FROM b JOIN ta ON ta.k = b.k LEFT JOIN a ON a.k = b.k AND a.v = b.v)
+SELECT k AS o_custkey, side, v AS value, n AS occurrences, CAST(pairs AS BIGINT) AS pairs FROM each WHERE pairs > 0""")
+def m23_values(t):
+    return rel.differing_value_rows(t["orders"], d.perturbed_orders(t), "o_custkey", "o_totalprice")
+
+
 @workload("m23_repeated", f"""WITH perturbed AS ({d.PERTURBED})
 SELECT o_custkey, MIN(a.o_totalprice) AS source_a_val, MAX(a.o_totalprice) AS source_a_max, MIN(b.o_totalprice) AS source_b_val,
   MAX(b.o_totalprice) AS source_b_max, COUNT(*) FILTER (a.o_totalprice <> b.o_totalprice) AS pairs
@@ -378,3 +429,83 @@ def ext8_sla(t):
 WHERE role NOT IN ('user','assistant') AND role IS NOT NULL""")
 def chk25_unknown_on_text(t):
     return row_checks.unknown_operations(t["conversations"], "role", "conv_id", ["user", "assistant"])
+
+
+# Some orders are gone, some are new, and the prices of one stretch of keys differ.
+RESTATED = """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey BETWEEN 1000 AND 1040 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice
+  FROM orders WHERE o_orderkey NOT BETWEEN 300 AND 310
+  UNION ALL SELECT o_orderkey + 100000000, o_custkey, o_totalprice FROM orders WHERE o_orderkey < 20"""
+
+
+def restated(t):
+    columns = ["o_orderkey", "o_custkey", "o_totalprice"]
+    kept = t["orders"].select(*columns).where("o_orderkey NOT BETWEEN 300 AND 310").withColumn(
+        "o_totalprice", F.col("o_totalprice") + F.when(F.col("o_orderkey").between(1000, 1040), 1.0).otherwise(0.0))
+    new = t["orders"].where("o_orderkey < 20").select((F.col("o_orderkey") + 100000000).alias("o_orderkey"), "o_custkey", "o_totalprice")
+    return kept.unionByName(new)
+
+
+@workload("ext6_locate", f"""WITH restated AS ({RESTATED})
+SELECT COALESCE(o.o_orderkey, r.o_orderkey) AS o_orderkey,
+  CASE WHEN r.o_orderkey IS NULL THEN 'MISSING' WHEN o.o_orderkey IS NULL THEN 'EXTRA' ELSE 'CHANGED' END AS finding,
+  CAST(o.o_orderkey IS NOT NULL AS BIGINT) AS source_rows, CAST(r.o_orderkey IS NOT NULL AS BIGINT) AS target_rows
+FROM orders o FULL JOIN restated r ON o.o_orderkey = r.o_orderkey
+WHERE o.o_orderkey IS NULL OR r.o_orderkey IS NULL OR o.o_custkey <> r.o_custkey OR o.o_totalprice <> r.o_totalprice""")
+def ext6_locate(t):
+    return differences.differing_keys(t["orders"], restated(t), "o_orderkey", ["o_orderkey", "o_custkey", "o_totalprice"])
+
+
+@workload("ext2_ks", """WITH base AS (SELECT o_totalprice AS v FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' AND o_totalprice < 400000),
+sizes AS (SELECT (SELECT COUNT(*) FROM orders) AS n, (SELECT COUNT(*) FROM base) AS m),
+counts AS (SELECT v, SUM(a) AS a, SUM(b) AS b FROM (SELECT o_totalprice AS v, 1 AS a, 0 AS b FROM orders UNION ALL SELECT v, 0, 1 FROM base) GROUP BY v),
+gaps AS (SELECT v, ABS(SUM(a) OVER w / CAST(n AS DOUBLE) - SUM(b) OVER w / CAST(m AS DOUBLE)) AS gap FROM counts, sizes WINDOW w AS (ORDER BY v))
+SELECT n AS n_now, m AS n_base, distance, (SELECT MIN(v) FROM gaps WHERE gap = distance) AS at_value,
+  distance > 1.36 * SQRT((n + m) / CAST(n * m AS DOUBLE)) AS shifted
+FROM sizes, (SELECT MAX(gap) AS distance FROM gaps)""")
+def ext2_ks(t):
+    base = t["orders"].where("o_orderdate < TIMESTAMP_NTZ'1996-01-01 00:00:00' AND o_totalprice < 400000")
+    return stat_checks.largest_gap(t["orders"], base, "o_totalprice").drop("allowed")
+
+
+# Groups of three customers whose codes differ in one character taken out or replaced.
+CODES = """SELECT CASE c_custkey % 3 WHEN 0 THEN code WHEN 1 THEN substr(code, 1, 4) || substr(code, 6) ELSE substr(code, 1, 2) || 'x' || substr(code, 4) END AS code
+  FROM (SELECT c_custkey, substr(md5(CAST(c_custkey // 3 AS VARCHAR)), 1, 9) AS code FROM customer)"""
+
+
+def codes(t):
+    code = F.substring(F.md5(F.floor(F.col("c_custkey") / 3).cast("string")), 1, 9)
+    left = lambda n: F.substring("code", 1, n)
+    kept = F.when(F.col("k") == 0, F.col("code")).when(F.col("k") == 1, F.concat(left(4), F.substring("code", 6, 9))).otherwise(
+        F.concat(left(2), F.lit("x"), F.substring("code", 4, 9)))
+    return t["customer"].select((F.col("c_custkey") % 3).alias("k"), code.alias("code")).select(kept.alias("code"))
+
+
+@workload("ext7_near_records", f"""WITH RECURSIVE v AS (SELECT code AS value, COUNT(*) AS n FROM ({CODES}) GROUP BY code),
+links AS (SELECT a.value AS a, b.value AS b FROM v a JOIN v b ON abs(length(a.value) - length(b.value)) < 2 AND levenshtein(a.value, b.value) = 1),
+reach AS (SELECT value AS a, value AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+roots AS (SELECT a AS value, MIN(b) AS group_id FROM reach GROUP BY a)
+SELECT value, n AS rows, group_id, CAST(spellings AS BIGINT) AS spellings, CAST(group_rows AS BIGINT) AS group_rows FROM (
+  SELECT v.value, n, group_id, COUNT(*) OVER (PARTITION BY group_id) AS spellings, SUM(n) OVER (PARTITION BY group_id) AS group_rows
+  FROM v JOIN roots ON roots.value = v.value) WHERE spellings > 1""")
+def ext7_near_records(t):
+    return near_records.near_records(codes(t), ["code"])
+
+
+# The name is renamed and moved, the segment renamed, two keys bear each other's names, and a twentieth of the rows is gone.
+NOW = """SELECT c_nationkey AS c_custkey, c_custkey AS c_nationkey, c_mktsegment AS segment, c_acctbal, c_name AS title
+  FROM customer WHERE c_custkey % 20 <> 0"""
+_SHAPES = " UNION ALL ".join(f"SELECT '{c}' AS c, CAST({c} AS VARCHAR) AS v FROM {{0}}" for c in ("c_custkey", "c_nationkey", "c_acctbal"))
+
+
+@workload("ext9_content", f"""WITH now AS ({NOW}),
+olds AS (SELECT DISTINCT c, v FROM ({_SHAPES.format("customer")} UNION ALL SELECT 'c_name', c_name FROM customer UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM customer)),
+news AS (SELECT DISTINCT c, v FROM ({_SHAPES.format("now")} UNION ALL SELECT 'title', title FROM now UNION ALL SELECT 'segment', segment FROM now)),
+sizes AS (SELECT c, COUNT(*) AS n FROM olds GROUP BY c), sizes_now AS (SELECT c, COUNT(*) AS n FROM news GROUP BY c),
+shared AS (SELECT o.c AS old_name, w.c AS new_name, COUNT(*) AS k FROM olds o JOIN news w ON o.v = w.v GROUP BY ALL)
+SELECT old_name, new_name, CASE WHEN old_name NOT IN (SELECT c FROM news) THEN 'RENAMED' ELSE 'SWAPPED' END AS kind
+FROM shared JOIN sizes ON sizes.c = old_name JOIN sizes_now ON sizes_now.c = new_name
+WHERE k / CAST(sizes.n + sizes_now.n - k AS DOUBLE) >= 0.5 AND old_name <> new_name""")
+def ext9_content(t):
+    now = t["customer"].where("c_custkey % 20 <> 0").selectExpr(
+        "c_nationkey AS c_custkey", "c_custkey AS c_nationkey", "c_mktsegment AS segment", "c_acctbal", "c_name AS title")
+    return content.renamed_by_content(content.column_sketches(t["customer"]), content.column_sketches(now)).drop("similarity")

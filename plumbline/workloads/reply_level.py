@@ -12,7 +12,7 @@ from plumbline.operators import delta, repair
 from plumbline.plans import dashboards, health, profiling, remediation, reports
 from plumbline.session import scratch_path
 from plumbline.streaming import checks as stream_checks
-from plumbline.streaming import feeds
+from plumbline.streaming import feeds, group_checks
 from plumbline.workloads import derive as d
 from plumbline.workloads.group_level import DRIFT_SUMMARY
 from plumbline.workloads.registry import workload
@@ -357,6 +357,34 @@ def profile_report(t):
     return reports.profile_reports(stored(tables, "tables"), stored(columns, "columns"), stored(shares, "values"))
 
 
+# Statements in which a supplier's name is a relation, a common table expression, a literal or none of them, by key.
+STATEMENTS = {
+    0: "SELECT 'CTE [x]' AS x FROM dq_run_log, `{n}` s",
+    1: "SELECT 1 FROM dq_run_log, `{n}` s, (WITH `{n}` AS (SELECT run_id FROM dq_run_log) SELECT 1 FROM `{n}`) q",
+    2: "SELECT 'UnresolvedRelation [{n}]' AS x FROM dq_run_log",
+    3: "WITH `{n}` AS (SELECT * FROM t), b AS (SELECT * FROM `{n}`) SELECT * FROM b",
+    4: "WITH `{n}` AS (SELECT * FROM `{n}`) SELECT * FROM `{n}`",
+    5: "SELECT * FROM IDENTIFIER('{n}')",
+    6: "SELECT * FROM parquet.`{n}`",
+    7: "SELECT v FROM t WHERE EXISTS (SELECT 1 FROM `{n}` WHERE k IN (SELECT k FROM u)) ORDER BY v",
+}
+
+
+@workload("query_relations", """WITH r AS (SELECT s_suppkey, s_name AS n, s_suppkey % 8 AS k FROM supplier)
+SELECT s_suppkey, relation, relation IN ('dq_run_log', 't') AS approved FROM (
+  SELECT s_suppkey, unnest(CASE WHEN k < 2 THEN ['dq_run_log', n] WHEN k = 2 THEN ['dq_run_log'] WHEN k = 3 THEN ['t']
+    WHEN k = 4 THEN [n] WHEN k = 5 THEN ['IDENTIFIER'] WHEN k = 6 THEN ['parquet.' || n] ELSE ['t', n, 'u'] END) AS relation FROM r)""")
+def query_relations(t):
+    """What each statement reads. Statements are parsed by the session, one after another, as they come to be run."""
+    text = F.element_at(F.array(*[F.replace(F.lit(s), F.lit("{n}"), F.col("s_name")) for s in STATEMENTS.values()]),
+                        (F.col("s_suppkey") % 8 + 1).cast("int"))
+    found = [
+        (row.s_suppkey, ".".join(name), dashboards.is_approved(t.spark, name, ["DQ_RUN_LOG", "T"]))
+        for row in t["supplier"].select("s_suppkey", text.alias("sql")).toLocalIterator()
+        for name in dashboards.relations_read(t.spark, row.sql)]
+    return t.spark.createDataFrame(found, "s_suppkey long, relation string, approved boolean")
+
+
 # Repairs
 
 @workload("fix_update", """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal,
@@ -424,9 +452,11 @@ def change_summary(t):
     return delta.change_summary(t["orders"], d.perturbed_orders(t), ["o_orderkey"])
 
 
-def stream_of(t, name):
-    """The table as a stream, be it one file or a folder of files."""
-    return t.spark.readStream.schema(t[name].schema).parquet(f"{t.folder}/{name}[.]parquet")
+def stream_of(t, name, files=3):
+    """The table as a stream: written in several files, of which each batch reads one."""
+    path = scratch_path(t.spark, "arriving")
+    t[name].repartition(files).write.parquet(path)
+    return t.spark.readStream.schema(t[name].schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def finished(t, stream, transform, label, output_mode="append"):
@@ -457,6 +487,34 @@ def stream_checks_query(t):
         F.sum("failure_count").alias("failure_count"), F.sum("total_rows").alias("total_rows"))
 
 
+GROUP_SPECS = [
+    spec(2, "events", "user_id"),
+    spec(3, "events", columns="user_id, event_type", where_clause="WHERE event_type <> 'view'"),
+    spec(19, "events", file_column="props"),
+    spec(25, "events", cdc_op_column="event_type", record_id="event_id", duplicate_keys="user_id, event_type",
+         group_filter="value > 20", row_filter="event_type = 'click'"),
+]
+WINDOWED = """(SELECT *, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS window_start FROM events)"""
+
+
+@workload("stream_dup_keys", f"""SELECT * FROM (
+  SELECT window_start, 0 AS check_number, '{{"user_id":' || COALESCE(CAST(user_id AS VARCHAR), 'null') || '}}' AS group_key,
+    COUNT(*) AS occurrences, COUNT(*) AS failing FROM {WINDOWED} GROUP BY window_start, user_id
+  UNION ALL SELECT window_start, 1, '{{"user_id":' || user_id || ',"event_type":"' || event_type || '"}}', COUNT(*), COUNT(*)
+    FROM {WINDOWED} WHERE event_type <> 'view' GROUP BY window_start, user_id, event_type
+  UNION ALL SELECT window_start, 2, '{{"props":"' || replace(props, '"', '\\"') || '"}}', COUNT(*), COUNT(*)
+    FROM {WINDOWED} WHERE props IS NOT NULL GROUP BY window_start, props
+  UNION ALL SELECT window_start, 3, '{{"user_id":' || user_id || ',"event_type":"' || event_type || '"}}',
+    COUNT(*) FILTER (value > 20), COUNT(*) FILTER (event_type = 'click') FROM {WINDOWED} GROUP BY window_start, user_id, event_type)
+WHERE occurrences > 1 AND failing > 0""")
+def stream_dup_keys(t):
+    """Group checks over arriving events; files come in any order, so the watermark stays behind all of them."""
+    path = scratch_path(t.spark, "groups")
+    group_checks.check_groups(
+        stream_of(t, "events"), GROUP_SPECS, "ts", "1 day", "400 days", f"{path}/out", f"{path}/state").awaitTermination()
+    return group_checks.standing(t.spark.read.parquet(f"{path}/out"))
+
+
 @workload("change_feed", f"""WITH {d.RESULTS} SELECT check_status, severity, COUNT(*) AS n FROM results
 WHERE check_status <> 'PASS' GROUP BY ALL""")
 def change_feed(t):
@@ -488,7 +546,9 @@ def recommendation_feed(t):
 @workload("audit_feed", f"WITH {d.AUDIT} SELECT status, COUNT(*) AS executions FROM audit GROUP BY status")
 def audit_feed(t):
     counts = feeds.audit_status_counts(d.audit_of(stream_of(t, "documents")))
-    return finished(t, counts, lambda batch: batch, "audit", "complete").drop("batch_id")
+    told = finished(t, counts, lambda batch: batch, "audit", "complete")
+    # Each batch tells all counts so far; the last one stands.
+    return told.where(F.col("batch_id") == told.select("batch_id").agg(F.max("batch_id").alias("m")).scalar()).drop("batch_id")
 
 
 @workload("score_documents", f"""WITH {d.SCORES} SELECT run_id, run_id AS named, target_table, health_score, total_checks,

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from plumbline.config.library import CHECKS, THRESHOLD_VALUES
 from plumbline.config.specs import resolve_checks, spec
 from plumbline.operators import metrics, schema_checks
-from plumbline.plans import dashboards, engine, health, incremental, lifecycle, profiling
+from plumbline.plans import carried_profiles, dashboards, engine, health, incremental, lifecycle, profiling
 from plumbline.plans.binding import TableContext
 from plumbline.session import scratch_path
 from plumbline.sources.store import ResultStore
+from plumbline.streaming import feeds
 from plumbline.workloads import derive as d
 from plumbline.workloads.registry import workload
 
@@ -726,3 +727,80 @@ def store_replace(t):
         F.count(F.lit(1)).alias("n"), F.sum("failure_count").alias("failures"))
 
 
+CHANGED = """v AS (SELECT 'R' || (o_custkey % 50) AS run_id, CAST(o_orderkey AS BIGINT) AS check_id, o_orderstatus AS check_status,
+  CAST(o_custkey AS BIGINT) AS failure_count, o_custkey % 50 AS r FROM orders),
+second AS (SELECT run_id, check_id, check_status, failure_count + CASE WHEN check_id % 3 = 0 THEN 1 ELSE 0 END AS failure_count, r
+  FROM v WHERE r IN (3, 7) AND check_id % 5 <> 1)"""
+
+
+@workload("store_changes", f"""WITH {CHANGED}
+SELECT 1 AS drain, 'INSERT' AS change_type, run_id, check_id, check_status, failure_count FROM v
+UNION ALL SELECT 2, 'DELETE', run_id, check_id, check_status, failure_count FROM v WHERE r IN (3, 7) AND check_id % 5 = 1
+UNION ALL SELECT 2, 'UPDATE_BEFORE', run_id, check_id, check_status, failure_count FROM v
+  WHERE r IN (3, 7) AND check_id % 5 <> 1 AND check_id % 3 = 0
+UNION ALL SELECT 2, 'UPDATE_AFTER', run_id, check_id, check_status, failure_count FROM second WHERE check_id % 3 = 0
+UNION ALL SELECT 3, 'DELETE', run_id, check_id, check_status, failure_count FROM second WHERE r = 7
+UNION ALL SELECT 3, 'INSERT', 'N' || check_id, check_id, check_status, failure_count FROM v WHERE r = 1""")
+def store_changes(t):
+    """What a stream over stored results is told: all runs, then two of them again, then one gone and others new."""
+    path = scratch_path(t.spark, "feed")
+    store = ResultStore(t.spark, f"{path}/store")
+    rows = t["orders"].selectExpr(
+        "concat('R', o_custkey % 50) AS run_id", "CAST(o_orderkey AS BIGINT) AS check_id", "'orders' AS target_table",
+        "o_orderstatus AS check_status", "CAST(o_custkey AS BIGINT) AS failure_count",
+        "TIMESTAMP_NTZ'2024-01-31 00:00:00' AS created_at")
+
+    def drain(k):
+        feeds.write_batches(
+            store.stream("check_results"), lambda batch: batch, f"{path}/out/drain={k}", f"{path}/state").awaitTermination()
+
+    store.append("check_results", rows)
+    drain(1)
+    again = rows.where("run_id IN ('R3', 'R7') AND check_id % 5 <> 1").withColumn(
+        "failure_count", F.col("failure_count") + F.when(F.col("check_id") % 3 == 0, 1).otherwise(0))
+    store.replace_runs("check_results", again)
+    drain(2)
+    store.replace_runs("check_results", rows.limit(0), rows.where("run_id = 'R7'"))
+    store.append("check_results", rows.where("run_id = 'R1'").withColumn("run_id", F.expr("concat('N', check_id)")))
+    drain(3)
+    return t.spark.read.parquet(f"{path}/out").select(
+        "drain", "change_type", "run_id", "check_id", "check_status", "failure_count")
+
+
+def _carried_line(column, numeric):
+    mean = f"CAST(ROUND(AVG({column}), 4) AS DOUBLE)" if numeric else "CAST(NULL AS DOUBLE)"
+    return (f"SELECT '{column}' AS column_name, COUNT(*) AS row_count, COUNT(*) - COUNT({column}) AS null_count, "
+            f"MIN(CAST({column} AS VARCHAR)) AS min_value, MAX(CAST({column} AS VARCHAR)) AS max_value, "
+            f"CAST(MIN({column}) AS VARCHAR) AS typed_min, CAST(MAX({column}) AS VARCHAR) AS typed_max, {mean} AS mean, "
+            f"TRUE AS distinct_close, {'TRUE' if numeric else 'CAST(NULL AS BOOLEAN)'} AS median_close FROM orders")
+
+
+CARRIED = {"o_orderkey": True, "o_custkey": True, "o_orderstatus": False, "o_orderpriority": False, "o_totalprice": True}
+
+
+@workload("profile_incremental", " UNION ALL ".join(_carried_line(c, n) for c, n in CARRIED.items()))
+def profile_incremental(t):
+    """Orders by month: all months are profiled, 1996 with half of its rows; then the months of 1996 again, with all."""
+    store = ResultStore(t.spark, scratch_path(t.spark, "store"))
+    orders = t["orders"].select(*CARRIED, F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    late = orders.where("month LIKE '1996%'")
+    for k, rows in enumerate([orders.where("month NOT LIKE '1996%' OR o_orderkey % 2 = 0"), late]):
+        carried_profiles.carry_on(store, rows, F.col("month"), "orders", AS_OF + dt.timedelta(hours=k))
+    df = t["orders"].select(*CARRIED)
+    merged = carried_profiles.carried_profile(store, df.schema, "orders")
+    estimates = {r.column_name: r for r in merged.select("column_name", "distinct_count", "median").collect()}
+    exact = df.agg(*[F.count_distinct(c).alias(f"d_{c}") for c in CARRIED], F.count(F.lit(1)).alias("n"), *[
+        f(F.when(sign(F.col(c), F.lit(estimates[c].median)), 1)).alias(f"{name}_{c}") for c, n in CARRIED.items() if n
+        for name, f, sign in (("below", F.count, lambda a, b: a < b), ("upto", F.count, lambda a, b: a <= b))]).first()
+    distinct = median = F.lit(None).cast("boolean")
+    for c, numeric in CARRIED.items():
+        here = F.col("column_name") == c
+        off = abs(estimates[c].distinct_count - exact[f"d_{c}"]) / exact[f"d_{c}"]
+        distinct = F.when(here, F.lit(off <= 3 * carried_profiles.DISTINCT_ERROR)).otherwise(distinct)
+        if numeric:
+            close = (exact[f"below_{c}"] / exact.n <= 0.5 + 2 * carried_profiles.RANK_ERROR
+                     and exact[f"upto_{c}"] / exact.n >= 0.5 - 2 * carried_profiles.RANK_ERROR)
+            median = F.when(here, F.lit(close)).otherwise(median)
+    return merged.select(
+        "column_name", "row_count", "null_count", "min_value", "max_value", "typed_min", "typed_max", "mean",
+        distinct.alias("distinct_close"), median.alias("median_close"))

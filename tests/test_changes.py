@@ -6,12 +6,14 @@ from collections import Counter
 from decimal import Decimal
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from plumbline import schemas
 from plumbline.operators import delta, repair
 from plumbline.session import scratch_path
 from plumbline.sources.store import ResultStore
+from plumbline.streaming import feeds
 
 DDL = "k bigint, v string, n double"
 
@@ -127,3 +129,101 @@ def test_add_column_and_replace_values(spark):
     twice = spark.createDataFrame([(2, "z"), (2, "y")], "k bigint, v string")
     with pytest.raises(Exception, match="input repeats key"):
         repair.replace_values(df, twice, "k", "v").collect()
+
+
+def results(spark, run, *states, moment=dt.datetime(2024, 1, 1, 5)):
+    rows = [dict(run_id=run, check_id=i, check_status=s, created_at=moment) for i, s in enumerate(states)]
+    names = schemas.CHECK_RESULTS.fieldNames()
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schemas.CHECK_RESULTS)
+
+
+def states(df):
+    return sorted((r.run_id, r.check_id, r.check_status) for r in df.collect())
+
+
+def test_a_followed_store_tells_each_change_once(spark):
+    store = ResultStore(spark, scratch_path(spark, "test-store"))
+    out = scratch_path(spark, "out")
+
+    def drained(k):
+        feeds.write_batches(
+            store.stream("check_results"), lambda b: b, f"{out}/rows/k={k}", f"{out}/state").awaitTermination()
+        try:
+            rows = spark.read.parquet(f"{out}/rows/k={k}").collect()
+        except AnalysisException:
+            return []
+        return sorted((r.run_id, r.check_id, r.check_status, r.change_type) for r in rows)
+
+    store.replace_runs("check_results", results(spark, "a", "PASS", "FAIL"))
+    assert drained(1) == [("a", 0, "PASS", "INSERT"), ("a", 1, "FAIL", "INSERT")]
+    store.replace_runs("check_results", results(spark, "b", "WARNING"))
+    assert drained(2) == [("b", 0, "WARNING", "INSERT")]
+    store.replace_runs("check_results", results(spark, "a", "PASS", "PASS"))
+    assert drained(3) == [("a", 1, "FAIL", "UPDATE_BEFORE"), ("a", 1, "PASS", "UPDATE_AFTER")]
+    store.replace_runs("check_results", results(spark, "a", "PASS", "PASS"))
+    assert drained(4) == []
+    store.clear("check_results")
+    assert drained(5) == [("a", 0, "PASS", "DELETE"), ("a", 1, "PASS", "DELETE"), ("b", 0, "WARNING", "DELETE")]
+
+
+def test_two_writers_keep_each_other_s_rows(spark, monkeypatch):
+    """Both read the store before either commits; each replaces its own unit."""
+    store = ResultStore(spark, scratch_path(spark, "test-store"))
+    store.append("check_results", results(spark, "a", "PASS").unionByName(results(spark, "b", "PASS")))
+    publish = ResultStore._publish
+
+    def interrupted(self, table, write_id, version):
+        monkeypatch.setattr(ResultStore, "_publish", publish)
+        ResultStore(spark, self.root).replace_runs(table, results(spark, "b", "FAIL", "FAIL"))
+        publish(self, table, write_id, version)
+
+    monkeypatch.setattr(ResultStore, "_publish", interrupted)
+    store.replace_runs("check_results", results(spark, "a", "WARNING"))
+    assert states(store.read("check_results")) == [("a", 0, "WARNING"), ("b", 0, "FAIL"), ("b", 1, "FAIL")]
+    kinds = sorted((r.run_id, r.check_id, r.change_type) for r in store.changes("check_results").collect())
+    assert kinds == [
+        ("a", 0, "INSERT"), ("a", 0, "UPDATE_AFTER"), ("a", 0, "UPDATE_BEFORE"),
+        ("b", 0, "INSERT"), ("b", 0, "UPDATE_AFTER"), ("b", 0, "UPDATE_BEFORE"), ("b", 1, "INSERT")]
+
+
+def test_failed_writes_are_unseen_and_lost_changes_recovered(spark, monkeypatch):
+    store = ResultStore(spark, scratch_path(spark, "test-store"))
+    store.append("check_results", results(spark, "a", "PASS"))
+    publish, failing = ResultStore._publish, lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+    monkeypatch.setattr(ResultStore, "_publish", failing)
+    with pytest.raises(RuntimeError):
+        store.replace_runs("check_results", results(spark, "a", "FAIL"))
+    monkeypatch.setattr(ResultStore, "_publish", publish)
+    assert states(store.read("check_results")) == [("a", 0, "FAIL")]
+    assert (store.changes("check_results").count(), store.recover("check_results"), store.recover("check_results")) == (1, 1, 0)
+    assert sorted(r.change_type for r in store.changes("check_results").collect()) == ["INSERT", "UPDATE_AFTER", "UPDATE_BEFORE"]
+    commits = ResultStore._commits
+    monkeypatch.setattr(ResultStore, "_commits", failing)
+    with pytest.raises(RuntimeError):
+        store.replace_runs("check_results", results(spark, "a", "ERROR"))
+    monkeypatch.setattr(ResultStore, "_commits", commits)
+    assert states(store.read("check_results")) == [("a", 0, "FAIL")]
+
+
+def test_vacuum_takes_out_superseded_rows(spark):
+    store = ResultStore(spark, scratch_path(spark, "test-store"))
+    later = dt.datetime(2024, 1, 2)
+    for run, *s in (("a", "PASS"), ("a", "FAIL", "FAIL"), ("b", "PASS")):
+        store.replace_runs("check_results", results(spark, run, *s))
+    store.replace_runs("check_results", results(spark, "c", "PASS", moment=later))
+    store.replace_runs("check_results", results(spark, "c").limit(0), results(spark, "c", "X", moment=later))
+    before = states(store.read("check_results"))
+    assert before == [("a", 0, "FAIL"), ("a", 1, "FAIL"), ("b", 0, "PASS")]
+    store.vacuum("check_results", [dt.date(2024, 1, 1), later.date()])
+    assert states(store.read("check_results")) == before
+    assert spark.read.parquet(store.path("check_results")).where("unit IS NOT NULL").count() == 3
+
+
+def test_a_unit_that_moves_to_another_day(spark):
+    """Readers since a later day must not see what the unit held there before it moved back."""
+    store = ResultStore(spark, scratch_path(spark, "test-store"))
+    early, late = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 5)
+    store.replace_runs("check_results", results(spark, "a", "FAIL", moment=late))
+    store.replace_runs("check_results", results(spark, "a", "PASS", moment=early))
+    assert states(store.read("check_results", late)) == []
+    assert states(store.read("check_results")) == [("a", 0, "PASS")]

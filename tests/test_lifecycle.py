@@ -12,7 +12,7 @@ from plumbline.functions.text import READABLE_OBJECTS
 from plumbline.operators import repair
 from plumbline.plans import lifecycle
 from plumbline.plans.binding import TableContext
-from plumbline.plans.dashboards import run_query
+from plumbline.plans.dashboards import relations_read, run_query
 from plumbline.session import scratch_path
 from plumbline.sources.store import ResultStore
 from plumbline.sources.tables import Tables
@@ -67,3 +67,30 @@ def test_assignments_file(spark):
         '"target_column":"n","params":{"record_id":"id"},"is_active":true}',)], "value string").write.text(path)
     row = config.read_assignments(spark, path).first()
     assert (row.check_id, row.params, row.is_active) == (20, {"record_id": "id"}, True)
+
+
+def test_queries_read_only_what_is_approved(spark):
+    """Names are told apart by scope; literals, quoted names, file formats and computed names do not slip through."""
+    spark.createDataFrame([(1,)], "id int").createOrReplaceTempView("dq_run_log")
+    spark.createDataFrame([("hidden",)], "v string").createOrReplaceTempView("secret")
+    blocked = [
+        "SELECT 'CTE [secret]' AS x, s.v FROM dq_run_log, secret s",
+        "SELECT s.v FROM dq_run_log, secret s, (WITH secret AS (SELECT id FROM dq_run_log) SELECT 1 FROM dq_run_log) q",
+        "WITH secret AS (SELECT v FROM secret) SELECT v FROM secret",
+        "SELECT id FROM dq_run_log WHERE id < (SELECT max(length(v)) FROM (SELECT v FROM secret))",
+        "SELECT id FROM dq_run_log WHERE EXISTS (SELECT 1 FROM dq_run_log WHERE 'x' IN (SELECT v FROM `SECRET`))",
+        "SELECT sum(id) OVER w FROM dq_run_log WINDOW w AS (PARTITION BY (SELECT max(v) FROM secret))",
+        "SELECT * FROM IDENTIFIER('sec' || 'ret')", "SELECT * FROM parquet.`dq_run_log`",
+        "SELECT l.v FROM dq_run_log, LATERAL (SELECT v FROM secret) l", "SELECT id FROM dq_run_log UNION SELECT v FROM secret",
+    ]
+    for sql in blocked:
+        assert run_query(spark, sql, ["DQ_RUN_LOG"])[0] == "BLOCKED", sql
+    for sql in ("SELECT 'UnresolvedRelation [zzz]' AS x FROM dq_run_log", "SELECT DQ_Run_Log.id FROM dq_run_log, range(2)"):
+        assert run_query(spark, sql, ["DQ_RUN_LOG"])[0] == "SUCCESS", sql
+    for sql, names in (
+        ("WITH secret AS (SELECT id FROM dq_run_log) SELECT * FROM secret", [("dq_run_log",)]),
+        ("WITH RECURSIVE n(k) AS (SELECT 1 UNION ALL SELECT k + 1 FROM n WHERE k < 3) SELECT k FROM n, t", [("t",)]),
+        ("WITH a AS (SELECT * FROM t), A2 AS (SELECT * FROM A) SELECT * FROM a2, b.a", [("t",), ("b", "a")]),
+        ("SELECT * FROM f(TABLE(t))", [("f()",), ("t",)]),
+    ):
+        assert relations_read(spark, sql) == names, sql

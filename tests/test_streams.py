@@ -10,7 +10,7 @@ from plumbline.config.specs import spec
 from plumbline.operators.schema_checks import schema_frame, schema_snapshot
 from plumbline.session import scratch_path
 from plumbline.sources.store import ResultStore
-from plumbline.streaming import checks, feeds
+from plumbline.streaming import checks, feeds, group_checks
 from plumbline.workloads.reply_level import EVENT_SPECS
 
 AS_OF = dt.datetime(2024, 1, 31)
@@ -110,3 +110,68 @@ def test_running_status_counts(spark):
     rows = spark.read.parquet(f"{out}/rows")
     last = rows.where(F.col("batch_id") == rows.agg(F.max("batch_id")).first()[0])
     assert {r.status: r.executions for r in last.collect()} == {"SUCCESS": 2, "FAILED": 1}
+
+
+def arriving(spark, *batches):
+    """A folder to which each batch is added by itself, and the stream that reads a file at a time."""
+    path = scratch_path(spark, "arriving")
+    for rows in batches:
+        spark.createDataFrame(rows, "k string, at timestamp_ntz, v int").coalesce(1).write.mode("append").parquet(path)
+    return read_stream(spark, spark.read.parquet(path).schema, path)
+
+
+def hour(day, at=0):
+    return dt.datetime(2024, 1, day, at)
+
+
+def followed(stream, specs, span="1 day", delay="1 day"):
+    out = scratch_path(stream.sparkSession, "groups")
+    query = group_checks.check_groups(stream, specs, "at", span, delay, f"{out}/rows", f"{out}/state")
+    query.awaitTermination()
+    return query, stream.sparkSession.read.parquet(f"{out}/rows")
+
+
+def test_groups_across_batches_and_windows(spark):
+    """A key repeated within the span is found wherever the windows lie, one repeated much later is not."""
+    rows = [("a", hour(1, 23), 1)], [("a", hour(2, 1), 2), ("b", hour(2, 5), 1)], [("b", hour(20), 1), (None, hour(20), 1), (None, hour(20, 2), 1)]
+    specs = [spec(2, "t", "k")]
+    query, findings = followed(arriving(spark, *rows), specs)
+    standing = group_checks.standing(findings).collect()
+    assert {(r.group_key, r.occurrences) for r in standing} == {('{"k":"a"}', 2), ('{"k":null}', 2)}
+    results = group_checks.group_results(findings, specs).collect()
+    assert [(r.check_id, r.failure_count, r.check_status) for r in results] == [(2, 2, "FAIL")]
+    assert group_checks.late_rows(query) == 0
+
+
+def test_state_leaves_after_the_watermark_and_late_rows_are_counted(spark):
+    days = [[(f"k{d}-{i}", hour(d), 1) for i in range(50)] for d in range(1, 29, 3)]
+    late = [("k1-0", hour(1), 1), ("k1-0", hour(1), 1)]
+    query, findings = followed(arriving(spark, *days, late), [spec(2, "t", "k")])
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(states) <= 300 and states[-1] <= 300 < 2 * 50 * len(days)
+    assert findings.count() == 0 and group_checks.late_rows(query) >= 2
+
+
+def test_group_checks_agree_with_the_batch_checks(spark, sf_dir):
+    """With a span as long as the table, a stream finds what the whole table shows."""
+    from plumbline.operators import grouped_checks, relational_checks
+
+    events, path = events_in_parts(spark, sf_dir)
+    specs = [spec(2, "events", "user_id"), spec(3, "events", columns="user_id,event_type"),
+             spec(25, "events", cdc_op_column="event_type", record_id="event_id", duplicate_keys="user_id",
+                  group_filter="value > 30", row_filter="event_type = 'click'")]
+    out = scratch_path(spark, "groups")
+    group_checks.check_groups(read_stream(spark, events.schema, path), specs, "ts", "4000 days", "4000 days", f"{out}/rows",
+                              f"{out}/state").awaitTermination()
+    found = {r.check_id: r.failure_count for r in group_checks.group_results(spark.read.parquet(f"{out}/rows"), specs).collect()}
+    assert found == {
+        2: grouped_checks.repeated_keys(events, "user_id").count(),
+        3: grouped_checks.duplicate_records(events, ["user_id", "event_type"]).count(),
+        25: relational_checks.repeated_tuple_counts(events, ["user_id"], "value > 30", "event_type = 'click'").agg(F.sum("n")).first()[0]}
+
+
+def test_other_checks_are_no_group_checks(spark, sf_dir):
+    events, path = events_in_parts(spark, sf_dir, 1)
+    with pytest.raises(ValueError, match="no group checks"):
+        group_checks.check_groups(
+            read_stream(spark, events.schema, path), [spec(1, "events", "value")], "ts", "1 day", "1 day", "x", "y")
