@@ -18,16 +18,18 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
+from plumbline.llm.spark import discard
 from plumbline.llm.texts import STEP, mixed, texts_of
 from plumbline.session import cut_lineage
 
@@ -232,21 +234,6 @@ def join_groups(table: pa.Table, budget: int, bits: int, limit: int | None) -> p
     return pa.record_batch({"a": pa.array(nodes[a]), "b": pa.array(nodes[b])})
 
 
-def group_pairs(table: pa.Table, budget: int, bits: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Like ``join_groups``, but each pair of nodes of different ``comp``, the smaller node first."""
-    order, values, whole, groups = grouped(table, limit)
-    nodes, comp = (table.column(c).to_numpy()[order] for c in ("node", "comp"))
-    for a, b in trie_pairs(values, groups, budget, bits):
-        for at in range(0, len(a), 1 << 18):
-            x, y = a[at:at + (1 << 18)], b[at:at + (1 << 18)]
-            apart = comp[x] != comp[y]
-            x, y = x[apart], y[apart]
-            near = np.bitwise_count(whole[x] ^ whole[y]).sum(axis=1) <= limit
-            x, y = nodes[x[near]], nodes[y[near]]
-            if len(x):
-                yield pa.record_batch({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
-
-
 def fingerprint_links(distinct: DataFrame, budget: int = 3, share: int = SHARE) -> DataFrame:
     """Links (a, b) that connect whatever distinct fingerprints ``fp`` are connected by pairs within ``budget``."""
     n = blocks_for(distinct.count(), budget)
@@ -256,17 +243,16 @@ def fingerprint_links(distinct: DataFrame, budget: int = 3, share: int = SHARE)
     keys = [F.xxhash64(F.lit(t), *[blocks[k] for k in chosen])
             for t, chosen in enumerate(combinations(range(n), n - budget))]
     rows = distinct.select(F.col("fp").alias("node"), F.col("fp").alias("value"), F.explode(F.array(*keys)).alias("key"))
-    return bucket_links(rows.withColumn("whole", F.lit(None).cast("binary")), budget, BITS, None, share)
+    return bucket_links(
+        rows.withColumn("whole", F.lit(None).cast("binary")), lambda table: join_groups(table, budget, BITS, None), share)
 
 
-def bucket_links(
-    rows: DataFrame, budget: int, bits: int, limit: int | None, share: int = SHARE, every: bool = False
-) -> DataFrame:
-    """Links (a, b) from rows (key, node, value, whole): the tries of each key, joined with themselves.
+def bucket_links(rows: DataFrame, joined: Callable[[pa.Table], pa.RecordBatch], share: int = SHARE) -> DataFrame:
+    """Links (a, b) from rows (key, node, value, whole): those that ``joined`` finds among the rows of whole groups.
 
-    With ``every``, all pairs of nodes of different ``comp`` (one more column) instead of links that connect them.
+    Rows of one key are a group; a key with more than ``share`` of them is cut into shares, and each pair of shares is a group.
     """
-    carried = ["node", "value", "whole"] + ["comp"] * every
+    carried = ["node", "value", "whole"]
     rows = rows.select("key", *carried)
     large = rows.groupBy("key").count().where(F.col("count") > share)
     large = cut_lineage(large.select("key", F.ceil(F.col("count") / share).cast("int").alias("shares")), "shares")
@@ -281,12 +267,6 @@ def bucket_links(
         rows = rows.select("key", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"),
                            (F.col("s") > F.col("t")).cast("int").alias("side"), *carried)
 
-    def joined(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        if every:
-            yield from group_pairs(table, budget, bits, limit)
-        else:
-            yield join_groups(table, budget, bits, limit)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         size = 0
@@ -303,10 +283,10 @@ def bucket_links(
             # Rows arrive sorted by group; the last group may go on in the next batch.
             cut = int(np.argmin(same[::-1])) if not same.all() else size
             if cut < size:
-                yield from joined(table.slice(0, size - cut).combine_chunks())
+                yield joined(table.slice(0, size - cut).combine_chunks())
                 held, size = [table.slice(size - cut)], cut
         if size:
-            yield from joined(pa.concat_tables(held).combine_chunks())
+            yield joined(pa.concat_tables(held).combine_chunks())
 
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(run, "a long, b long")
@@ -314,7 +294,9 @@ def bucket_links(
 
 # Fingerprints whose halves near_copies joins, the first of them that travel whole, and the bits in which two halves may
 # differ to be compared.
-PARTS, WHOLE_PARTS, HALF_BITS, HALF_BUDGET = 12, 6, 32, 3
+PARTS, WHOLE_PARTS, HALF_BITS, HALF_BUDGET = 12, 2, 32, 3
+# Sets of a group that one task compares at once.
+SET_SHARE = 2048
 
 
 def bits_for(similarity: float, bits: int, errors: float = 1.0) -> int:
@@ -323,33 +305,85 @@ def bits_for(similarity: float, bits: int, errors: float = 1.0) -> int:
     return math.floor(bits * p + errors * math.sqrt(bits * p * (1 - p)))
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) for each row of a table of one column, the text."""
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) of nodes whose shingle sets (node, shingles) are so similar."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set")), side)
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    near = shared / (F.size("a_set") + F.size("b_set") - shared) >= F.lit(similarity)
+    return pairs.where(near).select("a", "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in texts_of(batch.column(0)):
-                found = [shingle_set(t.text(i), size) for i in range(len(t))]
-                offsets = np.r_[0, np.cumsum([len(h) for h in found])].astype(np.int32)
-                yield pa.record_batch({
-                    "node": pa.array([set_name(h) for h in found], pa.int64()),
-                    "shingles": pa.ListArray.from_arrays(
-                        pa.array(offsets), pa.array(np.concatenate(found).view(np.int64)))})
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+def join_sets(table: pa.Table, similarity: float) -> pa.RecordBatch:
+    """Links that connect, among the rows of whole groups, the nodes of different ``value`` whose sets are so similar.
 
+    ``value`` is what is connected already, ``whole`` the sorted shingles. Only nodes outside the commonest value are
+    compared with all others, and only with those that are still apart.
+    """
+    key, i, j, side, node, value = (table.column(c).to_numpy() for c in ("key", "i", "j", "side", "node", "value"))
+    sets = [np.frombuffer(b, np.uint64) for b in table.column("whole").to_pylist()]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    edges = np.r_[np.flatnonzero(new), len(key)]
+    out: list[tuple[int, int]] = []
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        comp, group = value[lo:hi].copy(), sets[lo:hi]
+        names, counts = np.unique(comp, return_counts=True)
+        if len(names) < 2:
+            continue
+        cross = i[lo] != j[lo]
+        sizes = np.array([len(g) for g in group])
+        offsets = np.r_[0, np.cumsum(sizes)]
+        every = np.concatenate(group)
+        for x in np.flatnonzero(comp != names[counts.argmax()]):
+            own = group[x]
+            fits = (comp != comp[x]) & (np.minimum(sizes, len(own)) >= similarity * np.maximum(sizes, len(own)))
+            if cross:
+                fits &= side[lo:hi] != side[lo + x]
+            if not fits.any() or not len(own):
+                continue
+            at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+            hits = np.r_[0, np.cumsum(own[at] == every)]
+            shared = hits[offsets[1:]] - hits[offsets[:-1]]
+            for y in np.flatnonzero(fits & (shared / (sizes + len(own) - shared) >= similarity)):
+                if comp[x] != comp[y]:
+                    out.append((node[lo + x], node[lo + y]))
+                    comp[comp == comp[y]] = comp[x]
+    a, b = zip(*out) if out else ((), ())
+    return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def links_apart(members: DataFrame, similarity: float, share: int = SET_SHARE) -> DataFrame:
+    """Links between nodes of one ``root`` and different ``comp`` whose sets (``shingles``) are so similar.
+
+    Of two such sets one has, among its 1 - similarity rarest shingles and one more, a shingle that is among those of the
+    other; shingles that no other node of the root holds come first and cannot be it. So nodes meet under such
+    shingles only, and there only if nodes of different ``comp`` do. No pair is formed outside a task.
+    """
+    held = members.select("node", "root", F.explode("shingles").alias("token"))
+    several = held.groupBy("root", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    common = held.join(several, ["root", "token"]).groupBy("node").agg(
+        F.array_sort(F.collect_list(F.struct("n", "token"))).alias("common"))
+    size = F.size("shingles")
+    first = size - F.ceil(size * F.lit(similarity) - F.lit(1e-9)) + 1 - (size - F.size("common"))
+    rare = F.slice("common", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))
+    rows = members.join(common, "node").select(
+        "node", "comp", "root", F.explode(F.transform(rare, lambda e: e["token"])).alias("token")).select(
+        F.xxhash64("root", "token").alias("key"), "node", F.col("comp").alias("value"))
+    rows = cut_lineage(rows, "rare")
+    mixed = rows.groupBy("key").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo < hi").select("key")
+    packed = members.select("node", packed_longs("shingles").alias("whole"))
+    return bucket_links(rows.join(mixed, "key", "left_semi").join(packed, "node"), lambda t: join_sets(t, similarity), share)
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those pairs (a, b) of nodes whose shingle sets are so similar."""
-    pairs = cut_lineage(pairs.distinct(), "candidates")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut_lineage(shingle_sets(docs, size).join(needed, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    for side in ("a", "b"):
-        own = sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set"))
-        pairs = pairs.join(own, side)
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    near = shared / (F.size("a_set") + F.size("b_set") - shared) >= F.lit(similarity)
-    return cut_lineage(pairs.where(near).select("a", "b"), "verified")
+
+def packed_longs(column: str) -> Column:
+    """An array of longs as bytes."""
+
+    @F.pandas_udf("binary")
+    def packed(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: np.asarray(a, np.int64).tobytes())
+
+    return packed(F.col(column))
 
 
 def near_copies(
@@ -357,29 +391,37 @@ def near_copies(
 ) -> DataFrame:
     """(doc_id, component_id): documents whose sets of word shingles are similar are in one component.
 
-    The similarity is shared shingles over all shingles of two texts, at least ``similarity`` for a link. Pairs are compared if
-    one of the 2 * PARTS halves agrees but for HALF_BUDGET bits and 64 * WHOLE_PARTS bits differ by no more than four
-    standard errors above what is expected; at a similarity of 0.8 both let some 999 in 1000 through, and more above. Only
-    the sets decide. Each member of a group of likely copies is first compared with one other; after that, all pairs
-    of what is still apart. Texts of fewer words are one shingle; those without any are alike. A null id
-    takes part and is given back as null.
+    The similarity is shared shingles over all shingles of two texts, at least ``similarity`` for a link. Texts are likely
+    copies if one of the 2 * PARTS halves agrees but for HALF_BUDGET bits and 64 * WHOLE_PARTS bits differ by no more than four
+    standard errors above what is expected; at a similarity of 0.8 both let some 999 in 1000 through, and more above. The
+    tries connect likely copies with one link for each entry, not with every pair.
+
+    Only sets decide. Each likely copy is first compared with the smallest of its group. Where that leaves several
+    components in a group, its members meet under their rarest shingles, and are compared unless they are connected:
+    exactly, and without forming pairs that have none of these in common. Texts of fewer words are one shingle; those without any are
+    alike. A null id takes part and is given back as null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, found = [], []
+            at = 0
             for t in texts_of(batch.column(1)):
-                for i in range(len(t)):
-                    hashes = shingle_set(t.text(i), size)
-                    names.append(set_name(hashes))
-                    found.append(wide_fingerprint(hashes, PARTS))
-            yield pa.record_batch({
-                "doc_id": batch.column(0), "node": pa.array(names, pa.int64()), "parts": pa.array(found, pa.binary())})
+                found = [shingle_set(t.text(i), size) for i in range(len(t))]
+                offsets = np.r_[0, np.cumsum([len(h) for h in found])].astype(np.int32)
+                yield pa.record_batch({
+                    "doc_id": batch.column(0).slice(at, len(t)),
+                    "node": pa.array([set_name(h) for h in found], pa.int64()),
+                    "parts": pa.array([wide_fingerprint(h, PARTS) for h in found], pa.binary()),
+                    "shingles": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).view(np.int64)))})
+                at += len(t)
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    marked = cut_lineage(rows.mapInArrow(run, "doc_id long, node long, parts binary"), "fingerprints")
-    distinct = cut_lineage(
-        marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("parts").alias("parts")), "distinct")
+    computed = cut_lineage(
+        rows.mapInArrow(run, "doc_id long, node long, parts binary, shingles array<long>"), "fingerprints")
+    marked = cut_lineage(computed.select("doc_id", "node"), "nodes")
+    distinct = cut_lineage(computed.groupBy("node").agg(
+        F.min("doc_id").alias("first"), F.first("parts").alias("parts"), F.first("shingles").alias("shingles")), "distinct")
+    discard(computed)
     n = HALF_BUDGET + 1
     width = HALF_BITS // n
 
@@ -397,27 +439,34 @@ def near_copies(
                         key = mixed(block + np.uint64((h * n + b + 1) << HALF_BITS))
                         yield pa.record_batch({
                             "key": pa.array(key.view(np.int64)), "node": part.column(0),
-                            "value": pa.array(value.view(np.int64)), "whole": whole, "comp": part.column(2)})
-
-    def candidates(named: DataFrame, errors: float, every: bool) -> DataFrame:
-        entries = named.select("node", "parts", "comp").mapInArrow(
-            halves, "key long, node long, value long, whole binary, comp long")
-        return bucket_links(
-            entries, HALF_BUDGET, HALF_BITS, bits_for(similarity, 64 * WHOLE_PARTS, errors), every=every)
-
-    texts = rows.select("text")
-    likely = components(candidates(distinct.withColumn("comp", F.col("node")), 0.0, False))
-    first = verified(likely.where("node <> root").select(
-        F.least("node", "root").alias("a"), F.greatest("node", "root").alias("b")), texts, size, similarity)
-    named = distinct.join(components(first), "node", "left").withColumn("comp", F.coalesce("root", "node"))
-    second = verified(candidates(cut_lineage(named, "named"), 4.0, True), texts, size, similarity)
-    roots = components(first.unionByName(second))
+                            "value": pa.array(value.view(np.int64)), "whole": whole})
+
+    entries = distinct.select("node", "parts").mapInArrow(halves, "key long, node long, value long, whole binary")
+    limit = bits_for(similarity, 64 * WHOLE_PARTS, 4.0)
+    likely = cut_lineage(
+        components(bucket_links(entries, lambda t: join_groups(t, HALF_BUDGET, HALF_BITS, limit))), "likely")
+    members = cut_lineage(distinct.select("node", "shingles").join(likely, "node"), "members")
+    stars = likely.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    first = cut_lineage(alike(stars, members, similarity), "first")
+    comps = components(first).select("node", F.col("root").alias("comp"))
+    placed = cut_lineage(
+        likely.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "comps")
+    split = placed.groupBy("root").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("root")
+    contested = cut_lineage(
+        placed.join(split, "root", "left_semi").join(members.select("node", "shingles"), "node"), "contested")
+    discard(members)
+    links = first
+    if not contested.isEmpty():
+        links = cut_lineage(first.unionByName(links_apart(contested, similarity)), "links")
+    discard(contested)
+    roots = components(links)
     placed = cut_lineage(
         distinct.select("node", "first").join(roots, "node", "left")
         .withColumn("root", F.coalesce("root", "node")), "placed")
+    discard(distinct)
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = cut_lineage(placed.join(named, "root").select("node", "component_id"), "classes")
-    return marked.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")
+    return marked.join(classes, "node").select("doc_id", "component_id")
 
 
 def similar(

@@ -29,3 +29,13 @@ def by_bucket(packed: DataFrame, count: int) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def discard(written: DataFrame) -> None:
+    """Delete the files of a table that ``cut_lineage`` wrote, once nothing that is still to run reads it."""
+    spark = written.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for folder in {file.rsplit("/", 1)[0] for file in written.inputFiles()}:
+        if "/plumbline-" in folder:
+            path = hadoop.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

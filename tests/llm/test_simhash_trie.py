@@ -164,3 +164,51 @@ def test_forest():
     assert sorted(zip(a.tolist(), b.tolist())) == [(1, 2), (3, 4), (3, 5)]
     assert isinstance(S.join_groups(pa.table({c: pa.array([0, 0], pa.int64()) for c in (
         "key", "i", "j", "side", "node", "value")}), 3, 64, None), pa.RecordBatch)
+
+
+def jaccard_components(sets, similarity=0.8):
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return dict(enumerate(root))
+
+
+def test_one_template_just_below_and_around_the_limit(spark):
+    """500 texts of one template with own words at 0.76 of each other, and 120 edits of one text between 0.5 and 1."""
+    rng = random.Random(3)
+    template = [f"w{k}" for k in range(120)]
+    texts = [template + [f"own{t}x{k}" for k in range(18)] for t in range(500)]
+    edits = [[f"v{k}" for k in range(150)]]
+    while len(edits) < 120:
+        changed = list(rng.choice(edits))
+        for at in rng.sample(range(150), rng.randrange(1, 6)):
+            changed[at] = f"u{rng.randrange(40)}"
+        edits.append(changed)
+    texts += edits
+    rng.shuffle(texts)
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    expected = jaccard_components(sets)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    found = {r.doc_id: r.component_id for r in S.near_copies(df).collect()}
+    assert found == expected and len(set(expected.values())) > 500
+
+
+def test_sets_that_meet_in_shares(spark):
+    """Members of one group in many shares, linked by sets only."""
+    rng = random.Random(8)
+    sets = [sorted(rng.sample(range(40), rng.randrange(8, 14))) for _ in range(60)]
+    sets += [sorted({*s, 40 + k} - {s[0]}) for k, s in enumerate(sets[:30])]
+    rows = [(i, 1, i, s) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "node long, root long, comp long, shingles array<long>")
+    expected = jaccard_components([set(s) for s in sets], 0.5)
+    for share in (2048, 5):
+        links = [(r.a, r.b) for r in S.links_apart(members, 0.5, share).collect()]
+        root = list(range(len(sets)))
+        for a, b in links:
+            assert len({*sets[a]} & {*sets[b]}) >= 0.5 * len({*sets[a]} | {*sets[b]})
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = [new if r == old else r for r in root]
+        assert dict(enumerate(root)) == expected
