@@ -36,18 +36,21 @@ CAPACITY = 2048
 SEPARATOR = 0
 # Distinct words whose ids a worker remembers, none longer than so many bytes.
 REMEMBERED, LONG_WORD = 700_000, 64
-# Punctuation that is looked for behind words, and words on which a tokenizer shows that it parts it from them.
+# Punctuation that is looked for behind words, and words on which a tokenizer shows that it parts it from them and
+# folds case.
 TRAILING = b".,;:!?%&*#$|()"
-SHOWN = 4_000
+SHOWN = [w + t for w in (b"word", b"Word", b"WORDS", b"a", b"I", b"x1", b"2024", "\u00c9t\u00e9".encode(), b"antiDis", b"zzqx")
+         for t in (b"", *(bytes([c]) for c in TRAILING), b".,", b"!!", b"...", b").", b"%,", b"|", b"$#")]
 
 
 class Encoder:
     """Ids of whole texts, by words: white space bounds tokens in the tokenizers this is used with.
 
     A word's ids are computed once and remembered; the memory is bounded and starts anew when it is full. Where the
-    tokenizer parts punctuation from letters and folds case, as it is asked to show on the first words it sees,
-    a word's ids are those of its lower-case body and of the punctuation behind it, and bodies are remembered
-    as well: there are far fewer of them.
+    tokenizer parts punctuation from letters and folds case, as it is asked to show on fixed words, the ids of a word of
+    letters and digits alone, with or without punctuation behind, are those of its lower-case body and of the
+    punctuation, and bodies are remembered as well: there are far fewer of them. All other words are encoded whole, among them
+    those with marks that combine with a letter or with the strings of special tokens.
     """
 
     def __init__(self, path: str):
@@ -57,7 +60,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.bodies: dict[bytes, bytes] = {}
-        self.parts: bool | None = None
+        self.parts = self._by_parts(SHOWN) == list(self._ids(SHOWN))
 
     def _ids(self, words: list[bytes]) -> Iterator[bytes]:
         for at in range(0, len(words), 20_000):
@@ -76,9 +79,6 @@ class Encoder:
         return [self.bodies[body] + self.bodies[tail] for body, tail in cut]
 
     def _of(self, words: list[bytes]) -> list[bytes]:
-        if self.parts is None and words:
-            shown = words[:SHOWN] + [w + t for w in words[:SHOWN // 8] for t in (b".", b",!", b"%")]
-            self.parts = self._by_parts(shown) == list(self._ids(shown))
         return self._by_parts(words) if self.parts else list(self._ids(words))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -97,13 +97,14 @@ class Encoder:
 
 
 def parted(word: bytes) -> tuple[bytes, bytes]:
-    """A word's body, A-Z in lower case, and the punctuation behind it, if a letter or digit stands before that."""
+    """The body of a word of letters and digits, A-Z in lower case, and the punctuation behind it; other words whole.
+
+    So are words with a letter whose small form has a mark of its own, which would go with the punctuation.
+    """
     body = word.rstrip(TRAILING)
-    tail = word[len(body):]
-    if not body or not tail:
-        return word.lower(), b""
-    last = body[-1:] if body[-1] < 128 else body.decode()[-1]
-    return (body.lower(), tail) if last.isalnum() else (word.lower(), b"")
+    if body.isalnum() or not body.isascii() and body.decode().lower().isalnum():
+        return body.lower(), word[len(body):]
+    return word, b""
 
 
 _ENCODERS: dict[str, Encoder] = {}

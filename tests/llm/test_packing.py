@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -90,3 +92,19 @@ def test_packed(spark, capacity):
     total = sum(len(e[3]) for e in expected)
     assert len(sequences) <= -(-total // capacity) * 1.1 + 1
     assert P.packed(docs.limit(0), PATH).count() == 0
+
+
+def test_ids_of_every_kind_of_word():
+    """Words remembered by parts or whole have the ids of the whole text, whatever was encoded before."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    odd = ["<|EndOfText|>", "<|endoftext|>", "J\u030cak", "T\u0308.", "t\u0308", "\u01c6x", "\u0130stanbul,", "\u039f\u0394\u039f\u03a3.",
+           "it's", "x\u00b2!", "\u0661\u0662.", "a|b|", "word|", "|", "...", "$5.00", "a_b.", "na\u00efve)", "\ufb01ne.", "\u1e9e", "K\u212a", "e\u0301t\u0301,"]
+    rng = random.Random(4)
+    pieces = ["a", "B", "\u00e9", "\u00c9", "e", "\u0301", "\u030c", "1", ".", ",", "|", "<", ">", "'", "s", "\u0130", "\u03a3", "$", "_", "\u4e2d"]
+    odd += ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 7))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(odd) for _ in range(30)) for _ in range(200)] + odd
+    texts = ["plain words only here. Again, plain words!"] * 3000 + texts
+    found = P.Encoder(path).encode([t.encode() for t in texts])
+    for text, ids in zip(texts[3000:], found[3000:]):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
