@@ -118,51 +118,58 @@ def train(pieces: np.ndarray, labels: np.ndarray, languages: list[str], seed: in
 
 
 class Reader:
-    """A trained network arranged for reading: both directions in one step."""
+    """A trained network arranged for reading: both directions in one step, one row for each gate and unit."""
 
     def __init__(self, net: Network):
         k = HIDDEN
         self.net = net
         scale = np.r_[np.full(2 * k, 0.5), np.ones(k)].astype(np.float32)
         # Gates in the order z ahead, z back, r ahead, r back, n ahead, n back; sigmoids as halved tanh.
-        self.tables = [np.zeros((256, 6 * k), np.float32) for _ in range(2)]
-        self.weights = np.zeros((2 * k, 6 * k), np.float32)
+        self.tables = [np.ascontiguousarray((net.inputs[d] * scale).T) for d in range(2)]
+        self.weights = np.zeros((6 * k, 2 * k), np.float32)
         for d in range(2):
-            for g in range(3):
-                at = slice(2 * k * g + k * d, 2 * k * g + k * d + k)
-                part = slice(k * g, k * g + k)
-                self.tables[d][:, at] = (net.inputs[d] * scale)[:, part]
-                self.weights[k * d:k * d + k, at] = (net.recurrent[d] * scale)[:, part]
+            rows = np.concatenate([np.arange(k) + 2 * k * g + k * d for g in range(3)])
+            self.weights[rows, k * d:k * d + k] = (net.recurrent[d] * scale).T
 
-    def read(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities (steps, pieces, languages) of bytes ``x`` (steps, pieces)."""
-        k2 = 2 * HIDDEN
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """Probabilities (languages, steps, pieces) of bytes ``x`` (steps, pieces)."""
+        k = HIDDEN
         steps, n = x.shape
-        h = np.zeros((n, k2), np.float32)
-        states = np.empty((steps, n, k2 + 1), np.float32)
-        states[..., k2] = 1
+        x = x.astype(np.intp)
+        h = np.zeros((2 * k, n), np.float32)
+        a = np.empty((6 * k, n), np.float32)
+        u = np.empty((6 * k, n), np.float32)
+        states = np.empty((2 * k, steps, n), np.float32)
+        zr, new = a[:4 * k], u[4 * k:]
+        z, r = a[:2 * k], a[2 * k:4 * k]
         for t in range(steps):
-            a = self.tables[0][x[t]]
-            a += self.tables[1][x[steps - 1 - t]]
-            u = h @ self.weights
-            zr = a[:, :2 * k2]
-            zr += u[:, :2 * k2]
+            for d, at in enumerate((t, steps - 1 - t)):
+                byte = x[at]
+                for g in range(3):
+                    lo = 2 * k * g + k * d
+                    np.take(self.tables[d][k * g:k * g + k], byte, axis=1, out=a[lo:lo + k], mode="clip")
+            np.matmul(self.weights, h, out=u)
+            zr += u[:4 * k]
             np.tanh(zr, out=zr)
             zr *= 0.5
             zr += 0.5
-            new = u[:, 2 * k2:]
-            new *= zr[:, k2:]
-            new += a[:, 2 * k2:]
+            new *= r
+            new += a[4 * k:]
             np.tanh(new, out=new)
             h -= new
-            h *= zr[:, :k2]
+            h *= z
             h += new
-            states[t, :, :HIDDEN] = h[:, :HIDDEN]
-            states[steps - 1 - t, :, HIDDEN:k2] = h[:, HIDDEN:]
-        p = states.reshape(-1, k2 + 1) @ self.net.out
+            states[:k, t], states[k:, steps - 1 - t] = h[:k], h[k:]
+        out = self.net.out
+        p = out[:2 * k].T @ states.reshape(2 * k, -1)
+        p += out[2 * k][:, None]
         np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        return p.reshape(steps, n, -1)
+        p /= p.sum(axis=0)
+        return p.reshape(-1, steps, n)
+
+    def read(self, x: np.ndarray) -> np.ndarray:
+        """Probabilities (steps, pieces, languages)."""
+        return self.probabilities(x).transpose(1, 2, 0)
 
     def label(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Summed probabilities, and positions labelled, of each text and language."""
@@ -186,10 +193,10 @@ class Reader:
                 continue
             size = int(length[chosen[0]])
             x = padded[begin[chosen][None, :] + np.arange(size)[:, None]]
-            p = self.read(x)
-            best = (p == p.max(axis=2, keepdims=True)).sum(axis=0)
-            np.add.at(sums, owner[chosen], p.sum(axis=0, dtype=np.float64))
-            np.add.at(votes, owner[chosen], best)
+            p = self.probabilities(x)
+            best = (p == p.max(axis=0)).sum(axis=1)
+            np.add.at(sums, owner[chosen], p.sum(axis=1, dtype=np.float64).T)
+            np.add.at(votes, owner[chosen], best.T)
         return sums, votes
 
 
@@ -265,7 +272,7 @@ def identified(
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores, positions = [], [], []
-            for texts in texts_of(batch.column(1)):
+            for texts in texts_of(batch.column(1), 4 << 20):
                 if reader is None:
                     names += [UNKNOWN] * len(texts)
                     scores += [0.0] * len(texts)
