@@ -9,7 +9,7 @@ Formatting marks turns by control strings and escapes those that occur in texts:
 backslashes and ``|`` gets one more backslash, which ``parse`` takes off again. Roles escape backslash
 and newline as well, for a newline ends a role.
 
-Null texts and roles are empty. A message whose parent does not exist starts a path; messages on a cycle have no root
+Null texts and roles are empty. Messages without a tree id are a tree of their own, given back without an id. A message whose parent does not exist starts a path; messages on a cycle have no root
 and belong to no path. A repeated id makes paths through each of its rows' texts undefined, so ids must be unique
 (``chained`` makes them so for tables of turns). An empty table gives an empty result; other columns are
 ignored. One formatted conversation is one row, as long as its texts.
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from plumbline.session import cut_lineage
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+# What stands for an absent tree id in joins; ids are decimal numbers there.
+NO_TREE = "none"
 LEARNED_ROLE = "assistant"
 
 
@@ -115,6 +117,7 @@ def conversations(messages: DataFrame, branches: int | None = None) -> DataFrame
     Paths of a tree are ranked by their mean message score, the smaller leaf id first among equals; with ``branches``
     only that many of each tree are formatted. loss_mask lists code point ranges of ``formatted``.
     """
+    messages = messages.withColumn("tree_id", F.coalesce(F.col("tree_id").cast("string"), F.lit(NO_TREE)))
     on_path = cut_lineage(paths(messages), "on_path")
     texts = messages.select("tree_id", "message_id", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score"))
     scores = on_path.join(texts.select("tree_id", "message_id", "score"), ["tree_id", "message_id"])
@@ -139,8 +142,9 @@ def conversations(messages: DataFrame, branches: int | None = None) -> DataFrame
                 names=["tree_id", "leaf_id", "rank", "score", "n_turns", "formatted", "loss_mask"])
 
     return gathered.select("tree_id", "leaf_id", "rank", "score", "turns").mapInArrow(
-        run, "tree_id long, leaf_id long, rank int, score double, n_turns long, formatted string, "
-             "loss_mask array<struct<start:long,end:long>>")
+        run, "tree_id string, leaf_id long, rank int, score double, n_turns long, formatted string, "
+             "loss_mask array<struct<start:long,end:long>>"
+    ).withColumn("tree_id", F.when(F.col("tree_id") != NO_TREE, F.col("tree_id").cast("long")))
 
 
 def digests(made: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ The hashes of all windows of a document meet those of the benchmark in a join. A
 along the document, equal words add one and replaced words take ``PENALTY`` off, and the best stretch decides.
 Everything runs on DataFrame functions.
 
-Words are runs of letters and digits, in lower case. Items of fewer words than the longest mask are also sought whole;
-those of fewer than ``LEAST_ITEM`` words are too common to tell anything and match nothing.
+Words are runs of letters and digits, in lower case. Items of fewer than ``SHORT`` words have masks of their own length, which
+leave out every third word in turn, so that one replaced word, wherever it is, is under a zero of one of them; items too
+short to be accepted with a replaced word are sought whole. Those of fewer than ``LEAST_ITEM`` words are too common to
+tell anything and match nothing.
 Items with the same words are one class, named by the smallest id. Null texts match nothing.
 Copies and repeated passages are found in each document; repeated rows of one id give one result. Empty tables
 give an empty result; other columns are ignored.
@@ -19,15 +21,16 @@ from pyspark.sql import functions as F
 
 from plumbline.session import cut_lineage
 
-# Eight or seven words each; a replaced word in an item spoils the windows of one mask but not of all.
+# Eight or seven words each; a replaced word in an item of ``SHORT`` words or more spoils some windows but not all.
 MASKS = ("1111001111", "11011011011", "1010110111")
 PENALTY = 2
 # Words a stretch must be worth; a shorter item must be there whole, but for one word in ``SPARE``.
 LEAST = 10
 SPARE = 8
 LEAST_ITEM = 5
-# Benchmark hashes up to this number are broadcast: some 50 MB.
-BROADCAST_ROWS = 1_000_000
+SHORT = 12
+# Benchmark seeds are broadcast up to so many bytes, their items included.
+BROADCAST_BYTES = 50_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -35,6 +38,13 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
+def masks_of(words: int) -> list[str]:
+    """Masks for items of so many words, fewer than ``SHORT``."""
+    if words < SPARE:
+        return ["1" * words]
+    return ["".join("0" if k % 3 == out else "1" for k in range(words)) for out in range(3)]
+
+
 def windows(rows: DataFrame, masks: list[str], keep: list[str]) -> DataFrame:
     """(keep, hashes, at, seed) for each mask at each place where it fits into ``hashes``."""
     hashes, at = F.col("hashes"), F.col("at")
@@ -74,15 +84,15 @@ def contaminated(
         .where(F.size("hashes") >= LEAST_ITEM).groupBy("hashes")
         .agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("items")))
     items = cut_lineage(items.where("item_id is not null"), "benchmark")
-    longest = max(len(m) for m in MASKS)
-    short = [r[0] for r in items.select(F.size("hashes")).distinct().collect() if r[0] < longest]
-    masks = [*MASKS, *["1" * n for n in sorted(short)]]
+    short = sorted(r[0] for r in items.where(F.size("hashes") < SHORT).select(F.size("hashes")).distinct().collect())
+    masks = [*MASKS, *[m for n in short for m in masks_of(n)]]
     index = cut_lineage(
         windows(items, masks, ["item_id", "items"]).select(
             "seed", F.col("at").alias("item_at"), "item_id", "items", F.col("hashes").alias("item")), "seeds")
     found = windows(
         docs.select(F.col(id_column).alias("doc_id"), word_hashes(F.col(text)).alias("hashes")), masks, ["doc_id"])
-    side = F.broadcast(index) if index.count() <= BROADCAST_ROWS else index
+    size = index.agg(F.sum(F.size("item") * 8 + 64)).first()[0] or 0
+    side = F.broadcast(index) if size <= BROADCAST_BYTES else index
     hits = found.join(side, "seed")
     shift = F.col("at") - F.col("item_at")
     begin = F.greatest(shift, F.lit(0))

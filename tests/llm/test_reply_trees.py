@@ -22,7 +22,7 @@ def brute_digests(rows):
     out = {}
     for key in {r[0] for r in rows}:
         turns = [(role or "", text or "") for _, _, role, text in sorted(
-            (r for r in rows if r[0] == key), key=lambda r: (r[1], r[2] or "", r[3] or ""))]
+            (r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))]
         whole = "".join(f"{a}\n{b}\n" for a, b in turns)
         learned = "".join(b for a, b in turns if a == "assistant")
         out[key] = (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(learned),
@@ -47,6 +47,7 @@ def test_odd_turns(spark):
     rows = [(1, 5, "user", None), (1, 2, None, "x"), (1, 9, "assistant", "a\n"), (2, 0, "assistant", ""), (3, 0, "user", "b"),
             (3, 0, "user", "b"), (3, 0, "assistant", "c"), (4, 0, "user", "w " * 100_000)]
     rows += [(5, k, ["user", "assistant"][k % 2], f"t{k}") for k in range(300)]
+    rows += [(None, 1, "assistant", "no id"), (None, 0, "user", "neither"), (None, None, "user", None)]
     frame = spark.createDataFrame([(*r, 1.0, 0) for r in rows], (
         "conv_id long, turn long, role string, text string, score double, message_id int"))
     messages = R.chained(frame)

@@ -62,10 +62,36 @@ def test_odd_rows(spark):
     assert run(spark, [], items) == {} and run(spark, docs, []) == {}
 
 
+def test_short_items_with_one_replaced_word(spark):
+    """Items of 5 to 12 words, a word replaced at each place: accepted from 8 words on, as brute force over all places says."""
+    items = [(n, " ".join(words(n))) for n in range(5, 13)]
+    docs = {}
+    for n, item in items:
+        for at in range(n):
+            inner = item.split()
+            inner[at] = "zzz"
+            docs[100 * n + at] = " ".join(words(20) + inner + words(20))
+        docs[100 * n + 99] = " ".join(words(20) + item.split() + words(20))
+
+    def accepted(text, item):
+        best, a, b = 0, text.split(), item.split()
+        for shift in range(-len(b) + 1, len(a)):
+            run = 0
+            for k, word in enumerate(b):
+                if 0 <= shift + k < len(a):
+                    run = max(0, run + (1 if a[shift + k] == word else -2))
+                    best = max(best, run)
+        return best >= min(10, len(b) - 3 * (len(b) // 8))
+
+    expected = {(d, n) for d, t in docs.items() for n, item in items if accepted(t, item)}
+    assert set(run(spark, list(docs.items()), items)) == expected
+    assert expected == {(d, d // 100) for d in docs if d // 100 >= 8 or d % 100 == 99}
+
+
 def test_without_broadcast(spark, monkeypatch):
     docs = [(k, planted(t)) for k, t in ITEMS]
     expected = set(run(spark, docs))
-    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(S, "BROADCAST_BYTES", -1)
     assert set(run(spark, docs)) == expected == {(k, k) for k, _ in ITEMS}
 
 
