@@ -22,10 +22,9 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
@@ -296,7 +295,7 @@ def bucket_links(rows: DataFrame, joined: Callable[[pa.Table], pa.RecordBatch],
 # differ to be compared.
 PARTS, WHOLE_PARTS, HALF_BITS, HALF_BUDGET = 12, 2, 32, 3
 # Sets of a group that one task compares at once.
-SET_SHARE = 2048
+SET_SHARE = 4096
 
 
 def bits_for(similarity: float, bits: int, errors: float = 1.0) -> int:
@@ -305,47 +304,45 @@ def bits_for(similarity: float, bits: int, errors: float = 1.0) -> int:
     return math.floor(bits * p + errors * math.sqrt(bits * p * (1 - p)))
 
 
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (a, b) of nodes whose shingle sets (node, shingles) are so similar."""
-    for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set")), side)
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    near = shared / (F.size("a_set") + F.size("b_set") - shared) >= F.lit(similarity)
-    return pairs.where(near).select("a", "b")
+def shared_with(x: int, sets: list[np.ndarray], tokens: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """How many shingles each set has in common with set ``x``; ``tokens`` are those of all sets, sorted, with their owners."""
+    lo, hi = (np.searchsorted(tokens, sets[x], side) for side in ("left", "right"))
+    n = hi - lo
+    places = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+    return np.bincount(owners[places], minlength=len(sets))
 
 
 def join_sets(table: pa.Table, similarity: float) -> pa.RecordBatch:
-    """Links that connect, among the rows of whole groups, the nodes of different ``value`` whose sets are so similar.
+    """Links that connect, among the rows of whole groups, the nodes whose sets are so similar.
 
-    ``value`` is what is connected already, ``whole`` the sorted shingles. Only nodes outside the commonest value are
-    compared with all others, and only with those that are still apart.
+    ``whole`` holds the sorted shingles. A node is compared with those it is not connected with yet, all at once.
     """
-    key, i, j, side, node, value = (table.column(c).to_numpy() for c in ("key", "i", "j", "side", "node", "value"))
-    sets = [np.frombuffer(b, np.uint64) for b in table.column("whole").to_pylist()]
+    key, i, j, side, node = (table.column(c).to_numpy() for c in ("key", "i", "j", "side", "node"))
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
     edges = np.r_[np.flatnonzero(new), len(key)]
     out: list[tuple[int, int]] = []
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        comp, group = value[lo:hi].copy(), sets[lo:hi]
-        names, counts = np.unique(comp, return_counts=True)
-        if len(names) < 2:
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if hi - lo < 2:
             continue
+        sets = [np.frombuffer(w.as_buffer(), np.uint32) for w in table.column("whole").slice(lo, hi - lo)]
+        sizes = np.array([len(g) for g in sets])
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        tokens, owners = every[order], np.repeat(np.arange(len(sets)), sizes)[order]
+        comp, sides = np.arange(len(sets)), side[lo:hi]
         cross = i[lo] != j[lo]
-        sizes = np.array([len(g) for g in group])
-        offsets = np.r_[0, np.cumsum(sizes)]
-        every = np.concatenate(group)
-        for x in np.flatnonzero(comp != names[counts.argmax()]):
-            own = group[x]
-            fits = (comp != comp[x]) & (np.minimum(sizes, len(own)) >= similarity * np.maximum(sizes, len(own)))
+        for x in range(len(sets)):
+            apart = comp != comp[x]
             if cross:
-                fits &= side[lo:hi] != side[lo + x]
-            if not fits.any() or not len(own):
+                # Pairs of equal sides are compared elsewhere; one side's nodes see all of the other.
+                if sides[x]:
+                    continue
+                apart &= sides == 1
+            if not apart.any():
                 continue
-            at = np.minimum(np.searchsorted(own, every), len(own) - 1)
-            hits = np.r_[0, np.cumsum(own[at] == every)]
-            shared = hits[offsets[1:]] - hits[offsets[:-1]]
-            for y in np.flatnonzero(fits & (shared / (sizes + len(own) - shared) >= similarity)):
+            shared = shared_with(x, sets, tokens, owners)
+            for y in np.flatnonzero(apart & (shared >= similarity * (sizes + sizes[x] - shared)) & (shared > 0)).tolist():
                 if comp[x] != comp[y]:
                     out.append((node[lo + x], node[lo + y]))
                     comp[comp == comp[y]] = comp[x]
@@ -353,37 +350,21 @@ def join_sets(table: pa.Table, similarity: float) -> pa.RecordBatch:
     return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def links_apart(members: DataFrame, similarity: float, share: int = SET_SHARE) -> DataFrame:
-    """Links between nodes of one ``root`` and different ``comp`` whose sets (``shingles``) are so similar.
+def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(node, whole) for each row of a table of one column, the text: its shingles as sorted 32-bit numbers.
 
-    Of two such sets one has, among its 1 - similarity rarest shingles and one more, a shingle that is among those of the
-    other; shingles that no other node of the root holds come first and cannot be it. So nodes meet under such
-    shingles only, and there only if nodes of different ``comp`` do. No pair is formed outside a task.
+    Two texts of a thousand words each have a chance of one in some 4,000 that two different shingles look alike.
     """
-    held = members.select("node", "root", F.explode("shingles").alias("token"))
-    several = held.groupBy("root", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    common = held.join(several, ["root", "token"]).groupBy("node").agg(
-        F.array_sort(F.collect_list(F.struct("n", "token"))).alias("common"))
-    size = F.size("shingles")
-    first = size - F.ceil(size * F.lit(similarity) - F.lit(1e-9)) + 1 - (size - F.size("common"))
-    rare = F.slice("common", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))
-    rows = members.join(common, "node").select(
-        "node", "comp", "root", F.explode(F.transform(rare, lambda e: e["token"])).alias("token")).select(
-        F.xxhash64("root", "token").alias("key"), "node", F.col("comp").alias("value"))
-    rows = cut_lineage(rows, "rare")
-    mixed = rows.groupBy("key").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo < hi").select("key")
-    packed = members.select("node", packed_longs("shingles").alias("whole"))
-    return bucket_links(rows.join(mixed, "key", "left_semi").join(packed, "node"), lambda t: join_sets(t, similarity), share)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in texts_of(batch.column(0)):
+                found = [shingle_set(t.text(i), size) for i in range(len(t))]
+                yield pa.record_batch({
+                    "node": pa.array([set_name(h) for h in found], pa.int64()),
+                    "whole": pa.array([np.unique(h.astype(np.uint32)).tobytes() for h in found], pa.binary())})
 
-def packed_longs(column: str) -> Column:
-    """An array of longs as bytes."""
-
-    @F.pandas_udf("binary")
-    def packed(arrays: pd.Series) -> pd.Series:
-        return arrays.map(lambda a: np.asarray(a, np.int64).tobytes())
-
-    return packed(F.col(column))
+    return texts.mapInArrow(run, "node long, whole binary")
 
 
 def near_copies(
@@ -396,32 +377,27 @@ def near_copies(
     standard errors above what is expected; at a similarity of 0.8 both let some 999 in 1000 through, and more above. The
     tries connect likely copies with one link for each entry, not with every pair.
 
-    Only sets decide. Each likely copy is first compared with the smallest of its group. Where that leaves several
-    components in a group, its members meet under their rarest shingles, and are compared unless they are connected:
-    exactly, and without forming pairs that have none of these in common. Texts of fewer words are one shingle; those without any are
-    alike. A null id takes part and is given back as null.
+    Only sets decide. The sets of a group of likely copies meet in one task, a large group's in shares of SET_SHARE that meet
+    pair by pair, and are compared unless they are connected; a task hands on links that connect, no pairs. Sets are
+    made once more from the texts rather than kept beside the fingerprints. Texts of fewer words are one shingle; those
+    without any are alike. A null id takes part and is given back as null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
+            names, found = [], []
             for t in texts_of(batch.column(1)):
-                found = [shingle_set(t.text(i), size) for i in range(len(t))]
-                offsets = np.r_[0, np.cumsum([len(h) for h in found])].astype(np.int32)
-                yield pa.record_batch({
-                    "doc_id": batch.column(0).slice(at, len(t)),
-                    "node": pa.array([set_name(h) for h in found], pa.int64()),
-                    "parts": pa.array([wide_fingerprint(h, PARTS) for h in found], pa.binary()),
-                    "shingles": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).view(np.int64)))})
-                at += len(t)
+                for i in range(len(t)):
+                    hashes = shingle_set(t.text(i), size)
+                    names.append(set_name(hashes))
+                    found.append(wide_fingerprint(hashes, PARTS))
+            yield pa.record_batch({
+                "doc_id": batch.column(0), "node": pa.array(names, pa.int64()), "parts": pa.array(found, pa.binary())})
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    computed = cut_lineage(
-        rows.mapInArrow(run, "doc_id long, node long, parts binary, shingles array<long>"), "fingerprints")
-    marked = cut_lineage(computed.select("doc_id", "node"), "nodes")
-    distinct = cut_lineage(computed.groupBy("node").agg(
-        F.min("doc_id").alias("first"), F.first("parts").alias("parts"), F.first("shingles").alias("shingles")), "distinct")
-    discard(computed)
+    marked = cut_lineage(rows.mapInArrow(run, "doc_id long, node long, parts binary"), "fingerprints")
+    distinct = cut_lineage(
+        marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("parts").alias("parts")), "distinct")
     n = HALF_BUDGET + 1
     width = HALF_BITS // n
 
@@ -445,25 +421,14 @@ def near_copies(
     limit = bits_for(similarity, 64 * WHOLE_PARTS, 4.0)
     likely = cut_lineage(
         components(bucket_links(entries, lambda t: join_groups(t, HALF_BUDGET, HALF_BITS, limit))), "likely")
-    members = cut_lineage(distinct.select("node", "shingles").join(likely, "node"), "members")
-    stars = likely.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    first = cut_lineage(alike(stars, members, similarity), "first")
-    comps = components(first).select("node", F.col("root").alias("comp"))
-    placed = cut_lineage(
-        likely.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "comps")
-    split = placed.groupBy("root").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("root")
-    contested = cut_lineage(
-        placed.join(split, "root", "left_semi").join(members.select("node", "shingles"), "node"), "contested")
+    sets = shingle_sets(rows.select("text"), size).join(likely, "node").dropDuplicates(["node"])
+    members = cut_lineage(sets.select(F.col("root").alias("key"), "node", F.lit(0).cast("long").alias("value"), "whole"), "sets")
+    links = cut_lineage(bucket_links(members, lambda t: join_sets(t, similarity), SET_SHARE), "links")
     discard(members)
-    links = first
-    if not contested.isEmpty():
-        links = cut_lineage(first.unionByName(links_apart(contested, similarity)), "links")
-    discard(contested)
     roots = components(links)
     placed = cut_lineage(
         distinct.select("node", "first").join(roots, "node", "left")
         .withColumn("root", F.coalesce("root", "node")), "placed")
-    discard(distinct)
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = cut_lineage(placed.join(named, "root").select("node", "component_id"), "classes")
     return marked.join(classes, "node").select("doc_id", "component_id")
