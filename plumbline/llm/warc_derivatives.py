@@ -3,6 +3,10 @@
 Records follow WARC/1.1. Both carry the response's record id in ``WARC-Refers-To``, its target and date, and
 the digests of their own block and of the response's payload. The metadata block is JSON with the response's WARC and
 HTTP headers, title, meta tags and links; the conversion block is the text between tags, one line per block element.
+Where a response brings its own WARC headers (column ``warc``, a line each), all of them are kept, and its payload digest is
+handed on as it is; without one the digest is computed.
+
+Pages are read in time that grows with their length: tags are looked for up to the last ``>`` only, and a title's end once.
 
 A null or empty body gives records with no text; a null target leaves ``WARC-Target-URI`` out; null
 headers count as none. Repeated responses give repeated records with one id, which is a function of the response's. A
@@ -32,6 +36,10 @@ BREAKS = frozenset(
     "head header hr html li main nav ol p pre section table td th title tr ul".split())
 HIDDEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+OPENED = re.compile(r"<!--")
+# Stands behind the last tag while hidden elements are cut out; a character that no text can hold.
+END = "\udfff"
+TITLE, TITLE_END = re.compile(r"<title\b[^>]*>", re.I), re.compile(r"</title\s*>", re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 LINKS = {"a": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "form": "action"}
@@ -45,15 +53,26 @@ def one_line(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
+def closed(body: str) -> tuple[str, str]:
+    """The page up to its last ``>``, behind which there is no tag, and the rest, from a comment or hidden element on left out."""
+    end = body.rfind(">") + 1
+    hidden = OPENED.search(body, end)
+    return body[:end], body[end:hidden.start() if hidden else len(body)]
+
+
 def page_text(body: str) -> str:
     """Visible text, white space folded, a line per block."""
     out, at = [], 0
-    body = HIDDEN.sub(" ", body)
+    body, rest = closed(body)
+    # A comment or hidden element that never ends hides the rest, too.
+    body = HIDDEN.sub(" ", f"{body}{END}")
+    body, rest = (body[:-1], rest) if body.endswith(END) else (body, "")
+    body = body.replace(END, "")
     for tag in TAG.finditer(body):
         out.append(body[at:tag.start()].replace("\n", " "))
         out.append("\n" if (tag[2] or "").lower() in BREAKS else "")
         at = tag.end()
-    out.append(body[at:].replace("\n", " "))
+    out.append((body[at:] + rest).replace("\n", " "))
     lines = (one_line(line) for line in "".join(out).split("\n"))
     return "\n".join(line for line in lines if line)
 
@@ -61,9 +80,11 @@ def page_text(body: str) -> str:
 def page_facts(body: str) -> dict:
     """Title, meta tags and links of a page."""
     title, metas, links = "", [], []
-    found = re.search(r"<title\b[^>]*>(.*?)</title\s*>", body, re.S | re.I)
-    if found:
-        title = one_line(found[1])
+    body = closed(body)[0]
+    opened = TITLE.search(body)
+    ended = TITLE_END.search(body, opened.end()) if opened else None
+    if ended:
+        title = one_line(body[opened.end():ended.start()])
     for tag in TAG.finditer(re.sub(r"<!--.*?(?:-->|\Z)", "", body, flags=re.S)):
         name = (tag[2] or "").lower()
         if tag[1] or not (name == "meta" or name in LINKS):
@@ -96,14 +117,18 @@ def record(fields: list[tuple[str, str]], block: str) -> str:
     return f"{VERSION}\r\n{head}\r\n{block}"
 
 
-def derive(source: str, target: str | None, date: str | None, head: str | None, body: str | None) -> list[dict]:
+def derive(
+    source: str, target: str | None, date: str | None, head: str | None, body: str | None, warc: str | None = None
+) -> list[dict]:
     """The metadata and the conversion record of one response."""
     body = body or ""
-    payload = digest(body.encode())
+    given = headers_of(f"{VERSION}\n{warc}") if warc else []
+    payload = dict(given).get("WARC-Payload-Digest") or digest(body.encode())
     origin = [("WARC-Type", "response"), ("WARC-Record-ID", source)]
     origin += [("WARC-Target-URI", target)] if target is not None else []
     origin += [("WARC-Date", date)] if date is not None else []
     origin += [("WARC-Payload-Digest", payload)]
+    origin += [(name, value) for name, value in given if name not in dict(origin)]
     facts = page_facts(body)
     status = (head or "").splitlines()[:1]
     text = page_text(body)
@@ -145,8 +170,10 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_column: s
 
 
 def derivatives(rows: DataFrame) -> DataFrame:
-    """(key and COLUMNS), two rows for each response of ``rows`` (key, source_id, target, date, head, body)."""
-    rows = rows.where(F.col("source_id").isNotNull()).select("key", "source_id", "target", "date", "head", "body")
+    """(key and COLUMNS), two rows for each response of ``rows`` (key, source_id, target, date, head, body, and maybe warc)."""
+    warc = F.col("warc") if "warc" in rows.columns else F.lit(None)
+    rows = rows.where(F.col("source_id").isNotNull()).select(
+        "key", "source_id", "target", "date", "head", "body", warc.cast("string").alias("warc"))
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,3 +74,48 @@ def test_odd_rows(spark):
     assert W.derivatives(frame.limit(0)).count() == 0
     pages = spark.createDataFrame([(1, None, None), (1, None, None), (2, "u", "x")], "page_id long, url string, html string")
     assert len({r.source_id for r in W.responses(pages).collect()}) == 2
+
+
+OLD_HIDDEN = W.HIDDEN
+
+
+def old_text(body):
+    """Tags and hidden elements taken out one after another over the whole page."""
+    out, at = [], 0
+    body = OLD_HIDDEN.sub(" ", body)
+    for tag in W.TAG.finditer(body):
+        out += [body[at:tag.start()].replace("\n", " "), "\n" if (tag[2] or "").lower() in W.BREAKS else ""]
+        at = tag.end()
+    lines = (W.one_line(line) for line in "".join([*out, body[at:].replace("\n", " ")]).split("\n"))
+    return "\n".join(line for line in lines if line)
+
+
+def test_texts_of_broken_pages():
+    import random
+
+    rng = random.Random(5)
+    parts = ["<p>", "a", " b\n", "<!--", "-->", "<script>", "</script>", "<title>", "</title>", "<a href='x>y'>", ">", "<", "<br", "&amp;", "<style x", "'", '"']
+    for _ in range(20_000):
+        body = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        assert W.page_text(body) == old_text(body), body
+    assert W.page_facts("<title a><title>x</title>")["title"] == "<title>x"
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for unit in ("<title>", "<script ", "<title", "<!-- <script>", "<style>", "</title ", "<p "):
+        started = time.process_time()
+        W.derive("<urn:uuid:1>", None, None, None, unit * (5_000_000 // len(unit)))
+        assert time.process_time() - started < 20, unit
+
+
+def test_given_headers_and_digest_are_kept(spark):
+    warc = "WARC-Payload-Digest: sha256:abc\r\nWARC-IP-Address: 10.0.0.1\r\nWARC-Type: response\r\n"
+    rows = spark.createDataFrame([(1, "<urn:uuid:1>", "u", "d", None, "x", warc), (2, "<urn:uuid:2>", "u", "d", None, "x", None)], (
+        "key long, source_id string, target string, date string, head string, body string, warc string"))
+    found = {(r.key, r.record_type): r for r in W.derivatives(rows).collect()}
+    assert found[1, "conversion"].source_payload_digest == "sha256:abc" and found[2, "conversion"].source_payload_digest == W.digest(b"x")
+    ((_, block),) = W.split_archive(found[1, "metadata"].record.encode() + b"\r\n\r\n")
+    kept = json.loads(block)["warc"]
+    assert kept["WARC-IP-Address"] == "10.0.0.1" and kept["WARC-Payload-Digest"] == "sha256:abc" and kept["WARC-Record-ID"] == "<urn:uuid:1>"
