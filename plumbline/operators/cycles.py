@@ -155,14 +155,14 @@ def cycle_members(df: DataFrame, node: str, parent: str) -> DataFrame:
 
 
 def cycles_and_branches(df: DataFrame, node: str, parent: str) -> DataFrame:
-    """(node, finding, cycle_id): members of cycles, and BRANCH for nodes that never lead to a root and lie on none.
+    """(node, finding, cycle_id, members): CYCLE for members of cycles, BRANCH for nodes that lead to cycles only.
 
-    A branch leads to cycles only; a member that leads to a root as well is a member all the same.
+    A branch never leads to a root and lies on no cycle itself; a member that leads to a root as well is a member all the same.
     """
     members = cut_lineage(cycle_members(df, node, parent), "members")
     strays = probe(df.where(F.col(parent).isNotNull()), [parent], df, [node], "left_anti").select(node)
     met = walk(df, node, parent, None).select(node).unionByName(walk(df, node, parent, None, starts=strays).select(node))
     stuck = present(df.select(node), [node]).distinct().join(met.distinct(), node, "left_anti")
-    branches = stuck.join(members.select(node), node, "left_anti").select(
-        node, F.lit("BRANCH").alias("finding"), F.lit(None).cast(members.schema["cycle_id"].dataType).alias("cycle_id"))
-    return members.select(node, F.lit("CYCLE").alias("finding"), "cycle_id").unionByName(branches)
+    branches = stuck.join(members.select(node), node, "left_anti").select(node, F.lit("BRANCH").alias("finding"))
+    return members.withColumn("finding", F.lit("CYCLE")).unionByName(branches, allowMissingColumns=True).select(
+        node, "finding", "cycle_id", "members")

@@ -248,6 +248,16 @@ def _first_hundred(check, table, record, value, column, condition):
     )
 
 
+def _sampled(check, table, column, rows):
+    """The first hundred of rows (r, v), identifier and value."""
+    name = next(c[1] for c in CHECKS if c[0] == check)
+    return (
+        f"SELECT * FROM (SELECT CAST({check} AS BIGINT) AS check_id, '{table}' AS target_table, CAST(r AS VARCHAR) AS record_identifier, "
+        f"'{column}' AS column_name, COALESCE(CAST(v AS VARCHAR), 'N/A') AS failed_value, '{name}' AS failure_reason "
+        f"FROM ({rows}) ORDER BY record_identifier, failed_value LIMIT 100)"
+    )
+
+
 FAR = "ABS((o_totalprice - (SELECT AVG(o_totalprice) FROM orders)) / (SELECT STDDEV_SAMP(o_totalprice) FROM orders)) > 1.7"
 
 
@@ -280,11 +290,21 @@ FAR = "ABS((o_totalprice - (SELECT AVG(o_totalprice) FROM orders)) / (SELECT STD
     _first_hundred(19, "part", "p_name", "p_name", "p_name",
                    "p_name IN (SELECT p_name FROM part GROUP BY 1 HAVING COUNT(*) > 1)")
     .replace("SELECT CAST(19 ", "SELECT DISTINCT CAST(19 "),
+    _first_hundred(4, "orders", "o_custkey", "o_custkey", "o_custkey", "o_custkey NOT IN (SELECT c_custkey FROM customer)"),
+    _sampled(17, "region", "N/A", "SELECT c AS r, 'ADDED' AS v FROM (VALUES ('r_regionkey'), ('r_name')) t(c) "
+             "WHERE c NOT IN (SELECT r_name FROM region) UNION ALL SELECT r_name, 'REMOVED' FROM region "
+             "WHERE r_name NOT IN ('r_regionkey', 'r_name')"),
+    _sampled(18, "orders", "o_totalprice", "SELECT o_orderdate AS r, NULL AS v FROM orders JOIN (SELECT l_shipdate AS d, COUNT(*) AS c, "
+             "SUM(l_quantity) AS s FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1) ON o_orderdate = d "
+             "WHERE c <> o_custkey OR s <> o_totalprice"),
+    _sampled(22, "orders", "o_custkey", "SELECT o_orderkey AS r, 'ORPHAN' AS v FROM orders WHERE o_custkey NOT IN (SELECT o_orderkey FROM orders) "
+             "UNION ALL SELECT a.o_orderkey, 'CIRCULAR' FROM orders a JOIN orders b ON a.o_orderkey = b.o_custkey AND a.o_custkey = b.o_orderkey"),
+    _sampled(23, "orders", "N/A", "SELECT o_orderdate AS r, '5-LOW' AS v FROM orders WHERE o_orderpriority = '5-LOW' AND o_orderdate IS NOT NULL "
+             "GROUP BY 1 HAVING COUNT(DISTINCT o_totalprice) > 1"),
 ]))
 def engine_samples(t):
-    """All checks whose failing records have an identifier, but for those that compare tables or rows."""
-    wanted = run_failures(t).where(~F.col("check_id").isin(4, 17, 18, 22, 23))
-    return wanted.select(
+    """All checks whose failing records have an identifier, those that compare tables or rows included."""
+    return run_failures(t).select(
         "check_id", "target_table", "record_identifier", "column_name", "failed_value", "failure_reason")
 
 

@@ -53,7 +53,7 @@ def test_text_keys_and_empty_table(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "id string, p string")
     assert {tuple(r) for r in cycles.cycle_members(df, "id", "p").collect()} == {("a", "a", 2), ("a", "b", 2)}
     assert {tuple(r) for r in cycles.cycles_and_branches(df, "id", "p").collect()} == {
-        ("a", "CYCLE", "a"), ("b", "CYCLE", "a"), ("c", "BRANCH", None)}
+        ("a", "CYCLE", "a", 2), ("b", "CYCLE", "a", 2), ("c", "BRANCH", None, None)}
     assert cycles.cycle_members(df.limit(0), "id", "p").count() == 0
 
 
