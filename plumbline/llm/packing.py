@@ -35,7 +35,7 @@ from plumbline.session import cut_lineage, scratch_path
 CAPACITY = 2048
 SEPARATOR = 0
 # Distinct words whose ids a worker remembers, none longer than so many bytes.
-REMEMBERED, LONG_WORD = 700_000, 64
+REMEMBERED, LONG_WORD = 500_000, 64
 # Punctuation that is looked for behind words, and words on which a tokenizer shows that it parts it from them and
 # folds case.
 TRAILING = b".,;:!?%&*#$|()"
@@ -123,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([SEPARATOR], "<u4").tobytes()
         for batch in batches:
-            for texts in texts_of(batch.column(1), 4 << 20):
+            for texts in texts_of(batch.column(1), 2 << 20):
                 ids = encoder(tokenizer).encode([texts.text(i) for i in range(len(texts))])
                 row, piece, start, cut = [], [], [], []
                 for i, x in enumerate(ids):
