@@ -136,11 +136,11 @@ def top_values(df: DataFrame, counts: DataFrame, limit: int = TOP_VALUES) -> Dat
     )
 
 
-def _base_statistics(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+def _base_statistics(df: DataFrame, fields: list[T.StructField], signed_zeros: bool = False) -> DataFrame:
     """One row per column with what a single pass without shuffle can tell."""
     aggregates: list[Column] = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(fields):
-        value = as_text(f.name, f.dataType)
+        value = F.col(f.name).cast("string") if signed_zeros else as_text(f.name, f.dataType)
         aggregates += [
             F.count(f.name).alias(f"filled{i}"), F.min(value).alias(f"min{i}"), F.max(value).alias(f"max{i}"),
             F.min(f.name).alias(f"low{i}"), F.max(f.name).alias(f"high{i}"),
@@ -162,13 +162,16 @@ def _base_statistics(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
-def column_profiles(df: DataFrame, medians: bool = True, counts: DataFrame | None = None) -> DataFrame:
+def column_profiles(
+    df: DataFrame, medians: bool = True, counts: DataFrame | None = None, signed_zeros: bool = False
+) -> DataFrame:
     """One row per column. Columns of unsupported types only carry an error note.
 
     ``counts`` is the frequency frame, if it is at hand. The median is exact; ``typed_median`` shows it in full.
 
     ``min_value`` and ``max_value`` compare values as text; ``typed_min`` and ``typed_max`` compare them
-    in their own type.
+    in their own type. With ``signed_zeros`` a negative zero keeps its sign in the former, as it does in a plain cast to
+    text; in its own type it equals zero.
     """
     fields = [f for f in df.schema.fields if is_supported(f.dataType)]
     refused = [f for f in df.schema.fields if not is_supported(f.dataType)]
@@ -179,7 +182,7 @@ def column_profiles(df: DataFrame, medians: bool = True, counts: DataFrame | Non
         counts = value_counts(df, names) if counts is None else counts
         distinct = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
         profiles = (
-            _base_statistics(df, fields)
+            _base_statistics(df, fields, signed_zeros)
             .join(distinct, "column_name", "left")
             .join(top_values(df, counts), "column_name", "left")
         )

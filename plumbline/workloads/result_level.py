@@ -345,18 +345,18 @@ STATISTICS = ["column_name", "data_type", "row_count", "null_count", "null_pct",
 
 @workload("profile_columns", " UNION ALL ".join(_column_sql("customer", *c) for c in CUSTOMER_COLUMNS))
 def profile_columns(t):
-    return profiling.column_profiles(t["customer"]).select(*STATISTICS)
+    return profiling.column_profiles(t["customer"], signed_zeros=True).select(*STATISTICS)
 
 
 @workload("profile_orders", " UNION ALL ".join(_column_sql("orders", *c) for c in ORDER_COLUMNS))
 def profile_orders(t):
-    return profiling.column_profiles(t["orders"]).select(*STATISTICS)
+    return profiling.column_profiles(t["orders"], signed_zeros=True).select(*STATISTICS)
 
 
 @workload("profile_flags", f"""WITH {d.FLAGGED}, picked AS (SELECT flag, l_quantity FROM flagged)
 {_column_sql("picked", "flag", "string", False)} UNION ALL {_column_sql("picked", "l_quantity", "double", True)}""")
 def profile_flags(t):
-    return profiling.column_profiles(d.flagged_lines(t).select("flag", "l_quantity")).select(*STATISTICS)
+    return profiling.column_profiles(d.flagged_lines(t).select("flag", "l_quantity"), signed_zeros=True).select(*STATISTICS)
 
 
 def _top_sql(table, column):

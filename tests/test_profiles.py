@@ -2,11 +2,14 @@
 
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import schema_checks
 from plumbline.plans import profiling, reports
+from plumbline.workloads import WORKLOADS
+from tests import duck
 
 NOW = dt.datetime(2024, 1, 31)
 
@@ -149,3 +152,15 @@ def test_renames(spark):
     before = schema_checks.schema_snapshot(columns_of(spark, "a int, b string, c int"), None, dt.datetime(2024, 1, 1))
     found = schema_checks.renamed_columns(columns_of(spark, "a int, label string, c2 string"), before).collect()
     assert [(r.old_name, r.new_name) for r in found] == [("b", "label")]
+
+
+def test_extremes_as_text_tell_a_negative_zero(spark, tmp_path):
+    """The registered queries against their SQL, on customers of whom one has a balance of negative zero."""
+    rows = [(k, f"c{k}", k % 3, v, "M") for k, v in enumerate([-0.0, -0.01, 3.5, 0.0])]
+    df = spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+    df.write.parquet(f"{tmp_path}/customer.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    for name in ("profile_columns",):
+        found = duck.spark_rows(WORKLOADS[name](spark, str(tmp_path)))
+        assert found == duck.sql_rows(connection, WORKLOADS[name].sql)
