@@ -584,7 +584,7 @@ def stored(df, label):
 
 
 def stored_profile(t):
-    profile = profiling.column_profiles(t["customer"])
+    profile = profiling.column_profiles(t["customer"], signed_zeros=True)
     return stored(profiling.located(profile, "customer", AS_OF), "profile")
 
 

@@ -161,6 +161,6 @@ def test_extremes_as_text_tell_a_negative_zero(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/customer.parquet")
     connection = duckdb.connect()
     connection.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
-    for name in ("profile_columns",):
+    for name in ("profile_columns", "q05_columns"):
         found = duck.spark_rows(WORKLOADS[name](spark, str(tmp_path)))
         assert found == duck.sql_rows(connection, WORKLOADS[name].sql)
