@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from plumbline.frames import literal_frame
 from plumbline.functions.predicates import as_of_column
 from plumbline.schemas import columns
+from plumbline.session import cut_lineage
 
 COLUMN_METADATA = columns(
     "table_catalog string, table_schema string, table_name string, column_name string, "
@@ -19,6 +20,8 @@ COLUMN_METADATA = columns(
     "numeric_precision bigint, numeric_scale bigint, is_nullable string"
 )
 
+OFFSETS = T.StructType().add("__range", "integer").add("__before", "long")
+
 
 def schema_frame(
     spark: SparkSession, schema: T.StructType, table: str, catalog: str = "main", namespace: str = "public"
@@ -45,19 +48,20 @@ def schema_listing(listing: DataFrame) -> DataFrame:
 def schema_snapshot(columns: DataFrame, snapshots: DataFrame | None, taken_at: dt.datetime) -> DataFrame:
     """Rows to append to the snapshot table; ids continue after the largest one, table by table.
 
-    The number of columns of each table, one row per table, is added up on the driver.
+    Rows are dealt by ranges of their order and written once; only the number of rows of each range, one number per
+    partition however many tables there are, reaches the driver.
     """
-    keys = ["table_catalog", "table_schema", "table_name"]
     start = F.lit(0)
     if snapshots is not None:
         start = snapshots.agg(F.coalesce(F.max("snapshot_id"), F.lit(0)).alias("m")).scalar()
-    sizes = columns.groupBy(*keys).count().orderBy("table_name", "table_schema", "table_catalog").collect()
-    before = [0, *accumulate(r["count"] for r in sizes)]
-    offsets = columns.sparkSession.createDataFrame(
-        [(*(r[k] for k in keys), n) for r, n in zip(sizes, before)],
-        T.StructType([COLUMN_METADATA[k] for k in keys]).add("__before", "long"))
-    numbered = F.row_number().over(Window.partitionBy(*keys).orderBy("ordinal_position", "column_name"))
-    return columns.withColumn("__place", numbered).join(offsets, keys).select(
+    order = ["table_name", "table_schema", "table_catalog", "ordinal_position", "column_name"]
+    dealt = cut_lineage(columns.select(*COLUMN_METADATA.fieldNames()).repartitionByRange(*order).withColumn(
+        "__range", F.spark_partition_id()), "listing")
+    sizes = dealt.groupBy("__range").count().orderBy("__range").collect()
+    before = accumulate((r["count"] for r in sizes), initial=0)
+    offsets = literal_frame(columns.sparkSession, [(r["__range"], n) for r, n in zip(sizes, before)], OFFSETS)
+    numbered = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.withColumn("__place", numbered).join(offsets, "__range").select(
         (start + F.col("__before") + F.col("__place")).cast("bigint").alias("snapshot_id"),
         *COLUMN_METADATA.fieldNames(), as_of_column(taken_at).alias("snapshot_at"),
     )

@@ -164,3 +164,23 @@ def test_extremes_as_text_tell_a_negative_zero(spark, tmp_path):
     for name in ("profile_columns", "q05_columns"):
         found = duck.spark_rows(WORKLOADS[name](spark, str(tmp_path)))
         assert found == duck.sql_rows(connection, WORKLOADS[name].sql)
+
+
+def test_snapshot_ids_of_many_tables_pass_no_table_through_the_driver(spark, monkeypatch):
+    """5,000 tables of one to three columns: ids follow the order, and only a few counts are fetched."""
+    rows = spark.range(5_000).select(
+        F.concat(F.lit("t"), F.col("id") * 7919 % 5000).alias("table_name"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("id") % 3 + 1)).alias("ordinal_position"))
+    listing = rows.select(
+        F.lit("c").alias("table_catalog"), F.lit("s").alias("table_schema"), "table_name",
+        F.concat(F.lit("c"), "ordinal_position").alias("column_name"), "ordinal_position", F.lit("long").alias("data_type"),
+        *[F.lit(None).cast("bigint").alias(c) for c in ("character_maximum_length", "numeric_precision", "numeric_scale")],
+        F.lit("YES").alias("is_nullable"))
+    fetched = []
+    collect = type(listing).collect
+    with monkeypatch.context() as patch:
+        patch.setattr(type(listing), "collect", lambda df: (lambda got: (fetched.append(len(got)), got)[1])(collect(df)))
+        found = schema_checks.schema_snapshot(listing, None, dt.datetime(2024, 1, 1))
+    assert sum(fetched) < 500
+    ids = [r.snapshot_id for r in found.orderBy("table_name", "ordinal_position").collect()]
+    assert ids == list(range(1, len(ids) + 1)) and len(ids) == listing.count()
