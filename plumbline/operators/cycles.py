@@ -1,8 +1,9 @@
 """Cycles of a parent-child table: which nodes can reach each other, however many parents they have.
 
 Each round every node takes one of its parents as its pointer; pointers are doubled, so that each chain of them is known
-to its end after the logarithm of its length. If no chain goes round and all other links lead to nodes with shorter chains,
-nothing is left that could be a cycle. Otherwise every node gets the largest rank among the nodes it leads to, over
+to its end after the logarithm of its length. Chains that go round are cycles, and each of them becomes one node; loose ends
+are trimmed. If no chain goes round and all other links lead to nodes with shorter chains,
+nothing is left that could be a cycle. Otherwise, and where little came together, every node gets the largest rank among the nodes it leads to, over
 links and whole chains in turn. A node that keeps its own rank is the root of its colour, and what it leads to within
 the colour is one group of nodes that reach each other. Links between colours and of found groups are dropped. Ranks are
 drawn anew each round, so colours split in halves on average and few rounds are needed.
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.hierarchy import walk
+from plumbline.operators.hierarchy import doubled, walk
 from plumbline.operators.skew import present, probe
 from plumbline.session import cut_lineage
 
@@ -28,30 +29,69 @@ def _inner(links: DataFrame) -> DataFrame:
     return probe(kept, ["a"], links.select("b"), ["b"], "left_semi")
 
 
-def _chains(links: DataFrame, k: int) -> tuple[list[DataFrame], DataFrame]:
-    """Pointers (node, far) of 1, 2, 4, ... steps, and (node, far, hops) of as many as there are nodes.
+def _trimmed(links: DataFrame) -> DataFrame:
+    """Links without their loose ends, again as long as that takes out an eighth of what is left."""
+    before = links.count()
+    while before:
+        links = cut_lineage(_inner(links), "links")
+        left = links.count()
+        if left > before - before / 8:
+            break
+        before = left
+    return links
 
-    Rounds point at the largest and at the smallest parent in turn: keys mostly grow one way along a hierarchy. A pointer
-    that still has somewhere to go after as many steps as there are nodes goes round.
+
+def _chains(links: DataFrame, k: int) -> tuple[list[DataFrame], DataFrame, DataFrame | None]:
+    """Pointers (node, far) of 1, 2, 4, ... steps, (node, far, hops) of the most steps, and the pointers that lie on cycles.
+
+    Rounds point at the largest and at the smallest parent in turn: keys mostly grow one way along a hierarchy. What can
+    be reached by as many steps gets fewer with the steps; once twice as many lead to as many nodes, all of these go round.
     """
     step = cut_lineage(links.groupBy(F.col("a").alias("node")).agg((F.min if k % 2 else F.max)("b").alias("far")).withColumn(
         "hops", F.lit(1).cast("long")), "pointers")
-    total, reach, steps = step.count(), 1, [step]
+    steps, met = [step], None
     while True:
-        ahead = step.select(F.col("node").alias("far"), F.col("far").alias("__far"), F.col("hops").alias("__hops"))
-        moved = cut_lineage(step.join(ahead, "far", "left").select(
-            "node", F.coalesce("__far", "far").alias("far"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops"),
-            F.col("__far").isNotNull().alias("moves")), "pointers")
-        reach *= 2
-        step = moved.select("node", "far", "hops")
-        going = moved.where("moves")
-        if going.isEmpty():
-            return steps, step.withColumn("round", F.lit(False))
+        moved = cut_lineage(doubled(step), "pointers")
+        step, going = moved.select("node", "far", "hops"), moved.where("moves")
+        ahead = going.select(F.col("via").alias("node")).distinct()
+        n = ahead.count()
+        if n == met:
+            return steps, step, steps[0].join(ahead, "node", "left_semi").select("node", "far")
+        if n == 0:
+            return steps, step, None
+        met = n
         steps.append(going.select("node", "far", "hops"))
-        if reach > total:
-            return steps, step.join(
-                steps[0].select(F.col("node").alias("far"), F.lit(True).alias("round")), "far", "left").select(
-                "node", "far", "hops", F.coalesce("round", F.lit(False)).alias("round"))
+
+
+def _rings(pointers: DataFrame) -> DataFrame:
+    """(node, color) for pointers that all go round: the smallest node of each one's cycle.
+
+    The smallest node of as many steps is that of the whole cycle once it is the same for the next as many, everywhere.
+    """
+    step = pointers.withColumn("low", F.col("node"))
+    while True:
+        ahead = step.select(F.col("node").alias("far"), F.col("far").alias("__far"), F.col("low").alias("__low"))
+        step = cut_lineage(step.join(ahead, "far").select(
+            "node", F.col("__far").alias("far"), F.least("low", "__low").alias("low"),
+            (F.col("low") != F.col("__low")).alias("open")), "rings")
+        if step.where("open").isEmpty():
+            return step.select("node", F.col("low").alias("color"))
+        step = step.drop("open")
+
+
+def _absorbed(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, color) after the nodes of ``found``, some of which stand for whole groups, came together."""
+    moved = groups.join(found.select(F.col("node").alias("color"), F.col("color").alias("__new")), "color", "left").select(
+        "node", F.coalesce("__new", "color").alias("color"))
+    return cut_lineage(moved.unionByName(found.join(groups.select("node"), "node", "left_anti")), "groups")
+
+
+def _contracted(links: DataFrame, found: DataFrame) -> DataFrame:
+    """Links between groups: each node replaced by the one that stands for it."""
+    for end in ("a", "b"):
+        new = found.select(F.col("node").alias(end), F.col("color").alias("__new"))
+        links = links.join(new, end, "left").withColumn(end, F.coalesce("__new", end)).drop("__new")
+    return cut_lineage(links.where("a <> b").distinct(), "links")
 
 
 # Joins that are planned together and written once.
@@ -117,13 +157,23 @@ def cycle_members(df: DataFrame, node: str, parent: str) -> DataFrame:
     links = cut_lineage(present(
         df.select(F.col(node).alias("a"), F.col(parent).alias("b")), ["a", "b"]).distinct(), "links")
     own = links.where("a = b").select(F.col("a").alias("node"))
-    links = cut_lineage(_inner(_inner(links.where("a <> b"))), "links")
-    groups: list[DataFrame] = []
+    links = _trimmed(links.where("a <> b"))
+    groups = own.limit(0).select("node", F.col("node").alias("color"))
     k = 0
-    while not links.isEmpty():
-        steps, ends = _chains(links, k)
-        ends = cut_lineage(ends, "ends")
-        if ends.where("round").isEmpty():
+    while size := links.count():
+        steps, ends, round_ = _chains(links, k)
+        k += 1
+        if round_ is not None:
+            # A cycle of pointers becomes one node. Where that leaves most of the links, ranks come next.
+            found = _rings(round_)
+            groups = _absorbed(groups, found)
+            links = _trimmed(_contracted(links, found))
+            if links.count() <= size - size / 4:
+                continue
+            if links.isEmpty():
+                break
+            steps, ends, round_ = _chains(links, k - 1)
+        if round_ is None:
             here = ends.select(F.col("node").alias("a"), F.col("hops").alias("ha"))
             there = ends.select(F.col("node").alias("b"), F.col("hops").alias("hb"))
             if links.join(here, "a").join(there, "b").where("hb >= ha").isEmpty():
@@ -142,14 +192,11 @@ def cycle_members(df: DataFrame, node: str, parent: str) -> DataFrame:
         found = _led_to(roots, inside, chains)
         members = found.join(colors, "node").select("node", F.col("color.v").alias("color"))
         several = members.groupBy("color").count().where("count > 1").select("color")
-        groups.append(cut_lineage(members.join(several, "color", "left_semi").select("node", "color"), "groups"))
+        groups = _absorbed(groups, cut_lineage(members.join(several, "color", "left_semi").select("node", "color"), "found"))
         left = inside.join(found.select(F.col("node").alias("a")), "a", "left_anti")
         left = left.join(found.select(F.col("node").alias("b")), "b", "left_anti")
-        links = cut_lineage(_inner(left), "links")
-        k += 1
-    every = own.select("node", F.col("node").alias("color"))
-    for found in groups:
-        every = every.join(found.select("node"), "node", "left_anti").unionByName(found)
+        links = _trimmed(cut_lineage(left, "links"))
+    every = own.join(groups.select("node"), "node", "left_anti").select("node", F.col("node").alias("color")).unionByName(groups)
     named = every.groupBy("color").agg(F.min("node").alias("cycle_id"), F.count(F.lit(1)).alias("members"))
     return every.join(named, "color").select("cycle_id", F.col("node").alias(node), "members")
 

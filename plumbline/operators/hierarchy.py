@@ -10,29 +10,34 @@ from plumbline.operators.skew import present, probe
 from plumbline.session import cut_lineage
 
 
+def doubled(pointers: DataFrame) -> DataFrame:
+    """Pointers (node, far, hops) of twice the steps; those that ``moves`` went on from ``via``."""
+    ahead = pointers.select(F.col("node").alias("__at"), F.col("far").alias("__far"), F.col("hops").alias("__hops"))
+    return pointers.join(ahead, pointers["far"] == ahead["__at"], "left").select(
+        "node", F.coalesce("__far", "far").alias("far"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops"),
+        F.col("__at").isNotNull().alias("moves"), F.col("far").alias("via"))
+
+
 def _to_ends(links: DataFrame, max_hops: int | None) -> DataFrame:
     """(node, end, hops): where the only parent links (node, up) lead, each node's chain followed to its end.
 
-    All pointers are joined with themselves, so each round doubles their reach. A pointer that still moves when its reach
-    exceeds the number of nodes goes round a cycle; it is dropped, as is one that still moves beyond ``max_hops``.
+    All pointers are joined with themselves, so each round doubles their reach. What still moves gets to fewer nodes with
+    each round; once twice the steps lead to as many, all that moves goes round cycles and is dropped, as is a pointer that still
+    moves beyond ``max_hops``. So rounds follow the longest chain that leads somewhere, not the number of nodes.
     """
-    most = links.count()
-    if max_hops is not None:
-        most = min(most, max_hops)
-    reach = 1
-    pointers = links.select("node", F.col("up").alias("end"), F.lit(1).cast("bigint").alias("hops"))
+    reach, met = 1, None
+    pointers = links.select("node", F.col("up").alias("far"), F.lit(1).cast("bigint").alias("hops"))
     while True:
-        further = pointers.select(F.col("node").alias("__at"), F.col("end").alias("__end"), F.col("hops").alias("__hops"))
-        moves = F.col("__at").isNotNull()
-        pointers = cut_lineage(pointers.join(further, pointers["end"] == further["__at"], "left").select(
-            "node", F.coalesce("__end", "end").alias("end"),
-            (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops"), moves.alias("moves")), "pointers")
+        moved = cut_lineage(doubled(pointers), "pointers")
+        pointers = moved.select("node", "far", "hops")
         reach *= 2
-        if reach > most or pointers.where("moves").isEmpty():
+        ahead = moved.where("moves").select("via").distinct().count()
+        if ahead in (0, met) or (max_hops is not None and reach > max_hops):
             break
-    ends = pointers.select(F.col("node").alias("end")).distinct()
+        met = ahead
+    ends = pointers.select(F.col("node").alias("far")).distinct()
     # What ends at a node that has a pointer itself has not arrived.
-    return pointers.join(ends, "end", "left_anti").select("node", "end", "hops")
+    return pointers.join(ends, "far", "left_anti").select("node", F.col("far").alias("end"), "hops")
 
 
 def _with_shortcuts(steps: DataFrame, max_hops: int | None) -> DataFrame:

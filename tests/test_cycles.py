@@ -73,3 +73,27 @@ def test_jobs_do_not_follow_the_depth(spark, monkeypatch):
     rooted = df.where("NOT (id = 0 AND p = 3)").unionByName(spark.createDataFrame([(0, None)], "id bigint, p bigint"))
     depths = {r.id: r.depth for r in hierarchy.walk(rooted, "id", "p", None).collect()}
     assert depths == {k: 1 + (k + 1) // 2 for k in range(n)} and len(written) < 60
+
+
+def test_steps_follow_the_cycles_and_not_the_number_of_nodes(spark, monkeypatch):
+    """Rings of ten with a tail each: as many steps are written for 4,000 nodes as for 40."""
+    written = []
+    for module in (cycles, hierarchy):
+        cut = module.cut_lineage
+        monkeypatch.setattr(module, "cut_lineage", lambda d, label="s", cut=cut: (written.append(label), cut(d, label))[1])
+    steps = []
+    for n in (40, 4_000):
+        df = spark.range(n).selectExpr("id", "CASE WHEN id % 20 = 0 THEN id + 9 ELSE id - 1 END AS p")
+        written.clear()
+        found = {(r.cycle_id, r.id, r.members) for r in cycles.cycle_members(df, "id", "p").collect()}
+        assert found == {(k - k % 20, k, 10) for k in range(n) if k % 20 < 10}
+        assert hierarchy.walk(df, "id", "p", None).count() == 0
+        steps.append(len(written))
+    assert steps[0] == steps[1] < 40
+
+
+def test_links_both_ways(spark):
+    """A path whose links lead both ways is one group, though pointers find its ends only."""
+    df = spark.range(12).select("id", F.explode(F.array(F.col("id") - 1, F.col("id") + 1)).alias("p")).where("p BETWEEN 0 AND 11")
+    found = {(r.cycle_id, r.id, r.members) for r in cycles.cycle_members(df, "id", "p").collect()}
+    assert found == {(0, k, 12) for k in range(12)}
