@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.scoring import traffic_light
-from plumbline.functions.text import guard_query
+from plumbline.functions.text import bind, guard_query
 from plumbline.operators.skew import keep_left
 from plumbline.plans.remediation import EXPLANATION, PROFILE, badge
+from plumbline.session import cut_lineage, scratch_path
 
 RECENT_RUNS = 50
 SAMPLES_SHOWN = 50
@@ -167,7 +169,7 @@ def is_approved(spark: SparkSession, name: tuple[str, ...], approved: list[str])
     """Whether the last part of a name is on the list and what stands before it is a database, not a file format."""
     if name[-1].upper() not in {a.upper() for a in approved}:
         return False
-    return len(name) == 1 or spark.catalog.databaseExists(".".join(f"`{part.replace('`', '``')}`" for part in name[:-1]))
+    return len(name) == 1 or _is_database(spark, name[:-1])
 
 
 # Table functions that read no stored data, expressions that hold a query, and relations whose name is computed.
@@ -226,3 +228,84 @@ def relations_read(spark: SparkSession, sql: str) -> list[tuple[str, ...]]:
 
     plan(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), frozenset())
     return list(found)
+
+
+# What quotes may mean something else beside, or a name may be a function's: such statements are parsed as they are.
+UNMASKED = r"""["\\$]|--|/\*|``|`\s*\(|[rR]'|__name_"""
+# Before a literal whose text the parser does not look into.
+PLAIN_LITERAL = r"(?i)(?:(?:^|\W)SELECT\s*|[=<>]\s*|\WFROM\s+IDENTIFIER\s*\(\s*)\z"
+PARSED = T.StructType().add("shape", "string").add("parts", T.ArrayType(T.StringType()))
+SHAPES_AT_ONCE = 10_000
+
+
+def _masked(sql: Column) -> Column:
+    """``shape`` and ``names`` of a statement: quoted names are numbered and plain literals emptied of their text.
+
+    Statements of one shape differ in such names and texts only. Names are numbered where no two of them, and none and
+    a bare word, could be the same name in another case; a statement in which that or its quoting is in doubt is its own shape.
+    """
+    def of(pieces: Column) -> Column:
+        # Between single quotes lies every second piece.
+        quoted = F.transform(pieces, lambda p, i: F.when(
+            (i % 2 == 1) & F.get(pieces, i - 1).rlike(PLAIN_LITERAL), F.lit("s")).otherwise(p))
+        sound = F.forall(F.transform(pieces, lambda p, i: F.when(
+            i % 2 == 1, ~F.contains(p, F.lit("`"))).otherwise(F.regexp_count(p, F.lit("`")) % 2 == 0)), lambda x: x)
+        code = F.array_join(F.filter(pieces, lambda p, i: i % 2 == 0), " ")
+        found = F.array_distinct(F.regexp_extract_all(code, F.lit("`([^`]+)`"), F.lit(1)))
+
+        def numbered(names: Column) -> Column:
+            bare = F.upper(F.regexp_replace(code, "`[^`]*`", " "))
+            words = F.split(bare, "[^A-Z0-9_]+")
+            apart = (F.size(F.array_distinct(F.transform(names, F.upper))) == F.size(names)) & F.forall(
+                names, lambda n: ~F.when(n.rlike(r"\A[A-Za-z0-9_]+\z"), F.array_contains(words, F.upper(n))).otherwise(
+                    F.contains(bare, F.upper(n))))
+            shape = F.aggregate(
+                F.transform(names, lambda n, i: F.struct(n.alias("n"), i.alias("i"))), F.array_join(quoted, "'"),
+                lambda text, e: F.replace(text, F.concat(F.lit("`"), e["n"], F.lit("`")),
+                                          F.concat(F.lit("`__name_"), e["i"].cast("string"), F.lit("__`"))))
+            whole = F.struct(sql.alias("shape"), F.array().cast("array<string>").alias("names"))
+            safe = ~sql.rlike(UNMASKED) & (F.size(pieces) % 2 == 1) & sound & apart
+            return F.when(safe, F.struct(shape.alias("shape"), names.alias("names"))).otherwise(whole)
+
+        return bind(found, numbered)
+
+    return bind(F.split(sql, "'"), of)
+
+
+def relations_of(statements: DataFrame, keys: list[str], sql: str, approved: list[str]) -> DataFrame:
+    """(keys, relation, approved): what :func:`relations_read` finds in each statement, for a table of statements.
+
+    The session parses one statement of each shape; its relations are joined back to all statements of that shape. So the
+    driver's work follows the number of shapes, and what it found passes it in parts of bounded size.
+    """
+    spark = statements.sparkSession
+    marked = cut_lineage(statements.select(*keys, _masked(F.col(sql)).alias("m")).select(*keys, "m.*"), "statements")
+    path, rows = scratch_path(spark, "relations"), []
+
+    def keep() -> None:
+        spark.createDataFrame(rows, PARSED).coalesce(1).write.mode("append").parquet(path)
+        rows.clear()
+
+    for row in marked.select("shape").distinct().toLocalIterator():
+        rows += [(row.shape, list(name)) for name in relations_read(spark, row.shape)]
+        if len(rows) >= SHAPES_AT_ONCE:
+            keep()
+    keep()
+    number = r"\A__name_(\d+)__\z"
+    parts = F.transform("parts", lambda p: F.coalesce(F.when(
+        p.rlike(number), F.get("names", F.regexp_extract(p, number, 1).cast("int"))), p))
+    found = marked.join(spark.read.schema(PARSED).parquet(path), "shape").select(*keys, parts.alias("parts"))
+    listed = F.upper(F.element_at("parts", -1)).isin([a.upper() for a in approved])
+    database = F.slice("parts", F.lit(1), F.size("parts") - 1)
+    there = [
+        list(row.name) for row in found.where(listed & (F.size("parts") > 1)).select(database.alias("name")).distinct().toLocalIterator()
+        if _is_database(spark, row.name)]
+    known = F.lit(False)
+    for name in there:
+        known = known | (database == F.array(*[F.lit(part) for part in name]))
+    return found.select(*keys, F.array_join("parts", ".").alias("relation"), (
+        listed & ((F.size("parts") == 1) | known)).alias("approved"))
+
+
+def _is_database(spark: SparkSession, name) -> bool:
+    return spark.catalog.databaseExists(".".join(f"`{part.replace('`', '``')}`" for part in name))

@@ -375,14 +375,11 @@ SELECT s_suppkey, relation, relation IN ('dq_run_log', 't') AS approved FROM (
   SELECT s_suppkey, unnest(CASE WHEN k < 2 THEN ['dq_run_log', n] WHEN k = 2 THEN ['dq_run_log'] WHEN k = 3 THEN ['t']
     WHEN k = 4 THEN [n] WHEN k = 5 THEN ['IDENTIFIER'] WHEN k = 6 THEN ['parquet.' || n] ELSE ['t', n, 'u'] END) AS relation FROM r)""")
 def query_relations(t):
-    """What each statement reads. Statements are parsed by the session, one after another, as they come to be run."""
+    """What each statement reads. The session parses one statement of those that differ in quoted texts only."""
     text = F.element_at(F.array(*[F.replace(F.lit(s), F.lit("{n}"), F.col("s_name")) for s in STATEMENTS.values()]),
                         (F.col("s_suppkey") % 8 + 1).cast("int"))
-    found = [
-        (row.s_suppkey, ".".join(name), dashboards.is_approved(t.spark, name, ["DQ_RUN_LOG", "T"]))
-        for row in t["supplier"].select("s_suppkey", text.alias("sql")).toLocalIterator()
-        for name in dashboards.relations_read(t.spark, row.sql)]
-    return t.spark.createDataFrame(found, "s_suppkey long, relation string, approved boolean")
+    statements = t["supplier"].select("s_suppkey", text.alias("sql"))
+    return dashboards.relations_of(statements, ["s_suppkey"], "sql", ["DQ_RUN_LOG", "T"])
 
 
 # Repairs
