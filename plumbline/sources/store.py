@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from plumbline import schemas
 from plumbline.operators.delta import INSERT, change_rows
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, setting
 
 PLACE = ("database_name", "schema_name", "table_name")
 RUN_CHECK = ("run_id", "check_id", "target_table")
@@ -44,6 +44,17 @@ TABLES = {
 COMMITS = T.StructType().add("unit", "string").add("version", "long").add("write_id", "string").add(
     "replaces", "boolean").add("run_day", "date")
 PUBLISHED = T.StructType().add("write_id", "string")
+DAYS_AT_ONCE = 32
+
+
+def _by_day(df: DataFrame, path: str, mode: str = "append", **options: str) -> None:
+    """Write rows into the folders of their days.
+
+    A task keeps the files of its days open side by side, so its rows are not sorted first; only what comes for still
+    further days is. Stored rows are alike and shrink in a shuffle, so a small part of it may hold very many of them.
+    """
+    with setting(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", DAYS_AT_ONCE):
+        df.hint("rebalance", "run_day").write.mode(mode).options(**options).partitionBy("run_day").parquet(path)
 
 
 class ResultStore:
@@ -96,7 +107,7 @@ class ResultStore:
         write_id, version = uuid.uuid4().hex, time.time_ns()
         day = F.to_date(moment).alias("run_day")
         placed = df.withColumns({"unit": self._unit(table), "write_id": F.lit(write_id), "run_day": F.to_date(moment)})
-        placed.hint("rebalance", "run_day").write.mode("append").partitionBy("run_day").parquet(self.path(table))
+        _by_day(placed, self.path(table))
         stored = self._rows(table).where(F.col("write_id") == write_id)
         named = stored.select("unit", "run_day")
         if units is not None:
@@ -132,9 +143,9 @@ class ResultStore:
                 F.col("run_day").isNull() if None in days else F.lit(False)))
             old = rows.join(_visible(earlier), ["unit", "write_id"], "left_semi")
             changes = change_rows(old.select(*names), after.select(*names), keys)
-        changes.withColumns({
-            "version": F.lit(version), "write_id": F.lit(write_id), "run_day": F.to_date(TABLES[table][1])}
-        ).hint("rebalance", "run_day").write.mode("append").partitionBy("run_day").parquet(self.path(table, "changes"))
+        _by_day(changes.withColumns({
+            "version": F.lit(version), "write_id": F.lit(write_id), "run_day": F.to_date(TABLES[table][1])}),
+            self.path(table, "changes"))
         self.spark.createDataFrame([(write_id,)], PUBLISHED).coalesce(1).write.mode("append").parquet(
             self.path(table, "published"))
 
@@ -156,8 +167,7 @@ class ResultStore:
         hollow = self.spark.createDataFrame([(d,) for d in days], "run_day date").join(
             kept.select("run_day").distinct(), "run_day", "left_anti")
         # A day without rows is overwritten by a row that belongs to no unit.
-        kept.unionByName(hollow, allowMissingColumns=True).hint("rebalance", "run_day").write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("run_day").parquet(self.path(table))
+        _by_day(kept.unionByName(hollow, allowMissingColumns=True), self.path(table), "overwrite", partitionOverwriteMode="dynamic")
 
     def _stored_schema(self, table: str) -> T.StructType:
         return T.StructType([
