@@ -449,11 +449,18 @@ def change_summary(t):
     return delta.change_summary(t["orders"], d.perturbed_orders(t), ["o_orderkey"])
 
 
-def stream_of(t, name, files=3):
-    """The table as a stream: written in several files, of which each batch reads one."""
+ROWS_PER_FILE = 1_000_000
+
+
+def stream_of(t, name, batches=3):
+    """The table as a stream: written in files of bounded size, of which each batch reads its share.
+
+    There are as many files as the table has splits, more if their rows are narrow, so no task gets more as it grows.
+    """
     path = scratch_path(t.spark, "arriving")
+    files = max(batches, t[name].rdd.getNumPartitions(), -(-t[name].count() // ROWS_PER_FILE))
     t[name].repartition(files).write.parquet(path)
-    return t.spark.readStream.schema(t[name].schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return t.spark.readStream.schema(t[name].schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(path)
 
 
 def finished(t, stream, transform, label, output_mode="append"):

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameWriter
 
 from plumbline.sources.store import ResultStore
+from plumbline.sources.tables import parquet_tables
+from plumbline.workloads import reply_level
 
 
 def test_days_are_written_side_by_side_and_not_sorted(spark, tmp_path, monkeypatch):
@@ -25,3 +27,15 @@ def test_days_are_written_side_by_side_and_not_sorted(spark, tmp_path, monkeypat
     assert spark.conf.get(key) == before
     rows = store.read("check_results").groupBy("run_day").count().collect()
     assert {r["count"] for r in rows} == {10} and len(rows) == 40
+
+
+def test_streams_have_files_of_bounded_size_and_three_batches(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(reply_level, "ROWS_PER_FILE", 500)
+    tables = parquet_tables(spark, sf_dir)
+    stream = reply_level.stream_of(tables, "lineitem")
+    seen = []
+    stream.writeStream.foreachBatch(lambda batch, k: seen.append(
+        (batch.select(F.input_file_name()).distinct().count(), batch.count()))).trigger(availableNow=True).start().awaitTermination()
+    rows = tables["lineitem"].count()
+    assert len(seen) == 3 and sum(n for _, n in seen) == rows
+    assert all(n / files < 750 for files, n in seen)
