@@ -21,9 +21,12 @@ from plumbline.frames import literal_frame
 from plumbline.functions.scoring import check_status
 from plumbline.operators.skew import KEPT_TEXT
 from plumbline.schemas import columns
+from plumbline.session import setting
 from plumbline.streaming.feeds import write_batches
 
 GROUPED = {2, 3, 19, 25}
+# Groups wait on disk, so that the memory of an executor does not follow their number.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _names(text: str) -> list[str]:
@@ -94,7 +97,10 @@ def check_groups(
     if refused:
         raise ValueError(f"no group checks: {refused}")
     counts = group_counts(stream, specs, time_column, span, delay)
-    return write_batches(counts, lambda batch: batch, path, checkpoint, "update", trigger)
+    spark = stream.sparkSession
+    with setting(spark, "spark.sql.streaming.stateStore.providerClass", STATE_STORE), setting(
+            spark, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true"):
+        return write_batches(counts, lambda batch: batch, path, checkpoint, "update", trigger)
 
 
 def standing(findings: DataFrame) -> DataFrame:
