@@ -108,3 +108,37 @@ def test_ids_of_every_kind_of_word():
     found = P.Encoder(path).encode([t.encode() for t in texts])
     for text, ids in zip(texts[3000:], found[3000:]):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+class Counting:
+    """A tokenizer that notes the words it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.seen = tokenizer, []
+
+    def encode_batch_fast(self, words, add_special_tokens):
+        self.seen += words
+        return self.tokenizer.encode_batch_fast(words, add_special_tokens=add_special_tokens)
+
+
+def test_words_of_small_letters_reach_the_model_at_once():
+    rng = random.Random(5)
+    words = ["".join(rng.choice(P.SMALL) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    encoder = P.Encoder(PATH)
+    encoder.tokenizer = Counting(encoder.tokenizer)
+    found = encoder.encode([w.encode() for w in words])
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [
+        WHOLE.encode(w, add_special_tokens=False).ids for w in words]
+    assert not encoder.tokenizer.seen
+
+
+def test_words_met_all_the_time_stay_remembered(monkeypatch):
+    monkeypatch.setattr(P, "REMEMBERED", 2000)
+    encoder = P.Encoder(PATH)
+    encoder.tokenizer = Counting(encoder.tokenizer)
+    for k in range(100):
+        text = " ".join(["often-met", *(f"{k}-{i}" for i in range(100))])
+        ids = np.frombuffer(encoder.encode([text.encode()])[0], "<u4").tolist()
+        assert ids == WHOLE.encode(text, add_special_tokens=False).ids
+    assert encoder.tokenizer.seen.count("often-met") == 1
+    assert len(encoder.known) + len(encoder.known.before) <= 2000
