@@ -8,10 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import host_quality, packing, simhash_trie, spaced_seeds, suffix_family
+from plumbline.llm.spark import may_be_among, presence
 from plumbline.session import cut_lineage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,14 +27,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.where("kept").select(*COLUMNS)
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents whose ``doc_id`` is not in ``gone``; only texts that may be are shuffled for it."""
+    words = presence(gone, F.xxhash64("doc_id"))
+    may_go = F.arrow_udf(lambda hashes: pa.array(may_be_among(words, hashes.to_numpy())), "boolean")
+    marked = may_go(F.xxhash64("doc_id"))
+    return docs.where(~marked).unionByName(docs.where(marked).join(gone, "doc_id", "left_anti"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies: the one with the smallest id.
 
     Of rows that repeat an id one stays. Documents without an id stay, as no group can name them.
     """
     classes = cut_lineage(simhash_trie.near_copies(docs), "classes")
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    gone = cut_lineage(classes.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    left = without(docs.select(*COLUMNS), gone)
     repeated = cut_lineage(
         classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if not repeated.isEmpty():

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.spark import discard
+from plumbline.llm.spark import discard, may_be_among, presence
 from plumbline.llm.texts import STEP, mixed, texts_of
 from plumbline.session import cut_lineage
 
@@ -350,9 +350,10 @@ def join_sets(table: pa.Table, similarity: float) -> pa.RecordBatch:
     return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
-    """(node, whole) for each row of a table of one column, the text: its shingles as sorted 32-bit numbers.
+def shingle_sets(texts: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
+    """(node, whole) for the rows of a table of one column, the text: its shingles as sorted 32-bit numbers.
 
+    Rows whose node is not among the ``wanted`` are left out but for a few.
     Two texts of a thousand words each have a chance of one in some 4,000 that two different shingles look alike.
     """
 
@@ -360,9 +361,11 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for t in texts_of(batch.column(0)):
                 found = [shingle_set(t.text(i), size) for i in range(len(t))]
+                names = np.array([set_name(h) for h in found], np.int64)
+                kept = np.flatnonzero(may_be_among(wanted, names))
                 yield pa.record_batch({
-                    "node": pa.array([set_name(h) for h in found], pa.int64()),
-                    "whole": pa.array([np.unique(h.astype(np.uint32)).tobytes() for h in found], pa.binary())})
+                    "node": pa.array(names[kept]),
+                    "whole": pa.array([np.unique(found[i].astype(np.uint32)).tobytes() for i in kept], pa.binary())})
 
     return texts.mapInArrow(run, "node long, whole binary")
 
@@ -421,7 +424,8 @@ def near_copies(
     limit = bits_for(similarity, 64 * WHOLE_PARTS, 4.0)
     likely = cut_lineage(
         components(bucket_links(entries, lambda t: join_groups(t, HALF_BUDGET, HALF_BITS, limit))), "likely")
-    sets = shingle_sets(rows.select("text"), size).join(likely, "node").dropDuplicates(["node"])
+    wanted = presence(likely, F.col("node"))
+    sets = shingle_sets(rows.select("text"), size, wanted).join(likely, "node").dropDuplicates(["node"])
     members = cut_lineage(sets.select(F.col("root").alias("key"), "node", F.lit(0).cast("long").alias("value"), "whole"), "sets")
     links = cut_lineage(bucket_links(members, lambda t: join_sets(t, similarity), SET_SHARE), "links")
     discard(members)

@@ -156,3 +156,15 @@ def test_empty_tables_and_nulls(spark, tables, tmp_path):
     for _, stage in C.STAGES:
         assert stage(spark, odd, tables).count() >= 0
         assert stage(spark, odd.limit(0), tables).count() == 0
+
+
+def test_only_texts_that_may_go_are_joined(spark, tmp_path):
+    spark.createDataFrame([(i, f"text {i}") for i in [None, 5, 5, *range(2000)]], "doc_id long, text string").write.parquet(
+        str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    gone = spark.createDataFrame([(i,) for i in range(0, 2000, 40)], "doc_id long")
+    left = C.without(docs, gone)
+    key = lambda r: (r.doc_id or -1, r.text)
+    assert sorted(left.collect(), key=key) == sorted(docs.join(gone, "doc_id", "left_anti").collect(), key=key)
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftAnti") == 1 and plan.count("ArrowEvalPython") + plan.count("ArrowUDF") >= 2

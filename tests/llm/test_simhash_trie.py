@@ -7,9 +7,11 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from plumbline.llm import simhash_trie as S
 from plumbline.llm.components import components
+from plumbline.llm.spark import may_be_among, presence
 
 
 def brute_fingerprint(text):
@@ -217,3 +219,19 @@ def test_sets_that_meet_in_shares(spark):
             old, new = max(root[a], root[b]), min(root[a], root[b])
             root = [new if r == old else r for r in root]
         assert dict(enumerate(root)) == expected
+
+
+def test_rows_without_a_partner_are_left_out_before_they_are_shuffled(spark):
+    rng = np.random.default_rng(8)
+    names = rng.integers(-2**63, 2**63, 4000)
+    names[:3] = -1, 0, 2**63 - 1
+    held = spark.createDataFrame([(int(x),) for x in names[:2000]], "node long")
+    words = presence(held, F.col("node"))
+    assert may_be_among(words, names[:2000]).all()
+    assert may_be_among(words, names[2000:]).sum() < 10
+    texts = [f"some words of text number {k} and others" for k in range(300)]
+    sets = S.shingle_sets(spark.createDataFrame([(t,) for t in texts], "text string"), 5, np.full(1 << 19, -1))
+    wanted = sorted(r.node for r in sets.collect())[::50]
+    words = presence(spark.createDataFrame([(x,) for x in wanted], "node long"), F.col("node"))
+    found = S.shingle_sets(spark.createDataFrame([(t,) for t in texts], "text string"), 5, words).collect()
+    assert sorted(r.node for r in found) == wanted
