@@ -1,4 +1,8 @@
-"""Walks over parent-child tables by pointer doubling: the number of joins grows with the logarithm of the depth."""
+"""Walks over parent-child tables by pointer doubling: the number of joins grows with the logarithm of the depth.
+
+Both sides of these joins have as many rows as there are nodes. They are merged, so that none passes through the driver
+in round after round because its file happens to be small.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ from plumbline.session import cut_lineage
 def doubled(pointers: DataFrame) -> DataFrame:
     """Pointers (node, far, hops) of twice the steps; those that ``moves`` went on from ``via``."""
     ahead = pointers.select(F.col("node").alias("__at"), F.col("far").alias("__far"), F.col("hops").alias("__hops"))
-    return pointers.join(ahead, pointers["far"] == ahead["__at"], "left").select(
+    return pointers.join(ahead.hint("merge"), pointers["far"] == ahead["__at"], "left").select(
         "node", F.coalesce("__far", "far").alias("far"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops"),
         F.col("__at").isNotNull().alias("moves"), F.col("far").alias("via"))
 
@@ -37,7 +41,7 @@ def _to_ends(links: DataFrame, max_hops: int | None) -> DataFrame:
         met = ahead
     ends = pointers.select(F.col("node").alias("far")).distinct()
     # What ends at a node that has a pointer itself has not arrived.
-    return pointers.join(ends, "far", "left_anti").select("node", F.col("far").alias("end"), "hops")
+    return pointers.join(ends.hint("merge"), "far", "left_anti").select("node", F.col("far").alias("end"), "hops")
 
 
 def _with_shortcuts(steps: DataFrame, max_hops: int | None) -> DataFrame:
@@ -52,7 +56,7 @@ def _with_shortcuts(steps: DataFrame, max_hops: int | None) -> DataFrame:
         most = min(most, max_hops)
     while reach <= most:
         ahead = far.select(F.col("node").alias("end"), F.col("end").alias("__end"), F.col("hops").alias("__hops"))
-        far = cut_lineage(far.join(ahead, "end").select(
+        far = cut_lineage(far.join(ahead.hint("merge"), "end").select(
             "node", F.col("__end").alias("end"), (F.col("hops") + F.col("__hops")).alias("hops")), "nearest")
         if far.isEmpty():
             break
@@ -74,13 +78,13 @@ def walk(df: DataFrame, node: str, parent: str, max_depth: int | None, starts: D
     if starts is None:
         starts = present(df.where(F.col(parent).isNull()).select(node), [node])
     roots = cut_lineage(starts.select(F.col(node).alias("node")).distinct(), "roots")
-    inner = cut_lineage(probe(edges, ["node"], roots, ["node"], "left_anti"), "inner")
+    inner = cut_lineage(probe(edges.hint("merge"), ["node"], roots, ["node"], "left_anti"), "inner")
     parents = inner.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("up").alias("up"))
-    several = probe(inner, ["node"], parents.where("n > 1"), ["node"], "left_semi")
+    several = probe(inner.hint("merge"), ["node"], parents.where("n > 1"), ["node"], "left_semi")
     chains = _to_ends(cut_lineage(parents.where("n = 1").select("node", "up"), "chains"), max_depth)
     depths = roots.select("node", F.lit(1).cast("bigint").alias("depth"))
     if not several.isEmpty():
-        steps = several.join(chains.select(F.col("node").alias("up"), "end", "hops"), "up", "left").select(
+        steps = several.join(chains.select(F.col("node").alias("up"), "end", "hops").hint("merge"), "up", "left").select(
             "node", F.coalesce("end", "up").alias("end"), (F.coalesce("hops", F.lit(0)) + 1).alias("hops"))
         steps = cut_lineage(steps.groupBy("node", "end").agg(F.min("hops").alias("hops")), "steps")
         steps = _with_shortcuts(steps, max_depth)
@@ -92,11 +96,11 @@ def walk(df: DataFrame, node: str, parent: str, max_depth: int | None, starts: D
             if max_depth is not None:
                 reached = reached.where(F.col("depth") <= max_depth)
             known = depths.select("node", F.col("depth").alias("known"))
-            changed = cut_lineage(reached.join(known, "node", "left").where(
+            changed = cut_lineage(reached.join(known.hint("merge"), "node", "left").where(
                 "known IS NULL OR depth < known").select("node", "depth"), "changed")
             depths = cut_lineage(
                 depths.unionByName(changed).groupBy("node").agg(F.min("depth").alias("depth")), "depths")
-    below = chains.join(depths.select(F.col("node").alias("end"), "depth"), "end").select(
+    below = chains.join(depths.select(F.col("node").alias("end"), "depth").hint("merge"), "end").select(
         "node", (F.col("depth") + F.col("hops")).alias("depth"))
     out = depths.unionByName(below)
     if max_depth is not None:
@@ -106,7 +110,7 @@ def walk(df: DataFrame, node: str, parent: str, max_depth: int | None, starts: D
 
 def unreachable_nodes(df: DataFrame, node: str, parent: str, max_depth: int) -> DataFrame:
     """Rows not reached from a root within ``max_depth`` levels."""
-    return unreachable(df, node, walk(df, node, parent, max_depth))
+    return unreachable(df.hint("merge"), node, walk(df, node, parent, max_depth))
 
 
 def depth_and_cycles(df: DataFrame, node: str, parent: str, max_depth: int) -> DataFrame:
@@ -115,17 +119,17 @@ def depth_and_cycles(df: DataFrame, node: str, parent: str, max_depth: int) -> D
     The last kind is a cycle of any length, or a branch that hangs off one.
     """
     from_roots = walk(df, node, parent, None)
-    strays = probe(df.where(F.col(parent).isNotNull()), [parent], df, [node], "left_anti").select(node)
+    strays = probe(df.where(F.col(parent).isNotNull()).hint("merge"), [parent], df, [node], "left_anti").select(node)
     from_strays = walk(df, node, parent, None, starts=strays)
     deep = from_roots.where(F.col("depth") > max_depth).select(
         node, F.lit("TOO_DEEP").alias("finding"), F.col("depth").cast("bigint").alias("depth")
     )
-    stray = from_strays.join(from_roots.select(node), node, "left_anti").select(
+    stray = from_strays.join(from_roots.select(node).hint("merge"), node, "left_anti").select(
         node, F.lit("NO_ROOT").alias("finding"), F.lit(None).cast("bigint").alias("depth")
     )
     met = from_roots.select(node).unionByName(from_strays.select(node))
     looping = (
-        present(df.select(node), [node]).distinct().join(met.distinct(), node, "left_anti")
+        present(df.select(node), [node]).distinct().join(met.distinct().hint("merge"), node, "left_anti")
         .select(node, F.lit("CYCLE").alias("finding"), F.lit(None).cast("bigint").alias("depth"))
     )
     return deep.unionByName(stray).unionByName(looping)

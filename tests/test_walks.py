@@ -88,3 +88,13 @@ def test_order_findings(spark):
     found = order_violations(df, ["k"], "s", "t", "op", "id").collect()
     assert sorted((r.record_id, r.finding) for r in found) == [
         (3, "DELETE_BEFORE_INSERT"), (4, "NOT_INCREASING"), (6, "NOT_INCREASING")]
+
+
+def test_no_side_of_a_walk_is_broadcast(spark):
+    """However small the files are: at size each side is a table of all nodes."""
+    rows = spark.createDataFrame([(i, i // 3 if i else None) for i in range(300)], "n long, up long")
+    found = hierarchy.depth_and_cycles(rows, "n", "up", 3)
+    pointers = rows.where("n > 0").selectExpr("n AS node", "up AS far", "1L AS hops")
+    for df in (found, hierarchy.doubled(pointers), hierarchy.unreachable_nodes(rows, "n", "up", 3)):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
