@@ -220,7 +220,11 @@ def _few_valued(df: DataFrame, names: list[str], limit: int) -> list[str]:
 
 
 def distributions(df: DataFrame, limit: int = LOW_CARDINALITY, counts: DataFrame | None = None) -> DataFrame:
-    """Counts and shares of every value of text and boolean columns with few values, NULL included."""
+    """Counts and shares of every value of text and boolean columns with few values, NULL included.
+
+    The frequency frame is cut down to these columns before it is joined: a column name is a hot key, and a join on it
+    would bring all values of a column to one task.
+    """
     fields = [f for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BooleanType))]
     names = [f.name for f in fields]
     if not names:
@@ -233,7 +237,9 @@ def distributions(df: DataFrame, limit: int = LOW_CARDINALITY, counts: DataFrame
     few = totals.join(sizes, "column_name", "left").where(
         (F.coalesce("values", F.lit(0)) <= limit)
         & (F.col("values").isNotNull() | (F.col("row_count") == F.col("null_count"))))
-    filled = counts.join(few.select("column_name", "row_count"), "column_name")
+    chosen = few.agg(F.collect_set("column_name").alias("names")).scalar()
+    filled = counts.where(F.array_contains(chosen, F.col("column_name"))).join(
+        few.select("column_name", "row_count"), "column_name")
     absent = few.where("null_count > 0").select(
         "column_name", F.lit(NULL_BUCKET).alias("value"), F.col("null_count").alias("n"), "row_count")
     share = F.round(F.col("n") * F.lit(100.0) / F.col("row_count"), 4)

@@ -2,9 +2,12 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameWriter
 
+from plumbline.plans import profiling
+from plumbline.session import setting
 from plumbline.sources.store import ResultStore
 from plumbline.sources.tables import parquet_tables
 from plumbline.workloads import reply_level
@@ -39,3 +42,33 @@ def test_streams_have_files_of_bounded_size_and_three_batches(spark, sf_dir, mon
     rows = tables["lineitem"].count()
     assert len(seen) == 3 and sum(n for _, n in seen) == rows
     assert all(n / files < 750 for files, n in seen)
+
+
+def shuffled_rows(node):
+    """Rows written by each shuffle of a plan that was run."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return shuffled_rows(node.executedPlan())
+    if name.endswith("QueryStage"):
+        return shuffled_rows(node.plan())
+    own = [node.metrics().apply("shuffleRecordsWritten").value()] if name == "Exchange" else []
+    children = node.children()
+    return own + [n for i in range(children.size()) for n in shuffled_rows(children.apply(i))]
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Make small data look large to the optimizer."""
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", -1), setting(
+            spark, "spark.sql.adaptive.autoBroadcastJoinThreshold", -1):
+        yield
+
+
+def test_values_of_columns_with_many_values_are_not_joined(spark, no_broadcast):
+    df = spark.range(0, 5000, 1, 2).select(
+        "id", F.col("id").cast("string").alias("many"), (F.col("id") % 3).cast("string").alias("few"))
+    found = profiling.distributions(df, counts=profiling.value_counts_of(df))
+    rows = {(r.column_name, r.value_or_bucket): r.record_count for r in found.collect()}
+    assert rows == {("few", "0"): 1667, ("few", "1"): 1667, ("few", "2"): 1666}
+    written = shuffled_rows(found._jdf.queryExecution().executedPlan())
+    assert written and max(written) < 200
