@@ -106,33 +106,46 @@ def _samples(failed_records: DataFrame, first_of_run: int | None) -> DataFrame:
     )
 
 
-def _check_lines(table: Column) -> list[Column]:
-    """What was checked and what came out. Limits are numbers of failing rows."""
-    return [
-        F.concat(_line("Check ", "check_id"), _line(" on ", table), _line(": ", "check_name")),
+def _outcome_text() -> Column:
+    """What was checked and what came out, behind the name of the table. Limits are numbers of failing rows."""
+    return F.concat_ws(
+        "\n",
+        _line(": ", "check_name"),
         F.concat(_line("Category ", "category"), _line(", severity ", "severity")),
         _line("Purpose: ", "description"),
         F.concat(_line("Outcome: ", "check_status"), _line(" with ", "failure_count"), _line(" of ", "total_rows"),
                  F.lit(" rows failing"), _line(", a share of ", "failure_pct")),
         F.concat(_line("Limits: warn from ", "threshold_warning"), _line(" on, fail from ", "threshold_fail"),
                  F.lit(" on")),
-    ]
+    )
+
+
+def _check_text() -> Column:
+    return F.concat(_line("Check ", "check_id"), _line(" on ", _table_name()), F.col("outcome_text"), F.lit("\n"))
 
 
 def _samples_section() -> Column:
     return F.coalesce(F.concat(F.lit("\nExamples\n"), F.col("samples_text"), F.lit("\n")), F.lit(""))
 
 
+def _table_name() -> Column:
+    return F.concat_ws(".", F.coalesce("target_database", F.lit("")), F.coalesce("target_schema", F.lit("")), "target_table")
+
+
 def _located_results(results: DataFrame, library: DataFrame, run_log: DataFrame) -> DataFrame:
+    """Results with the names of their runs. What only shows in the text is text before any row is shuffled."""
     catalog = library.select("check_id", "category", "description")
     runs = run_log.select("run_id", "target_database", "target_schema")
-    located = results.join(catalog, "check_id").join(runs, "run_id", "left")
-    # Samples of a check without a column carry this name.
-    return located.withColumn("column_name", F.coalesce("target_column", F.lit("N/A"))).withColumn(
-        "table_fqn",
-        F.concat_ws(".", F.coalesce("target_database", F.lit("")), F.coalesce("target_schema", F.lit("")),
-                    "target_table"),
-    )
+    told = results.join(catalog, "check_id").withColumn("outcome_text", _outcome_text())
+    shown = [c for c in ("result_id", "run_id", "check_id", "target_table", "target_column", "outcome_text") if c in told.columns]
+    return told.select(*shown).join(runs, "run_id", "left")
+
+
+def _with_samples(located: DataFrame, samples: DataFrame) -> DataFrame:
+    """Keys are compared as expressions, so that no copy of the column travels; samples of a check without one say N/A."""
+    named = samples.toDF(*[f"__{c}" if c in SAMPLE_KEYS else c for c in samples.columns])
+    return located.join(named, (F.col("run_id") == F.col("__run_id")) & (F.col("check_id") == F.col("__check_id")) & (
+        F.coalesce("target_column", F.lit("N/A")) == F.col("__column_name")), "left")
 
 
 def failure_reports(
@@ -146,9 +159,9 @@ def failure_reports(
     failing = results.where(F.col("check_status").isin("FAIL", "WARNING"))
     located = _located_results(failing, library, run_log)
     samples = _samples(failed_records, first_of_run)
-    body = F.concat(F.concat_ws("\n", *_check_lines(F.col("table_fqn"))), F.lit("\n"), _samples_section())
-    return located.join(samples, SAMPLE_KEYS, "left").select(
-        "run_id", "check_id", "target_column", "table_fqn", body.alias("report")
+    body = F.concat(_check_text(), _samples_section())
+    return _with_samples(located, samples).select(
+        "run_id", "check_id", "target_column", _table_name().alias("table_fqn"), body.alias("report")
     )
 
 
@@ -164,18 +177,16 @@ def remediation_reports(
     samples = _samples(failed_records, None)
     params = (
         assignments.where("is_active")
-        .groupBy("check_id", "target_table", F.coalesce("target_column", F.lit("")).alias("column_key"))
-        .agg(F.min_by("params", "assignment_id").alias("params"))
+        .groupBy(F.col("check_id").alias("__check"), F.col("target_table").alias("__table"),
+                 F.coalesce("target_column", F.lit("")).alias("__column"))
+        .agg(F.min_by(F.to_json("params"), "assignment_id").alias("params_text"))
     )
+    assigned = (F.col("check_id") == F.col("__check")) & (F.col("target_table") == F.col("__table")) & (
+        F.coalesce("target_column", F.lit("")) == F.col("__column"))
     column_line = F.concat(F.lit("Column: "), F.col("target_column"), F.lit("\n"))
-    params_line = F.concat(F.lit("Parameters: "), F.to_json("params"), F.lit("\n"))
+    params_line = F.concat(F.lit("Parameters: "), F.col("params_text"), F.lit("\n"))
     body = F.concat(
-        F.concat_ws("\n", *_check_lines(F.col("table_fqn"))), F.lit("\n"),
-        F.coalesce(column_line, F.lit("")), F.coalesce(params_line, F.lit("")), _samples_section(),
-    )
-    return (
-        located.withColumn("column_key", F.coalesce("target_column", F.lit("")))
-        .join(params, ["check_id", "target_table", "column_key"], "left")
-        .join(samples, SAMPLE_KEYS, "left")
-        .select("result_id", "run_id", "check_id", "table_fqn", body.alias("report"))
-    )
+        _check_text(), F.coalesce(column_line, F.lit("")), F.coalesce(params_line, F.lit("")), _samples_section())
+    named = located.join(params, assigned, "left").drop("__check", "__table", "__column")
+    return _with_samples(named, samples).select(
+        "result_id", "run_id", "check_id", _table_name().alias("table_fqn"), body.alias("report"))

@@ -10,7 +10,7 @@ from plumbline.plans import profiling
 from plumbline.session import setting
 from plumbline.sources.store import ResultStore
 from plumbline.sources.tables import parquet_tables
-from plumbline.workloads import reply_level
+from plumbline.workloads import WORKLOADS, reply_level
 
 
 def test_days_are_written_side_by_side_and_not_sorted(spark, tmp_path, monkeypatch):
@@ -72,3 +72,21 @@ def test_values_of_columns_with_many_values_are_not_joined(spark, no_broadcast):
     assert rows == {("few", "0"): 1667, ("few", "1"): 1667, ("few", "2"): 1666}
     written = shuffled_rows(found._jdf.queryExecution().executedPlan())
     assert written and max(written) < 200
+
+
+def looked_up(node):
+    """Columns of the left side of each left join of an optimized plan."""
+    children = node.children()
+    own = []
+    if node.nodeName() == "Join" and node.joinType().toString() == "LeftOuter":
+        output = node.left().output()
+        own = [{output.apply(i).name() for i in range(output.size())}]
+    return own + [c for i in range(children.size()) for c in looked_up(children.apply(i))]
+
+
+@pytest.mark.parametrize("name,joins", [("remediation_report", 3), ("failure_report", 2)])
+def test_results_of_a_report_are_shuffled_as_text(spark, sf_dir, name, joins):
+    sides = looked_up(WORKLOADS[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan())
+    shown = {"result_id", "run_id", "check_id", "target_table", "target_column", "outcome_text", "target_database",
+             "target_schema", "params_text"}
+    assert len(sides) == joins and all(side <= shown for side in sides)
