@@ -1,6 +1,7 @@
 """Profiles, distributions and schema drift."""
 
 import datetime as dt
+from collections import Counter
 
 import duckdb
 import pytest
@@ -148,6 +149,19 @@ def test_check_reports_removed_columns_once_per_snapshot(spark):
     assert [(r.record_id, r.failed_value) for r in found] == [("gone", "REMOVED")] * 2
 
 
+def test_changed_columns_read_each_side_once_and_keep_every_copy(spark, sf_dir):
+    plan = WORKLOADS["chk17_drift"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 2 and "Join" not in plan
+    names = "table_name string, column_name string"
+    now = spark.createDataFrame([("t", "new"), ("t", "new"), ("t", "kept"), (None, "x"), ("t", None)], names)
+    old = spark.createDataFrame([("t", "kept")] * 3 + [("t", "gone")] * 2001 + [(None, "x")] * 2, names)
+    found = Counter(tuple(r) for r in schema_checks.changed_columns(now, old).collect())
+    assert found == {("t", "new", "ADDED"): 2, (None, "x", "ADDED"): 1, ("t", None, "ADDED"): 1,
+                     ("t", "gone", "REMOVED"): 2001, (None, "x", "REMOVED"): 2}
+    assert Counter(r.record_id for r in schema_checks.changed_columns(now, old, "t").collect()) == {
+        "new": 2, None: 1, "gone": 2001}
+
+
 def test_renames(spark):
     before = schema_checks.schema_snapshot(columns_of(spark, "a int, b string, c int"), None, dt.datetime(2024, 1, 1))
     found = schema_checks.renamed_columns(columns_of(spark, "a int, label string, c2 string"), before).collect()
